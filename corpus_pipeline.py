@@ -1,3 +1,31 @@
-STAGES = []
+"""A cleaning pipeline over `documents`: language, near-duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
+the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from readloom.llm import common
+from readloom.llm.langid import language_stage
+from readloom.llm.packing import packing_stage
+from readloom.llm.pii import pii_stage
+from readloom.llm.simhash import near_duplicate_stage
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", pii_stage),
+    ("packing", packing_stage),
+]
+#: The stages train models and cut tokens, which SQL cannot express; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

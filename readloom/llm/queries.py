@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .langid import op4_langid
+from .packing import op2_packing
+from .pii import op5_pii
 from .simhash import op7_simhash
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {"op2_packing": op2_packing, "op4_langid": op4_langid, "op5_pii": op5_pii, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}

@@ -232,3 +232,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each component. Of repeated ids all rows stay; rows without an id stay
+    where no row of their component has one.
+
+    The fingerprints are of 3-word shingles, within 3 bits; see README on how that compares with the general rule of five
+    words and a similarity of 0.8."""
+    found = near_duplicates(docs)
+    kept = found.filter("component = id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null").limit(0)).select(*docs.columns)
