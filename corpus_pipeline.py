@@ -12,7 +12,7 @@ from readloom.llm import common
 from readloom.llm.langid import language_stage
 from readloom.llm.packing import packing_stage
 from readloom.llm.pii import pii_stage
-from readloom.llm.simhash import near_duplicate_stage
+from readloom.llm.sketch import near_duplicate_stage
 
 STAGES = [
     ("language", language_stage),

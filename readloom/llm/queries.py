@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from . import topk, warc
+from .bpe import op9_bpe
+from .hpylm import op8_hpylm
 from .langid import op4_langid
 from .packing import op2_packing
 from .pii import op5_pii
 from .simhash import op7_simhash
+from .telephony import op3_telephony
+from .topk import op6_topk
+from .warc import op1_warc
 
-QUERIES = {"op2_packing": op2_packing, "op4_langid": op4_langid, "op5_pii": op5_pii, "op7_simhash": op7_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_packing": op2_packing,
+    "op3_telephony": op3_telephony,
+    "op4_langid": op4_langid,
+    "op5_pii": op5_pii,
+    "op6_topk": op6_topk,
+    "op7_simhash": op7_simhash,
+    "op8_hpylm": op8_hpylm,
+    "op9_bpe": op9_bpe,
+}
+ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op6_topk": topk.ORACLE_SQL}

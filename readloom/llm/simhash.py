@@ -10,7 +10,7 @@ the tree of one chunk and the queries of another, so no task holds more than two
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +26,24 @@ RADIUS = 3
 SHARD = 16384
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of a text: bit i is set if more than half the shingles' XXH64 (seed 42) have it. No word: 0."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of words, repeats included; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends[:-1])]
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
-    return majority(h)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of a text: bit i is set if more than half the shingles' hashes have it. No word: 0."""
+    h = shingle_hashes(text, shingle)
+    return majority(h) if len(h) else 0
 
 
 def majority(h: np.ndarray) -> int:
@@ -63,7 +67,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Differing bits; of fingerprints of several words (rows of a matrix), over all words."""
+    d = np.bitwise_count(a ^ b).astype(np.int64)
+    return d.sum(1) if d.ndim > 1 else d
 
 
 class Forest:
@@ -82,7 +88,7 @@ class Forest:
         rest = order[~first]
         while len(rest):  # a round places the first comer of every free (parent, distance) and moves the others down
             d = distance(fp[rest], fp[parent[rest]])
-            slot = parent[rest] * 65 + d
+            slot = parent[rest] * 4096 + d
             _, where, slot_of = np.unique(slot, return_index=True, return_inverse=True)
             child = rest[where]
             placed_parent[child], edge[child] = parent[child], d[where]
@@ -151,11 +157,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         rows = rows.unionByName(dealt.filter("own <= other").select("key", "fp", F.col("own").alias("tree"), F.col("other").alias("query"), F.lit(0).alias("side")))
         rows = rows.unionByName(dealt.filter("other < own").select("key", "fp", F.col("other").alias("tree"), F.col("own").alias("query"), F.lit(1).alias("side")))
     cols = ["key", "tree", "query"]
-    return rows.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(lambda x: shard_links(x, radius), "a long, b long")
+    return rows.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(lambda x: by_shard(x, lambda t: forest_links(t, radius)), "a long, b long")
 
 
-def shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Reads shards in order; a shard that goes on in the next batch waits for it."""
+def by_shard(batches: Iterator[pa.RecordBatch], links: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Reads rows ordered by (key, tree, query) and calls links on whole shards; the last of a batch waits for the next."""
     left: pa.Table | None = None
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -168,34 +174,38 @@ def shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
             other |= k != k[-1]
         last = int(np.flatnonzero(other).max(initial=-1)) + 1
         if last:
-            yield from forest_links(left.slice(0, last), radius)
+            yield from links(left.slice(0, last))
             left = left.slice(last)
     if left is not None and left.num_rows:
-        yield from forest_links(left, radius)
+        yield from links(left)
 
 
 def forest_links(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
-    """Stars of the parts of each shard: (least fingerprint, fingerprint)."""
-    key, tree, query, side, fp = (t.column(c).to_numpy() for c in ("key", "tree", "query", "side", "fp"))
+    fp = t.column("fp").to_numpy()
+    return star_links(t, fp.view(np.uint64), fp, radius)
+
+
+def star_links(t: pa.Table, bits: np.ndarray, name: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """The parts of each shard as stars: (least name, name)."""
+    key, tree, query, side = (t.column(c).to_numpy() for c in ("key", "tree", "query", "side"))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (tree[1:] != tree[:-1]) | (query[1:] != query[:-1])
     shard = np.cumsum(new) - 1
     keep = np.bincount(shard)[shard] > 1
     if not keep.any():
         return
-    shard, side, signed, own = shard[keep], side[keep], fp[keep], (tree == query)[keep]
-    bits = signed.view(np.uint64)
+    shard, side, bits, name, own = shard[keep], side[keep], bits[keep], name[keep], (tree == query)[keep]
     members, asking = np.flatnonzero(side == 0), np.flatnonzero(own | (side == 1))
     forest = Forest(bits[members], shard[members])
     part = np.arange(len(bits))
-    for q, node in forest.within(bits[asking], shard[asking], radius):
+    for q, node in forest.within(bits[asking], shard[asking], radius, 4_000_000 // (8 * bits.ndim - 7)):
         unite(part, asking[q], members[node])
     least = np.full(len(bits), np.iinfo(np.int64).max)
-    np.minimum.at(least, part, signed)
+    np.minimum.at(least, part, name)
     a = least[part]
-    linked = a != signed
+    linked = a != name
     if linked.any():
-        yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(signed[linked])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(name[linked])], ["a", "b"])
 
 
 def unite(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -232,14 +242,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component. Of repeated ids all rows stay; rows without an id stay
-    where no row of their component has one.
-
-    The fingerprints are of 3-word shingles, within 3 bits; see README on how that compares with the general rule of five
-    words and a similarity of 0.8."""
-    found = near_duplicates(docs)
-    kept = found.filter("component = id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null").limit(0)).select(*docs.columns)
