@@ -22,8 +22,8 @@ from . import common
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, and as many of an older generation; about 200 bytes each.
+REMEMBERED = 500_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -34,7 +34,11 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins what ASCII white space parts; each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never joins what ASCII white space parts; words are encoded once and remembered.
+
+    Words of letters alone are one pre-token each. They are encoded many at a time, as one text, whose ids part after
+    every end-of-word token; where the ends are not as many as the words, each is encoded by itself.
+    """
 
     WORD = re.compile(r"[^ \t\n\r]+")
 
@@ -43,28 +47,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = self.WORD.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        parts = []
-        for at in range(0, len(words), 65536):
-            block = words[at : at + 65536]
-            new = list({w for w in block if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            parts.append(b"".join([known[w] for w in block]))
-            if len(known) > 2 * REMEMBERED:
-                known.clear()
-        return b"".join(parts)
+        return b"".join([self._block(words[at : at + 65536]) for at in range(0, len(words), 65536)])
+
+    def _block(self, words: list[str]) -> bytes:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        if new := {w for w in words if w not in known}:
+            for w in new & older.keys():
+                known[w] = older[w]
+            self._learn([w for w in new if w not in known])
+        return b"".join([known[w] for w in words])
+
+    def _learn(self, words: list[str]) -> None:
+        parts, single, letters = [], set(), set()
+        for w in words:
+            core = w.rstrip(".,")
+            if core.isalpha():
+                base = core.lower() if core.isascii() else core
+                parts.append((w, base, w[len(core) :]))
+                letters.add(base)
+                if len(core) < len(w):
+                    single.add(w[len(core) :])
+            else:
+                single.add(w)
+        self._letters([w for w in letters if w not in self.known])
+        self._each([w for w in single if w not in self.known])
+        for w, base, marks in parts:
+            self.known[w] = self.known[base] + (self.known[marks] if marks else b"")
+
+    def _letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            block = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
+            after = np.flatnonzero(self.ends[ids]) + 1
+            if len(after) != len(block):
+                self._each(block)
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(block, (4 * after).tolist()):
+                self.known[w] = data[begin:end]
+                begin = end
+
+    def _each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else ()):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> WordEncoder:

@@ -54,3 +54,20 @@ def test_windows_and_partitions(spark):
 
 def test_empty(spark):
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_words_like_the_tokenizer():
+    rng = np.random.default_rng(0)
+    bits = ["The", "cat", "sat.", "don't", "É", "été,", "ΣΑΣ", "İx", "\u0958a", "e\u0301", "한글", "x1", "3.14", "a.b", "..", ",", "(a),", "\u00a0", "\x1c", "　", "\n", "\t", "ß", "🙂", "'s", "a's", "ǅ", "ab,.", "<|endoftext|>", "\u200d", "日本語", "ﬁ"]
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n"]) for _ in range(int(rng.integers(0, 25))))
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_forgetting(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    for text in ("a b c d e f", "a b x y", "f e d, A. b", "a b c d e f"):
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == brute_ids(text)[:-1]
