@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import topk, warc
 from .bpe import op9_bpe
+from .chat import op10_chat
 from .hpylm import op8_hpylm
 from .langid import op4_langid
 from .packing import op2_packing
@@ -23,5 +24,6 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_hpylm": op8_hpylm,
     "op9_bpe": op9_bpe,
+    "op10_chat": op10_chat,
 }
 ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op6_topk": topk.ORACLE_SQL}
