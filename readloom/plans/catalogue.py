@@ -1,4 +1,272 @@
-"""Queries by name, and the SQL of each."""
+"""Queries by name, each with the SQL that gives the same rows where SQL can."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cigar
+from ..model import DEFAULTS
+from ..operators import intervals, reads, removal, report
+from ..sources import derived
+from . import passes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _pass(spark: SparkSession, sf_dir: str, kind: str = "pe") -> passes.Pass:
+    return passes.Pass(derived.alignments(spark, sf_dir), derived.references(spark), kind)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {CTES} {sql}"
+        return f
+
+    return add
+
+
+_LEVELS = ", ".join(f"({t}, CAST({r} AS DOUBLE))" for t, r in DEFAULTS.levels)
+
+
+def _pass_ctes(k: str, column: str, least: float) -> str:
+    """SQL of the tables that both passes have, named with the suffix k."""
+    return f"""
+g_{k} AS (SELECT t, rmin, refid, p, {column}_n AS n, CASE WHEN p - lag(p) OVER (PARTITION BY t, refid ORDER BY p) <= t THEN 0 ELSE 1 END AS b FROM cov_{k} CROSS JOIN lev WHERE {column}_n > 0),
+i_{k} AS (SELECT *, sum(b) OVER (PARTITION BY t, refid ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM g_{k}),
+seg_{k} AS (SELECT t, rmin, refid, min(p) AS beg, max(p) AS e, CAST(sum(n) AS BIGINT) AS n FROM i_{k} GROUP BY t, rmin, refid, i),
+acc_{k} AS (SELECT * FROM seg_{k} WHERE e - beg + 1 >= 10 AND CAST(n AS DOUBLE) / (e - beg + 1) >= rmin),
+hi_{k} AS (SELECT DISTINCT a.refid, a.beg, a.e FROM acc_{k} a WHERE a.rmin >= {least} AND NOT EXISTS (SELECT 1 FROM acc_{k} o WHERE o.rmin >= {least} AND o.refid = a.refid AND o.beg <= a.beg AND o.e >= a.e AND (o.beg < a.beg OR o.e > a.e))),
+reg_{k} AS (SELECT h.refid, h.beg, h.e, CAST(sum(c.pe_n + c.se_n) AS BIGINT) AS nstart, CAST(sum(c.pe_d + c.se_d) AS BIGINT) AS ndup FROM hi_{k} h JOIN cov_{k} c ON c.refid = h.refid AND c.p BETWEEN h.beg AND h.e GROUP BY 1, 2, 3),
+low_{k} AS (SELECT * FROM (SELECT refid, coalesce(lag(e) OVER (PARTITION BY refid ORDER BY beg), 0) + 1 AS beg, beg - 1 AS e, 1 AS inner_gap FROM hi_{k}
+    UNION ALL SELECT r.refid, coalesce((SELECT max(h.e) FROM hi_{k} h WHERE h.refid = r.refid), 0) + 1, r.length, 0 FROM refs r) x WHERE beg <= e),
+smp_{k} AS (SELECT refid, beg + 50 AS beg, e - 50 AS e FROM low_{k} WHERE inner_gap = 1 AND e - beg + 1 >= 300),
+scov_{k} AS (SELECT c.* FROM smp_{k} s JOIN cov_{k} c ON c.refid = s.refid AND c.p BETWEEN s.beg AND s.e),
+rate_{k} AS (SELECT CAST(coalesce(sum({column}_n), 0) AS BIGINT) AS starts, CAST(coalesce(sum({column}_d), 0) AS BIGINT) AS dups, CASE WHEN coalesce(sum({column}_n), 0) > 0 THEN CAST(sum({column}_d) AS DOUBLE) / sum({column}_n) ELSE -1.0 END AS rate FROM scov_{k}),
+q0_{k} AS (SELECT r.*, rate, CAST(trunc(rate * nstart + 0.5) AS BIGINT) AS quota FROM reg_{k} r CROSS JOIN rate_{k}),
+quo_{k} AS (SELECT *, CASE WHEN quota >= ndup THEN 'all' WHEN quota > 0 THEN 'sample' ELSE 'none' END AS branch FROM q0_{k})"""
+
+
+CTES = f"""{derived.alignments_sql('orders')},
+refs AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', {derived.LENGTH})" for i, n in enumerate(derived.NAMES))}) v(refid, name, length)),
+lev AS (SELECT * FROM (VALUES {_LEVELS}) v(t, rmin)),
+acc AS (SELECT * FROM al WHERE flag & 4 = 0 AND flag & 2048 = 0 AND flag & 256 = 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY read_name, flag & 16 ORDER BY pos DESC, ordinal DESC) AS rn FROM acc WHERE flag & 3 = 3),
+pairs AS (SELECT f.read_name, f.refid AS ref0, f.pos5p AS p0, f.ordinal AS o0, r.refid AS ref1, r.pos5p AS p1, r.ordinal AS o1, CAST(f.mapq + r.mapq AS BIGINT) AS mapq_sum, f.sbasq + r.sbasq AS basq_sum,
+    (SELECT arg_max(x.tlen, x.pos * 10000000000 + x.ordinal) FROM m x WHERE x.read_name = f.read_name AND x.tlen > 0) AS tlen
+    FROM m f JOIN m r ON f.read_name = r.read_name AND f.flag & 16 = 0 AND r.flag & 16 = 16 AND f.rn = 1 AND r.rn = 1),
+dp AS (SELECT *, row_number() OVER (PARTITION BY ref0, p0, ref1, p1 ORDER BY mapq_sum DESC, basq_sum DESC, read_name) > 1 AS is_dup FROM pairs),
+pe AS (SELECT read_name, o0 AS ordinal, o1 AS mate, ref0 AS refid, p0 AS pos5p, is_dup FROM dp UNION ALL SELECT read_name, o1, o0, ref1, p1, is_dup FROM dp),
+un AS (SELECT *, row_number() OVER (PARTITION BY refid, pos5p ORDER BY mapq DESC, sbasq DESC, read_name, ordinal) > 1 AS is_dup FROM acc WHERE flag & 1 = 1 AND ordinal NOT IN (SELECT ordinal FROM pe)),
+si AS (SELECT *, row_number() OVER (PARTITION BY refid, pos5p ORDER BY mapq DESC, sbasq DESC, read_name, ordinal) > 1 AS is_dup FROM acc WHERE flag & 1 = 0),
+cov_pe AS (SELECT refid, p, CAST(sum(pe_n) AS BIGINT) AS pe_n, CAST(sum(pe_d) AS BIGINT) AS pe_d, CAST(sum(se_n) AS BIGINT) AS se_n, CAST(sum(se_d) AS BIGINT) AS se_d FROM
+    (SELECT refid, pos5p AS p, 1 AS pe_n, CAST(is_dup AS INT) AS pe_d, 0 AS se_n, 0 AS se_d FROM pe UNION ALL SELECT refid, pos5p, 0, 0, 1, CAST(is_dup AS INT) FROM un) x GROUP BY refid, p),
+cov_se AS (SELECT refid, pos5p AS p, CAST(0 AS BIGINT) AS pe_n, CAST(0 AS BIGINT) AS pe_d, count(*) AS se_n, CAST(sum(CAST(is_dup AS INT)) AS BIGINT) AS se_d FROM si GROUP BY 1, 2),
+{_pass_ctes('pe', 'pe', 0.1)},
+{_pass_ctes('se', 'se', 0.01)},
+mem AS (SELECT a.*, q.beg, q.e, q.branch FROM (SELECT ordinal, mate, read_name, refid, pos5p, TRUE AS is_pair, is_dup FROM pe UNION ALL SELECT ordinal, NULL, read_name, refid, pos5p, FALSE, is_dup FROM un) a
+    LEFT JOIN quo_pe q ON q.refid = a.refid AND a.pos5p BETWEEN q.beg AND q.e),
+gone_all AS (SELECT ordinal FROM mem WHERE is_dup AND branch = 'all' UNION SELECT mate FROM mem WHERE is_dup AND branch = 'all' AND mate IS NOT NULL),
+gone_low AS (SELECT ordinal FROM mem WHERE is_dup AND beg IS NULL)"""
+
+_END = '"end"'
+
+
+@query("SELECT CASE WHEN flag & 4 = 4 THEN 'unmapped' WHEN flag & 2048 = 2048 THEN 'supplementary' WHEN flag & 256 = 256 THEN 'secondary' ELSE 'accepted' END AS filter_class, count(*) AS n FROM al GROUP BY 1")
+def filter_counts(spark, sf_dir):
+    return reads.filter_counts(derived.alignments(spark, sf_dir))
+
+
+@query("SELECT ordinal, refid, read_name, pos, pos5p, mapq, flag, tlen, sbasq FROM acc")
+def accepted_alignments(spark, sf_dir):
+    return _pass(spark, sf_dir).reads.select("ordinal", "refid", "read_name", "pos", "pos5p", "mapq", "flag", "tlen", "sbasq")
+
+
+@query("SELECT read_name, ref0, p0, o0, ref1, p1, o1, mapq_sum, basq_sum, tlen FROM pairs")
+def pair_mates(spark, sf_dir):
+    return _pass(spark, sf_dir).plain_pairs
+
+
+@query("SELECT read_name, count(*) AS n_aln FROM m GROUP BY read_name HAVING count(*) < 2")
+def mateless_pairs(spark, sf_dir):
+    return reads.mateless(_pass(spark, sf_dir).reads)
+
+
+@query("SELECT read_name, ref0, p0, ref1, p1, mapq_sum, basq_sum, is_dup FROM dp")
+def mark_duplicate_pairs(spark, sf_dir):
+    return _pass(spark, sf_dir).pairs.select("read_name", "ref0", "p0", "ref1", "p1", "mapq_sum", "basq_sum", "is_dup")
+
+
+@query("SELECT ordinal, read_name, refid, pos5p, mapq, sbasq, is_dup FROM un")
+def mark_duplicate_unpaired(spark, sf_dir):
+    return _pass(spark, sf_dir).others.select("ordinal", "read_name", "refid", "pos5p", "mapq", "sbasq", "is_dup")
+
+
+@query("SELECT ordinal, read_name, refid, pos5p, mapq, sbasq, is_dup FROM si")
+def mark_duplicate_single(spark, sf_dir):
+    return _pass(spark, sf_dir, "se").others.select("ordinal", "read_name", "refid", "pos5p", "mapq", "sbasq", "is_dup")
+
+
+@query("SELECT refid, p, pe_n, pe_d, se_n, se_d FROM cov_pe")
+def start_coverage(spark, sf_dir):
+    return _pass(spark, sf_dir).coverage
+
+
+@query(f"SELECT t, refid, beg, e AS {_END}, n FROM seg_pe")
+def coverage_segments(spark, sf_dir):
+    return _pass(spark, sf_dir).segments.select("t", "refid", "beg", "end", "n")
+
+
+@query("SELECT t, rmin, count(*) AS segments, CAST(sum(e - beg + 1) AS BIGINT) AS bases, CAST(sum(n) AS BIGINT) AS starts FROM acc_pe GROUP BY t, rmin")
+def segments_by_level(spark, sf_dir):
+    return _pass(spark, sf_dir).accepted.groupBy("t", "rmin").agg(F.count("*").alias("segments"), F.sum(F.col("end") - F.col("beg") + 1).alias("bases"), F.sum("n").alias("starts"))
+
+
+@query(f"SELECT refid, beg, e AS {_END}, nstart, ndup FROM reg_pe")
+def high_regions(spark, sf_dir):
+    return _pass(spark, sf_dir).regions
+
+
+@query(f"SELECT refid, beg, e AS {_END}, nstart, ndup FROM reg_se")
+def high_regions_single(spark, sf_dir):
+    return _pass(spark, sf_dir, "se").regions
+
+
+@query("SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS at_least FROM (SELECT least(CAST(floor((e - beg + 1) / 50.0) AS BIGINT), 999) AS bin, count(*) AS n FROM hi_pe GROUP BY 1) x")
+def region_length_hist(spark, sf_dir):
+    return intervals.length_histogram(_pass(spark, sf_dir).high)
+
+
+@query(f"SELECT refid, beg, e AS {_END} FROM low_pe")
+def low_regions(spark, sf_dir):
+    return _pass(spark, sf_dir).low
+
+
+@query(f"SELECT refid, beg, e AS {_END} FROM smp_pe")
+def low_sample(spark, sf_dir):
+    return _pass(spark, sf_dir).sample
+
+
+@query("SELECT least(pe_d, 8191) AS dups, count(*) AS bases FROM scov_pe WHERE pe_d > 0 GROUP BY 1 UNION ALL SELECT CAST(0 AS BIGINT), CAST((SELECT coalesce(sum(e - beg + 1), 0) FROM smp_pe) - (SELECT count(*) FROM scov_pe WHERE pe_d > 0) AS BIGINT)")
+def dup_histogram(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    return intervals.dup_histogram(p.sample, p.coverage)
+
+
+@query("SELECT starts, dups, rate FROM rate_pe")
+def pcr_rate(spark, sf_dir):
+    return _pass(spark, sf_dir).rate
+
+
+@query("SELECT starts, dups, rate FROM rate_se")
+def pcr_rate_single(spark, sf_dir):
+    return _pass(spark, sf_dir, "se").rate
+
+
+@query(f"SELECT refid, beg, e AS {_END}, nstart, ndup, rate, quota, branch FROM quo_pe")
+def region_quota(spark, sf_dir):
+    return _pass(spark, sf_dir).quotas.select("refid", "beg", "end", "nstart", "ndup", "rate", "quota", "branch")
+
+
+@query(f"SELECT ordinal, read_name, refid, pos5p, is_pair, is_dup, beg, e AS {_END} FROM mem")
+def assign_region(spark, sf_dir):
+    return _pass(spark, sf_dir).members.select("ordinal", "read_name", "refid", "pos5p", "is_pair", "is_dup", "beg", "end")
+
+
+@query("SELECT ordinal FROM gone_all")
+def remove_all_branch(spark, sf_dir):
+    return removal.all_branch(_pass(spark, sf_dir).members)
+
+
+@query("SELECT ordinal FROM gone_low")
+def remove_low(spark, sf_dir):
+    return removal.low_branch(_pass(spark, sf_dir).members)
+
+
+@query()
+def sample_branch(spark, sf_dir):
+    return removal.sample_branch(_pass(spark, sf_dir).members)
+
+
+@query()
+def removal_list(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    return removal.removal_lines(p.removals, p.regions, p.references)
+
+
+@query("""SELECT x.*, CAST(high_starts AS DOUBLE) / nullif(high_bases, 0) AS high_starts_per_base, CAST(high_dups AS DOUBLE) / nullif(high_starts, 0) AS high_dup_rate,
+    CAST(low_starts AS DOUBLE) / nullif(low_bases, 0) AS low_starts_per_base, CAST(low_dups AS DOUBLE) / nullif(low_starts, 0) AS low_dup_rate FROM (
+    SELECT (SELECT count(*) FROM hi_pe) AS high_regions, (SELECT CAST(sum(e - beg + 1) AS BIGINT) FROM hi_pe) AS high_bases, (SELECT CAST(sum(nstart) AS BIGINT) FROM reg_pe) AS high_starts, (SELECT CAST(sum(ndup) AS BIGINT) FROM reg_pe) AS high_dups,
+    (SELECT count(*) FROM low_pe) AS low_regions, (SELECT CAST(sum(e - beg + 1) AS BIGINT) FROM low_pe) AS low_bases,
+    (SELECT CAST(sum(pe_n + se_n) AS BIGINT) FROM cov_pe) - (SELECT CAST(sum(nstart) AS BIGINT) FROM reg_pe) AS low_starts, (SELECT CAST(sum(pe_d + se_d) AS BIGINT) FROM cov_pe) - (SELECT CAST(sum(ndup) AS BIGINT) FROM reg_pe) AS low_dups) x""")
+def region_totals(spark, sf_dir):
+    return _pass(spark, sf_dir).totals
+
+
+@query("SELECT flag, CASE WHEN flag & 4 = 4 THEN 1 WHEN flag & 8 = 8 THEN 2 ELSE 0 END AS mapping_class, count(*) AS n FROM al GROUP BY 1, 2")
+def mapping_class(spark, sf_dir):
+    rows = derived.alignments(spark, sf_dir).select("flag", reads.mapping_class().alias("mapping_class"))
+    return rows.groupBy("flag", "mapping_class").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT a.ordinal, a.read_name, a.flag FROM al a WHERE NOT EXISTS (SELECT 1 FROM gone_low g JOIN acc r ON r.ordinal = g.ordinal WHERE r.read_name = a.read_name
+    AND (CASE WHEN r.flag & 4 = 4 THEN 1 WHEN r.flag & 8 = 8 THEN 2 ELSE 0 END) = (CASE WHEN a.flag & 4 = 4 THEN 1 WHEN a.flag & 8 = 8 THEN 2 ELSE 0 END))""")
+def apply_removal(spark, sf_dir):
+    """Drops every row whose name and mapping class the removals of low regions hold."""
+    from ..sources import sam
+
+    p = _pass(spark, sf_dir)
+    gone = removal.low_branch(p.members).join(p.reads, "ordinal").select("read_name", reads.mapping_class().alias("mapping_class"))
+    return sam.apply_removal(p.alignments.select("ordinal", "read_name", "flag"), gone)
+
+
+@query("""SELECT ordinal, greatest(1, least(b, 1000000)) AS bpos, greatest(1, least(b + l_seq + h - 1 + gaps, 1000000)) AS epos FROM (
+    SELECT ordinal, l_seq, pos - CASE k8 WHEN 1 THEN 5 WHEN 5 THEN 5 ELSE 0 END AS b, CASE k8 WHEN 5 THEN 5 ELSE 0 END AS h, CASE k8 WHEN 3 THEN 100 WHEN 4 THEN -1 WHEN 6 THEN 3000 ELSE 0 END AS gaps
+    FROM (SELECT *, (ordinal // 8) % 8 AS k8 FROM acc) y) x""")
+def read_ends(spark, sf_dir):
+    rows = reads.accepted(derived.alignments(spark, sf_dir)).withColumn("length", F.lit(derived.LENGTH)).withColumn("parsed", cigar.ops())
+    bpos, epos = cigar.read_ends(F.col("parsed"))
+    return rows.select("ordinal", bpos.alias("bpos"), epos.alias("epos"))
+
+
+@query("""SELECT count(*) AS entries, count(*) FILTER (flag & 4 = 4) AS unaligned_skipped, count(*) FILTER (flag & 4 = 0 AND flag & 2048 = 2048) AS chimeric_skipped,
+    count(*) FILTER (flag & 4 = 0 AND flag & 2048 = 0 AND flag & 256 = 256) AS secondary_skipped, count(*) FILTER (flag & 4 = 0 AND flag & 2048 = 0 AND flag & 256 = 0) AS accepted, CAST(0 AS BIGINT) AS not_paired_end_skipped,
+    (SELECT CAST(sum(pe_n) AS BIGINT) FROM cov_pe) AS paired, (SELECT CAST(sum(pe_d) AS BIGINT) FROM cov_pe) AS paired_dups, (SELECT CAST(sum(se_n) AS BIGINT) FROM cov_pe) AS unpaired, (SELECT CAST(sum(se_d) AS BIGINT) FROM cov_pe) AS unpaired_dups FROM al""")
+def counters(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    return report.side_by_side([report.entry_counts(p.alignments), report.start_counts(p.coverage)])
+
+
+@query()
+def summary_row(spark, sf_dir):
+    """Rows only: the removal counts rest on drawn samples."""
+    both = [_pass(spark, sf_dir, k) for k in ("pe", "se")]
+    return report.summary_row(report.entry_counts(both[0].alignments), [p.counts for p in both], f"{sf_dir}/orders.parquet")
+
+
+
+@query(f"""SELECT x.refid, x.a AS beg, x.z AS {_END} FROM (
+    SELECT o.refid, coalesce(lag(i.e) OVER (PARTITION BY o.refid, o.beg ORDER BY i.beg) + 1, o.beg) AS a, i.beg - 1 AS z FROM (SELECT * FROM acc_pe WHERE rmin = 0.01) o JOIN hi_pe i ON i.refid = o.refid AND i.beg BETWEEN o.beg AND o.e
+    UNION ALL SELECT o.refid, coalesce((SELECT max(i.e) FROM hi_pe i WHERE i.refid = o.refid AND i.beg BETWEEN o.beg AND o.e) + 1, o.beg), o.e FROM (SELECT * FROM acc_pe WHERE rmin = 0.01) o) x WHERE x.a <= x.z""")
+def band_intervals(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    return intervals.bands(p.accepted, p.references, 0.01)
+
+
+@query()
+def band_rates(spark, sf_dir):
+    """Starts and dups of the interiors of each level's band, and of no level: rmin, bases, starts, dups, rate."""
+    p = _pass(spark, sf_dir)
+    out = None
+    for rate in (None, *sorted(r for _, r in p.options.levels)):
+        denser = p.accepted if rate is None else p.accepted.filter(F.col("rmin") > rate)
+        inner = intervals.band_interiors(intervals.bands(p.accepted, p.references, rate), intervals.maximal(denser), p.references, p.options)
+        size = inner.agg(F.coalesce(F.sum(F.col("end") - F.col("beg") + 1), F.lit(0)).cast("bigint").alias("bases"))
+        row = report.side_by_side([size, intervals.sample_rate(inner, p.coverage)]).select(F.lit(rate).cast("double").alias("rmin"), "bases", "starts", "dups", "rate")
+        out = row if out is None else out.unionByName(row)
+    return out
