@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DEFAULTS, Options
+from ..scratch import written
 from .intervals import containing
 
 
@@ -39,16 +40,17 @@ def low_branch(held: DataFrame) -> DataFrame:
     return held.filter("is_dup and beg is null").select("ordinal")
 
 
-def linked(spark: SparkSession, links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def linked(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) of regions linked by pairs: least labels pass along links and jump to their labels' labels, each
-    round cut by a checkpoint. links: (a, b), both ways."""
-    links = links.distinct().checkpoint()
-    label = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
+    round written to the shared folder. links: (a, b), both ways."""
+    links = written(links.distinct(), "region-links")
+    label = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
+    label = written(label, "region-labels")
     for _ in range(most_rounds):
         near = links.join(label, links.b == label.node).groupBy("a").agg(F.min("component").alias("m"))
         new = label.join(near, label.node == near.a).select("node", F.least("component", "m").alias("component"))
         jump = new.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = new.join(jump, new.component == jump.c, "left").select("node", F.least("component", F.coalesce("cc", "component")).alias("component")).checkpoint()
+        new = written(new.join(jump, new.component == jump.c, "left").select("node", F.least("component", F.coalesce("cc", "component")).alias("component")), "region-labels")
         if new.join(label.withColumnRenamed("component", "old"), "node").filter("old <> component").isEmpty():
             return new
         label = new
@@ -72,9 +74,9 @@ def sample_branch(held: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     name = lambda p="": F.concat_ws(":", F.lpad(F.col(f"{p}refid").cast("string"), 6, "0"), F.lpad(F.col(f"{p}beg").cast("string"), 12, "0"))
     dups = held.filter("is_dup and beg is not null").withColumn("region", name()).withColumn("h", draw_key(options.seed)).select("ordinal", "mate", "region", "h", "quota", "ndup", "branch")
     mates = dups.select(F.col("ordinal").alias("mate"), F.col("region").alias("mate_region"))
-    dups = dups.join(mates, "mate", "left").checkpoint()
+    dups = written(dups.join(mates, "mate", "left"), "region-dups")
     links = dups.filter("mate_region is not null and mate_region <> region").select(F.col("region").alias("a"), F.col("mate_region").alias("b"))
-    component = linked(held.sparkSession, links)
+    component = linked(links)
     placed = dups.join(component, dups.region == component.node, "left").drop("node")
     # alone: a pair within the region is one unit at the place of its first read
     alone = placed.filter("component is null and branch = 'sample'")

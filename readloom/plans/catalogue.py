@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cigar
+from ..functions import cigar, discrepancies, leader
 from ..model import DEFAULTS
 from ..operators import intervals, reads, removal, report
-from ..sources import derived
+from ..scratch import shared_folder
+from ..sources import bam, derived, sam
 from . import passes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,8 +220,6 @@ def mapping_class(spark, sf_dir):
     AND (CASE WHEN r.flag & 4 = 4 THEN 1 WHEN r.flag & 8 = 8 THEN 2 ELSE 0 END) = (CASE WHEN a.flag & 4 = 4 THEN 1 WHEN a.flag & 8 = 8 THEN 2 ELSE 0 END))""")
 def apply_removal(spark, sf_dir):
     """Drops every row whose name and mapping class the removals of low regions hold."""
-    from ..sources import sam
-
     p = _pass(spark, sf_dir)
     gone = removal.low_branch(p.members).join(p.reads, "ordinal").select("read_name", reads.mapping_class().alias("mapping_class"))
     return sam.apply_removal(p.alignments.select("ordinal", "read_name", "flag"), gone)
@@ -258,6 +258,51 @@ def band_intervals(spark, sf_dir):
     return intervals.bands(p.accepted, p.references, 0.01)
 
 
+_K = "ordinal // 8"
+_FORWARD = "flag & 16 = 0"
+
+
+def _with_bases(spark, sf_dir):
+    """Derived rows with a sequence: a leader's end before the long introns of every fifth fragment, else C alone."""
+    led = f"k % 5 = 0 AND cigar = '10M3000N40M' AND {_FORWARD}"
+    rows = derived.alignments(spark, sf_dir).withColumn("k", F.expr("ordinal DIV 8"))
+    return rows.withColumn("seq", F.expr(f"CASE WHEN {led} THEN concat('{leader.LEADERS[0][-10:]}', repeat('C', 40)) ELSE repeat('C', l_seq) END"))
+
+
+@query(f"SELECT ordinal, CASE WHEN led THEN 3000 ELSE 0 END AS shift, CASE WHEN led THEN 'long' END AS kind FROM (SELECT ordinal, ({_K}) % 5 = 0 AND cigar = '10M3000N40M' AND {_FORWARD} AS led FROM al) x")
+def sl_match(spark, sf_dir):
+    return leader.with_leader(_with_bases(spark, sf_dir)).select("ordinal", "leader.shift", "leader.kind")
+
+
+@query("""SELECT ordinal, CASE cigar WHEN '25=1X24=' THEN 1 WHEN '20M2D28M3I' THEN 2 ELSE 4 END AS type, CASE cigar WHEN '25=1X24=' THEN 26 WHEN '10M3000N40M' THEN 10 ELSE 20 END AS pos,
+    CASE cigar WHEN '25=1X24=' THEN 1 WHEN '20M2D28M3I' THEN 2 WHEN '10M3000N40M' THEN 3000 ELSE 100 END AS len, pos + CASE cigar WHEN '25=1X24=' THEN 25 WHEN '10M3000N40M' THEN 10 ELSE 20 END AS pos_chr FROM acc WHERE cigar IN ('25=1X24=', '20M2D28M3I', '20M100N30M', '10M3000N40M')
+    UNION ALL SELECT ordinal, 3, 49, 3, pos + 50 FROM acc WHERE cigar = '20M2D28M3I'""")
+def list_discrepancies(spark, sf_dir):
+    rows = _pass(spark, sf_dir).reads.withColumn("md", F.lit(None).cast("string"))
+    return rows.select("ordinal", F.explode(discrepancies.discrepancies()).alias("d")).select("ordinal", "d.*")
+
+
+@query("SELECT CASE WHEN count(*) FILTER (regexp_matches(cigar, '[=X]')) > 0 THEN 1 WHEN count(*) FILTER (contains(cigar, 'M')) > 0 THEN 0 ELSE -1 END AS cigar_kind, 0 AS md_kind FROM (SELECT * FROM al WHERE flag & 4 = 0 ORDER BY ordinal LIMIT 10000) x")
+def sniff_encoding(spark, sf_dir):
+    return discrepancies.sniff_encoding(derived.alignments(spark, sf_dir).withColumn("md", F.lit(None).cast("string")))
+
+
+@query("SELECT refid, pos, mapq, flag, cigar, tlen, read_name, l_seq FROM al")
+def bam_scan(spark, sf_dir):
+    """Writes the derived rows as BAM files and scans them."""
+    rows = _with_bases(spark, sf_dir).withColumn("next_refid", F.col("refid")).withColumn("next_pos", F.col("pos"))
+    folder = f"{shared_folder(spark)}/readloom/bam-{uuid.uuid4().hex}"
+    bam.write_bam(rows, [(n, derived.LENGTH) for n in derived.NAMES], folder)
+    return bam.read_bam(spark, folder).select("refid", "pos", "mapq", "flag", "cigar", "tlen", "read_name", "l_seq")
+
+
+@query("""SELECT ordinal, read_name, flag FROM al WHERE NOT EXISTS (SELECT 1 FROM acc r WHERE r.flag & 4 = 0 AND r.ordinal IN (SELECT ordinal FROM gone_all) AND r.read_name = al.read_name AND al.flag & 4 = 0)""")
+def apply_removal_all_branch(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    gone = removal.all_branch(p.members).join(p.reads, "ordinal").select("read_name", "flag")
+    return sam.apply_removal(p.alignments.select("ordinal", "read_name", "flag"), gone)
+
+
 @query()
 def band_rates(spark, sf_dir):
     """Starts and dups of the interiors of each level's band, and of no level: rmin, bases, starts, dups, rate."""

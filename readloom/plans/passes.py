@@ -1,4 +1,4 @@
-"""The paired and the single-end pass as one lazy plan each."""
+"""The paired and the single-end pass. Tables that several others start from are written to the shared folder once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..model import DEFAULTS, Options
 from ..operators import intervals, reads, removal, report
+from ..scratch import written
 
 
 class Pass:
@@ -26,16 +27,16 @@ class Pass:
 
     @cached_property
     def pairs(self) -> DataFrame | None:
-        return reads.mark_duplicate_pairs(self.plain_pairs) if self.kind == "pe" else None
+        return written(reads.mark_duplicate_pairs(self.plain_pairs), "pairs") if self.kind == "pe" else None
 
     @cached_property
     def others(self) -> DataFrame:
-        rows = reads.unpaired(self.reads, self.plain_pairs) if self.kind == "pe" else reads.single(self.reads)
+        rows = reads.unpaired(self.reads, self.pairs) if self.kind == "pe" else reads.single(self.reads)
         return reads.mark_duplicate_reads(rows)
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return reads.start_coverage(self.pairs, self.others)
+        return written(reads.start_coverage(self.pairs, self.others), "coverage")
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -43,15 +44,15 @@ class Pass:
 
     @cached_property
     def accepted(self) -> DataFrame:
-        return intervals.accepted_segments(self.segments, self.options)
+        return written(intervals.accepted_segments(self.segments, self.options), "segments")
 
     @cached_property
     def high(self) -> DataFrame:
-        return intervals.high_regions(self.accepted, self.kind, self.options)
+        return written(intervals.high_regions(self.accepted, self.kind, self.options), "high")
 
     @cached_property
     def regions(self) -> DataFrame:
-        return intervals.with_totals(self.high, self.coverage)
+        return written(intervals.with_totals(self.high, self.coverage), "regions")
 
     @cached_property
     def low(self) -> DataFrame:
@@ -63,7 +64,7 @@ class Pass:
 
     @cached_property
     def rate(self) -> DataFrame:
-        return intervals.sample_rate(self.sample, self.coverage, self.kind)
+        return written(intervals.sample_rate(self.sample, self.coverage, self.kind), "rate")
 
     @cached_property
     def quotas(self) -> DataFrame:
@@ -71,13 +72,13 @@ class Pass:
 
     @cached_property
     def members(self) -> DataFrame:
-        """Every alignment with its region and the region's quota. Cut by a checkpoint: the branches all start here."""
+        """Every alignment with its region and the region's quota; the branches all start here."""
         ends = reads.paired_ends(self.pairs) if self.pairs is not None else self.others.limit(0).selectExpr("read_name", "ordinal", "ordinal AS mate", "refid", "pos5p", "is_dup")
-        return removal.members(ends, self.others, self.quotas).checkpoint()
+        return written(removal.members(ends, self.others, self.quotas), "members")
 
     @cached_property
     def removals(self) -> DataFrame:
-        return removal.removals(self.members, self.reads, self.kind, self.options).checkpoint()
+        return written(removal.removals(self.members, self.reads, self.kind, self.options), "removals")
 
     @cached_property
     def totals(self) -> DataFrame:
