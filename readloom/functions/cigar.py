@@ -37,15 +37,17 @@ def clips(parsed: Column, kind: str, three_prime_quirk: bool = True) -> tuple[Co
     return first, total(parsed, kind) - first
 
 
-def read_ends(parsed: Column, pos: str = "pos", l_seq: str = "l_seq", flag: str = "flag", length: str = "length", shift: Column | None = None, quirk: bool = True) -> tuple[Column, Column]:
-    """(bpos, epos): ends of the whole read on the reference, clips among it, held within 1 and the reference's length.
-    shift: bases of a leader intron to leave out at the read's start."""
+def read_ends(parsed: Column, pos: str = "pos", l_seq: str = "l_seq", flag: str = "flag", length: str | None = "length", shift: Column | None = None, quirk: bool = True, introns: bool = True) -> tuple[Column, Column]:
+    """(bpos, epos): ends of the whole read on the reference, clips among it, held within 1 and the reference's length, or
+    not held without a length. shift: bases of a leader intron to leave out at the read's start. introns: whether N counts."""
     s5, s3 = clips(parsed, "S", quirk)
     h5, h3 = clips(parsed, "H", quirk)
     shift = F.lit(0) if shift is None else shift
-    gaps = total(parsed, "DN") - total(parsed, "I")
+    gaps = total(parsed, "DN" if introns else "D") - total(parsed, "I")
     bpos = F.col(pos) - (s5 + h5) + F.when(F.col(flag).bitwiseAND(16) == 0, shift).otherwise(0)
     epos = bpos + F.col(l_seq) + h5 + h3 - 1 + gaps - shift
+    if length is None:
+        return bpos, epos
     held = lambda x: F.greatest(F.lit(1), F.least(x, F.col(length)))
     return held(bpos), held(epos)
 

@@ -21,6 +21,13 @@ def entry_counts(alignments: DataFrame) -> DataFrame:
     return alignments.agg(F.count("*").alias("entries"), *[F.count_if(kind == v).alias(k) for k, v in names.items()]).withColumn("not_paired_end_skipped", F.lit(0).cast("bigint"))
 
 
+def leader_counts(alignments: DataFrame) -> DataFrame:
+    """One row: accepted alignments with a leader, by the kind of its intron, and without."""
+    rows = alignments.filter(filter_class() == "accepted")
+    found = F.col("leader").isNotNull()
+    return rows.agg(F.count_if(found).alias("sl_matches"), F.count_if(F.col("leader") == "short").alias("sl_match_with_short_intron"), F.count_if(F.col("leader") == "long").alias("sl_match_with_long_intron"), F.count_if(~found).alias("without_sl_match"))
+
+
 def start_counts(coverage: DataFrame) -> DataFrame:
     """One row: starts and duplicate starts of proper pairs and of the other reads."""
     return coverage.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a) for c, a in (("pe_n", "paired"), ("pe_d", "paired_dups"), ("se_n", "unpaired"), ("se_d", "unpaired_dups"))])

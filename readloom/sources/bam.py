@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .storage import storage
 
-SCHEMA = "ordinal string, refid int, pos int, bin int, mapq int, flag int, cigar string, l_seq int, next_refid int, next_pos int, tlen int, read_name string, seq string, qual binary, tags map<string,string>"
+SCHEMA = "ordinal bigint, refid int, pos int, bin int, mapq int, flag int, cigar string, l_seq int, next_refid int, next_pos int, tlen int, read_name string, seq string, qual binary, tags map<string,string>"
 SPLIT_BYTES = 32 << 20
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")  # fixed by the format
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"  # fixed by the format
@@ -288,7 +288,7 @@ class BamReader(DataSourceReader):
                     raise ValueError("the file ends within a record")
                 data = bytes(b.data[4 : 4 + size])
                 b.drop(4 + size)
-                yield (f"{place:016x}{within:04x}", *record(data))
+                yield (place << 16 | within, *record(data))
 
     @staticmethod
     def _first_block(f, part: Range) -> int | None:
@@ -304,8 +304,8 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam").load(path): a file, or a folder of .bam files. Option split: bytes of a partition. ordinal sorts
-    as each file does."""
+    """spark.read.format("bam").load(path): a file, or a folder of .bam files. Option split: bytes of a partition. ordinal is
+    the place of a record in its file, and sorts as the file does."""
 
     @classmethod
     def name(cls) -> str:

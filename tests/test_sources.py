@@ -99,3 +99,45 @@ def test_removal_list_count(spark, tmp_path):
     (tmp_path / "list").write_text("HEADER: 3 | now | x\nALIGN: 0 1 1 1 1 chr1 1 99 1 a\n")
     with pytest.raises(ValueError):
         sam.read_removal_list(spark, f"{tmp_path}/list")
+
+
+def test_run_from_bam_to_filtered_text(spark, tmp_path):
+    """A BAM file written from derived rows gives the removals that the derived rows give."""
+    import os
+
+    from readloom.plans import passes, run
+    from readloom.sources import derived
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    rows = derived.alignments(spark, "/root/testdata/sf0.001", plain=True)
+    flat = rows.selectExpr("refid", "CASE WHEN flag & 16 = 16 THEN pos5p - 49 ELSE pos5p END AS pos", "mapq", "flag", "'50M' AS cigar", "refid AS next_refid", "pos AS next_pos", "tlen", "read_name", "repeat('A', 50) AS seq")
+    bam.write_bam(flat.coalesce(1), [(n, derived.LENGTH) for n in derived.NAMES], f"file://{tmp_path}/bam")
+    (path,) = (p for p in os.listdir(tmp_path / "bam"))
+    found = run.select_duplicates(spark, f"file://{tmp_path}/bam/{path}", f"file://{tmp_path}/out", False, 3)
+    summary = found["summary"].first()
+    want = passes.Pass(rows, derived.references(spark)).counts.first()
+    for c in ("pe_proper_paired_reads", "pe_duplicate_proper_paired_reads", "pe_estimated_pcr_duplicate_rate", "pe_duplicates_detected", "pe_high_coverage_region_bases", "pe_low_coverage_region_duplicates_marked_for_removal"):
+        assert summary[c] == want[c], c
+    assert summary["entries"] == 3000 and summary["se_single_end_reads"] == 0 and summary["se_estimated_pcr_duplicate_rate"] == -1
+    listed = sam.read_removal_list(spark, found["list"])
+    assert listed.count() == summary["pe_duplicates_marked_for_removal"] > 0
+    (tmp_path / "sam").mkdir()
+    lines = rows.selectExpr("concat_ws('\t', read_name, flag, 'chr', pos, mapq, '50M', '=', pos, tlen, '*', '*') AS value")
+    lines.write.mode("overwrite").text(f"file://{tmp_path}/sam")
+    run.filter_sam(spark, f"file://{tmp_path}/sam", found["list"], f"file://{tmp_path}/kept")
+    gone = {r.read_name for r in listed.select("read_name").distinct().collect()}
+    kept = {r.value.split("\t")[0] for r in spark.read.text(f"file://{tmp_path}/kept").collect()}
+    assert not kept & gone and len(kept) + len(gone) == 1500
+    with pytest.raises(ValueError):
+        run.select_duplicates(spark, "x", "y", False, 4)
+
+
+def test_text_functions(spark):
+    from readloom.functions import text
+
+    names = spark.createDataFrame([("r10",), ("r9",), ("r009b",), ("a",), ("",)], "n string")
+    got = [r.n for r in names.orderBy(text.natural_key("n")).collect()]
+    assert got == ["", "a", "r9", "r009b", "r10"]
+    row = spark.sql("SELECT '/a/b/c.bam' AS p, timestamp'2024-02-03 04:05:06' AS t").select(text.basename("p"), *[text.formatted("t", k) for k in range(3)]).first()
+    assert tuple(row) == ("c.bam", "Sat Feb 03 04:05:06 2024", "2024-02-03", "20240203:040506")
