@@ -2,9 +2,10 @@
 
 The pieces that meet here are an optional space and what stands between white space, or white space itself: unions of
 whole matches of the tokenizer's pattern, so that encoding a piece is encoding its matches. Pieces are made distinct
-within chunks of the table first. A chunk's pieces, numbered by first appearance, are shuffled by piece; each distinct piece
-is encoded once, wherever it was asked for; ids go back to the chunk and are put in place by position. The texts follow to
-their chunk compressed, once. So what is shuffled is a row for each distinct piece of a chunk, not for each position.
+within chunks of the table first. A chunk's pieces, numbered by first appearance, are shuffled by piece: those of one hash
+bucket travel together, compressed. Where a bucket's requests meet, each distinct piece is encoded once for all chunks; ids go
+back to the chunk and are put in place by position. The texts follow to their chunk compressed, once. So what is shuffled
+are the distinct pieces of chunks, not positions.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: UTF-8 bytes of the texts in a chunk, or one longer text.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
+#: Pieces that a task remembers of one bucket; beyond it, a piece may be encoded again.
+REMEMBERED = 1_000_000
 #: White space as the pattern's \s has it (Unicode White_Space); Python's \s also takes four separators.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -52,11 +56,11 @@ def encoding(path: str):
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """(chunk, rows) of a partition: the same for every scan of it. A chunk's number holds the partition's."""
-    from pyspark import TaskContext
-
-    chunk, rows, size = TaskContext.get().partitionId() << 24, [], 0
+    """(chunk, rows) of a partition: the same for every scan of it. A chunk's number holds the partition's, the last column."""
+    chunk, rows, size = None, [], 0
     for b in batches:
+        if chunk is None and b.num_rows:
+            chunk = b.column(b.num_columns - 1)[0].as_py() << 24
         lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
         begin = 0
         for i, n in enumerate(lengths.tolist()):
@@ -81,31 +85,61 @@ def distinct_pieces(rows: list[pa.RecordBatch], text: int) -> list[str]:
     return list(found)
 
 
-def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text", chunk_bytes: int | None = None) -> DataFrame:
+def packed_bytes(places: np.ndarray, items: list[bytes]) -> bytes:
+    """Rising places and byte strings, compressed."""
+    lengths = np.fromiter(map(len, items), "<u4", len(items))
+    steps = np.diff(places, prepend=0).astype("<u4")
+    data = b"".join([steps.tobytes(), lengths.tobytes(), *items])
+    return np.array([len(items), len(data)], "<u4").tobytes() + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked_bytes(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    n, size = np.frombuffer(blob[:8], "<u4").tolist()
+    data = pa.decompress(blob[8:], size, "zstd", asbytes=True)
+    places = np.cumsum(np.frombuffer(data[: 4 * n], "<u4"), dtype=np.int64)
+    ends = np.cumsum(np.frombuffer(data[4 * n : 8 * n], "<u4"), dtype=np.int64) + 8 * n
+    begin, out = 8 * n, []
+    for end in ends.tolist():
+        out.append(data[begin:end])
+        begin = end
+    return places, out
+
+
+def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text", chunk_bytes: int | None = None, then: tuple = ()) -> DataFrame:
     """`row`, a struct of the columns `keep`, and `ids`: little-endian unsigned 32-bit ids of the whole text.
 
-    Null and empty texts have no ids. Repeated rows are encoded each, their pieces once.
+    Null and empty texts have no ids. Repeated rows are encoded each, their pieces once. then: steps on batches and the
+    columns they give besides row, run in the same Python worker.
     """
     path, most = path or default_ranks(), chunk_bytes or CHUNK_BYTES
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"))
+    common.small_batches(docs.sparkSession)
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"), F.spark_partition_id().cast("long").alias("part"))
     row_type = rows.schema["row"].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, group in chunks(batches, 0, most):
-            pieces = distinct_pieces(group, 0)
-            for at in range(0, len(pieces), 65536):
-                part = pieces[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), chunk)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["piece", "chunk", "place"])
+            pieces = [p.encode("utf-8", "surrogatepass") for p in distinct_pieces(group, 0)]
+            bucket = np.fromiter(map(zlib.crc32, pieces), np.uint32, len(pieces)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist()
+            out = [(int(bucket[order[i]]), chunk, packed_bytes(order[i:j], [pieces[k] for k in order[i:j].tolist()])) for i, j in zip(bounds, bounds[1:])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "chunk", "pieces"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last, ids = encoding(path), None, b""
+        enc, last, known = encoding(path), None, {}
         for b in batches:
             out = []
-            for piece in b.column(0).to_pylist():
-                if piece != last:  # rows are sorted: each distinct piece is encoded once
-                    last, ids = piece, np.array(enc.encode_ordinary(piece), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary())], ["chunk", "place", "ids"])
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(2)):
+                if bucket != last or len(known) > REMEMBERED:
+                    last, known = bucket, {}
+                places, pieces = unpacked_bytes(blob.as_py())
+                for p in pieces:
+                    if p not in known:
+                        known[p] = np.array(enc.encode_ordinary(p.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+                out.append(packed_bytes(places, [known[p] for p in pieces]))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], ["chunk", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
@@ -113,66 +147,91 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, group[0].schema, options=options) as writer:
                 writer.write_table(pa.Table.from_batches(group).combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "data"])
 
-    def place(ids: pa.Table, texts: pa.Table) -> pa.Table:
-        by_place = [b""] * ids.num_rows
-        for p, x in zip(ids.column("place").to_pylist(), ids.column("ids").to_pylist()):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, []
+        for b in batches:
+            for chunk, is_text, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if chunk != now:
+                    now, found = chunk, []
+                if is_text:  # the last row of a chunk
+                    yield from placed(found, data.as_py())
+                    found = []
+                else:
+                    found.append(unpacked_bytes(data.as_py()))
+
+    asked = rows.select("t", "part").mapInArrow(ask, "bucket int, chunk long, pieces binary")
+    answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, data binary")
+    packed = rows.mapInArrow(pack, "chunk long, data binary")
+    both = answered.select("chunk", F.lit(False).alias("is_text"), "data").unionByName(packed.select("chunk", F.lit(True).alias("is_text"), "data"))
+    steps = [place, *(f for f, _ in then)]
+    schema = then[-1][1] if then else "ids binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:  # in one worker: each step takes the batches of the one before
+            batches = step(batches)
+        return batches
+
+    return both.repartition("chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, f"row {row_type}, {schema}")
+
+
+def placed(found: list[tuple[np.ndarray, list[bytes]]], blob: bytes) -> Iterator[pa.RecordBatch]:
+    """(row, ids) of a chunk's texts from the ids of its distinct pieces."""
+    by_place = [b""] * sum(len(p) for p, _ in found)
+    for places, parts in found:
+        for p, x in zip(places.tolist(), parts):
             by_place[p] = x
-        out = []
-        for blob in texts.column("texts"):
-            table = pa.ipc.open_stream(blob.as_py()).read_all()
-            number: dict[str, bytes] = {}
-            fresh = iter(by_place)
+    number: dict[str, bytes] = {}
+    for batch in pa.ipc.open_stream(blob):
+        for part in common.by_bytes(((n.as_py() or 0, i) for i, n in enumerate(pa.compute.binary_length(batch.column(1)))), 1 << 20):
             column = []
-            for x in common.texts(table.column(1)):
+            for x in common.texts(batch.column(1).slice(part[0], len(part))):
                 pieces = PIECE.findall(x)
                 for p in pieces:
                     if p not in number:
-                        number[p] = next(fresh)
+                        number[p] = by_place[len(number)]
                 column.append(b"".join([number[p] for p in pieces]))
-            out.append(pa.table([table.column(0), pa.chunked_array([pa.array(column, pa.binary())])], ["row", "ids"]))
-        return pa.concat_tables(out) if out else pa.table({"row": pa.array([], row_arrow), "ids": pa.array([], pa.binary())})
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part[0], len(part)), pa.array(column, pa.binary())], ["row", "ids"])
 
-    row_arrow = to_arrow_type(rows.schema["row"].dataType)
-    asked = rows.select("t").mapInArrow(ask, "piece string, chunk long, place int")
-    answered = asked.repartition("piece").sortWithinPartitions("piece").mapInArrow(answer, "chunk long, place int, ids binary")
-    packed = rows.mapInArrow(pack, "chunk long, texts binary")
-    return answered.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInArrow(place, f"row {row_type}, ids binary")
 
-
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded (row, ids) with `bytes`, the tokens' bytes joined. The table of token bytes is as large as the vocabulary."""
+def token_bytes(path: str | None = None) -> list[bytes]:
+    """The bytes of each id, a table as large as the vocabulary."""
     found = ranks(path or default_ranks())
     table = [b""] * (max(found.values()) + 1)
     for token, i in found.items():
         table[i] = token
-    spread = encoded.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def decoder(spread) -> tuple:
+    """A step (row, ids) to (row, ids, bytes), joining the broadcast table of token bytes."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of = spread.value
             out = [b"".join([of[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["row", "ids", "bytes"])
 
-    return encoded.select("row", "ids").mapInArrow(scan, f"row {encoded.schema['row'].dataType.simpleString()}, ids binary, bytes binary")
+    return step, "ids binary, bytes binary"
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """`row`, n_tokens, and SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """encoded (row, ids) with `bytes`, the tokens' bytes joined."""
+    step, schema = decoder(encoded.sparkSession.sparkContext.broadcast(token_bytes(path)))
+    return encoded.select("row", "ids").mapInArrow(step, f"row {encoded.schema['row'].dataType.simpleString()}, {schema}")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in b.column(1).to_pylist()]
-            text = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-            data = [hashlib.sha256(x).hexdigest() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(text, pa.string()), pa.array(data, pa.string())], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.select("row", "ids", "bytes").mapInArrow(scan, f"row {decoded.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A step (row, ids, bytes) to row, n_tokens, and SHA-256 of the decimal ids joined by commas and of the bytes."""
+    for b in batches:
+        ids = [np.frombuffer(x, "<u4").tolist() for x in b.column(1).to_pylist()]
+        text = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+        data = [hashlib.sha256(x).hexdigest() for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(text, pa.string()), pa.array(data, pa.string())], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(common.table(spark, sf_dir, "documents"), ["doc_id"])
-    return digests(decode(encoded)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    docs = common.table(spark, sf_dir, "documents")
+    steps = (decoder(spark.sparkContext.broadcast(token_bytes())), (digests, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return encode(docs, ["doc_id"], then=steps).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -40,3 +40,10 @@ def test_query(spark, tmp_path, monkeypatch, most):
 def test_empty(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert bpe.op9_bpe(spark, str(tmp_path)).count() == 0
+
+
+def test_encode_and_decode(spark):
+    encoded = bpe.encode(docs(spark), ["doc_id", "id"])
+    got = bpe.decode(encoded).collect()
+    want = sorted((str(r[0]), (r[1] or "").encode()) for r in ROWS)
+    assert sorted((str(r.row.doc_id), bytes(r.bytes)) for r in got) == want and all(r.row.id == "y" for r in got)
