@@ -23,7 +23,7 @@ from . import common
 WINDOW = 2048
 SEPARATOR = 1
 #: Words whose ids a Python worker remembers, and as many of an older generation; about 200 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -41,6 +41,8 @@ class WordEncoder:
     """
 
     WORD = re.compile(r"[^ \t\n\r]+")
+    #: White space at which str.split parts, but WORD does not.
+    MORE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,23 +52,29 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.dtype = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = self.WORD.findall(text)
+        """Little-endian ids of self.dtype: 16-bit where all of the vocabulary fit."""
+        words = self.WORD.findall(text) if self.MORE.search(text) else text.split()
         return b"".join([self._block(words[at : at + 65536]) for at in range(0, len(words), 65536)])
 
     def _block(self, words: list[str]) -> bytes:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        if new := {w for w in words if w not in known}:
-            for w in new & older.keys():
-                known[w] = older[w]
+        parts = list(map(known.get, words))
+        if miss := [i for i, ids in enumerate(parts) if ids is None]:
+            new = {words[i] for i in miss}
+            for w in new:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
             self._learn([w for w in new if w not in known])
-        return b"".join([known[w] for w in words])
+            for i in miss:
+                parts[i] = known[words[i]]
+        return b"".join(parts)
 
     def _learn(self, words: list[str]) -> None:
         parts, single, letters = [], set(), set()
@@ -88,19 +96,19 @@ class WordEncoder:
     def _letters(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             block = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, self.dtype)
             after = np.flatnonzero(self.ends[ids]) + 1
             if len(after) != len(block):
                 self._each(block)
                 continue
             data, begin = ids.tobytes(), 0
-            for w, end in zip(block, (4 * after).tolist()):
+            for w, end in zip(block, (ids.itemsize * after).tolist()):
                 self.known[w] = data[begin:end]
                 begin = end
 
     def _each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else ()):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known[w] = np.array(e.ids, self.dtype).tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -116,18 +124,22 @@ def encode(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, id_col:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, total, end = TaskContext.get().partitionId(), 0, np.uint32(separator).tobytes()
-        enc = encoder(tokenizer)
+        part, total, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        width = np.dtype(enc.dtype).itemsize
+        wide = separator >= 1 << 8 * width
+        end = np.array(separator, "<u4" if wide else enc.dtype).tobytes()
         for b in batches:
             starts, counts, all_ids = [], [], []
             for text in common.texts(b.column(1)):
-                ids = np.frombuffer(enc.ids(text) + end, "<u4")
+                ids = enc.ids(text)
+                n = len(ids) // width + 1
                 starts.append(total)
-                counts.append(len(ids))
-                all_ids.append((ids.astype("<u2") if ids.max() < 65536 else ids).tobytes())
-                total += len(ids)
+                counts.append(n)
+                all_ids.append((np.frombuffer(ids, enc.dtype).astype("<u4").tobytes() if wide else ids) + end)
+                total += n
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(all_ids, pa.binary())], ["doc_id", "part", "start", "n", "ids"])
 
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(scan, "doc_id long, part int, start long, n long, ids binary")
     return common.written(rows, "packing-ids")
 
