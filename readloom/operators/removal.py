@@ -140,7 +140,7 @@ def removal_lines(removed: DataFrame, regions: DataFrame, references: DataFrame)
 
 def write_removal_list(lines: DataFrame, folder: str, started: str, bam: str) -> str:
     """Writes HEADER and ALIGN lines as text parts below folder; the header is a part of its own, read in any order."""
-    path = f"{folder}/rmdup-{uuid.uuid4().hex}"
+    path = f"{folder}/removals-{uuid.uuid4().hex}"
     n = lines.count()
     head = lines.sparkSession.createDataFrame([(f"HEADER: {n} | {started} | {bam}",)], "line string")
     head.coalesce(1).write.text(f"{path}/part=0")

@@ -29,14 +29,15 @@ def test_known_values(plain):
     assert (rate.starts, rate.dups) == (994, 124) and abs(rate.rate - 0.124748490946) < 1e-11
 
 
-def scan(starts, length, gap, rate, least=10):
-    """The literal scan: a score falls by one a base and rises by the gap at a start."""
+def scan(starts, length, gap, rate, least=10, miss=-1, drop=None):
+    """The literal scan over bases 0 to length - 1: a score falls at each base and rises by the gap at a start."""
+    drop = -gap if drop is None else drop
     out, i0, i1, score, best = [], 0, 0, 0, 0
     for i in range(length):
-        score += gap if starts.get(i, 0) else -1
+        score += gap if starts.get(i, 0) else miss
         if score >= best:
             best, i1 = score, i
-        if score <= 0 or score <= best - gap or i == length - 1:
+        if score <= 0 or score <= best + drop or i == length - 1:
             n = sum(starts.get(j, 0) for j in range(i0, i1 + 1))
             if best > gap and n / (i1 - i0 + 1) >= rate and i1 - i0 + 1 >= least:
                 out.append((i0, i1))
@@ -64,6 +65,22 @@ def test_segments_are_the_scan(spark, bin_size):
     assert {(r.t, r.refid, r.beg, r.end) for r in found.collect()} == want
 
 
+def test_scan_with_other_scores(spark):
+    rng = random.Random(9)
+    refs = spark.createDataFrame([(i, str(i), 3000) for i in range(8)], "refid int, name string, length int")
+    for miss, hit, drop in ((-1, 20, -7), (-3, 20, -60), (-1, 5, -5), (-2, 9, 0)):
+        rows, want = [], set()
+        for ref in range(8):
+            starts = {rng.randrange(1, 3000): rng.choice([1, 1, 9]) for _ in range(rng.randint(0, 400))}
+            rows += [(ref, p, n, 0, 0, 0) for p, n in starts.items()]
+            want |= {(ref, a, b) for a, b in scan(starts, 3001, hit, 0.0, 1, miss, drop)}
+        cov = spark.createDataFrame(rows, "refid int, p int, pe_n long, pe_d long, se_n long, se_d long")
+        found = intervals.scanned_segments(cov, "pe_n", refs, [(miss, hit, drop, 0.0)])
+        assert {(r.refid, r.beg, r.end) for r in found.collect()} == want
+        for r in found.collect():
+            assert r.n == sum(n for ref, p, n, *_ in rows if ref == r.refid and r.beg <= p <= r.end)
+
+
 def test_gap_exactly_t(spark):
     cov = spark.createDataFrame([(0, p, 1, 0, 0, 0) for p in (1, 6, 11, 17, 22)], "refid int, p int, pe_n long, pe_d long, se_n long, se_d long")
     found = intervals.segments(cov, "pe_n", Options(levels=((5, 0.0),)))
