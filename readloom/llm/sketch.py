@@ -23,6 +23,8 @@ BITS, WORDS = 256, 4
 #: Differing bits up to which texts are near copies: five-word shingles of similarity 0.8 differ in about 30.
 NEAR = 34
 SAMPLES, SAMPLE_BITS = 64, 24
+#: Ids of dropped documents that are broadcast, of 8 bytes each.
+BROADCAST_ROWS = 1_000_000
 #: Rows of one shard that a task holds at once.
 SHARD = 8192
 
@@ -60,6 +62,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             s = np.array([sketch(x) for x in common.texts(b.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS))], ["id", "s0", "s1", "s2", "s3"])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(scan, "id long, s0 long, s1 long, s2 long, s3 long")
 
 
@@ -87,6 +90,30 @@ def keyed(distinct: DataFrame) -> DataFrame:
     return distinct.mapInArrow(scan, "key long, node long")
 
 
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) in order of key, without the keys of one row, and each row's place among those of its key."""
+    last, count, held = None, 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        begin = np.flatnonzero(np.diff(key, prepend=key[0] + 1))
+        size = np.diff(begin, append=len(key))
+        place = np.arange(len(key)) - np.repeat(begin, size)
+        before = count if key[0] == last else 0
+        place[: size[0]] += before
+        total = size.copy()
+        total[0] += before
+        keep = np.repeat(total > 1, size)
+        out = [key[keep], node[keep], place[keep]]
+        if held is not None and before and total[0] > 1:
+            out = [np.concatenate([[x], y]) for x, y in zip((last, held, 0), out)]
+        last, count = key[-1], int(total[-1])
+        held = node[-1] if count == 1 else None
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "node", "place"])
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
     """One row for each row of docs: (id, component), the smallest id reachable over near copies.
 
@@ -96,10 +123,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = ["s0", "s1", "s2", "s3"]
     rows = common.written(sketches(docs, id_col, text_col).withColumn("node", F.xxhash64(*words)), "sketch-rows")
     distinct = common.written(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(w).alias(w) for w in words]), "sketch-distinct")
-    keys = common.written(keyed(distinct.select("node", *words)), "sketch-keys")
-    shared = common.written(keys.groupBy("key").count().filter("count > 1"), "sketch-shared")
-    meeting = keys.join(shared.select("key", F.ceil(F.col("count") / SHARD).cast("int").alias("chunks")), "key")
-    meeting = common.written(meeting.join(distinct.select("node", *words), "node"), "sketch-meeting")
+    keys = keyed(distinct.select("node", *words)).repartition("key").sortWithinPartitions("key")
+    shared = common.written(keys.mapInArrow(numbered, "key long, node long, place long"), "sketch-shared")
+    # keys of over SHARD nodes: at most 1/SHARD of all
+    large = common.written(shared.filter(F.col("place") >= SHARD).groupBy("key").agg((F.floor(F.max("place") / SHARD) + 1).cast("int").alias("many")), "sketch-large")
+    dealt = shared.join(large, "key", "left") if not large.isEmpty() else shared.withColumn("many", F.lit(1))
+    meeting = dealt.select("key", "node", F.floor(F.col("place") / SHARD).cast("int").alias("own"), F.coalesce("many", F.lit(1)).alias("chunks")).join(distinct.select("node", *words), "node")
     groups = components(common.written(shard_links(meeting, near), "sketch-links")).withColumnRenamed("component", "root")
     roots = common.written(distinct.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "sketch-roots")
     names = common.written(roots.groupBy("root").agg(F.min("least").alias("component")), "sketch-names")
@@ -108,10 +137,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def shard_links(meeting: DataFrame, near: int) -> DataFrame:
-    """(a, b) of nodes: the parts of each shard as stars. meeting: (key, node, chunks, s0..s3)."""
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    """(a, b) of nodes: the parts of each shard as stars. meeting: (key, node, own, chunks, s0..s3), own of chunks."""
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = meeting.withColumn("own", own).select("*", other.alias("other"))
+    dealt = meeting.select("*", other.alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("query"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "s0", "s1", "s2", "s3")
     cols = ["key", "tree", "query"]
     links = lambda batches: simhash.by_shard(batches, lambda t: _links(t, near))
@@ -127,6 +155,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the document of the smallest id of each component. Repeated rows of that id are one document and all stay; so do
     rows without an id, which no decision can name."""
     found = near_copies(docs.filter("doc_id is not null"))
-    kept = common.written(found.filter("component = id").select(F.col("id").alias("doc_id")).distinct(), "near-kept")
-    one = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    decided = found.groupBy("id").agg(F.max(F.col("component") == F.col("id")).alias("stays"))
+    dropped = common.written(decided.filter("not stays").select(F.col("id").alias("doc_id")), "near-dropped")
+    small = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # beyond it, the texts are shuffled
+    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -45,9 +45,26 @@ def test_near_copies(spark, monkeypatch, shard):
                 assert got[i] == got[j], (i, j)
 
 
-def test_stage(spark):
+@pytest.mark.parametrize("broadcast", [sketch.BROADCAST_ROWS, 0])
+def test_stage(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sketch, "BROADCAST_ROWS", broadcast)
     d = docs(spark)
     out = sketch.near_duplicate_stage(spark, d, "").collect()
     assert sorted(str(r.doc_id) for r in out) == sorted(["1", "2", "5", "7", "8", "9", "10", "None", "None"])
     assert sketch.near_duplicate_stage(spark, docs(spark, []), "").columns == d.columns
     assert len(ROWS) == 13
+
+
+def test_numbered():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    for most in (2, 5, 50):
+        key = np.sort(rng.integers(0, most, 60))
+        node = np.arange(60)
+        cuts = [0, *sorted(rng.integers(0, 60, 12).tolist()), 60]
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(node[a:b])], ["key", "node"]) for a, b in zip(cuts, cuts[1:])]
+        got = [tuple(r.values()) for b in sketch.numbered(iter(batches)) for r in b.to_pylist()]
+        want = [(k, n, int(n - np.searchsorted(key, k))) for k, n in zip(key.tolist(), node.tolist()) if (key == k).sum() > 1]
+        assert sorted(got) == want
