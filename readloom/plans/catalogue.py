@@ -303,7 +303,22 @@ def apply_removal_all_branch(spark, sf_dir):
     return sam.apply_removal(p.alignments.select("ordinal", "read_name", "flag"), gone)
 
 
-@query()
+def _band_sql(rate: float | None) -> str:
+    """SQL of one row of band_rates."""
+    outer = f"SELECT refid, 1 AS beg, {derived.LENGTH} AS e FROM refs" if rate is None else f"SELECT refid, beg, e FROM acc_pe WHERE rmin = {rate}"
+    inner = "acc_pe" if rate is None else f"(SELECT * FROM acc_pe WHERE rmin > {rate})"
+    return f"""SELECT {'CAST(NULL AS DOUBLE)' if rate is None else f'CAST({rate} AS DOUBLE)'} AS rmin, bases, starts, dups, CASE WHEN starts > 0 THEN CAST(dups AS DOUBLE) / starts ELSE -1.0 END AS rate FROM (
+    WITH o AS ({outer}), i0 AS (SELECT * FROM {inner} z),
+    i AS (SELECT DISTINCT refid, beg, e FROM i0 WHERE NOT EXISTS (SELECT 1 FROM i0 w WHERE w.refid = i0.refid AND w.beg <= i0.beg AND w.e >= i0.e AND (w.beg < i0.beg OR w.e > i0.e))),
+    x AS (SELECT o.refid, coalesce(lag(i.e) OVER (PARTITION BY o.refid, o.beg ORDER BY i.beg) + 1, o.beg) AS a, i.beg - 1 AS z FROM o JOIN i ON i.refid = o.refid AND i.beg BETWEEN o.beg AND o.e
+        UNION ALL SELECT o.refid, coalesce((SELECT max(i.e) FROM i WHERE i.refid = o.refid AND i.beg BETWEEN o.beg AND o.e) + 1, o.beg), o.e FROM o),
+    y AS (SELECT refid, a + greatest(0, 50 - (a - 1 - coalesce((SELECT max(i.e) FROM i WHERE i.refid = x.refid AND i.e < x.a), 0))) AS a, z - greatest(0, 50 - (coalesce((SELECT min(i.beg) FROM i WHERE i.refid = x.refid AND i.beg > x.z), {derived.LENGTH + 1}) - z - 1)) AS z
+        FROM x WHERE z < {derived.LENGTH} AND z - a + 1 >= 200),
+    w AS (SELECT * FROM y WHERE z - a + 1 >= 200)
+    SELECT (SELECT CAST(coalesce(sum(z - a + 1), 0) AS BIGINT) FROM w) AS bases, CAST(coalesce(sum(c.pe_n), 0) AS BIGINT) AS starts, CAST(coalesce(sum(c.pe_d), 0) AS BIGINT) AS dups FROM w JOIN cov_pe c ON c.refid = w.refid AND c.p BETWEEN w.a AND w.z) r"""
+
+
+@query(" UNION ALL ".join(_band_sql(r) for r in (None, *sorted(r for _, r in DEFAULTS.levels))))
 def band_rates(spark, sf_dir):
     """Starts and dups of the interiors of each level's band, and of no level: rmin, bases, starts, dups, rate."""
     p = _pass(spark, sf_dir)
