@@ -23,7 +23,7 @@ from . import common
 WINDOW = 2048
 SEPARATOR = 1
 #: Words whose ids a Python worker remembers, and as many of an older generation; about 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 450_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -107,8 +107,10 @@ class WordEncoder:
                 begin = end
 
     def _each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else ()):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
+        for at in range(0, len(words), 4096):
+            block = words[at : at + 4096]
+            for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, self.dtype).tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
