@@ -5,6 +5,10 @@ similarity of 0.8 on five-word shingles, and its SimHash differs in about an eig
 three-word shingles with BITS = 256 bits, at most NEAR of which may differ. Texts meet in shards keyed by SAMPLES fixed
 choices of SAMPLE_BITS bits; the choices that two texts share with any other are few, so only those shards' sketches are
 shuffled, and each shard is searched with the BK-trees of operator 7.
+
+What the sketches link are candidates. Each candidate group's sets of five-word shingles (64-bit hashes) meet once, and
+only pairs whose Jaccard similarity is ALIKE = 4/5 or more, counted exactly, are links of the components that are reported.
+A group whose sets outgrow HASHES is dealt out as pairs of chunks.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +28,11 @@ BITS, WORDS = 256, 4
 #: Differing bits up to which texts are near copies: five-word shingles of similarity 0.8 differ in about 30.
 NEAR = 34
 SAMPLES, SAMPLE_BITS = 64, 24
-#: Ids of dropped documents that are broadcast, of 8 bytes each.
+#: Words of a shingle, and the similarity of near copies as a fraction.
+SHINGLE, ALIKE = 5, (4, 5)
+#: Shingle hashes of one candidate group that a task holds at once, of 8 bytes each.
+HASHES = 1 << 21
+#: Ids of dropped documents, or candidates, that are broadcast, of 8 to 40 bytes each.
 BROADCAST_ROWS = 1_000_000
 #: Rows of one shard that a task holds at once.
 SHARD = 8192
@@ -54,16 +63,26 @@ def sketch(text: str | None) -> np.ndarray:
     return np.packbits(2 * set_in > len(h), bitorder="little").view("<u8")
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, s0, s1, s2, s3) of each whole text."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles of five words, in order."""
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(row, id, node, size, s0, s1, s2, s3) of each whole text: texts of the same shingles are one node, size counts
+    these. texts: (row, id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.array([sketch(x) for x in common.texts(b.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS))], ["id", "s0", "s1", "s2", "s3"])
+            whole = common.texts(b.column(2))
+            sets = [shingle_set(x) for x in whole]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            s = np.array([sketch(x) for x in whole], np.uint64).reshape(-1, WORDS).view(np.int64)
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS))], ["row", "id", "node", "size", "s0", "s1", "s2", "s3"])
 
-    common.small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(scan, "id long, s0 long, s1 long, s2 long, s3 long")
+    common.small_batches(texts.sparkSession)
+    return texts.select("row", "id", "text").mapInArrow(scan, "row long, id long, node long, size long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _choices() -> np.ndarray:
@@ -121,15 +140,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is component. Repeated rows stay repeated.
     """
     words = ["s0", "s1", "s2", "s3"]
-    rows = common.written(sketches(docs, id_col, text_col).withColumn("node", F.xxhash64(*words)), "sketch-rows")
-    distinct = common.written(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(w).alias(w) for w in words]), "sketch-distinct")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    texts = common.written(texts, "sketch-texts")
+    rows = common.written(sketches(texts), "sketch-rows")
+    mins = [F.min(c).alias(c) for c in ("row", "size", *words)]
+    distinct = common.written(rows.groupBy("node").agg(F.min("id").alias("least"), *mins), "sketch-distinct")
     keys = keyed(distinct.select("node", *words)).repartition("key").sortWithinPartitions("key")
     shared = common.written(keys.mapInArrow(numbered, "key long, node long, place long"), "sketch-shared")
     # keys of over SHARD nodes: at most 1/SHARD of all
     large = common.written(shared.filter(F.col("place") >= SHARD).groupBy("key").agg((F.floor(F.max("place") / SHARD) + 1).cast("int").alias("many")), "sketch-large")
     dealt = shared.join(large, "key", "left") if not large.isEmpty() else shared.withColumn("many", F.lit(1))
     meeting = dealt.select("key", "node", F.floor(F.col("place") / SHARD).cast("int").alias("own"), F.coalesce("many", F.lit(1)).alias("chunks")).join(distinct.select("node", *words), "node")
-    groups = components(common.written(shard_links(meeting, near), "sketch-links")).withColumnRenamed("component", "root")
+    candidates = components(common.written(shard_links(meeting, near), "sketch-links"))
+    links = common.written(exact_links(texts, distinct, candidates), "sketch-exact-links")
+    groups = components(links).withColumnRenamed("component", "root")
     roots = common.written(distinct.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "sketch-roots")
     names = common.written(roots.groupBy("root").agg(F.min("least").alias("component")), "sketch-names")
     known = common.written(roots.join(names, "root").select("node", "component"), "sketch-components")
@@ -151,6 +175,81 @@ def _links(t: pa.Table, near: int) -> Iterator[pa.RecordBatch]:
     return simhash.star_links(t, s, t.column("node").to_numpy(), near)
 
 
+def exact_links(texts: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(a, b) of nodes that are ALIKE, enough of them for the components of all such pairs within candidate groups.
+    candidates: (node, component)."""
+    members = candidates.join(distinct.select("node", "row", "size"), "node").withColumnRenamed("component", "key")
+    members = common.written(members, "sketch-members")
+    chunks = F.ceil(F.sum("size") / HASHES).cast("int")
+    many = common.written(members.groupBy("key").agg(F.greatest(chunks, F.lit(1)).alias("chunks")), "sketch-chunks")
+    dealt = members.join(many, "key").select("row", "node", "key", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("own"))
+    small = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # beyond it, the texts are shuffled
+    met = texts.join(F.broadcast(dealt) if small else dealt, "row")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(x).tobytes() for x in common.texts(b.column(4))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), sets], ["node", "key", "chunks", "own", "hashes"])
+
+    sets = met.select("node", "key", "chunks", "own", "text").mapInArrow(scan, "node long, key long, chunks int, own int, hashes binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    sets = sets.select("*", other.alias("other"))
+    sets = sets.select("key", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("query"), "node", "hashes")
+    cols = ["key", "tree", "query"]
+    return sets.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(lambda x: simhash.by_shard(x, _exact), "a long, b long")
+
+
+def _exact(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    key, tree, query, name = (t.column(c).to_numpy() for c in ("key", "tree", "query", "node"))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (tree[1:] != tree[:-1]) | (query[1:] != query[:-1])
+    begin = np.flatnonzero(new)
+    hashes = t.column("hashes")
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(key)]):
+        found = alike([np.frombuffer(x.as_py(), np.uint64) for x in hashes.slice(i, j - i)])
+        if found:
+            a, b = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(name[i + a]), pa.array(name[i + b])], ["a", "b"])
+
+
+def prefix(size: int) -> int:
+    """Of two sets that are ALIKE, in any common order, the first so many elements of each share one."""
+    return size - -(-ALIKE[0] * size // ALIKE[1]) + 1 if size else 0
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of sets that are ALIKE, without those that others connect. Sets of one rare element in common at least are
+    compared: of each set, in order of rarity, the prefix."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(count), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranks = [np.sort(x) for x in np.split(place[at], np.cumsum(sizes)[:-1])]
+    single = int((count == 1).sum())  # ranks below it occur once
+    held: dict[int, list[int]] = {}
+    part, found = np.arange(len(sets)), []
+    num, den = ALIKE
+    for i in np.argsort(sizes, kind="stable").tolist():
+        n = int(sizes[i])
+        first = ranks[i][: prefix(n)]
+        first = first[first >= single].tolist()
+        lists = [held[r] for r in first if r in held]
+        others = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        others = others[den * sizes[others] >= num * n]
+        while len(others := others[part[others] != part[i]]):
+            j = int(others[0])
+            others = others[1:]
+            both = len(np.intersect1d(ranks[i], ranks[j], assume_unique=True))
+            if (num + den) * both >= num * (n + sizes[j]):
+                found.append((i, j))
+                part[part == part[j]] = part[i]
+        for r in first:
+            held.setdefault(r, []).append(i)
+    return found
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each component. Repeated rows of that id are one document and all stay; so do
     rows without an id, which no decision can name."""

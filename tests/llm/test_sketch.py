@@ -68,3 +68,55 @@ def test_numbered():
         got = [tuple(r.values()) for b in sketch.numbered(iter(batches)) for r in b.to_pylist()]
         want = [(k, n, int(n - np.searchsorted(key, k))) for k, n in zip(key.tolist(), node.tolist()) if (key == k).sum() > 1]
         assert sorted(got) == want
+
+
+def changed(rng, text, many):
+    text = list(text)
+    for at in rng.sample(range(len(text)), many):
+        text[at] = f"new{rng.randrange(10**9)}"
+    return text
+
+
+def expected(texts, least=0.8):
+    """Smallest index reachable over pairs of the similarity."""
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if part[i] != part[j] and similarity(texts[i], texts[j]) >= least:
+                a, b = sorted((part[i], part[j]))
+                part = [a if x == b else x for x in part]
+    return part
+
+
+@pytest.mark.parametrize("hashes", [sketch.HASHES, 300])
+def test_no_text_below_the_similarity_is_linked(spark, monkeypatch, hashes):
+    monkeypatch.setattr(sketch, "HASHES", hashes)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(changed(rng, base, k)) for k in (0, 1, 9, 10, 12)]
+    want = expected(texts)
+    got = {r.id: r.component for r in sketch.near_copies(docs(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)])).collect()}
+    for i in range(len(texts)):
+        for j in range(i):
+            assert got[i] != got[j] or want[i] == want[j], (i, j, similarity(texts[i], texts[j]))
+
+
+def test_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = []
+    for n in (1, 2, 4, 5, 9, 60):
+        base = rng.integers(0, 200, n).astype(np.uint64)
+        sets += [np.unique(np.where(rng.random(n) < share, rng.integers(0, 200, n).astype(np.uint64), base)) for share in (0, 0, 0.05, 0.1, 0.15, 0.3)]
+    part = list(range(len(sets)))
+    for i, j in sketch.alike(sets):
+        assert 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+        part = [part[i] if x == part[j] else x for x in part]
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                assert part[i] == part[j]
+    assert sketch.alike([]) == [] and sketch.alike([np.zeros(0, np.uint64)]) == []
