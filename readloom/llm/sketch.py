@@ -1,10 +1,11 @@
 """Wide SimHash sketches for near copies: a Jaccard similarity of 0.8 or more on shingles of five words.
 
-64 bits within 3 (operator 7) hold only near-identical texts. A copy of which about one word in 45 differs has a
-similarity of 0.8 on five-word shingles, and its SimHash differs in about an eighth of the bits. So the pipeline sketches the
-three-word shingles with BITS = 256 bits, at most NEAR of which may differ. Texts meet in shards keyed by SAMPLES fixed
-choices of SAMPLE_BITS bits; the choices that two texts share with any other are few, so only those shards' sketches are
-shuffled, and each shard is searched with the BK-trees of operator 7.
+64 bits within 3 (operator 7) hold only near-identical texts. So the pipeline sketches the set of five-word shingles with
+BITS = 256 bits. Sets of a Jaccard similarity of 0.8 have a cosine of 8/9 at least, and differ in about 39 bits or fewer
+(standard deviation 6); NEAR = 64 is four deviations beyond. Texts meet in shards keyed by a shingle. In any common order of
+shingles, two sets of similarity 0.8 share one among the first fifth of each (prefix()), so these are a text's keys and no
+such pair fails to meet. In the order that is used, shingles that are frequent in a sample stand last; the sample bears on
+the size of shards only. Keys that no other text has are dropped, and each shard is searched with the BK-trees of operator 7.
 
 What the sketches link are candidates. Each candidate group's sets of five-word shingles (64-bit hashes) meet once, and
 only pairs whose Jaccard similarity is ALIKE = 4/5 or more, counted exactly, are links of the components that are reported.
@@ -25,9 +26,12 @@ from . import common, simhash
 from .components import components
 
 BITS, WORDS = 256, 4
-#: Differing bits up to which texts are near copies: five-word shingles of similarity 0.8 differ in about 30.
-NEAR = 34
-SAMPLES, SAMPLE_BITS = 64, 24
+#: Differing bits up to which texts are candidates.
+NEAR = 64
+#: Documents of the sample, those of them that a frequent shingle stands in, and frequent shingles that are broadcast.
+SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 5, 131_072
+#: Nodes whose keys a task remembers to have given, so that exact copies give theirs once a task at most.
+GIVEN = 100_000
 #: Words of a shingle, and the similarity of near copies as a fraction.
 SHINGLE, ALIKE = 5, (4, 5)
 #: Shingle hashes of one candidate group that a task holds at once, of 8 bytes each.
@@ -50,9 +54,13 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def sketch(text: str | None) -> np.ndarray:
-    """WORDS 64-bit words; all zero without a word."""
-    h = simhash.shingle_hashes(text, 3)
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles of five words, in order."""
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words of a set of hashes; all zero of none."""
     set_in = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)]
@@ -63,50 +71,75 @@ def sketch(text: str | None) -> np.ndarray:
     return np.packbits(2 * set_in > len(h), bitorder="little").view("<u8")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's shingles of five words, in order."""
-    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+def prefix(size: int) -> int:
+    """Of two sets that are ALIKE, in any common order, the first so many elements of each share one."""
+    return size - -(-ALIKE[0] * size // ALIKE[1]) + 1 if size else 0
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(row, id, node, size, s0, s1, s2, s3) of each whole text: texts of the same shingles are one node, size counts
-    these. texts: (row, id, text)."""
+def frequent(texts: DataFrame) -> np.ndarray:
+    """Shingle hashes that are frequent in a sample of texts, in order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole = common.texts(b.column(2))
-            sets = [shingle_set(x) for x in whole]
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            s = np.array([sketch(x) for x in whole], np.uint64).reshape(-1, WORDS).view(np.int64)
-            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS))], ["row", "id", "node", "size", "s0", "s1", "s2", "s3"])
+            for x in common.texts(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view(np.int64))], ["h"])
 
-    common.small_batches(texts.sparkSession)
-    return texts.select("row", "id", "text").mapInArrow(scan, "row long, id long, node long, size long, s0 long, s1 long, s2 long, s3 long")
+    share = min(1.0, SAMPLED / max(1, texts.count()))
+    found = texts.select("text").sample(share, 20240229).mapInArrow(scan, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT)
+    return np.sort(found.orderBy(F.desc("count")).limit(MOST_FREQUENT).select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
-def _choices() -> np.ndarray:
-    rng = np.random.default_rng(20240229)
-    return np.array([rng.permutation(BITS)[:SAMPLE_BITS] for _ in range(SAMPLES)])
+def keys(h: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The shard keys of a set: its prefix in the order of hashes, those in `late` last."""
+    if len(late):
+        at = np.searchsorted(late, h)
+        at[at == len(late)] = 0
+        is_late = late[at] == h
+        h = np.concatenate([h[~is_late], h[is_late]])
+    return h[: prefix(len(h))]
 
 
-def keyed(distinct: DataFrame) -> DataFrame:
-    """(key, node): the SAMPLES shard keys of each node. distinct: (node, s0, s1, s2, s3)."""
+def sketches(texts: DataFrame, late: np.ndarray) -> DataFrame:
+    """(row, id, node, size, s0, s1, s2, s3, keys) of each whole text: texts of the same shingles are one node, size counts
+    these. Some copies have null keys, never all. texts: (row, id, text)."""
+    spread = texts.sparkSession.sparkContext.broadcast(late)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        choices = _choices()
+        given: set[int] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                s = np.stack([part.column(1 + k).to_numpy() for k in range(WORDS)], 1).view(np.uint8)
-                bits = np.unpackbits(s, axis=1, bitorder="little")
-                keys = np.empty((part.num_rows, SAMPLES), np.int64)
-                weights = 1 << np.arange(SAMPLE_BITS, dtype=np.int64)
-                for t, c in enumerate(choices):
-                    keys[:, t] = (bits[:, c] @ weights) | t << SAMPLE_BITS
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), SAMPLES))], ["key", "node"])
+            sets = [shingle_set(x) for x in common.texts(b.column(2))]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            s = np.array([sketch(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            own = []
+            for n, x in zip(node.tolist(), sets):
+                own.append(None if n in given else keys(x, spread.value).view(np.int64))
+                if len(given) < GIVEN:
+                    given.add(n)
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64())]
+            columns += [*(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS)), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "node", "size", "s0", "s1", "s2", "s3", "keys"])
+
+    common.small_batches(texts.sparkSession)
+    return texts.select("row", "id", "text").mapInArrow(scan, "row long, id long, node long, size long, s0 long, s1 long, s2 long, s3 long, keys array<long>")
 
-    return distinct.mapInArrow(scan, "key long, node long")
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """(key, node), each once, those of one key together in a partition."""
+    given = rows.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            new[0] = (key[0], node[0]) != last
+            last = key[-1], node[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new])], ["key", "node"])
+
+    return given.mapInArrow(lambda batches: numbered(once(batches)), "key long, node long, place long")
 
 
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +175,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = ["s0", "s1", "s2", "s3"]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     texts = common.written(texts, "sketch-texts")
-    rows = common.written(sketches(texts), "sketch-rows")
+    rows = common.written(sketches(texts, frequent(texts)), "sketch-rows")
     mins = [F.min(c).alias(c) for c in ("row", "size", *words)]
     distinct = common.written(rows.groupBy("node").agg(F.min("id").alias("least"), *mins), "sketch-distinct")
-    keys = keyed(distinct.select("node", *words)).repartition("key").sortWithinPartitions("key")
-    shared = common.written(keys.mapInArrow(numbered, "key long, node long, place long"), "sketch-shared")
+    shared = common.written(keyed(rows), "sketch-shared")
     # keys of over SHARD nodes: at most 1/SHARD of all
     large = common.written(shared.filter(F.col("place") >= SHARD).groupBy("key").agg((F.floor(F.max("place") / SHARD) + 1).cast("int").alias("many")), "sketch-large")
     dealt = shared.join(large, "key", "left") if not large.isEmpty() else shared.withColumn("many", F.lit(1))
@@ -212,11 +244,6 @@ def _exact(t: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(name[i + a]), pa.array(name[i + b])], ["a", "b"])
 
 
-def prefix(size: int) -> int:
-    """Of two sets that are ALIKE, in any common order, the first so many elements of each share one."""
-    return size - -(-ALIKE[0] * size // ALIKE[1]) + 1 if size else 0
-
-
 def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of sets that are ALIKE, without those that others connect. Sets of one rare element in common at least are
     compared: of each set, in order of rarity, the prefix."""

@@ -120,3 +120,15 @@ def test_alike():
             if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
                 assert part[i] == part[j]
     assert sketch.alike([]) == [] and sketch.alike([np.zeros(0, np.uint64)]) == []
+
+
+def test_every_pair_of_the_similarity_is_linked(spark):
+    rng = random.Random(6)
+    texts = []
+    for n in [4, 5, 6, 9, 12, 20, 40] * 4 + [90, 150, 400] * 10:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[: n - n // 11]), " ".join(changed(rng, base, n // 46)), " ".join(changed(rng, base, n // 55))]
+        texts.append(" ".join([*base, *base[: n // 2], *base[: n // 2]]))  # repeated shingles count once
+    want = expected(texts)
+    got = {r.id: r.component for r in sketch.near_copies(docs(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == want
