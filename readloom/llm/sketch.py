@@ -172,12 +172,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and wordless texts are copies of one another. A null id never names a component; where all its ids are null, so
     is component. Repeated rows stay repeated.
     """
-    words = ["s0", "s1", "s2", "s3"]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    texts = common.written(texts, "sketch-texts")
+    return grouped(common.written(texts, "sketch-texts"), near).select("id", "component")
+
+
+def grouped(texts: DataFrame, near: int = NEAR) -> DataFrame:
+    """(row, id, component, stays) of texts (row, id, text), a written table: stays holds for one row of each component, of
+    its smallest id."""
+    words = ["s0", "s1", "s2", "s3"]
     rows = common.written(sketches(texts, frequent(texts)), "sketch-rows")
+    first = lambda key, row: F.min(F.struct(F.col(key).isNull(), key, row))[row].alias("first")
     mins = [F.min(c).alias(c) for c in ("row", "size", *words)]
-    distinct = common.written(rows.groupBy("node").agg(F.min("id").alias("least"), *mins), "sketch-distinct")
+    distinct = common.written(rows.groupBy("node").agg(F.min("id").alias("least"), first("id", "row"), *mins), "sketch-distinct")
     shared = common.written(keyed(rows), "sketch-shared")
     # keys of over SHARD nodes: at most 1/SHARD of all
     large = common.written(shared.filter(F.col("place") >= SHARD).groupBy("key").agg((F.floor(F.max("place") / SHARD) + 1).cast("int").alias("many")), "sketch-large")
@@ -186,10 +192,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = components(common.written(shard_links(meeting, near), "sketch-links"))
     links = common.written(exact_links(texts, distinct, candidates), "sketch-exact-links")
     groups = components(links).withColumnRenamed("component", "root")
-    roots = common.written(distinct.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "sketch-roots")
-    names = common.written(roots.groupBy("root").agg(F.min("least").alias("component")), "sketch-names")
-    known = common.written(roots.join(names, "root").select("node", "component"), "sketch-components")
-    return rows.join(known, "node").select("id", "component")
+    roots = common.written(distinct.join(groups, "node", "left").select("node", "least", "first", F.coalesce("root", "node").alias("root")), "sketch-roots")
+    names = common.written(roots.groupBy("root").agg(F.min("least").alias("component"), first("least", "first")), "sketch-names")
+    known = common.written(roots.drop("first").join(names, "root").select("node", "component", "first"), "sketch-components")
+    return rows.join(known, "node").select("row", "id", "component", (F.col("row") == F.col("first")).alias("stays"))
 
 
 def shard_links(meeting: DataFrame, near: int) -> DataFrame:
@@ -278,10 +284,10 @@ def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component. Repeated rows of that id are one document and all stay; so do
-    rows without an id, which no decision can name."""
-    found = near_copies(docs.filter("doc_id is not null"))
-    decided = found.groupBy("id").agg(F.max(F.col("component") == F.col("id")).alias("stays"))
-    dropped = common.written(decided.filter("not stays").select(F.col("id").alias("doc_id")), "near-dropped")
+    """Keeps one row of each component, of its smallest id. Rows are numbered in a written table and decided on by number, so
+    that repeated ids are told apart. Rows without an id all stay."""
+    docs_in = common.written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "near-numbered")
+    texts = docs_in.filter("doc.doc_id is not null").select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").alias("text"))
+    dropped = common.written(grouped(texts).filter("not stays").select("row"), "near-dropped")
     small = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # beyond it, the texts are shuffled
-    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs_in.join(F.broadcast(dropped) if small else dropped, "row", "left_anti").select("doc.*")

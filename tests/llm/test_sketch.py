@@ -132,3 +132,9 @@ def test_every_pair_of_the_similarity_is_linked(spark):
     want = expected(texts)
     got = {r.id: r.component for r in sketch.near_copies(docs(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)])).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "another text"), (2, "a b c"), (2, "a third text"), (3, "another text")]
+    out = sketch.near_duplicate_stage(spark, docs(spark, [(*r, "en", "s", 1) for r in rows]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, "a b c"), (1, "another text"), (2, "a third text")]
