@@ -215,7 +215,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
-    """Sets the rejection thresholds by labelled rows that the models have not seen, at most a fifth of the sample."""
+    """Sets the rejection thresholds by labelled rows that the models have not seen, at most a fifth of the sample.
+    A language without such a row takes the highest threshold of the others; without any, that of uniform characters."""
     spread = rows.sparkSession.sparkContext.broadcast(model)
     place = {x: i for i, x in enumerate(model.languages)}
 
@@ -231,6 +232,8 @@ def calibrate(model: Model, rows: DataFrame) -> None:
     levels = found.groupBy("lang").agg(F.percentile_approx("bits", 0.999, 10000).alias("most")).collect()
     for r in levels:
         model.most[r["lang"]] = r["most"]
+    known = np.isfinite(model.most)
+    model.most[~known] = model.most[known].max() if known.any() else -model.unseen[~known]
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -98,3 +98,12 @@ def test_rows(spark, rows, tmp_path):
     assert all(r.lang_pred == "und" for r in got if r.doc_id in (2, 3, 4))
     kept = langid.language_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")
     assert kept.columns == docs(spark, []).columns and kept.count() <= len(rows)
+
+
+def test_junk_is_rejected_where_a_language_has_no_calibration_row(spark):
+    few = [(1000 + i, "жюри", "ru", "s", 1) for i in range(5)]  # too short to calibrate
+    model = langid.fit(docs(spark, samples() + few))
+    junk = "щъэыф цхъщэ ыъщфц эхцъф " * 20
+    assert np.isfinite(model.most).all()
+    lang, _, _, rejected = model.predict([junk, samples()[0][1]])
+    assert lang[0] == "ru" and rejected.tolist() == [True, False]
