@@ -8,10 +8,11 @@ ends at a window's end and goes on in the next one is marked; only the last wind
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ WINDOW = 2048
 SEPARATOR = 1
 #: Words whose ids a Python worker remembers, and as many of an older generation; about 200 bytes each.
 REMEMBERED = 450_000
+#: Words that are looked up together.
+BLOCK = 131_072
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -33,35 +36,119 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merges:
+    """Byte pair merges of many words at once. In each round, every word that has a pair left merges its pair of lowest rank
+    wherever it stands, from the left, as the tokenizer does word by word."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, model: dict):
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.size = max(vocabulary.values()) + 1
+        left, right = (np.array([vocabulary[p[i]] for p in pairs], np.int64) for i in (0, 1))
+        self.result = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        keys = left * self.size + right
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rank = keys[order], order.astype(np.int32)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level alphabet writes as themselves
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.inner = np.array([vocabulary[letters[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocabulary[letters[b] + suffix] for b in range(256)], np.int32)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each). Words are not empty."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols, ends = self.inner[raw], np.cumsum(lengths) - 1
+        symbols[ends] = self.final[raw[ends]]
+        of, done = np.repeat(np.arange(len(words), dtype=np.int32), lengths), []
+        while len(symbols):
+            rank = np.full(len(symbols), self.NONE, np.int32)
+            key = symbols[:-1].astype(np.int64) * self.size + symbols[1:]
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            found = (self.keys[at] == key) & (of[:-1] == of[1:])
+            rank[:-1][found] = self.rank[at[found]]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            sizes = np.diff(first, append=len(of))
+            best = np.minimum.reduceat(rank, first)
+            live = best < self.NONE
+            if not live.all():
+                left = np.repeat(live, sizes)
+                done.append((of[~left], symbols[~left]))
+                symbols, of, rank, sizes, best = symbols[left], of[left], rank[left], sizes[live], best[live]
+                if not len(symbols):
+                    break
+            hit = rank == np.repeat(best, sizes)
+            if (again := hit[1:] & hit[:-1]).any():  # a pair of equal symbols in a row of them: every other one merges
+                place = np.arange(len(hit))
+                begun = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], again]), place, 0))
+                hit &= (place - begun) % 2 == 0
+            symbols[hit] = self.result[rank[hit]]
+            kept = np.ones(len(symbols), bool)
+            kept[1:][hit[:-1]] = False
+            symbols, of = symbols[kept], of[kept]
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        of, ids = (np.concatenate(x) for x in zip(*done))
+        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins what ASCII white space parts; words are encoded once and remembered.
 
-    Words of letters alone are one pre-token each. They are encoded many at a time, as one text, whose ids part after
-    every end-of-word token; where the ends are not as many as the words, each is encoded by itself.
+    Words of Latin letters alone are one pre-token each, and are merged many at a time; all others go to the tokenizer.
     """
 
     WORD = re.compile(r"[^ \t\n\r]+")
     #: White space at which str.split parts, but WORD does not.
     MORE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Words whose lower case is the same everywhere and which are normalised already.
+    LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.dtype = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges(json.load(f)["model"])
+        self.dtype = "<u2" if self.merges.size <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        return self.WORD.findall(text) if self.MORE.search(text) else text.split()
+
     def ids(self, text: str) -> bytes:
         """Little-endian ids of self.dtype: 16-bit where all of the vocabulary fit."""
-        words = self.WORD.findall(text) if self.MORE.search(text) else text.split()
-        return b"".join([self._block(words[at : at + 65536]) for at in range(0, len(words), 65536)])
-
-    def _block(self, words: list[str]) -> bytes:
+        return next(self.all_ids([text]))
+
+    def all_ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text. Words are looked up for many texts together, BLOCK at a time."""
+        waiting, words = [], []
+        for text in texts:
+            own = self.split(text)
+            if len(own) > BLOCK:
+                yield from self._each_of(waiting, words)
+                waiting, words = [], []
+                yield b"".join([b"".join(self._parts(own[at : at + BLOCK])) for at in range(0, len(own), BLOCK)])
+                continue
+            if len(words) + len(own) > BLOCK:
+                yield from self._each_of(waiting, words)
+                waiting, words = [], []
+            waiting.append(len(own))
+            words += own
+        yield from self._each_of(waiting, words)
+
+    def _each_of(self, counts: list[int], words: list[str]) -> Iterator[bytes]:
+        parts, at = self._parts(words), 0
+        for n in counts:
+            yield b"".join(parts[at : at + n])
+            at += n
+
+    def _parts(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -74,14 +161,14 @@ class WordEncoder:
             self._learn([w for w in new if w not in known])
             for i in miss:
                 parts[i] = known[words[i]]
-        return b"".join(parts)
+        return parts
 
     def _learn(self, words: list[str]) -> None:
         parts, single, letters = [], set(), set()
         for w in words:
             core = w.rstrip(".,")
-            if core.isalpha():
-                base = core.lower() if core.isascii() else core
+            if self.LATIN.fullmatch(core):
+                base = core.lower()
                 parts.append((w, base, w[len(core) :]))
                 letters.add(base)
                 if len(core) < len(w):
@@ -94,17 +181,12 @@ class WordEncoder:
             self.known[w] = self.known[base] + (self.known[marks] if marks else b"")
 
     def _letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            block = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, self.dtype)
-            after = np.flatnonzero(self.ends[ids]) + 1
-            if len(after) != len(block):
-                self._each(block)
-                continue
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(block, (ids.itemsize * after).tolist()):
-                self.known[w] = data[begin:end]
-                begin = end
+        ids, counts = self.merges.ids([w.encode() for w in words])
+        data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        begin = 0
+        for w, end in zip(words, (width * np.cumsum(counts)).tolist()):
+            self.known[w] = data[begin:end]
+            begin = end
 
     def _each(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
@@ -132,8 +214,7 @@ def encode(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, id_col:
         end = np.array(separator, "<u4" if wide else enc.dtype).tobytes()
         for b in batches:
             starts, counts, all_ids = [], [], []
-            for text in common.texts(b.column(1)):
-                ids = enc.ids(text)
+            for ids in enc.all_ids(common.texts(b.column(1))):
                 n = len(ids) // width + 1
                 starts.append(total)
                 counts.append(n)
