@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +25,6 @@ WINDOW = 2048
 SEPARATOR = 1
 #: Words whose ids a Python worker remembers, and as many of an older generation; about 200 bytes each.
 REMEMBERED = 450_000
-#: Words that are looked up together.
-BLOCK = 131_072
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -41,6 +39,7 @@ class Merges:
     wherever it stands, from the left, as the tokenizer does word by word."""
 
     NONE = np.iinfo(np.int32).max
+    SLOTS = 1 << 18
 
     def __init__(self, model: dict):
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
@@ -49,27 +48,46 @@ class Merges:
         left, right = (np.array([vocabulary[p[i]] for p in pairs], np.int64) for i in (0, 1))
         self.result = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
         keys = left * self.size + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int32)
+        # a slot for each hash; keys whose slot is taken go to a sorted list, and their slot is marked
+        slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.slots, self.rank, self.shared = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, bool)
+        self.slots[slot[first]], self.rank[slot[first]] = keys[first], first
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.more, self.more_rank = keys[rest], rest.astype(np.int32)
+        self.shared[slot[rest]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level alphabet writes as themselves
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.inner = np.array([vocabulary[letters[b]] for b in range(256)], np.int32)
         self.final = np.array([vocabulary[letters[b] + suffix] for b in range(256)], np.int32)
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    @classmethod
+    def _slot(cls, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - cls.SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each pair; NONE where it never merges."""
+        slot = self._slot(keys)
+        out = np.where(self.slots[slot] == keys, self.rank[slot], self.NONE)
+        if len(odd := np.flatnonzero(self.shared[slot])):
+            at = np.searchsorted(self.more, keys[odd])
+            at[at == len(self.more)] = 0
+            found = self.more[at] == keys[odd]
+            out[odd[found]] = self.more_rank[at[found]]
+        return out
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of ids of each). Words are not empty."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
         symbols, ends = self.inner[raw], np.cumsum(lengths) - 1
         symbols[ends] = self.final[raw[ends]]
         of, done = np.repeat(np.arange(len(words), dtype=np.int32), lengths), []
         while len(symbols):
             rank = np.full(len(symbols), self.NONE, np.int32)
-            key = symbols[:-1].astype(np.int64) * self.size + symbols[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            found = (self.keys[at] == key) & (of[:-1] == of[1:])
-            rank[:-1][found] = self.rank[at[found]]
+            inside = np.flatnonzero(of[:-1] == of[1:])
+            rank[inside] = self.ranks(symbols[inside].astype(np.int64) * self.size + symbols[inside + 1])
             first = np.flatnonzero(np.diff(of, prepend=-1))
             sizes = np.diff(first, append=len(of))
             best = np.minimum.reduceat(rank, first)
@@ -101,11 +119,8 @@ class WordEncoder:
     Words of Latin letters alone are one pre-token each, and are merged many at a time; all others go to the tokenizer.
     """
 
-    WORD = re.compile(r"[^ \t\n\r]+")
-    #: White space at which str.split parts, but WORD does not.
-    MORE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     #: Words whose lower case is the same everywhere and which are normalised already.
-    LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    LATIN = "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+$"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,42 +130,33 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.merges = Merges(json.load(f)["model"])
         self.dtype = "<u2" if self.merges.size <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
-        return self.WORD.findall(text) if self.MORE.search(text) else text.split()
-
     def ids(self, text: str) -> bytes:
         """Little-endian ids of self.dtype: 16-bit where all of the vocabulary fit."""
-        return next(self.all_ids([text]))
-
-    def all_ids(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text. Words are looked up for many texts together, BLOCK at a time."""
-        waiting, words = [], []
-        for text in texts:
-            own = self.split(text)
-            if len(own) > BLOCK:
-                yield from self._each_of(waiting, words)
-                waiting, words = [], []
-                yield b"".join([b"".join(self._parts(own[at : at + BLOCK])) for at in range(0, len(own), BLOCK)])
-                continue
-            if len(words) + len(own) > BLOCK:
-                yield from self._each_of(waiting, words)
-                waiting, words = [], []
-            waiting.append(len(own))
-            words += own
-        yield from self._each_of(waiting, words)
-
-    def _each_of(self, counts: list[int], words: list[str]) -> Iterator[bytes]:
-        parts, at = self._parts(words), 0
-        for n in counts:
-            yield b"".join(parts[at : at + n])
-            at += n
+        return self.column(pa.array([text], pa.string()))[0].tobytes()
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each). A column's distinct words are looked up once; null is
+        the empty text."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        ends = lists.offsets.to_numpy()
+        words = lists.values.dictionary_encode()
+        parts = self._parts(words.dictionary.to_pylist())
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+        known, begin = np.frombuffer(b"".join(parts), self.dtype), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(begin[at] - upto[:-1], n)
+        place += np.arange(len(place))
+        return known[place], np.diff(upto[ends])
 
     def _parts(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+            self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
         parts = list(map(known.get, words))
         if miss := [i for i, ids in enumerate(parts) if ids is None]:
@@ -164,29 +170,22 @@ class WordEncoder:
         return parts
 
     def _learn(self, words: list[str]) -> None:
-        parts, single, letters = [], set(), set()
-        for w in words:
-            core = w.rstrip(".,")
-            if self.LATIN.fullmatch(core):
-                base = core.lower()
-                parts.append((w, base, w[len(core) :]))
-                letters.add(base)
-                if len(core) < len(w):
-                    single.add(w[len(core) :])
+        column = pa.array(words, pa.string())
+        core = pc.utf8_rtrim(column, ".,")
+        latin = pc.match_substring_regex(core, self.LATIN)
+        self._each([w for w in column.filter(pc.invert(latin)).to_pylist() if w not in self.known])
+        core = core.filter(latin)
+        base = pc.utf8_lower(core).dictionary_encode()
+        ids, counts = self.merges.ids(base.dictionary)
+        data, ends = ids.astype(self.dtype).tobytes(), (np.dtype(self.dtype).itemsize * np.cumsum(counts)).tolist()
+        spelled = [data[a:b] for a, b in zip([0, *ends], ends)]
+        for w, at, length in zip(column.filter(latin).to_pylist(), base.indices.to_pylist(), pc.utf8_length(core).to_pylist()):
+            if length < len(w):
+                if (marks := w[length:]) not in self.known:
+                    self._each([marks])
+                self.known[w] = spelled[at] + self.known[marks]
             else:
-                single.add(w)
-        self._letters([w for w in letters if w not in self.known])
-        self._each([w for w in single if w not in self.known])
-        for w, base, marks in parts:
-            self.known[w] = self.known[base] + (self.known[marks] if marks else b"")
-
-    def _letters(self, words: list[str]) -> None:
-        ids, counts = self.merges.ids([w.encode() for w in words])
-        data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-        begin = 0
-        for w, end in zip(words, (width * np.cumsum(counts)).tolist()):
-            self.known[w] = data[begin:end]
-            begin = end
+                self.known[w] = spelled[at]
 
     def _each(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
@@ -209,18 +208,18 @@ def encode(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, id_col:
         from pyspark import TaskContext
 
         part, total, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        width = np.dtype(enc.dtype).itemsize
-        wide = separator >= 1 << 8 * width
-        end = np.array(separator, "<u4" if wide else enc.dtype).tobytes()
+        wide = separator > np.iinfo(enc.dtype).max
         for b in batches:
-            starts, counts, all_ids = [], [], []
-            for ids in enc.all_ids(common.texts(b.column(1))):
-                n = len(ids) // width + 1
-                starts.append(total)
-                counts.append(n)
-                all_ids.append((np.frombuffer(ids, enc.dtype).astype("<u4").tobytes() if wide else ids) + end)
-                total += n
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(all_ids, pa.binary())], ["doc_id", "part", "start", "n", "ids"])
+            ids, n = enc.column(b.column(1))
+            upto, docs_before = np.cumsum(n), np.arange(len(n))
+            out = np.empty(len(ids) + len(n), "<u4" if wide else enc.dtype)
+            out[np.arange(len(ids)) + np.repeat(docs_before, n)] = ids
+            out[upto + docs_before] = separator
+            n += 1
+            ends = np.concatenate([[0], np.cumsum(n)])
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends * out.itemsize), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(total + ends[:-1]), pa.array(n), blobs.cast(pa.binary())], ["doc_id", "part", "start", "n", "ids"])
+            total += int(ends[-1])
 
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(scan, "doc_id long, part int, start long, n long, ids binary")
