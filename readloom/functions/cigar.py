@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters and their complements; fixed values. IUPAC codes come back in the other case.
-BASES = ("ACGTacgtNn", "TGCAtgcaNn")
-IUPAC = ("RYSWKMBDHVryswkmbdhv", "yrswmkvhdbYRSWMKVHDB")
+#: Letters and their complements; fixed values. Codes of two bases come back in the other case; those of three (B, D, H, V)
+#: and all other letters stay as they are.
+BASES = ("ACGTUacgtu", "TGCAAtgcaa")
+IUPAC = ("RYSWKMryswkm", "yrswmkYRSWMK")
 
 
 def ops(cigar: str = "cigar") -> Column:

@@ -88,7 +88,9 @@ def with_leader(rows: DataFrame) -> DataFrame:
 
 
 def short_exon_shift(parsed: Column) -> Column:
-    """Length of the intron after a first exon of under five bases, of reads of three ops at least; else 0."""
-    first, second = F.get(parsed, F.lit(0)), F.get(parsed, F.lit(1))
+    """Length of the intron after a first exon of under five bases, of reads of three ops at least; else 0. A soft clip before
+    the exon is passed over. parsed: ops in the order of the read."""
+    skip = F.when(F.get(parsed, F.lit(0))["op"] == "S", 1).otherwise(0)
+    first, second = F.get(parsed, skip), F.get(parsed, skip + 1)
     short = (F.size(parsed) >= 3) & (first["op"] == "M") & (first["len"] < 5) & (second["op"] == "N")
     return F.when(short, second["len"]).otherwise(0)

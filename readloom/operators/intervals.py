@@ -153,10 +153,22 @@ def dup_histogram(sample: DataFrame, coverage: DataFrame, kind: str = "pe", most
 
 
 def length_histogram(regions: DataFrame, width: int = 50, most: int = 999) -> DataFrame:
-    """(bin, n, at_least): lengths by width, the last bin open, with the sum from each bin on."""
+    """(bin, n, above, fraction): lengths by width, the last bin open, with the regions of all longer bins and their share."""
     at = F.least(F.floor((F.col("end") - F.col("beg") + 1) / width), F.lit(most)).cast("bigint")
     counted = regions.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    return counted.withColumn("at_least", F.sum("n").over(Window.orderBy(F.col("bin").desc())))
+    up, every = Window.orderBy(F.col("bin").desc()), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # at most 1,000 rows
+    counted = counted.withColumn("above", F.sum("n").over(up) - F.col("n"))
+    return counted.withColumn("fraction", F.col("above").cast("double") / F.sum("n").over(every))
+
+
+def with_levels(coverage: DataFrame, accepted: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """coverage with `levels`, the bits of all levels whose accepted segments hold the position, the least dense first (256, 512,
+    1024, 2048). Segments of one level are disjoint."""
+    rows = coverage.withColumn("levels", F.lit(0))
+    for i, rate in enumerate(sorted(r for _, r in options.levels)):
+        held = containing(rows, accepted.filter(F.col("rmin") == rate).select("refid", "beg", "end"), "p", "left")
+        rows = held.withColumn("levels", F.col("levels") + F.when(F.col("beg").isNotNull(), 256 << i).otherwise(0)).drop("beg", "end")
+    return rows
 
 
 def subtract(outer: DataFrame, inner: DataFrame) -> DataFrame:
@@ -182,8 +194,9 @@ def band_interiors(band: DataFrame, denser: DataFrame, references: DataFrame, op
     marks = denser.select("refid", "beg", "end").unionByName(references.select("refid", F.lit(0).alias("beg"), F.lit(0).alias("end"))).unionByName(references.select("refid", (F.col("length") + 1).alias("beg"), (F.col("length") + 1).alias("end")))
     events = marks.select("refid", F.col("beg").alias("at"), F.col("end").alias("mark_end"), F.col("beg").alias("mark_beg"), F.lit(None).cast("int").alias("z"))
     events = events.unionByName(band.select("refid", F.col("beg").alias("at"), F.lit(None).cast("int").alias("mark_end"), F.lit(None).cast("int").alias("mark_beg"), F.col("end").alias("z")))
-    by = Window.partitionBy("refid").orderBy("at")
-    rows = events.withColumn("left", F.max("mark_end").over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn("right", F.min("mark_beg").over(by.rowsBetween(1, Window.unboundedFollowing)))
+    before = (Window.unboundedPreceding, -1)
+    up, down = (Window.partitionBy("refid").orderBy(o).rowsBetween(*before) for o in (F.col("at"), F.col("at").desc()))
+    rows = events.withColumn("left", F.max("mark_end").over(up)).withColumn("right", F.min("mark_beg").over(down))
     rows = rows.filter("z is not null").join(references.select("refid", "length"), "refid").filter("z < length")
     rows = rows.filter(F.col("z") - F.col("at") + 1 >= options.least_low)
     cut = lambda room: F.greatest(F.lit(0), F.lit(options.trim) - room)

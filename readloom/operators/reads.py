@@ -18,9 +18,10 @@ def filter_class() -> Column:
 
 
 def accepted(alignments: DataFrame, unique_only: bool = False) -> DataFrame:
-    """Rows of the primary mapped alignments; unique_only also asks for an nh column of 1."""
+    """Rows of the primary mapped alignments; unique_only also asks for an nh column of 1, and a row without nh is an error."""
     kept = alignments.filter(F.col("flag").bitwiseAND(UNMAPPED | SUPPLEMENTARY | SECONDARY) == 0)
-    return kept.filter("nh = 1") if unique_only else kept
+    missing = F.raise_error(F.lit("an alignment without the number of its hits (NH)")).cast("boolean")
+    return kept.filter(F.when(F.col("nh").isNull(), missing).otherwise(F.col("nh") == 1)) if unique_only else kept
 
 
 def filter_counts(alignments: DataFrame) -> DataFrame:
@@ -50,13 +51,17 @@ def mateless(reads: DataFrame) -> DataFrame:
 
 def _marked(rows: DataFrame, key: list[str], quality: list[str], name: list[str]) -> DataFrame:
     """rows with is_dup: all of equal key but the best by quality, ties by name. The best is found by partial aggregation
-    and joined back, so a key with any share of the rows neither sorts nor gathers in one task."""
-    rank = F.struct(*[(-F.col(q)).alias(q) for q in quality], *name)
-    best = rows.groupBy(*key).agg(F.min(rank).alias("best"))
+    and joined back, so a key with any share of the rows neither sorts nor gathers in one task. A row whose key holds a null
+    has no known place: it stays and is no duplicate. A null quality ranks last."""
+    rank = F.struct(*[F.coalesce(-F.col(q), F.lit(1)).alias(q) for q in quality], *name)
+    placed = F.lit(True)
+    for k in key:
+        placed &= F.col(k).isNotNull()
+    best = rows.filter(placed).groupBy(*key).agg(F.min(rank).alias("best"))
     same = F.lit(True)
     for n in name:
-        same &= F.col(f"best.{n}") == F.col(n)
-    return rows.join(best, key).withColumn("is_dup", ~same).drop("best")
+        same &= F.col(f"best.{n}").eqNullSafe(F.col(n))
+    return rows.join(best, key, "left").withColumn("is_dup", F.col("best").isNotNull() & ~same).drop("best")
 
 
 def mark_duplicate_pairs(pairs: DataFrame) -> DataFrame:

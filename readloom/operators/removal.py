@@ -44,6 +44,8 @@ def linked(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) of regions linked by pairs: least labels pass along links and jump to their labels' labels, each
     round written to the shared folder. links: (a, b), both ways."""
     links = written(links.distinct(), "region-links")
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     label = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
     label = written(label, "region-labels")
     for _ in range(most_rounds):
@@ -83,7 +85,12 @@ def sample_branch(held: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     unit = F.when(F.col("mate_region").isNotNull(), F.least("ordinal", "mate")).otherwise(F.col("ordinal"))
     by_unit = Window.partitionBy("region", "unit")
     units = alone.withColumn("unit", unit).withColumn("first", F.min("h").over(by_unit)).withColumn("size", F.count("*").over(by_unit))
-    firsts = units.filter("h = first").withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("region").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the running sum of sizes in the order of the hash, in two stages: over slices of the hash, then within each
+    firsts = units.filter("h = first").select("region", "quota", "unit", "size", "first", F.substring("first", 1, 3).alias("slice"))
+    up_to = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = firsts.groupBy("region", "slice").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(up_to("region", "slice")), F.lit(0))).drop("n")
+    within = F.coalesce(F.sum("size").over(up_to("region", "slice", "first")), F.lit(0))
+    firsts = firsts.join(sums, ["region", "slice"]).withColumn("before", F.col("base") + within)
     picked = units.join(firsts.filter("before < quota").select("region", "unit"), ["region", "unit"], "left_semi").select("ordinal")
 
     def work(pdf):

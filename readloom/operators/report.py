@@ -83,3 +83,28 @@ def long_report(summary: DataFrame) -> DataFrame:
     section = lambda c: {"pe_": "paired", "se_": "single"}.get(c[:3], "entries")
     rows = [F.struct(F.lit(section(c)).alias("section"), F.lit(c).alias("label"), F.col(c).cast("string").alias("value")) for c in summary.columns]
     return summary.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def consistency(p) -> DataFrame:
+    """(invariant, broken): what must hold of a pass's tables, with the rows that break it; all are 0 in a sound pass."""
+    held, regions, n = p.members, p.regions, F.count("*").alias("broken")
+    dups, gone = held.filter("is_dup"), p.removals
+    mates = held.filter("is_pair").select(F.col("ordinal").alias("mate"), F.col("mate").alias("back"), F.col("is_dup").alias("mate_dup"))
+    both = held.filter("is_pair").join(mates, "mate", "left")
+    sums = held.filter("beg is not null").groupBy("refid", "beg").agg(F.count("*").alias("a"), F.count_if("is_dup").alias("d"))
+    met = regions.join(sums, ["refid", "beg"], "left")
+    entries = side_by_side([entry_counts(p.alignments), p.reads.agg(F.count("*").alias("seen")), p.reads.filter(F.col("flag").bitwiseAND(1) == 1).agg(F.count("*").alias("paired")), held.agg(F.count("*").alias("members"))])
+    listed = side_by_side([p.counts.select(F.col(f"{p.kind}_duplicates_marked_for_removal").alias("said")), gone.agg(F.count("*").alias("found"))])
+    difference = lambda t, a, b: t.select(F.abs(F.col(a) - F.col(b)).alias("broken"))
+    found = {
+        "entries accepted": difference(entries, "accepted", "seen"),
+        "mates and unpaired": difference(entries, "paired", "members"),
+        "members within bounds": held.filter("beg is not null and not pos5p between beg and `end`").agg(n),
+        "region totals": met.filter("nstart <> a or ndup <> d").agg(n),
+        "mates agree": both.filter("is_dup <> mate_dup").agg(n),
+        "empty regions": met.filter("a is null").agg(n),
+        "removed are duplicates": gone.select("ordinal").join(dups.select("ordinal"), "ordinal", "left_anti").agg(n),
+        "removed as listed": difference(listed, "said", "found"),
+        "mates present": both.filter("back is null or back <> ordinal").agg(n),
+    }
+    return reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("invariant"), F.col("broken").cast("bigint").alias("broken")) for k, t in found.items()])

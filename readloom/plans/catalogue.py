@@ -23,11 +23,11 @@ def _pass(spark: SparkSession, sf_dir: str, kind: str = "pe") -> passes.Pass:
     return passes.Pass(derived.alignments(spark, sf_dir), derived.references(spark), kind)
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, draws: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {CTES} {sql}"
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {CTES}, {DRAWS} {sql}" if draws else f"WITH {CTES} {sql}"
         return f
 
     return add
@@ -76,6 +76,24 @@ mem AS (SELECT a.*, q.beg, q.e, q.branch FROM (SELECT ordinal, mate, read_name,
 gone_all AS (SELECT ordinal FROM mem WHERE is_dup AND branch = 'all' UNION SELECT mate FROM mem WHERE is_dup AND branch = 'all' AND mate IS NOT NULL),
 gone_low AS (SELECT ordinal FROM mem WHERE is_dup AND beg IS NULL)"""
 
+#: SQL of the draws: regions are walked in their order, with the lists of what is gone and what was drawn. A unit is a duplicate, or
+#: two that are mates in one region. Single-end reads have no mates, so each region is drawn by itself.
+DRAWS = f"""
+quota_of AS (SELECT refid, beg, quota FROM quo_pe),
+hd AS (SELECT m.ordinal, m.mate, m.refid, m.beg, m.branch, q.quota, md5(concat('{DEFAULTS.seed}|', m.ordinal)) AS h FROM mem m JOIN quota_of q ON q.refid = m.refid AND q.beg = m.beg WHERE m.is_dup),
+md AS (SELECT d.*, o.refid IS NOT NULL AS high_mate, coalesce(o.refid = d.refid AND o.beg = d.beg, FALSE) AS same FROM hd d LEFT JOIN hd o ON o.ordinal = d.mate),
+unit AS (SELECT refid, beg, branch, quota, CASE WHEN same THEN least(ordinal, mate) ELSE ordinal END AS u, min(h) AS h, count(*) AS size, list(ordinal) AS members, coalesce(list(mate) FILTER (WHERE high_mate AND NOT same), CAST([] AS BIGINT[])) AS mates FROM md GROUP BY 1, 2, 3, 4, 5),
+region AS MATERIALIZED (SELECT row_number() OVER (ORDER BY refid, beg) AS step, branch, quota, list(struct_pack(size := size, members := members, mates := mates) ORDER BY h, u) AS units FROM unit GROUP BY refid, beg, branch, quota),
+walk AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS gone, CAST([] AS BIGINT[]) AS drawn
+    UNION ALL SELECT step, list_concat(gone, new), CASE WHEN branch = 'sample' THEN list_concat(drawn, new) ELSE drawn END FROM (
+        SELECT step, gone, drawn, branch, flatten(list_transform(picks, lambda x: list_concat(x.members, list_filter(x.mates, lambda m: NOT list_contains(gone, m))))) AS new FROM (
+            SELECT *, CASE branch WHEN 'none' THEN free[1:0] WHEN 'all' THEN units ELSE list_filter(free, lambda x, i: coalesce(list_sum(list_transform(free[1:i - 1], lambda y: y.size)), 0) < quota - (len(units) - len(free))) END AS picks FROM (
+                SELECT r.step, r.branch, r.quota, r.units, w.gone, w.drawn, list_filter(r.units, lambda x: NOT list_contains(w.gone, x.members[1])) AS free FROM walk w JOIN region r ON r.step = w.step + 1) a) b) c),
+drawn_pe AS (SELECT DISTINCT unnest(drawn) AS ordinal FROM walk WHERE step = (SELECT max(step) FROM walk)),
+out_pe AS (SELECT ordinal FROM gone_all UNION SELECT ordinal FROM gone_low UNION SELECT ordinal FROM drawn_pe),
+mem_se AS (SELECT a.ordinal, a.refid, a.is_dup, q.beg, q.branch, q.quota, md5(concat('{DEFAULTS.seed}|', a.ordinal)) AS h FROM si a LEFT JOIN quo_se q ON q.refid = a.refid AND a.pos5p BETWEEN q.beg AND q.e),
+out_se AS (SELECT ordinal, beg FROM (SELECT *, row_number() OVER (PARTITION BY refid, beg ORDER BY h) AS place FROM mem_se WHERE is_dup) x WHERE beg IS NULL OR branch = 'all' OR (branch = 'sample' AND place <= quota))"""
+
 _END = '"end"'
 
 
@@ -139,7 +157,7 @@ def high_regions_single(spark, sf_dir):
     return _pass(spark, sf_dir, "se").regions
 
 
-@query("SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS at_least FROM (SELECT least(CAST(floor((e - beg + 1) / 50.0) AS BIGINT), 999) AS bin, count(*) AS n FROM hi_pe GROUP BY 1) x")
+@query("SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) - n AS above, CAST(CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) - n AS DOUBLE) / CAST(sum(n) OVER () AS BIGINT) AS fraction FROM (SELECT least(CAST(floor((e - beg + 1) / 50.0) AS BIGINT), 999) AS bin, count(*) AS n FROM hi_pe GROUP BY 1) x")
 def region_length_hist(spark, sf_dir):
     return intervals.length_histogram(_pass(spark, sf_dir).high)
 
@@ -190,12 +208,13 @@ def remove_low(spark, sf_dir):
     return removal.low_branch(_pass(spark, sf_dir).members)
 
 
-@query()
+@query("SELECT ordinal FROM drawn_pe", draws=True)
 def sample_branch(spark, sf_dir):
     return removal.sample_branch(_pass(spark, sf_dir).members)
 
 
-@query()
+@query("""SELECT 'pe' AS pass, concat_ws(' ', 'ALIGN:', CAST(coalesce(r.i, -1) AS VARCHAR), CAST(m.is_pair AS INT), CAST(m.is_dup AS INT), CAST(m.beg IS NOT NULL AS INT), '1', f.name, m.pos5p, a.flag, a.pos, m.read_name) AS line
+    FROM mem m JOIN out_pe o ON o.ordinal = m.ordinal JOIN acc a ON a.ordinal = m.ordinal JOIN refs f ON f.refid = m.refid LEFT JOIN (SELECT refid, beg, row_number() OVER (ORDER BY refid, beg) - 1 AS i FROM reg_pe) r ON r.refid = m.refid AND r.beg = m.beg""", draws=True)
 def removal_list(spark, sf_dir):
     p = _pass(spark, sf_dir)
     return removal.removal_lines(p.removals, p.regions, p.references)
@@ -216,12 +235,12 @@ def mapping_class(spark, sf_dir):
     return rows.groupBy("flag", "mapping_class").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT a.ordinal, a.read_name, a.flag FROM al a WHERE NOT EXISTS (SELECT 1 FROM gone_low g JOIN acc r ON r.ordinal = g.ordinal WHERE r.read_name = a.read_name
-    AND (CASE WHEN r.flag & 4 = 4 THEN 1 WHEN r.flag & 8 = 8 THEN 2 ELSE 0 END) = (CASE WHEN a.flag & 4 = 4 THEN 1 WHEN a.flag & 8 = 8 THEN 2 ELSE 0 END))""")
+@query("""SELECT a.ordinal, a.read_name, a.flag FROM al a WHERE NOT EXISTS (SELECT 1 FROM out_pe g JOIN acc r ON r.ordinal = g.ordinal WHERE r.read_name = a.read_name
+    AND (CASE WHEN r.flag & 4 = 4 THEN 1 WHEN r.flag & 8 = 8 THEN 2 ELSE 0 END) = (CASE WHEN a.flag & 4 = 4 THEN 1 WHEN a.flag & 8 = 8 THEN 2 ELSE 0 END))""", draws=True)
 def apply_removal(spark, sf_dir):
-    """Drops every row whose name and mapping class the removals of low regions hold."""
+    """Drops every row whose name and mapping class the whole removal list holds."""
     p = _pass(spark, sf_dir)
-    gone = removal.low_branch(p.members).join(p.reads, "ordinal").select("read_name", reads.mapping_class().alias("mapping_class"))
+    gone = p.removals.select("read_name", reads.mapping_class().alias("mapping_class"))
     return sam.apply_removal(p.alignments.select("ordinal", "read_name", "flag"), gone)
 
 
@@ -242,11 +261,46 @@ def counters(spark, sf_dir):
     return report.side_by_side([report.entry_counts(p.alignments), report.start_counts(p.coverage)])
 
 
-@query()
+def _summary_sql(k: str, gone: str) -> str:
+    """SQL of one pass's part of the summary."""
+    one = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END"
+    kinds = [("proper_paired_reads", "duplicate_proper_paired_reads", "overall_proper_paired_read_duplicate_rate", "pn", "pd"), ("not_proper_paired_reads", "duplicate_not_proper_paired_reads", "overall_not_proper_paired_read_duplicate_rate", "sn", "sd")]
+    if k == "se":
+        kinds = [("single_end_reads", "duplicate_single_end_reads", "overall_single_end_read_duplicate_rate", "sn", "sd")]
+    starts = ", ".join(f"{n} AS {k}_{a}, {d} AS {k}_{b}, {one(d, n)} AS {k}_{c}" for a, b, c, n, d in kinds)
+    sides = ", ".join(f"{x}b AS {k}_{w}_coverage_region_bases, {x}s AS {k}_{w}_coverage_region_reads, {x}d AS {k}_{w}_coverage_region_duplicates_detected, {x}g AS {k}_{w}_coverage_region_duplicates_marked_for_removal" for x, w in (("l", "low"), ("h", "high")))
+    return f"""(SELECT {starts}, rate AS {k}_estimated_pcr_duplicate_rate, ld + hd AS {k}_duplicates_detected, lg + hg AS {k}_duplicates_marked_for_removal, {sides} FROM (SELECT *, pn + sn - hs AS ls, pd + sd - hd AS ld FROM (SELECT
+        (SELECT CAST(coalesce(sum(pe_n), 0) AS BIGINT) FROM cov_{k}) AS pn, (SELECT CAST(coalesce(sum(pe_d), 0) AS BIGINT) FROM cov_{k}) AS pd, (SELECT CAST(coalesce(sum(se_n), 0) AS BIGINT) FROM cov_{k}) AS sn, (SELECT CAST(coalesce(sum(se_d), 0) AS BIGINT) FROM cov_{k}) AS sd,
+        (SELECT rate FROM rate_{k}) AS rate, (SELECT CAST(coalesce(sum(e - beg + 1), 0) AS BIGINT) FROM hi_{k}) AS hb, (SELECT CAST(coalesce(sum(e - beg + 1), 0) AS BIGINT) FROM low_{k}) AS lb,
+        (SELECT CAST(coalesce(sum(nstart), 0) AS BIGINT) FROM reg_{k}) AS hs, (SELECT CAST(coalesce(sum(ndup), 0) AS BIGINT) FROM reg_{k}) AS hd,
+        (SELECT count(*) FROM {gone} WHERE beg IS NOT NULL) AS hg, (SELECT count(*) FROM {gone} WHERE beg IS NULL) AS lg) x) y) s_{k}"""
+
+
+_LED = "(ordinal // 8) % 5 = 0 AND cigar = '10M3000N40M' AND flag & 16 = 0"
+
+
+@query(f"""SELECT 'orders.parquet' AS bam_file_name, n.*, s_pe.*, s_se.* FROM (SELECT count(*) AS entries, count(*) FILTER (flag & 4 = 4) AS unaligned_skipped, count(*) FILTER (flag & 4 = 0 AND flag & 2048 = 2048) AS chimeric_skipped,
+    count(*) FILTER (flag & 4 = 0 AND flag & 2048 = 0 AND flag & 256 = 256) AS secondary_skipped, count(*) FILTER (flag & 2308 = 0) AS accepted, CAST(0 AS BIGINT) AS not_paired_end_skipped,
+    count(*) FILTER (flag & 2308 = 0 AND {_LED}) AS sl_matches, CAST(0 AS BIGINT) AS sl_match_with_short_intron, count(*) FILTER (flag & 2308 = 0 AND {_LED}) AS sl_match_with_long_intron, count(*) FILTER (flag & 2308 = 0 AND NOT ({_LED})) AS without_sl_match FROM al) n,
+    {_summary_sql('pe', '(SELECT o.ordinal, m.beg FROM out_pe o JOIN mem m ON m.ordinal = o.ordinal) g')}, {_summary_sql('se', 'out_se')}""", draws=True)
 def summary_row(spark, sf_dir):
-    """Rows only: the removal counts rest on drawn samples."""
+    """The summary of both passes, without the path, which is the run's own."""
     both = [_pass(spark, sf_dir, k) for k in ("pe", "se")]
-    return report.summary_row(report.entry_counts(both[0].alignments), [p.counts for p in both], f"{sf_dir}/orders.parquet")
+    led = leader.with_leader(_with_bases(spark, sf_dir)).withColumn("leader", F.col("leader.kind"))
+    entries = report.side_by_side([report.entry_counts(both[0].alignments), report.leader_counts(led)])
+    return report.summary_row(entries, [p.counts for p in both], f"{sf_dir}/orders.parquet").drop("bam_file_path")
+
+
+@query("""SELECT 'entries accepted' AS invariant, CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'mates and unpaired', 0 UNION ALL SELECT 'members within bounds', 0 UNION ALL SELECT 'region totals', 0 UNION ALL SELECT 'mates agree', 0
+    UNION ALL SELECT 'empty regions', 0 UNION ALL SELECT 'removed are duplicates', 0 UNION ALL SELECT 'removed as listed', 0 UNION ALL SELECT 'mates present', 0""")
+def consistency(spark, sf_dir):
+    return report.consistency(_pass(spark, sf_dir))
+
+
+@query("""SELECT c.refid, c.p, c.pe_n, c.pe_d, c.se_n, c.se_d, CAST(coalesce((SELECT sum(CASE WHEN a.rmin = 0.01 THEN 256 WHEN a.rmin = 0.1 THEN 512 WHEN a.rmin = 1 THEN 1024 ELSE 2048 END) FROM acc_pe a WHERE a.refid = c.refid AND c.p BETWEEN a.beg AND a.e), 0) AS INT) AS levels FROM cov_pe c""")
+def base_levels(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    return intervals.with_levels(p.coverage, p.accepted, p.options)
 
 
 
@@ -258,6 +312,14 @@ def band_intervals(spark, sf_dir):
     return intervals.bands(p.accepted, p.references, 0.01)
 
 
+@query(f"""SELECT x.refid, x.a AS beg, x.z AS {_END} FROM (SELECT i.refid, coalesce(lag(i.e) OVER (PARTITION BY i.refid ORDER BY i.beg) + 1, 1) AS a, i.beg - 1 AS z FROM outer_pe i
+    UNION ALL SELECT r.refid, coalesce((SELECT max(i.e) FROM outer_pe i WHERE i.refid = r.refid) + 1, 1), r.length FROM refs r) x WHERE x.a <= x.z""".replace("outer_pe", "(SELECT * FROM acc_pe WHERE rmin = 0.01 UNION SELECT * FROM acc_pe a WHERE rmin > 0.01 AND NOT EXISTS (SELECT 1 FROM acc_pe o WHERE o.refid = a.refid AND o.t > a.t AND o.beg <= a.beg AND o.e >= a.e))"))
+def bare_intervals(spark, sf_dir):
+    """Stretches that no segment of any level holds."""
+    p = _pass(spark, sf_dir)
+    return intervals.bands(p.accepted, p.references, None)
+
+
 _K = "ordinal // 8"
 _FORWARD = "flag & 16 = 0"
 
@@ -266,6 +328,7 @@ def _with_bases(spark, sf_dir):
     """Derived rows with a sequence: a leader's end before the long introns of every fifth fragment, else C alone."""
     led = f"k % 5 = 0 AND cigar = '10M3000N40M' AND {_FORWARD}"
     rows = derived.alignments(spark, sf_dir).withColumn("k", F.expr("ordinal DIV 8"))
+    rows = rows.withColumn("qual", F.expr("unhex(repeat(lpad(hex(k % 40 + 1), 2, '0'), l_seq))")).withColumn("tags", F.expr("map('NH', cast(k % 3 + 1 AS string), 'XS', concat('v', k % 7))"))
     return rows.withColumn("seq", F.expr(f"CASE WHEN {led} THEN concat('{leader.LEADERS[0][-10:]}', repeat('C', 40)) ELSE repeat('C', l_seq) END"))
 
 
@@ -276,9 +339,9 @@ def sl_match(spark, sf_dir):
 
 @query("""SELECT ordinal, CASE cigar WHEN '25=1X24=' THEN 1 WHEN '20M2D28M3I' THEN 2 ELSE 4 END AS type, CASE cigar WHEN '25=1X24=' THEN 26 WHEN '10M3000N40M' THEN 10 ELSE 20 END AS pos,
     CASE cigar WHEN '25=1X24=' THEN 1 WHEN '20M2D28M3I' THEN 2 WHEN '10M3000N40M' THEN 3000 ELSE 100 END AS len, pos + CASE cigar WHEN '25=1X24=' THEN 25 WHEN '10M3000N40M' THEN 10 ELSE 20 END AS pos_chr FROM acc WHERE cigar IN ('25=1X24=', '20M2D28M3I', '20M100N30M', '10M3000N40M')
-    UNION ALL SELECT ordinal, 3, 49, 3, pos + 50 FROM acc WHERE cigar = '20M2D28M3I'""")
+    UNION ALL SELECT ordinal, 3, 49, 3, pos + 50 FROM acc WHERE cigar = '20M2D28M3I' UNION ALL SELECT ordinal, 1, 21, 1, pos + 20 FROM acc WHERE cigar = '50M' AND (ordinal // 8) % 3 = 0""")
 def list_discrepancies(spark, sf_dir):
-    rows = _pass(spark, sf_dir).reads.withColumn("md", F.lit(None).cast("string"))
+    rows = _pass(spark, sf_dir).reads.withColumn("md", F.expr("CASE WHEN cigar = '50M' AND ordinal DIV 8 % 3 = 0 THEN '20A29' END"))
     return rows.select("ordinal", F.explode(discrepancies.discrepancies()).alias("d")).select("ordinal", "d.*")
 
 
@@ -287,15 +350,59 @@ def sniff_encoding(spark, sf_dir):
     return discrepancies.sniff_encoding(derived.alignments(spark, sf_dir).withColumn("md", F.lit(None).cast("string")))
 
 
-@query("SELECT refid, pos, mapq, flag, cigar, tlen, read_name, l_seq FROM al")
+_SEQ = f"CASE WHEN {_LED} THEN concat('{leader.LEADERS[0][-10:]}', repeat('C', 40)) ELSE repeat('C', l_seq) END"
+
+
+@query(f"SELECT refid, pos, mapq, flag, cigar, tlen, read_name, l_seq, {_SEQ} AS seq, repeat(printf('%02X', {_K} % 40 + 1), l_seq) AS qual, CAST({_K} % 3 + 1 AS VARCHAR) AS nh, concat('v', {_K} % 7) AS xs FROM al")
 def bam_scan(spark, sf_dir):
     """Writes the derived rows as BAM files and scans them."""
     rows = _with_bases(spark, sf_dir).withColumn("next_refid", F.col("refid")).withColumn("next_pos", F.col("pos"))
     folder = f"{shared_folder(spark)}/readloom/bam-{uuid.uuid4().hex}"
     bam.write_bam(rows, [(n, derived.LENGTH) for n in derived.NAMES], folder)
-    return bam.read_bam(spark, folder).select("refid", "pos", "mapq", "flag", "cigar", "tlen", "read_name", "l_seq")
+    return bam.read_bam(spark, folder).select("refid", "pos", "mapq", "flag", "cigar", "tlen", "read_name", "l_seq", "seq", F.hex("qual").alias("qual"), F.col("tags")["NH"].alias("nh"), F.col("tags")["XS"].alias("xs"))
+
+
+@query(f"SELECT ordinal, reverse(translate({_SEQ}, 'ACGT', 'TGCA')) AS reverse_complement, CAST(l_seq * ({_K} % 40 + 1) AS BIGINT) AS quality_sum FROM al")
+def read_bases(spark, sf_dir):
+    return _with_bases(spark, sf_dir).select("ordinal", cigar.reverse_complement().alias("reverse_complement"), cigar.quality_sum().alias("quality_sum"))
+
+
+@query(f"SELECT ordinal, refid, read_name FROM acc WHERE {_K} % 3 = 0")
+def unique_alignments(spark, sf_dir):
+    rows = _with_bases(spark, sf_dir).withColumn("nh", F.col("tags")["NH"].cast("int"))
+    return reads.accepted(rows, unique_only=True).select("ordinal", "refid", "read_name")
+
+
+@query("""SELECT ordinal, b, e, CASE WHEN flag & 16 = 16 THEN e ELSE b END AS five_prime FROM (SELECT ordinal, flag, pos - CASE k8 WHEN 1 THEN 5 WHEN 5 THEN 5 ELSE 0 END AS b,
+    pos - CASE k8 WHEN 1 THEN 5 WHEN 5 THEN 5 ELSE 0 END + l_seq + CASE k8 WHEN 5 THEN 5 ELSE 0 END - 1 + CASE k8 WHEN 4 THEN -1 ELSE 0 END AS e FROM (SELECT *, (ordinal // 8) % 8 AS k8 FROM acc) y) x""")
+def library_ends(spark, sf_dir):
+    """Ends without introns, not held within the reference, and the 5' end of each read."""
+    rows = reads.accepted(derived.alignments(spark, sf_dir)).withColumn("parsed", cigar.ops())
+    bpos, epos = cigar.read_ends(F.col("parsed"), length=None, introns=False)
+    rows = rows.withColumn("b", bpos).withColumn("e", epos)
+    return rows.select("ordinal", "b", "e", cigar.five_prime("b", "e").alias("five_prime"))
 
 
+@query("SELECT ordinal, CASE WHEN cigar = '25=1X24=' OR (cigar = '50M' AND (ordinal // 8) % 3 = 0) THEN 1 ELSE 0 END AS substitutions, CASE WHEN cigar = '20M2D28M3I' THEN 1 ELSE 0 END AS deletions, CASE WHEN cigar = '20M2D28M3I' THEN 1 ELSE 0 END AS insertions FROM acc")
+def discrepancy_counts(spark, sf_dir):
+    rows = _pass(spark, sf_dir).reads.withColumn("md", F.expr("CASE WHEN cigar = '50M' AND ordinal DIV 8 % 3 = 0 THEN '20A29' END"))
+    found = rows.select("ordinal", discrepancies.discrepancies().alias("d"))
+    return found.select("ordinal", *[c.alias(n) for c, n in zip(discrepancies.counts(F.col("d")), ("substitutions", "deletions", "insertions"))])
+
+
+_LINE = "concat_ws(chr(9), read_name, CAST(flag AS VARCHAR), concat('chr', refid), CAST(pos AS VARCHAR), CAST(mapq AS VARCHAR), cigar, '=', CAST(pos AS VARCHAR), CAST(tlen AS VARCHAR), '*', '*')"
+
+
+@query(f"""SELECT value FROM (SELECT {_LINE} AS value, read_name, CASE WHEN flag & 4 = 4 THEN 1 WHEN flag & 8 = 8 THEN 2 ELSE 0 END AS c FROM al) a WHERE NOT EXISTS (SELECT 1 FROM out_pe g JOIN acc r ON r.ordinal = g.ordinal
+    WHERE r.read_name = a.read_name AND (CASE WHEN r.flag & 8 = 8 THEN 2 ELSE 0 END) = a.c) UNION ALL SELECT '@HD' || chr(9) || 'VN:1.6'""", draws=True)
+def filter_sam_text(spark, sf_dir):
+    """The whole way of the filter: the removal list is written and read, and SAM text with a header and a short line is filtered."""
+    p = _pass(spark, sf_dir)
+    path = removal.write_removal_list(removal.removal_lines(p.removals, p.regions, p.references), f"{shared_folder(spark)}/readloom", "now", "orders")
+    text = p.alignments.select(F.expr(_LINE.replace("VARCHAR", "STRING")).alias("value"))
+    text = text.unionByName(spark.createDataFrame([("@HD\tVN:1.6",), ("short\tline",)], "value string"))
+    return sam.filter_sam(text, sam.read_removal_list(spark, path))
+
 @query("""SELECT ordinal, read_name, flag FROM al WHERE NOT EXISTS (SELECT 1 FROM acc r WHERE r.flag & 4 = 0 AND r.ordinal IN (SELECT ordinal FROM gone_all) AND r.read_name = al.read_name AND al.flag & 4 = 0)""")
 def apply_removal_all_branch(spark, sf_dir):
     p = _pass(spark, sf_dir)

@@ -6,6 +6,7 @@ record by looking for a place from which several records in a row make sense.
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 import zlib
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .storage import storage
@@ -63,13 +65,15 @@ class Blocks:
     def drop(self, n: int) -> None:
         del self.data[:n]
         self.base += n
+        passed = bisect.bisect_right(self.starts, self.base, key=lambda s: s[0]) - 1
+        if passed > 64:
+            del self.starts[:passed]
 
     def place(self, at: int = 0) -> tuple[int, int]:
         """(block's place in the file, place within it) of a byte."""
         at += self.base
-        while len(self.starts) > 1 and self.starts[1][0] <= at:
-            self.starts.pop(0)
-        return self.starts[0][1], at - self.starts[0][0]
+        i = bisect.bisect_right(self.starts, at, key=lambda s: s[0]) - 1
+        return self.starts[i][1], at - self.starts[i][0]
 
 
 def read_header(uri: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
@@ -128,22 +132,34 @@ def plausible(data, at: int, refs: int) -> int | None:
     return size + 4
 
 
-def first_record(b: Blocks, refs: int, in_row: int = 4) -> int | None:
-    """Place of the first record after the inflated bytes' beginning, or None."""
-    b.want(1 << 17)
-    for start in range(min(len(b.data), 1 << 16)):
-        at, ok = start, 0
-        while ok < in_row and at < len(b.data):
-            size = plausible(b.data, at, refs)
-            if size is None:
-                ok = -1
-                break
-            if size < 0:
-                break
-            at, ok = at + size, ok + 1
-        if ok > 0 and (ok == in_row or at >= len(b.data) or len(b.data) - at < 36):
-            return start
-    return None
+def in_row(b: Blocks, at: int, refs: int, most: int = 4) -> bool:
+    """Whether `most` records that make sense follow one another from a place on, or fewer up to the very end of the file."""
+    for _ in range(most):
+        if not b.want(at + 4):
+            return len(b.data) == at
+        if not b.want(at + 36):
+            return False
+        b.want(at + 36 + b.data[at + 12])
+        size = plausible(b.data, at, refs)
+        if size is None or size < 0:
+            return False
+        at += size
+    return True
+
+
+def first_record(b: Blocks, refs: int, end: int) -> bool:
+    """Drops what lies before the first record that begins in a block before the byte `end` of the file. False: none does,
+    because one record from before reaches over all of these blocks, however long it is."""
+    while b.want(1):
+        here = min(1 << 16, len(b.data))
+        for start in range(here):
+            if b.place(start)[0] >= end:
+                return False
+            if in_row(b, start, refs):
+                b.drop(start)
+                return True
+        b.drop(here)
+    return False
 
 
 def tags_of(data: bytes) -> dict[str, str]:
@@ -182,16 +198,38 @@ def record(data: bytes) -> tuple:
     return refid, pos + 1, bin_, mapq, flag, cigar, l_seq, next_ref, next_pos + 1, tlen, name, seq, data[at : at + l_seq], tags_of(data[at + l_seq :])
 
 
+def bin_of(begin: int, end: int) -> int:
+    """The smallest bin of the format's binning index that holds the 0-based positions from begin to before end."""
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> shift == (end - 1) >> shift:
+            return first + (begin >> shift)
+    return 0
+
+
+def encoded_tags(tags) -> bytes:
+    """Tags of strings: whole numbers of 32 bits as such, all others as text."""
+    out = b""
+    for name, value in tags or ():
+        whole = re.fullmatch("0|-?[1-9][0-9]{0,9}", value) and -(1 << 31) <= int(value) < 1 << 31
+        out += name.encode() + (b"i" + struct.pack("<i", int(value)) if whole else b"Z" + value.encode() + b"\0")
+    return out
+
+
 def encoded(row: tuple) -> bytes:
-    """A record of (refid, pos, mapq, flag, cigar, next_refid, next_pos, tlen, read_name, seq); qualities are missing."""
-    refid, pos, mapq, flag, cigar, next_ref, next_pos, tlen, name, seq = row
+    """A record of (refid, pos, mapq, flag, cigar, next_refid, next_pos, tlen, read_name, seq, qual, tags). Null qualities are
+    written as missing ones; tags are pairs of strings."""
+    refid, pos, mapq, flag, cigar, next_ref, next_pos, tlen, name, seq, qual, tags = row
     ops = re.findall(r"([0-9]+)([MIDNSHP=X])", cigar or "")
     words = b"".join(struct.pack("<I", int(n) << 4 | OPS.index(o)) for n, o in ops)
     half = [BASES.index(c) for c in seq or ""]
     half += [0] * (len(half) % 2)
     packed = bytes(a << 4 | b for a, b in zip(half[::2], half[1::2]))
-    fixed = struct.pack("<iiBBHHHiiii", refid, pos - 1, len(name) + 1, mapq, 0, len(ops), flag, len(seq or ""), next_ref, next_pos - 1, tlen)
-    body = fixed + name.encode() + b"\0" + words + packed + b"\xff" * len(seq or "")
+    if qual is not None and len(qual) != len(seq or ""):
+        raise ValueError(f"{name}: {len(qual)} qualities for {len(seq or '')} bases")
+    span = sum(int(n) for n, o in ops if o in "MDN=X") or 1
+    at = bin_of(pos - 1, pos - 1 + span) if pos > 0 else 4680  # the format's bin of no place
+    fixed = struct.pack("<iiBBHHHiiii", refid, pos - 1, len(name) + 1, mapq, at, len(ops), flag, len(seq or ""), next_ref, next_pos - 1, tlen)
+    body = fixed + name.encode() + b"\0" + words + packed + (b"\xff" * len(seq or "") if qual is None else bytes(qual)) + encoded_tags(tags)
     return struct.pack("<i", len(body)) + body
 
 
@@ -201,8 +239,10 @@ def block(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def write_bam(rows: DataFrame, references_: list[tuple[str, int]], folder: str) -> DataFrame:
-    """One BAM file for each partition of rows (the columns of encoded()); a table of (file, records)."""
+def write_bam(rows: DataFrame, references_: list[tuple[str, int]], folder: str, text: str = "") -> DataFrame:
+    """One BAM file for each partition of rows (the columns of encoded(), qual and tags if there); a table of (file, records).
+    text: the header's."""
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("qual", "binary"), ("tags", "map<string,string>")) if c not in rows.columns})
 
     def scan(batches):
         import uuid
@@ -211,7 +251,7 @@ def write_bam(rows: DataFrame, references_: list[tuple[str, int]], folder: str)
 
         store, top = storage(folder)
         store.create_dir(top, recursive=True)
-        head = b"BAM\x01" + struct.pack("<ii", 0, len(references_)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", x) for n, x in references_)
+        head = b"BAM\x01" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(references_)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", x) for n, x in references_)
         name, count, waiting = f"{uuid.uuid4().hex}.bam", 0, bytearray(head)
         with store.open_output_stream(f"{top}/{name}", compression=None) as out:
             for b in batches:
@@ -224,7 +264,7 @@ def write_bam(rows: DataFrame, references_: list[tuple[str, int]], folder: str)
             out.write(block(bytes(waiting)) + EOF_BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["file", "records"])
 
-    columns = ("refid", "pos", "mapq", "flag", "cigar", "next_refid", "next_pos", "tlen", "read_name", "seq")
+    columns = ("refid", "pos", "mapq", "flag", "cigar", "next_refid", "next_pos", "tlen", "read_name", "seq", "qual", "tags")
     from ..scratch import written
 
     return written(rows.select(*columns).mapInArrow(scan, "file string, records long"), "bam-files")
@@ -275,10 +315,8 @@ class BamReader(DataSourceReader):
                 if at is None:
                     return
                 b = Blocks(f, at)
-                start = first_record(b, part.refs)
-                if start is None:
+                if not first_record(b, part.refs, part.end):
                     return
-                b.drop(start)
             while b.want(4):
                 place, within = b.place()
                 if place >= part.end:

@@ -46,6 +46,8 @@ def test_columns(spark):
     assert tuple(edge.select(b, e).first()) == (1, 20)
     seqs = spark.createDataFrame([("ACGTN", bytearray([10, 20, 255])), ("", bytearray()), ("aR", None)], "seq string, qual binary")
     assert [tuple(r) for r in seqs.select(cigar.reverse_complement(), cigar.quality_sum()).collect()] == [("NACGT", 285), ("", 0), ("yt", 0)]
+    kept = spark.createDataFrame([("BDHVbdhvNnUuRx",)], "seq string")
+    assert kept.select(cigar.reverse_complement()).first()[0] == "xyaAnNvhdbVHDB"  # codes of three bases stay
     flags = spark.createDataFrame([(f,) for f in (99, 147, 0, 73, 133, 77)], "flag int")
     assert [r[0] for r in flags.select(mapping_class()).collect()] == [0, 0, 0, 2, 1, 1]
     assert [tuple(r) for r in spark.sql("SELECT '5M' AS cigar, '2A2' AS md, 10 AS pos").select(*discrepancies.counts(discrepancies.discrepancies())).collect()] == [(1, 0, 0)]

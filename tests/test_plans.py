@@ -211,3 +211,22 @@ def test_catalogue_against_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).map(lambda x: float(x) if isinstance(x, (int, float)) else str(x)).values.tolist()))
     assert rows(got) == rows(want)
+
+
+def test_rows_without_a_place_stay(spark):
+    from readloom.operators import reads
+
+    rows = [(1, "a", 0, 5, 9, 1), (2, "b", 0, 5, 8, 1), (3, "c", None, 5, 8, 1), (4, "d", 0, None, 8, 1), (5, "e", 0, None, 8, 1), (6, "f", 0, 5, None, None)]
+    found = reads.mark_duplicate_reads(spark.createDataFrame(rows, "ordinal long, read_name string, refid int, pos5p int, mapq int, sbasq int"))
+    assert {r.ordinal: r.is_dup for r in found.collect()} == {1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_unique_only_needs_nh(spark):
+    import pytest
+
+    from readloom.operators import reads
+
+    rows = spark.createDataFrame([(0, 1), (0, 2), (4, None)], "flag int, nh int")
+    assert reads.accepted(rows, unique_only=True).count() == 1
+    with pytest.raises(Exception, match="NH"):
+        reads.accepted(spark.createDataFrame([(0, None)], "flag int, nh int"), unique_only=True).collect()

@@ -141,3 +141,20 @@ def test_text_functions(spark):
     assert got == ["", "a", "r9", "r009b", "r10"]
     row = spark.sql("SELECT '/a/b/c.bam' AS p, timestamp'2024-02-03 04:05:06' AS t").select(text.basename("p"), *[text.formatted("t", k) for k in range(3)]).first()
     assert tuple(row) == ("c.bam", "Sat Feb 03 04:05:06 2024", "2024-02-03", "20240203:040506")
+
+
+@pytest.mark.parametrize("bases, split", [(200_000, 1 << 16), (60_000, 1 << 15), (10, 200)])
+def test_long_reads_over_splits(spark, tmp_path, bases, split):
+    """Records longer than a split, and splits shorter than a block, lose no row and repeat none."""
+    rng, text = random.Random(5), "@HD\tVN:1.6\n"
+    rows = [(0, 1 + i, 9, 0, f"{bases}M", 0, 1 + i, 0, f"r{i}", "".join(rng.choices("ACGT", k=bases)), bytes(rng.choices(range(41), k=bases)), {"NH": "1", "XS": "007"}) for i in range(24)]
+    names = "refid int, pos int, mapq int, flag int, cigar string, next_refid int, next_pos int, tlen int, read_name string, seq string, qual binary, tags map<string,string>"
+    bam.write_bam(spark.createDataFrame(rows, names).coalesce(1), [("chr1", 10_000_000)], f"file://{tmp_path}/bam", text)
+    found = bam.read_bam(spark, f"file://{tmp_path}/bam", split)
+    got = sorted(tuple(r) for r in found.select("pos", "cigar", "read_name", "seq", "qual", "tags").collect())
+    assert got == sorted((r[1], r[4], r[8], r[9], r[10], r[11]) for r in rows)
+    assert found.select("ordinal").distinct().count() == 24
+
+
+def test_bins():
+    assert [bam.bin_of(*x) for x in ((0, 1), (0, 1 << 14), (0, (1 << 14) + 1), (1 << 14, (1 << 14) + 5), (0, 1 << 29))] == [4681, 4681, 585, 4682, 0]
