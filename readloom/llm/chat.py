@@ -153,17 +153,18 @@ def _coded(rows: list[tuple]) -> list[tuple[int, tuple]]:
 
 def repair(turns: DataFrame) -> DataFrame:
     """One row for each row of turns (conv_id, turn, role, text): conv_id, turn, role, new_role, action (keep, relabel, merge
-    or relabel_merge), inserted_before, inserted_after (roles, comma-joined), cost, position (order within the
-    conversation: part and place) and fragment. The fragments of a conversation, in the order of part and place, are its
-    rendered text.
+    or relabel_merge), inserted_before, inserted_after (roles, comma-joined), cost, position (from 0, within the
+    conversation) and fragment. The fragments of a conversation, in the order of position, are its rendered text.
 
-    Turns are ordered by turn, role and text, nulls first, so repeated rows and ties have a fixed order. A role that is null or unknown
-    takes any role at the cost UNKNOWN; null text is empty. A row without conv_id is a conversation of its own.
+    Turns are ordered by turn, then role, nulls first; ties of both by a hash of the text, then the text. So the order hangs on the
+    rows alone, and equal rows are interchangeable. A role that is null or unknown takes any role at the cost UNKNOWN; null
+    and empty text is empty. A row without conv_id is a conversation of its own, at position 0. Other columns are not looked
+    at; without rows there are none in the result. Texts of any length are held one at a time.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id")), F.concat(F.lit("n"), F.monotonically_increasing_id()))
     rows = rows.withColumn("key", key).withColumn("tie", F.xxhash64("text"))
-    order = ["key", "turn", "role", "text"]
+    order = ["key", "turn", "role", "tie", "text"]
     dealt = rows.repartitionByRange("key", "turn", "role", "tie").sortWithinPartitions(*order).drop("tie")
     dealt = dealt.select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "turn", "role", "text", "conv_id")
     dealt = common.written(dealt, "chat-dealt")
@@ -174,7 +175,7 @@ def repair(turns: DataFrame) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for _, group in groups(batches, (0, 1)):
-            first, end, is_last = group[0][7], group[0][8], group[0][9]
+            first, end, is_last, before = group[0][7], group[0][8], group[0][9], group[0][10] or 0
             state = START if first is None else first
             costs, back = forward(_coded(group), one_hot(state))
             final = closed(costs) if end is None else end
@@ -185,7 +186,7 @@ def repair(turns: DataFrame) -> DataFrame:
                 relabelled = role_code(row[4]) != move[0]
                 action = "_".join(["relabel"] * relabelled + ["merge"] * move[3]) or "keep"
                 cost = move[1] + INSERT * len(after)
-                out.append((row[6], row[3], row[4], ROLES[move[0]], action, ROLES[move[2]] if move[2] is not None else "", ",".join(after), cost, row[1], row[2], text))
+                out.append((row[6], row[3], row[4], ROLES[move[0]], action, ROLES[move[2]] if move[2] is not None else "", ",".join(after), cost, before + i, text))
                 size += len(text) + 100
                 state = move[0]
                 if size > common.BATCH_BYTES // 2:
@@ -194,29 +195,31 @@ def repair(turns: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    met = dealt.join(bounds, ["key", "part"], "left").select("key", "part", "place", "turn", "role", "text", "conv_id", "first", "end", "is_last")
+    met = dealt.join(bounds, ["key", "part"], "left").select("key", "part", "place", "turn", "role", "text", "conv_id", "first", "end", "is_last", "before")
     met = met.repartition("key", "part").sortWithinPartitions("key", "part", "place")
-    return met.mapInArrow(solve, "conv_id long, turn long, role string, new_role string, action string, inserted_before string, inserted_after string, cost long, part int, place long, fragment string")
+    return met.mapInArrow(solve, "conv_id long, turn long, role string, new_role string, action string, inserted_before string, inserted_after string, cost long, position long, fragment string")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.int32(), pa.int64(), pa.string()]
-    names = ["conv_id", "turn", "role", "new_role", "action", "inserted_before", "inserted_after", "cost", "part", "place", "fragment"]
+    types = [pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.int64(), pa.string()]
+    names = ["conv_id", "turn", "role", "new_role", "action", "inserted_before", "inserted_after", "cost", "position", "fragment"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
 def _bounds(split: DataFrame) -> DataFrame:
-    """(key, part, first, end, is_last) of the parts of conversations that are in several: the states they lie between."""
+    """(key, part, first, end, is_last, before) of the parts of conversations that are in several: the states they lie between,
+    and the rows in earlier parts."""
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, part), group in groups(batches, (0, 1)):
             coded = _coded(group)
             costs = [[str(c) for c in forward(coded, one_hot(s))[0]] for s in range(4)]  # longer than 64 bits
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([sum(costs, [])])], ["key", "part", "costs"])
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([sum(costs, [])]), pa.array([len(group)], pa.int64())], ["key", "part", "costs", "n"])
 
     def chain(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("part").to_pylist(), table.column("costs").to_pylist()))
-        mats = [[[int(c[4 * s + t]) for t in range(4)] for s in range(4)] for _, c in rows]
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("costs").to_pylist(), table.column("n").to_pylist()))
+        mats = [[[int(c[4 * s + t]) for t in range(4)] for s in range(4)] for _, c, _ in rows]
+        earlier = [sum(r[2] for r in rows[:i]) for i in range(len(rows))]
         reach = [one_hot(START)]
         for m in mats:
             reach.append([min(FAR, min(reach[-1][s] + m[s][t] for s in range(4))) for t in range(4)])
@@ -225,12 +228,13 @@ def _bounds(split: DataFrame) -> DataFrame:
             ends.append(min(range(4), key=lambda s: before[s] + m[s][ends[-1]]))
         ends.reverse()
         n = len(rows)
-        return pa.table({"key": [key[0].as_py()] * n, "part": pa.array([p for p, _ in rows], pa.int32()), "first": pa.array(ends[:-1], pa.int32()), "end": pa.array(ends[1:], pa.int32()), "is_last": [i == n - 1 for i in range(n)]})
+        return pa.table({"key": [key[0].as_py()] * n, "part": pa.array([r[0] for r in rows], pa.int32()), "first": pa.array(ends[:-1], pa.int32()), "end": pa.array(ends[1:], pa.int32()), "is_last": [i == n - 1 for i in range(n)], "before": pa.array(earlier, pa.int64())})
 
     order = ["key", "part", "place"]
-    found = split.select("key", "part", "place", "turn", "role", "text").repartition("key", "part").sortWithinPartitions(*order).mapInArrow(matrices, "key string, part int, costs array<string>")
-    return common.written(found.groupBy("key").applyInArrow(chain, "key string, part int, first int, end int, is_last boolean"), "chat-bounds")
+    found = split.select("key", "part", "place", "turn", "role", "text").repartition("key", "part").sortWithinPartitions(*order).mapInArrow(matrices, "key string, part int, costs array<string>, n long")
+    return common.written(found.groupBy("key").applyInArrow(chain, "key string, part int, first int, end int, is_last boolean, before long"), "chat-bounds")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repair() of all conversations; see there for nulls, ties, repeats, long texts, empty tables and other columns."""
     return repair(common.table(spark, sf_dir, "conversations"))

@@ -68,7 +68,8 @@ def check(got, data):
         by_conv.setdefault(r.conv_id, []).append(r)
     assert len(got) == len(data)
     for conv, group in by_conv.items():
-        group.sort(key=lambda r: (r.part, r.place))
+        group.sort(key=lambda r: r.position)
+        assert [r.position for r in group] == list(range(len(group)))
         mine = sorted([r for r in data if r[0] == conv], key=lambda r: tuple((x is not None, x or "" if not isinstance(x, int) else x) for x in r[1:]))
         assert [(r.turn, r.role) for r in group] == [(r[1], r[2]) for r in mine]
         text = "".join(r.fragment for r in group)
@@ -88,8 +89,22 @@ def test_repair(spark, convs, most):
     got = chat.repair(frame(spark, data)).collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     check(got, data)
-    if convs == 1:
-        assert len({r.part for r in got}) > 1  # the conversation lies in several parts
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_order_hangs_on_rows_alone(spark, same):
+    """The rendered conversation is the same for any number of partitions, with ties in turn and role, too."""
+    rng = random.Random(7)
+    data = [(1, 0 if same else rng.randrange(3), "user" if same else rng.choice(ROLES), f"text {rng.randrange(900)}") for _ in range(1500)]
+    found = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 4, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted((r.position, r.turn or 0, r.role or "", r.new_role, r.action, r.cost, r.fragment) for r in chat.repair(frame(spark, rng.sample(data, len(data)))).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1500
 
 
 def test_odd_rows(spark):
