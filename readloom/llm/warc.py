@@ -231,7 +231,7 @@ def read_pages(index: DataFrame, folder: str) -> DataFrame:
         store, top = storage(folder)
         name, source = None, None
         for b in batches:
-            rows = []
+            rows, size_now = [], 0
             for archive, offset, length in zip(*(c.to_pylist() for c in b.columns)):
                 if archive != name:
                     name, source = archive, store.open_input_file(f"{top}/{archive}")
@@ -246,11 +246,20 @@ def read_pages(index: DataFrame, folder: str) -> DataFrame:
                     size = int(headers(http)["content-length"])
                     row = (size, base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(), fields["warc-type"], int(fields["x-refers-to-page"]), None)
                 rows.append((int(page) if page is not None else None, *row))
-            for group in common.by_bytes(((len(r[5] or b"") + 200, r) for r in rows), common.BATCH_BYTES):
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*group), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    near = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
+                size_now += len(row[4] or b"") + 200
+                if size_now > common.BATCH_BYTES:
+                    yield batch(rows)
+                    rows, size_now = [], 0
+            if rows:
+                yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+    # tasks by the bytes behind the index, not by the index's own
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    near = index.select("archive", "offset", "length").repartition(total // READ_BYTES + 1, "archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
     return near.mapInArrow(scan, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
@@ -268,6 +277,9 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES, broadcast_rows:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, payload_bytes, payload_digest, record_type and refers_to, read back from normalised archives. Null and
+    empty html are payloads of 0 bytes; of equal payloads, all rows with the largest page_id are responses; a row without page_id
+    keeps null and is a response; long pages are records of their own size; an empty table gives no rows."""
     folder = common.scratch_path(spark, "warc")
     archives = write_monolithic(with_revisits(common.table(spark, sf_dir, "pages")), f"{folder}/monolithic")
     index = normalise_archives(archives, f"{folder}/monolithic", f"{folder}/members")
