@@ -1,111 +1,58 @@
-"""Language-model scores by a hierarchical Pitman-Yor model of words and their spelling.
-
-The word restaurant seats every training token; its tables are draws from a spelling model, in which a word is its UTF-8
-bytes and an end. Spelling has a restaurant for each context of up to DEPTH = 3 bytes, which shares its parent, the context
-without its first byte, with all others that end alike; the root's parent is uniform. In contexts, bytes count by class
-(letters each, digits, marks, and the rest by remainder), so that there are CLASSES of them. Seating is sampled by Gibbs sweeps: all
-customers of a dish leave and are seated anew, one by one where there are few, in blocks that grow by a tenth beyond
-SINGLY. After BURN sweeps, KEPT samples are averaged in the predictive probabilities.
-
-Scale: counts cover every training document. Word counts stay a distributed table of (word, count); each sweep is one pass
-over it, and a word's seating is drawn from a hash of the word and the sweep, so that it is the same wherever it runs. Only the
-spelling customers come to the driver: at most 40^3 * 257 cells, a bound by alphabet, not by data. To score
-documents, the HEAD most frequent words are broadcast; all other words meet their counts in a shuffle join, in which none
-is frequent.
+"""Language-model scores by a hierarchical Pitman-Yor model of words in context.
+
+A restaurant for each previous word (or the end of a text before) seats the tokens that follow it. Its tables are customers of
+one restaurant that all of these contexts share, whose tables are spelled: a word is its UTF-8 bytes and an end, with a
+restaurant for each context of up to DEPTH = 2 bytes, which shares its parent, the context without its first byte, with all
+others that end alike; the root's parent is uniform. In spelling contexts bytes count by class (letters each, digits, marks,
+and the rest by remainder), so there are CLASSES of them. So every word has a probability, known or not.
+
+Seating is sampled by Gibbs sweeps, a dish at a time (seating.seat), with the other dishes' tables as they were after the
+sweep before; so the dishes of a sweep can be worked on anywhere. Discounts are estimated from the numbers of dishes of one
+and two customers, strengths are drawn from their likelihood on a grid. The predictive probabilities of the last KEPT sweeps
+are averaged.
+
+Scale: what is counted grows with the corpus, and is nowhere in one place. Texts come in chunks of CHUNK bytes, whose distinct
+(previous word, word) pairs meet in buckets of pairs by a hash of both, and whose distinct words meet in buckets of words;
+no pair or word is frequent there, since each chunk sends it once. Chunks and buckets exchange sorted arrays of hashes and
+small counts; of a pair in several chunks one is the owner, which seats it. What chunks and buckets keep between sweeps lies in files of the shared
+folder, whose names follow from the input, so a task that is run again writes the same. To the driver and back go sums and the
+spelling, of at most CLASSES ** 2 * SIZE = 411,200 cells. Words and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .seating import drawn_strength, log_strengths, seat
 
-DEPTH = 3
+DEPTH = 2
 SIZE = 257  # bytes and the end of a word
 END = 256
 CLASSES = 40
 START = 0  # as context: the beginning of a word
 #: Class of each byte in a context: 1 to 26 letters, 27 digits, 28 other ASCII, 29 to 39 the rest.
 CLASS = np.array([i - 96 if 97 <= i <= 122 else 27 if 48 <= i <= 57 else 28 if i < 128 else 29 + i % 11 for i in range(256)] + [START], np.int64)
-DISCOUNT, STRENGTH = 0.75, 10.0
-WORD_STRENGTH = 100.0
-BURN, KEPT = 2, 3
-SINGLY = 32
-#: Words that are broadcast for scoring: about 120 bytes each in a worker.
-HEAD = 131_072
-#: Words that a counting task gathers before it hands them on.
-GATHERED = 500_000
+DISCOUNT, STRENGTH = 0.75, 10.0  # of the spelling
+STRENGTHS = 2.0 ** np.arange(-4, 24)
+SWEEPS, KEPT = 2, 2
+#: Bytes of text of a chunk, and of the texts that one bucket of pairs or words stands for.
+CHUNK = 16 << 20
+PAIR_BUCKET, WORD_BUCKET = 24 << 20, 64 << 20
 #: The end of a text, a token that no word can be (words hold no white space).
 TEXT_END = b"\n"
-
-
-def words(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lowered; bytes.lower and bytes.split know ASCII only."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
-    """Numbers in (0, 1) from hashes and a salt."""
-    z = h ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-
-def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, h: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of each dish after its customers are seated anew. base: the parent's probability of the dish, others: tables
-    of the restaurant's other dishes. A customer opens a table in proportion to (strength + discount * tables) * base, and
-    joins one of its dish in proportion to customers - discount * tables of it. Blocks draw from the normal limit of
-    their binomial where it is wide, else from a Poisson."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    seated, step = tables.copy(), 0
-    live = np.flatnonzero(customers > seated)
-    while len(live):
-        n, t = seated[live], tables[live]
-        block = np.where(n < SINGLY, 1, np.minimum(np.floor(n * 0.1), customers[live] - n))
-        opens = (strength + discount * (others[live] + t)) * base[live]
-        p = opens / (opens + np.maximum(n - discount * t, 1e-9))
-        step += 1
-        u = _uniform(h[live], salt * 4099 + step)
-        mean = block * p
-        wide = mean + np.sqrt(np.maximum(mean * (1 - p), 0)) * _normal(u)
-        drawn = np.where(block == 1, u < p, np.where(mean > 12, np.clip(np.rint(wide), 0, block), np.minimum(_poisson(mean, u), block)))
-        tables[live] += drawn
-        seated[live] += block
-        live = live[seated[live] < customers[live]]
-    return tables
-
-
-def _normal(u: np.ndarray) -> np.ndarray:
-    """Quantiles of the normal distribution (Winitzki's inverse of the error function, to 0.4 %)."""
-    x = 2 * u - 1
-    log = np.log(np.maximum(1 - x * x, 1e-300))
-    a = 2 / (math.pi * 0.147) + log / 2
-    return math.sqrt(2) * np.sign(x) * np.sqrt(np.sqrt(a * a - log / 0.147) - a)
-
-
-def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Quantiles of Poisson distributions of means up to about 12."""
-    k, term = np.zeros(len(mean)), np.exp(-np.minimum(mean, 50))
-    total, go = term.copy(), np.ones(len(mean), bool)
-    for i in range(1, 64):
-        go &= total < u
-        if not go.any():
-            break
-        k[go] = i
-        term = term * mean / i
-        total += term
-    return k
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass
@@ -145,15 +92,21 @@ class Spelling:
                 old = before.levels[d]
                 at, hit = _find(old.contexts, keys // SIZE)
                 rest[hit] = old.open[at[hit]]
-                own, has = _find(old.keys, keys)
-                rest[has] -= old.tables[own[has]]
-            tables = seat(customers, base, rest, DISCOUNT, STRENGTH, keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), sweep * 16 + d)
+                rest -= before.tables_of(keys, d)
+            was = np.zeros(len(keys)) if before is None else before.tables_of(keys, d)
+            tables = seat(was, customers, base, rest, DISCOUNT, STRENGTH, keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), sweep * 16 + d)
             levels.append(Level.of(keys, customers, tables))
             if d:
                 parents, at = np.unique(_shorter(keys, d - 1), return_inverse=True)
                 keys, customers = parents, np.bincount(at, tables, len(parents))
         return cls(levels[::-1])
 
+    def tables_of(self, keys: np.ndarray, d: int) -> np.ndarray:
+        at, hit = _find(self.levels[d].keys, keys)
+        out = np.zeros(len(keys))
+        out[hit] = self.levels[d].tables[at[hit]]
+        return out
+
     def probability(self, keys: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         """Predictive probability of each key's byte in its context of `depth` symbols."""
         p = np.full(len(keys), 1.0 / SIZE)
@@ -203,192 +156,456 @@ def spell(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key, begin
 
 
-def _hashes(batch: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in batch), np.uint64, len(batch))
+def packed(**arrays) -> bytes:
+    """Arrays as one compressed value: sorted 64-bit hashes by their differences, whole numbers in as few bytes as hold them."""
+    out = {}
+    for k, v in arrays.items():
+        if isinstance(v, np.ndarray) and v.dtype == np.uint64 and k == "keys":
+            out[k] = np.ascontiguousarray(np.diff(v, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+        elif isinstance(v, np.ndarray) and v.dtype.kind in "iu" and v.dtype != np.uint64:
+            small = np.min_scalar_type(int(v.max()) if len(v) else 0)
+            out[k] = v.astype(small if small.itemsize < 8 else np.int64)
+        else:
+            out[k] = v
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, 5))
 
 
-@dataclass
-class Sample:
-    """A state of the sampler: the word restaurant's tables in all, and the spelling."""
+def unpacked(blob: bytes) -> dict:
+    out = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    if "keys" in out and out["keys"].ndim == 2:
+        out["keys"] = np.cumsum(np.ascontiguousarray(out["keys"].T).view(np.uint64).ravel(), dtype=np.uint64)
+    return {k: v.astype(np.int64) if isinstance(v, np.ndarray) and v.dtype.kind in "iu" and v.itemsize < 8 else v for k, v in out.items()}
 
-    sweep: int
-    tables: float
-    spelling: Spelling
-    discount: float
 
-    def seat_words(self, batch: list[bytes], counts: np.ndarray, base: np.ndarray) -> np.ndarray:
-        return seat(counts, base, np.full(len(counts), self.tables), self.discount, WORD_STRENGTH, _hashes(batch), self.sweep)
+class Files:
+    """Values by name in a folder that all executors share."""
 
+    def __init__(self, folder: str):
+        self.folder = folder
 
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all rows, in the shared folder; the end of each text is the token TEXT_END."""
+    def put(self, name: str, **arrays) -> None:
+        store, top = common.storage(self.folder)
+        store.create_dir(top, recursive=True)
+        part = f"{top}/{name}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part, compression=None) as f:
+            f.write(packed(**arrays))
+        store.move(part, f"{top}/{name}")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def get(self, name: str) -> dict:
+        store, top = common.storage(self.folder)
+        with store.open_input_stream(f"{top}/{name}", compression=None) as f:
+            return unpacked(f.read())
 
-        def flush():
-            items = list(counts.items())
-            counts.clear()
-            for i in range(0, len(items), 65536):
-                w, n = zip(*items[i : i + 65536])
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-        for b in batches:
-            for x in b.column(0):
-                counts.update(words(x.as_py()))
-                counts[TEXT_END] += 1
-                if len(counts) > GATHERED:
-                    yield from flush()
-        yield from flush()
-
-    local = docs.select(F.col(text_col).alias("t")).mapInArrow(scan, "word binary, n long")
-    return common.written(local.groupBy("word").agg(F.sum("n").alias("n")), "hpylm-words")
-
-
-class Model:
-    """What scoring needs besides the table of words: totals and the kept samples."""
-
-    def __init__(self, total: int, distinct: int, samples: list[Sample]):
-        self.total, self.distinct, self.samples = total, distinct, samples
-
-    def log10_words(self, batch: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 of the predictive probability of each word, averaged over the samples; count 0: a word not trained on."""
-        out = np.zeros(len(batch))
-        for i in range(0, len(batch), 16384):
-            part, n = batch[i : i + 16384], counts[i : i + 16384].astype(np.float64)
-            keys, begin = spell(part)
-            total = 0.0
-            for s in self.samples:
-                base = np.exp(s.spelling.log_words(keys, begin))
-                mine = np.maximum(n - s.discount * s.seat_words(part, n, base), 0)
-                total = total + (mine + (WORD_STRENGTH + s.discount * s.tables) * base) / (WORD_STRENGTH + self.total)
-            out[i : i + 16384] = np.log10(np.maximum(total / len(self.samples), 1e-300))
-        return out
+MESSAGE = "chunk long, bucket long, kind int, blob binary, cell long, n double"
 
 
-def train(counts: DataFrame, burn: int = BURN, kept: int = KEPT) -> Model:
-    """Gibbs sweeps over the table of words. Without any training text the model is the uniform spelling."""
-    spark = counts.sparkSession
-    total, distinct, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    state = Sample(1, 0.0, Spelling([Level.of(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * (DEPTH + 1)), discount)
-    samples = []
-    for sweep in range(1, burn + kept + 1):
-        spread = spark.sparkContext.broadcast(state)
-
-        def scan(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
-            cells: dict[int, float] = {}
-            s = spread.value
-            all_tables = 0.0
-            for b in batches:
-                batch, n = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
-                keys, begin = spell(batch)
-                base = np.exp(s.spelling.log_words(keys, begin))
-                tables = s.seat_words(batch, n, base)
-                all_tables += tables.sum()
-                unique, at = np.unique(keys, return_inverse=True)
-                sums = np.bincount(at, np.repeat(tables, np.diff(begin, append=len(keys))), len(unique))
-                for k, v in zip(unique.tolist(), sums.tolist()):
-                    cells[k] = cells.get(k, 0.0) + v
-            cells[-1] = all_tables
-            items = list(cells.items())
-            for i in range(0, len(items), 65536):
-                k, v = zip(*items[i : i + 65536])
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.float64())], ["key", "n"])
-
-        found = counts.mapInArrow(scan, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
-        tables = float(n[keys < 0].sum())
-        order = np.argsort(keys[keys >= 0])
-        spelling = Spelling.seated(keys[keys >= 0][order], n[keys >= 0][order], state.spelling if sweep > 1 else None, sweep)
-        state = Sample(sweep + 1, tables, spelling, discount)
-        if sweep > burn:
-            samples.append(state)
-    return Model(int(total), int(distinct), samples)
-
-
-def score(docs: DataFrame, counts: DataFrame, model: Model, keep: list[str], text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """`row`, a struct of the columns `keep`, with n_tokens, n_known, base_score (unigrams, one added) and score, both log10.
-
-    Null texts are empty: the end alone. Repeated rows are scored each.
-    """
-    spark = docs.sparkSession
-    rated = common.written(_rated(counts, model), "hpylm-rated")
-    top = rated.filter(F.col("n") >= _least_of_head(rated, head)).toArrow()
-    most = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), zip(top.column("n").to_pylist(), top.column("logp").to_pylist()))))
-    spread = spark.sparkContext.broadcast(model)
-    least = math.log10(model.total + model.distinct + 1)
-    kept = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"))
-    row_type = kept.schema["row"].dataType.simpleString()
+def message(chunk: int, bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
+    """What a chunk and a bucket send each other."""
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket]), pa.array([kind], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.float64())], ["chunk", "bucket", "kind", "blob", "cell", "n"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = most.value
-        for b in batches:
-            out = []
-            for text in b.column(1):
-                found = Counter(words(text.as_py()))
-                found[TEXT_END] += 1
-                tokens = seen = 0
-                base = logp = 0.0
-                tail = []
-                for w, c in found.items():
-                    tokens += c
-                    if (hit := known.get(w)) is None:
-                        tail.append({"word": w, "c": c})
-                    else:
-                        seen += c
-                        base += c * (math.log10(hit[0] + 1) - least)
-                        logp += c * hit[1]
-                out.append((tokens, seen, base, logp, tail))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["row", "tokens", "seen", "base", "logp", "tail"])
-
-    rows = kept.mapInArrow(scan, f"row {row_type}, tokens long, seen long, base double, logp double, tail array<struct<word:binary,c:bigint>>")
-    rows = common.written(rows.withColumn("at", F.monotonically_increasing_id()), "hpylm-documents")
-    tail = rows.select("at", F.explode("tail").alias("x")).select("at", "x.word", "x.c")
-    met = tail.join(rated.select("word", "n", "logp"), "word", "left")
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column(3).fill_null(0).to_numpy()
-            logp = b.column(4).fill_null(0.0).to_numpy(zero_copy_only=False).copy()
-            new = np.flatnonzero(n == 0)
-            if len(new):
-                new_words = b.column(1).take(pa.array(new)).to_pylist()
-                logp[new] = spread.value.log10_words(new_words, np.zeros(len(new)))
-            c = b.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.where(n > 0, c, 0)), pa.array(c * (np.log10(n + 1.0) - least)), pa.array(c * logp)], ["at", "seen", "base", "logp"])
-
-    rest = met.select("at", "word", "c", "n", "logp").mapInArrow(rate, "at long, seen long, base double, logp double")
-    rest = rest.groupBy("at").agg(*[F.sum(x).alias(f"more_{x}") for x in ("seen", "base", "logp")])
-    rest = common.written(rest, "hpylm-tails")
-    all_of = lambda x: (F.col(x) + F.coalesce(f"more_{x}", F.lit(0)))
-    return rows.drop("tail").join(rest, "at", "left").select("row", F.col("tokens").alias("n_tokens"), all_of("seen").cast("long").alias("n_known"), all_of("base").alias("base_score"), all_of("logp").alias("score"))
-
-
-def _least_of_head(rated: DataFrame, head: int) -> int:
-    """The count from which on words are broadcast: at most `head` have it. Counts are sorted into eighths of octaves."""
-    eighth = F.floor(F.log2(F.col("n")) * 8 + 1e-9).cast("int")
-    bins = sorted(((r["bin"], r["least"], r["words"]) for r in rated.groupBy(eighth.alias("bin")).agg(F.min("n").alias("least"), F.count("*").alias("words")).collect()), reverse=True)
-    least, words_in = 1 << 62, 0
-    for _, n, w in bins:
-        words_in += w
-        if words_in > head:
-            break
-        least = n
-    return least
-
-
-def _rated(counts: DataFrame, model: Model) -> DataFrame:
-    """(word, n, logp) of all training words."""
-    spread = counts.sparkSession.sparkContext.broadcast(model)
+
+def cells(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Numbers that are summed by cell over all buckets."""
+    k = len(keys)
+    return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(keys, pa.int64()), pa.array(n, pa.float64())], ["chunk", "bucket", "kind", "blob", "cell", "n"])
+
+
+def sums(found: DataFrame) -> dict[int, float]:
+    """Cells of a written exchange, summed: a few totals, and the spelling's of at most CLASSES ** DEPTH * SIZE."""
+    t = found.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(t.column("cell").to_pylist(), t.column("n").to_pylist()))
+
+
+def exchanged(sent: DataFrame, to: str, parts: int, work: Callable, schema: str = MESSAGE) -> DataFrame:
+    """work(key, [(other, kind, blob)]) for each bucket or chunk (`to`), with its messages in the order of sender and kind."""
+    other = "chunk" if to == "bucket" else "bucket"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for b in batches:
-            logp = spread.value.log10_words(b.column(0).to_pylist(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(logp)], ["word", "n", "logp"])
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != key:
+                    if held:
+                        yield from work(key, held)
+                    key, held = row[0], []
+                held.append(row[1:])
+        if held:
+            yield from work(key, held)
+
+    rows = sent.filter("blob is not null").select(to, other, "kind", "blob")
+    return rows.repartition(parts, to).sortWithinPartitions(to, other, "kind").mapInArrow(scan, schema)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, first place of each, number of each place's key); as numpy.unique, by the faster unstable sort."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    begin = np.flatnonzero(new)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[begin], np.minimum.reduceat(order, begin), which
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words as binary, by falling number; ids of all tokens; number of tokens of each text). A-Z are lowered, words
+    part at ASCII white space, and TEXT_END ends each text; null is the empty text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.values.dictionary_encode()
+    ids, ends = flat.indices.to_numpy(), lists.offsets.to_numpy()
+    empty = pc.index(flat.dictionary, pa.scalar("")).as_py() if len(flat.dictionary) else -1
+    if empty >= 0:
+        keep = ids != empty
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        ids = ids[keep]
+    counts = np.diff(ends)
+    end = len(flat.dictionary)
+    out = np.empty(len(ids) + len(counts), np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    out[np.cumsum(counts) + np.arange(len(counts))] = end
+    times = np.bincount(out, minlength=end + 1)
+    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    rank = np.empty(end + 1, np.int32)
+    rank[order] = np.arange(len(order))
+    words = pa.concat_arrays([flat.dictionary.cast(pa.binary()), pa.array([TEXT_END], pa.binary())])
+    return words.take(pa.array(order)), rank[out], counts + 1
 
-    return counts.select("word", "n").mapInArrow(scan, "word binary, n long, logp double")
+
+@dataclass
+class Pairs:
+    """The distinct (previous, word) pairs of a chunk, sorted by their hash: keys, ids of both, and the pair of each token."""
+
+    keys: np.ndarray
+    previous: np.ndarray
+    word: np.ndarray
+    of_token: np.ndarray
+
+    @classmethod
+    def of(cls, h: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> Pairs:
+        previous = np.roll(tokens, 1)  # a text's first token follows the end of the text before, or of the last one
+        key = h[previous] * _MIX[0] + (h[tokens] ^ (h[tokens] >> np.uint64(29))) * _MIX[1]
+        key ^= key >> np.uint64(32)
+        key *= _MIX[0]
+        key ^= key >> np.uint64(29)
+        keys, first, of_token = distinct(key)
+        return cls(keys, previous[first], tokens[first], of_token)
+
+
+def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, slice) of sorted 64-bit hashes: a bucket is a range of their upper halves."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+        yield int(bucket[a]), slice(a, z)
+
+
+@dataclass(frozen=True)
+class State:
+    """Parameters and totals after a sweep: of the contexts (1) and of the restaurant that they share (0)."""
+
+    discount1: float
+    strength1: float
+    discount0: float
+    strength0: float
+    customers0: float
+    tables0: float
+    spelling: Spelling
+
+    def words(self, rest: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Probabilities of words in no context. rest: customers less the discount of their tables."""
+        return (rest + (self.strength0 + self.discount0 * self.tables0) * spelled) / (self.strength0 + self.customers0)
+
+
+def discount(once: float, twice: float) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
+class Trainer:
+    """One run over a table of texts: what chunks and buckets do in each exchange."""
+
+    def __init__(self, spark: SparkSession, folder: str, text_bytes: int):
+        self.spark, self.files = spark, Files(folder)
+        self.chunks = text_bytes // CHUNK + 1
+        self.pair_buckets, self.word_buckets = text_bytes // PAIR_BUCKET + 1, text_bytes // WORD_BUCKET + 1
+
+    def read(self, docs: DataFrame) -> DataFrame:
+        """docs (row, text, trained) in chunks: writes each chunk's file and sends its pairs."""
+        files, buckets = self.files, self.pair_buckets
+
+        def chunk(number: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            words, tokens, counts = tokenised(table.column(1).combine_chunks() if table.num_rows else pa.array([], pa.string()))
+            trained = np.repeat(table.column(2).to_numpy(zero_copy_only=False).astype(bool), counts)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.select([0]).schema) as w:
+                w.write_table(table.select([0]))
+            pairs = Pairs.of(hashes(words), tokens, counts)
+            files.put(f"chunk-{number}", words=words.to_pylist(), tokens=tokens, counts=counts, trained=np.packbits(trained).tobytes(), rows=sink.getvalue().to_pybytes())
+            n = np.bincount(pairs.of_token[trained], minlength=len(pairs.keys))
+            for bucket, at in slices(pairs.keys, buckets):
+                yield message(number, bucket, 0, packed(keys=pairs.keys[at], n=n[at]))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
+            for b in batches:
+                more = pc.sum(pc.binary_length(b.column(1))).as_py() or 0
+                if held and size + more > CHUNK:
+                    yield from chunk(part << 32 | serial, pa.Table.from_batches(held))
+                    serial, held, size = serial + 1, [], 0
+                held.append(b)
+                size += more
+            if held:
+                yield from chunk(part << 32 | serial, pa.Table.from_batches(held))
+
+        return docs.mapInArrow(scan, MESSAGE)
+
+    def pair_bucket(self) -> Callable:
+        """Adds up the numbers of pairs and names an owner of each. Sends back twice the number, and one to the owner."""
+        files = self.files
+
+        def work(bucket: int, sent: list) -> Iterator[pa.RecordBatch]:
+            got = [unpacked(blob) for _, _, blob in sent]
+            sizes = [len(g["keys"]) for g in got]
+            unique, first, which = distinct(np.concatenate([g["keys"] for g in got]))
+            n = np.bincount(which, np.concatenate([g["n"] for g in got]), len(unique)).astype(np.int64)
+            owner = np.zeros(len(which), bool)
+            owner[first] = True
+            many = n > 1
+            place = np.cumsum(many) - 1
+            kept = many[which]
+            ends = np.cumsum(sizes)
+            files.put(f"pairs-{bucket}", chunks=[c for c, _, _ in sent], which=place[which[kept]], owner=np.packbits(owner[kept]).tobytes(), sizes=np.array([kept[z - s : z].sum() for s, z in zip(sizes, ends)]))
+            for (chunk, _, _), s, z in zip(sent, sizes, ends):
+                yield message(chunk, bucket, 0, packed(n=2 * n[which[z - s : z]] + owner[z - s : z]))
+            yield cells(np.array([-1, -2]), np.array([(n == 1).sum(), (n == 2).sum()], float))
+
+        return work
+
+    def chunk_words(self) -> Callable:
+        """From the pairs' numbers: what this chunk's own pairs add to each word as a dish and as a context. Sends the words."""
+        files, buckets = self.files, self.word_buckets
+
+        def work(chunk: int, sent: list) -> Iterator[pa.RecordBatch]:
+            c = files.get(f"chunk-{chunk}")
+            words = pa.array(c["words"], pa.binary())
+            h = hashes(words)
+            pairs = Pairs.of(h, c["tokens"], c["counts"])
+            n = np.concatenate([unpacked(blob)["n"] for _, _, blob in sent]).astype(np.int64)
+            own, n = n % 2 == 1, n // 2
+            order = np.argsort(h)
+            trained = np.unpackbits(np.frombuffer(c["trained"], np.uint8), count=len(c["tokens"])).astype(bool)
+            size = len(h)
+            count = lambda ids, w=None: np.bincount(ids, w, size)[order].astype(np.int64)
+            once, many = own & (n == 1), own & (n > 1)
+            files.put(f"numbers-{chunk}", n=n)
+            place = np.empty(size, np.int64)
+            place[order] = np.arange(size)
+            files.put(f"own-{chunk}", order=order, h=h[order], keys=pairs.keys[many], previous=place[pairs.previous[many]], word=place[pairs.word[many]], n=n[many], dishes=count(pairs.word[once]), contexts=count(pairs.previous[once]))
+            sent_arrays = {"n": count(c["tokens"][trained]), "customers": count(pairs.word[own & (n > 0)]), "tables": count(pairs.previous[own & (n > 0)]), "following": count(pairs.previous[own], n[own])}
+            sorted_words = words.take(pa.array(order)).to_pylist()
+            for bucket, at in slices(h[order], buckets):
+                yield message(chunk, bucket, 0, packed(keys=h[order][at], words=sorted_words[at], **{k: v[at] for k, v in sent_arrays.items()}))
+
+        return work
+
+    def word_bucket(self, sweep: int, state: State | None, keep: list[State], last: bool) -> Callable:
+        """Adds up what chunks send of words, seats them in the restaurant that contexts share, and sends back for each: what is
+        left of its customers, its spelling's probability, and its tables as a context. With the last sweep, that of all kept ones,
+        and the fixed numbers. To the driver: totals, the likelihood of strengths, and the spelling's customers."""
+        files, spread = self.files, self.spark.sparkContext.broadcast((state, keep))
+
+        def work(bucket: int, sent: list) -> Iterator[pa.RecordBatch]:
+            state = spread.value[0]
+            got = [unpacked(blob) for _, _, blob in sent]
+            fixed = {}
+            if sweep == 0:
+                sizes = [len(g["keys"]) for g in got]
+                unique, first, which = distinct(np.concatenate([g["keys"] for g in got]))
+                every = [w for g in got for w in g["words"]]
+                fixed = {"sizes": np.array(sizes), "which": which, "words": [every[i] for i in first], "h": unique}
+                for k in ("n", "following"):
+                    fixed[k] = np.bincount(which, np.concatenate([g[k] for g in got]), len(unique)).astype(np.int64)
+                files.put(f"words-{bucket}", **fixed)
+                was = np.zeros(len(unique))
+            else:
+                fixed = files.get(f"words-{bucket}")
+                was = files.get(f"seated-{bucket}-{sweep - 1}")["seated"].astype(float)
+            which, size = fixed["which"], len(fixed["h"])
+            customers, tables = (np.bincount(which, np.concatenate([g[k] for g in got]), size) for k in ("customers", "tables"))
+            spelled = np.empty(size)
+            parts = [slice(i, i + 32768) for i in range(0, size, 32768)]
+            for at in parts:
+                keys, begin = spell(fixed["words"][at])
+                spelled[at] = np.exp(state.spelling.log_words(keys, begin))
+            # words of no customers so far have no discount to speak of: the first sweep seats all anew
+            seated = seat(was, customers, spelled, np.maximum(state.tables0 - was, 0), state.discount0, state.strength0, fixed["h"], 8 * sweep + 1)
+            files.put(f"seated-{bucket}-{sweep}", seated=seated.astype(np.int64), customers=customers.astype(np.int64), spelled=spelled, tables=tables.astype(np.int64))
+            ends = np.cumsum(fixed["sizes"])
+            reply = {"rest": (customers - state.discount0 * seated).astype(np.float32), "spelled": spelled.astype(np.float32), "tables": tables.astype(np.int64)}
+            if last:
+                reply = {"n": fixed["n"], "following": fixed["following"]}
+                for i, kept_state in enumerate(spread.value[1]):
+                    k = files.get(f"seated-{bucket}-{sweep - len(spread.value[1]) + 1 + i}")
+                    reply |= {f"rest{i}": (k["customers"] - kept_state.discount0 * k["seated"]).astype(np.float32), f"spelled{i}": k["spelled"].astype(np.float32), f"tables{i}": k["tables"].astype(np.int64)}
+            for (chunk, _, _), s, z in zip(sent, fixed["sizes"], ends):
+                yield message(chunk, bucket, 1, packed(**{k: v[which[z - s : z]] for k, v in reply.items()}))
+            yield cells(-10 - np.arange(6), np.array([customers.sum(), seated.sum(), (customers == 1).sum(), (customers == 2).sum(), fixed["n"].sum(), (fixed["n"] > 0).sum()], float))
+            yield cells(-100 - np.arange(len(STRENGTHS)), log_strengths(STRENGTHS, state.discount1, fixed["following"], tables))
+            letters = np.zeros(CLASSES**DEPTH * SIZE)
+            for at in parts:
+                some, part = np.flatnonzero(seated[at]), fixed["words"][at]
+                keys, begin = spell([part[i] for i in some.tolist()])
+                letters += np.bincount(keys, np.repeat(seated[at][some], np.diff(begin, append=len(keys))), len(letters))
+            used = np.flatnonzero(letters)
+            yield cells(used, letters[used])
+
+        return work
+
+    def chunk_sweep(self, sweep: int, state: State) -> Callable:
+        """Seats this chunk's own pairs of two customers or more, and sends what all of its own pairs add to its words."""
+        files, buckets, spread = self.files, self.word_buckets, self.spark.sparkContext.broadcast(state)
+
+        def work(chunk: int, sent: list) -> Iterator[pa.RecordBatch]:
+            state, c = spread.value, files.get(f"own-{chunk}")
+            got = [unpacked(blob) for _, _, blob in sent]
+            rest, spelled, tables = (np.concatenate([g[k] for g in got]).astype(float) for k in ("rest", "spelled", "tables"))
+            p = state.words(rest, spelled)
+            was = np.zeros(len(c["n"])) if sweep == 1 else files.get(f"tables-{chunk}-{sweep - 1}")["t"].astype(float)
+            others = np.maximum(tables[c["previous"]] - np.maximum(was, 1), 0)
+            t = seat(was, c["n"], p[c["word"]], others, state.discount1, state.strength1, c["keys"], 8 * sweep + 2).astype(np.int64)
+            files.put(f"tables-{chunk}-{sweep}", t=t)
+            size = len(rest)
+            customers = c["dishes"] + np.bincount(c["word"], t, size).astype(np.int64)
+            opened = c["contexts"] + np.bincount(c["previous"], t, size).astype(np.int64)
+            for bucket, at in slices(c["h"], buckets):
+                yield message(chunk, bucket, 0, packed(customers=customers[at], tables=opened[at]))
+
+        return work
+
+    def chunk_tables(self, sweeps: list[int]) -> Callable:
+        """Sends the tables of this chunk's own pairs in the kept sweeps to the buckets of pairs."""
+        files, buckets = self.files, self.pair_buckets
+
+        def work(chunk: int, sent: list) -> Iterator[pa.RecordBatch]:
+            keys = files.get(f"own-{chunk}")["keys"]
+            kept = {f"t{i}": files.get(f"tables-{chunk}-{s}")["t"] for i, s in enumerate(sweeps)}
+            for bucket, at in slices(keys, buckets):
+                yield message(chunk, bucket, 0, packed(**{k: t[at] for k, t in kept.items()}))
+
+        return work
+
+    def all_tables(self, kept: int) -> Callable:
+        """Sends the tables of pairs, as their owners have them, to every chunk that has the pair."""
+        files = self.files
+
+        def work(bucket: int, sent: list) -> Iterator[pa.RecordBatch]:
+            c = files.get(f"pairs-{bucket}")
+            which, owner = c["which"].astype(np.int64), np.unpackbits(np.frombuffer(c["owner"], np.uint8), count=len(c["which"])).astype(bool)
+            got = [unpacked(blob) for _, _, blob in sent]
+            ends = np.cumsum(c["sizes"])
+            tables = {}
+            for i in range(kept):
+                t = np.zeros(int(which.max()) + 1 if len(which) else 0, np.int64)
+                t[which[owner]] = np.concatenate([g[f"t{i}"] for g in got])
+                tables[f"t{i}"] = t
+            for chunk, s, z in zip(c["chunks"], c["sizes"], ends):
+                if s:
+                    yield message(chunk, bucket, 0, packed(**{k: t[which[z - s : z]] for k, t in tables.items()}))
+
+        return work
+
+    def chunk_scores(self, keep: list[State], total: float, kinds: float) -> Callable:
+        """The scores of a chunk's texts."""
+        files, spread = self.files, self.spark.sparkContext.broadcast(keep)
+
+        def work(chunk: int, sent: list) -> Iterator[pa.RecordBatch]:
+            keep, c = spread.value, files.get(f"chunk-{chunk}")
+            own, n = files.get(f"own-{chunk}"), files.get(f"numbers-{chunk}")["n"].astype(float)
+            order, h = own["order"], np.empty_like(own["h"])
+            h[order] = own["h"]
+            pairs = Pairs.of(h, c["tokens"], c["counts"])
+            from_words, from_pairs = ([unpacked(blob) for _, kind, blob in sent if kind == k] for k in (1, 0))
+
+            def of_words(name: str) -> np.ndarray:
+                out = np.empty(len(order))
+                out[order] = np.concatenate([g[name] for g in from_words])
+                return out
+
+            following, known = of_words("following"), of_words("n")
+            p = np.zeros(len(n))
+            for i, s in enumerate(keep):
+                t = np.minimum(n, 1)
+                t[n > 1] = np.concatenate([g[f"t{i}"] for g in from_pairs]) if from_pairs else 0
+                word = s.words(of_words(f"rest{i}"), of_words(f"spelled{i}"))
+                fell = s.strength1 + s.discount1 * of_words(f"tables{i}")
+                p += (n - s.discount1 * t + fell[pairs.previous] * word[pairs.word]) / (s.strength1 + following[pairs.previous])
+            logp = np.log10(np.maximum(p / len(keep), 1e-300))[pairs.of_token]
+            base = np.log10((known + 1) / (total + kinds + 1))[c["tokens"]]
+            spelled = (np.fromiter(map(len, c["words"]), float, len(h)) + 1) * (known == 0)
+            begin = np.cumsum(c["counts"]) - c["counts"]
+            add = lambda x: np.add.reduceat(x, begin)
+            rows = pa.ipc.open_stream(c["rows"]).read_all().combine_chunks().column(0)
+            rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+            yield pa.RecordBatch.from_arrays([rows, pa.array(c["counts"].astype(np.int64)), pa.array(add((known > 0)[c["tokens"]].astype(np.int64))), pa.array(add(base)), pa.array(add(logp)), pa.array(add(spelled[c["tokens"]]).astype(np.int64))], ["row", "n_tokens", "n_known", "base_score", "score", "unknown_bytes"])
+
+        return work
+
+
+def score(docs: DataFrame, keep: list[str], trained: Column, text_col: str = "text", sweeps: int = SWEEPS, kept: int = KEPT) -> DataFrame:
+    """`row`, a struct of the columns `keep`, with n_tokens, n_known, train_tokens, base_score (unigrams, one added), score, both
+    log10, and unknown_bytes (bytes and word ends of tokens that no trained text has).
+
+    The model learns from the rows where `trained` is true; others, and null, are scored only. Null and empty texts are the end
+    alone; repeated rows are each learned from and scored; texts of any length are whole; extra columns may have any name. An
+    empty table gives no rows; without any trained row the model is the uniform spelling.
+    """
+    if not 1 <= kept <= sweeps:
+        raise ValueError("keep one sweep at least, and no more than there are")
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    run = Trainer(spark, common.scratch_path(spark, "hpylm"), int(size))
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"), F.coalesce(trained, F.lit(False)).alias("trained"))
+    numbers = common.written(exchanged(run.read(rows), "bucket", run.pair_buckets, run.pair_bucket()), "hpylm-pairs")
+    seen = sums(numbers)
+    none = Spelling([Level.of(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * (DEPTH + 1))
+    state = State(discount(seen.get(-1, 0), seen.get(-2, 0)), 10.0, 0.5, 100.0, 0.0, 0.0, none)
+    replies, states, total, kinds = numbers, [], 0.0, 0.0
+    for sweep in range(sweeps + 1):
+        sent = exchanged(replies, "chunk", run.chunks, run.chunk_sweep(sweep, state) if sweep else run.chunk_words())
+        if sweep == sweeps:
+            states = [*states, state][-kept:]  # the parameters with which each kept sweep was seated; its totals follow below
+        replies = common.written(exchanged(sent, "bucket", run.word_buckets, run.word_bucket(sweep, state, states, sweep == sweeps)), "hpylm-words")
+        found = sums(replies)
+        spelled = sorted((k, n) for k, n in found.items() if k >= 0)
+        keys, n = np.array([k for k, _ in spelled], np.int64), np.array([n for _, n in spelled])
+        customers, tables, once, twice, total, kinds = (found.get(-10 - i, 0.0) for i in range(6))
+        likely = np.array([found.get(-100 - i, 0.0) for i in range(len(STRENGTHS))])
+        here = State(state.discount1, state.strength1, state.discount0, state.strength0, customers, tables, state.spelling)
+        if sweep == sweeps:
+            states[-1] = here
+        elif sweep:
+            states.append(here)
+        d0 = discount(once, twice)
+        strength0 = drawn_strength(STRENGTHS, log_strengths(STRENGTHS, d0, np.array([customers]), np.array([tables])), sweep) if customers else state.strength0
+        state = State(state.discount1, drawn_strength(STRENGTHS, likely, sweep + 100), d0, strength0, customers, tables, Spelling.seated(keys, n, state.spelling if sweep else None, sweep + 1))
+    states = states[-kept:]
+    asked = exchanged(replies.filter("kind = 1"), "chunk", run.chunks, run.chunk_tables(list(range(sweeps - len(states) + 1, sweeps + 1))))
+    tables_of = common.written(exchanged(asked, "bucket", run.pair_buckets, run.all_tables(len(states))), "hpylm-tables")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, unknown_bytes long"
+    both = replies.select("chunk", "bucket", "kind", "blob", "cell", "n").unionByName(tables_of)
+    found = exchanged(both, "chunk", run.chunks, run.chunk_scores(states, total, kinds), schema)
+    return found.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -396,13 +613,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
-    """Perplexity a token over all rows of score()."""
-    return scored.agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"), F.pow(F.lit(10.0), -F.sum("base_score") / F.sum("n_tokens")).alias("base_perplexity"))
+    """Perplexities a token over all rows of score(): of the model, of the base, which is no distribution over unknown words, and of
+    the base with each unknown word spelled by uniform bytes, which is one."""
+    of = lambda x: F.pow(F.lit(10.0), -F.sum(x) / F.sum("n_tokens"))
+    return scored.agg(of(F.col("score")).alias("perplexity"), of(F.col("base_score")).alias("base_perplexity"), of(F.col("base_score") - F.col("unknown_bytes") * F.log10(F.lit(float(SIZE)))).alias("spelled_base_perplexity"))
 
 
 def op8_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents, learned from those that are not held out; see there for nulls, repeats, long texts and the rest.
+    Equal texts have equal scores."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = count_words(docs.filter(~held_out(F.col("doc_id"))))
-    model = train(counts)
-    found = score(docs, counts, model, ["doc_id"])
-    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    found = score(docs, ["doc_id"], ~held_out(F.col("doc_id")))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "unknown_bytes")

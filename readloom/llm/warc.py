@@ -39,17 +39,6 @@ NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def storage(uri: str):
-    """(file system, path) of a folder or file; s3a and s3n are s3."""
-    from pyarrow import fs
-
-    for other in ("s3a://", "s3n://"):
-        uri = uri.replace(other, "s3://", 1) if uri.startswith(other) else uri
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, name)}>"
 
@@ -163,7 +152,7 @@ def write_monolithic(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00
     """(archive, records) of archives written in the order of rows (page_id, url, payload, digest, refers_to)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = storage(folder)
+        store, top = common.storage(folder)
         store.create_dir(top, recursive=True)
         out, made = None, []
         for b in batches:
@@ -198,7 +187,7 @@ def normalise_archives(archives: DataFrame, source: str, folder: str) -> DataFra
     """The offset index of archives rewritten from folder `source` to `folder`, each by one task; sidecars lie beside them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (old, old_top), (new, top) = storage(source), storage(folder)
+        (old, old_top), (new, top) = common.storage(source), common.storage(folder)
         new.create_dir(top, recursive=True)
         for b in batches:
             for archive in b.column(0).to_pylist():
@@ -228,7 +217,7 @@ def read_pages(index: DataFrame, folder: str) -> DataFrame:
     payload; its size and digest are those of its headers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = storage(folder)
+        store, top = common.storage(folder)
         name, source = None, None
         for b in batches:
             rows, size_now = [], 0
