@@ -48,8 +48,8 @@ DISCOUNT, STRENGTH = 0.75, 10.0  # of the spelling
 STRENGTHS = 2.0 ** np.arange(-4, 24)
 SWEEPS, KEPT = 2, 2
 #: Bytes of text of a chunk, and of the texts that one bucket of pairs or words stands for.
-CHUNK = 16 << 20
-PAIR_BUCKET, WORD_BUCKET = 24 << 20, 64 << 20
+CHUNK = 12 << 20
+PAIR_BUCKET, WORD_BUCKET = 18 << 20, 48 << 20
 #: The end of a text, a token that no word can be (words hold no white space).
 TEXT_END = b"\n"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -228,6 +228,7 @@ def exchanged(sent: DataFrame, to: str, parts: int, work: Callable, schema: str
                 if row[0] != key:
                     if held:
                         yield from work(key, held)
+                        pa.default_memory_pool().release_unused()
                     key, held = row[0], []
                 held.append(row[1:])
         if held:
@@ -362,6 +363,7 @@ class Trainer:
                 if held and size + more > CHUNK:
                     yield from chunk(part << 32 | serial, pa.Table.from_batches(held))
                     serial, held, size = serial + 1, [], 0
+                    pa.default_memory_pool().release_unused()
                 held.append(b)
                 size += more
             if held:
@@ -600,7 +602,8 @@ def score(docs: DataFrame, keep: list[str], trained: Column, text_col: str = "te
         strength0 = drawn_strength(STRENGTHS, log_strengths(STRENGTHS, d0, np.array([customers]), np.array([tables])), sweep) if customers else state.strength0
         state = State(state.discount1, drawn_strength(STRENGTHS, likely, sweep + 100), d0, strength0, customers, tables, Spelling.seated(keys, n, state.spelling if sweep else None, sweep + 1))
     states = states[-kept:]
-    asked = exchanged(replies.filter("kind = 1"), "chunk", run.chunks, run.chunk_tables(list(range(sweeps - len(states) + 1, sweeps + 1))))
+    chunks = replies.filter("kind = 1").select("chunk").distinct().select("chunk", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("kind"), F.lit(b"").alias("blob"))
+    asked = exchanged(chunks, "chunk", run.chunks, run.chunk_tables(list(range(sweeps - len(states) + 1, sweeps + 1))))
     tables_of = common.written(exchanged(asked, "bucket", run.pair_buckets, run.all_tables(len(states))), "hpylm-tables")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, unknown_bytes long"
     both = replies.select("chunk", "bucket", "kind", "blob", "cell", "n").unionByName(tables_of)
