@@ -48,7 +48,7 @@ DISCOUNT, STRENGTH = 0.75, 10.0  # of the spelling
 STRENGTHS = 2.0 ** np.arange(-4, 24)
 SWEEPS, KEPT = 2, 2
 #: Bytes of text of a chunk, and of the texts that one bucket of pairs or words stands for.
-CHUNK = 12 << 20
+CHUNK = 16 << 20
 PAIR_BUCKET, WORD_BUCKET = 18 << 20, 48 << 20
 #: The end of a text, a token that no word can be (words hold no white space).
 TEXT_END = b"\n"
@@ -412,8 +412,11 @@ class Trainer:
             files.put(f"numbers-{chunk}", n=n)
             place = np.empty(size, np.int64)
             place[order] = np.arange(size)
-            files.put(f"own-{chunk}", order=order, h=h[order], keys=pairs.keys[many], previous=place[pairs.previous[many]], word=place[pairs.word[many]], n=n[many], dishes=count(pairs.word[once]), contexts=count(pairs.previous[once]))
-            sent_arrays = {"n": count(c["tokens"][trained]), "customers": count(pairs.word[own & (n > 0)]), "tables": count(pairs.previous[own & (n > 0)]), "following": count(pairs.previous[own], n[own])}
+            needed = np.zeros(size, bool)  # words of this chunk's own pairs of two customers or more
+            needed[place[pairs.previous[many]]] = needed[place[pairs.word[many]]] = True
+            rank = np.cumsum(needed) - 1
+            files.put(f"own-{chunk}", order=order, h=h[order], keys=pairs.keys[many], needed=np.flatnonzero(needed), previous=rank[place[pairs.previous[many]]], word=rank[place[pairs.word[many]]], n=n[many], dishes=count(pairs.word[once]), contexts=count(pairs.previous[once]))
+            sent_arrays = {"n": count(c["tokens"][trained]), "customers": count(pairs.word[own & (n > 0)]), "tables": count(pairs.previous[own & (n > 0)]), "following": count(pairs.previous[own], n[own]), "needed": needed.astype(np.int64)}
             sorted_words = words.take(pa.array(order)).to_pylist()
             for bucket, at in slices(h[order], buckets):
                 yield message(chunk, bucket, 0, packed(keys=h[order][at], words=sorted_words[at], **{k: v[at] for k, v in sent_arrays.items()}))
@@ -422,8 +425,8 @@ class Trainer:
 
     def word_bucket(self, sweep: int, state: State | None, keep: list[State], last: bool) -> Callable:
         """Adds up what chunks send of words, seats them in the restaurant that contexts share, and sends back for each: what is
-        left of its customers, its spelling's probability, and its tables as a context. With the last sweep, that of all kept ones,
-        and the fixed numbers. To the driver: totals, the likelihood of strengths, and the spelling's customers."""
+        left of its customers, its spelling's probability, and its tables as a context; to a chunk those of the words that it
+        needs. With the last sweep, that of all kept ones for all words, and the fixed numbers. To the driver: totals, the likelihood of strengths, and the spelling's customers."""
         files, spread = self.files, self.spark.sparkContext.broadcast((state, keep))
 
         def work(bucket: int, sent: list) -> Iterator[pa.RecordBatch]:
@@ -434,7 +437,7 @@ class Trainer:
                 sizes = [len(g["keys"]) for g in got]
                 unique, first, which = distinct(np.concatenate([g["keys"] for g in got]))
                 every = [w for g in got for w in g["words"]]
-                fixed = {"sizes": np.array(sizes), "which": which, "words": [every[i] for i in first], "h": unique}
+                fixed = {"sizes": np.array(sizes), "needed": np.concatenate([g["needed"] for g in got]), "which": which, "words": [every[i] for i in first], "h": unique}
                 for k in ("n", "following"):
                     fixed[k] = np.bincount(which, np.concatenate([g[k] for g in got]), len(unique)).astype(np.int64)
                 files.put(f"words-{bucket}", **fixed)
@@ -460,7 +463,8 @@ class Trainer:
                     k = files.get(f"seated-{bucket}-{sweep - len(spread.value[1]) + 1 + i}")
                     reply |= {f"rest{i}": (k["customers"] - kept_state.discount0 * k["seated"]).astype(np.float32), f"spelled{i}": k["spelled"].astype(np.float32), f"tables{i}": k["tables"].astype(np.int64)}
             for (chunk, _, _), s, z in zip(sent, fixed["sizes"], ends):
-                yield message(chunk, bucket, 1, packed(**{k: v[which[z - s : z]] for k, v in reply.items()}))
+                of = which[z - s : z] if last else which[z - s : z][fixed["needed"][z - s : z] > 0]
+                yield message(chunk, bucket, 1, packed(**{k: v[of] for k, v in reply.items()}))
             yield cells(-10 - np.arange(6), np.array([customers.sum(), seated.sum(), (customers == 1).sum(), (customers == 2).sum(), fixed["n"].sum(), (fixed["n"] > 0).sum()], float))
             yield cells(-100 - np.arange(len(STRENGTHS)), log_strengths(STRENGTHS, state.discount1, fixed["following"], tables))
             letters = np.zeros(CLASSES**DEPTH * SIZE)
@@ -486,9 +490,9 @@ class Trainer:
             others = np.maximum(tables[c["previous"]] - np.maximum(was, 1), 0)
             t = seat(was, c["n"], p[c["word"]], others, state.discount1, state.strength1, c["keys"], 8 * sweep + 2).astype(np.int64)
             files.put(f"tables-{chunk}-{sweep}", t=t)
-            size = len(rest)
-            customers = c["dishes"] + np.bincount(c["word"], t, size).astype(np.int64)
-            opened = c["contexts"] + np.bincount(c["previous"], t, size).astype(np.int64)
+            customers, opened = c["dishes"], c["contexts"]
+            customers[c["needed"]] += np.bincount(c["word"], t, len(rest)).astype(np.int64)
+            opened[c["needed"]] += np.bincount(c["previous"], t, len(rest)).astype(np.int64)
             for bucket, at in slices(c["h"], buckets):
                 yield message(chunk, bucket, 0, packed(customers=customers[at], tables=opened[at]))
 
