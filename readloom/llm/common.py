@@ -67,6 +67,15 @@ def storage(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the folder of a table from written(), once nothing that is still to be computed starts from it."""
+    jvm, top = df.sparkSession._jvm, f"{scratch_root(df.sparkSession)}/readloom/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if top.split(":", 1)[-1].strip("/") in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of an id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -591,7 +591,8 @@ def score(docs: DataFrame, keep: list[str], trained: Column, text_col: str = "te
         sent = exchanged(replies, "chunk", run.chunks, run.chunk_sweep(sweep, state) if sweep else run.chunk_words())
         if sweep == sweeps:
             states = [*states, state][-kept:]  # the parameters with which each kept sweep was seated; its totals follow below
-        replies = common.written(exchanged(sent, "bucket", run.word_buckets, run.word_bucket(sweep, state, states, sweep == sweeps)), "hpylm-words")
+        before, replies = replies, common.written(exchanged(sent, "bucket", run.word_buckets, run.word_bucket(sweep, state, states, sweep == sweeps)), "hpylm-words")
+        common.dropped(before)
         found = sums(replies)
         spelled = sorted((k, n) for k, n in found.items() if k >= 0)
         keys, n = np.array([k for k, _ in spelled], np.int64), np.array([n for _, n in spelled])
