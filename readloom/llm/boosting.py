@@ -94,12 +94,12 @@ def _scaled(tree, rate: float):
 
 
 def threshold(model: Boosted, cells: list[tuple[dict, int, int]], precision: float) -> float:
-    """The lowest score from which on, over the counted rows, at least `precision` of them are positive; over 1: none. Where
-    that holds down to the last row, it is one half at most."""
+    """A limit such that, over the counted rows of at least that score, `precision` of them are positive; over 1: none. It lies
+    halfway to the next lower score; where the precision holds down to the last row, it is one half at most."""
     ranked = sorted(((model.of(x), p, n) for x, p, n in cells), reverse=True, key=lambda c: c[0])
     best, tp, fp = 2.0, 0, 0
     for i, (s, p, n) in enumerate(ranked):
         tp, fp = tp + p, fp + n
         if (i + 1 == len(ranked) or ranked[i + 1][0] < s) and tp and tp >= precision * (tp + fp):
-            best = s if i + 1 < len(ranked) else min(s, 0.5)
+            best = (s + ranked[i + 1][0]) / 2 if i + 1 < len(ranked) else min(s, 0.5)
     return best

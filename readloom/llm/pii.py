@@ -1,11 +1,20 @@
 """Personal data: high-recall generators, boosted trees on format and context, calibrated thresholds, redaction.
 
 Everything that touches rows is SQL. Generators propose spans, some of which overlap: the four base patterns, and looser
-ones (bracketed e-mail addresses, national phone numbers, full IPv6 addresses, cards with other separators). A candidate
-carries small integer features. The candidates of the base patterns are labelled by their own rules (digit counts,
-octets, Luhn); all of them, over all documents, are counted by feature values, of which there are at most CELLS. The
-trees are fitted to those counts on the driver and go back into the plan as one CASE expression. A span is selected if it
-is a base span, or if its score reaches its kind's threshold and it touches no base span.
+ones (bracketed e-mail addresses, national phone numbers, colon-separated hexadecimal groups, cards with other separators, long runs
+of letters, digits and marks that may be secrets). A candidate carries small integer features of its format and surroundings.
+
+Labels come from evidence that is no feature: a base pattern's own rule (digit counts, octets, Luhn); Luhn for cards with
+other separators; a country code before a national number; the number of groups of an address of colons; a key word and a sign of
+assignment before a run (token = ...), while runs without a digit, and in web addresses, are none. Candidates without such evidence are not learned from,
+but are judged like all others. Labelled candidates of all documents are counted by feature values, of which there are
+at most CELLS; a fifth of the texts, by hash, is kept apart. The trees are fitted to the counts on the driver and go back into the plan as
+one CASE expression; the fifth sets each kind's threshold, from which on PRECISION of its candidates are positive. A span is selected if
+it is a base span, or if its score reaches its kind's threshold and it touches no base span.
+
+Null and empty texts have no spans; repeated rows and ties are judged alike, as scores hang on features alone; texts of any length are
+whole, and offsets are worked out by sums over blocks, not by walking; extra columns may have any name; an empty table gives
+no rows, and a table without labelled candidates adds no spans of their kind.
 """
 
 from __future__ import annotations
@@ -15,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import boosting, common
 
-KINDS = ("email", "ip", "card", "phone")
-FEATURES = {"kind": 4, "digits": 8, "marks": 5, "luhn": 2, "octets": 2, "left": 3, "right": 3, "word": 2, "even": 2}
+KINDS = ("email", "ip", "card", "phone", "secret")
+FEATURES = {"kind": 5, "digits": 5, "marks": 5, "mix": 5, "size": 7, "left": 3, "right": 3, "word": 2, "even": 2}
 #: A bound on the distinct feature values: the product of the sizes above.
-CELLS = 4 * 8 * 5 * 2 * 2 * 3 * 3 * 2 * 2
+CELLS = 5 * 5 * 5 * 5 * 7 * 3 * 3 * 2 * 2
 PRECISION = 0.995
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -32,14 +41,22 @@ GENERATORS = (
     ("card", 2, True, (), r"(?=[0-9](?:[\x20-]?[0-9]){13})[0-9]++(?:[\x20-][0-9]++)*+"),
     ("phone", 3, True, ("+",), r"\+[0-9][\x20().0-9-]+[0-9]"),
     ("email_bracketed", 0, False, ("at]", "at)", "at}"), f"{_AT_RUN}{_LOCAL}++\\x20?[\\[({{]at[\\])}}]\\x20?[A-Za-z0-9-]++(?:\\x20?(?:[\\[({{]dot[\\])}}]|\\.)\\x20?[A-Za-z0-9-]++)++"),
-    ("ip_six", 1, False, (":",), r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("ip_six", 1, False, (":",), r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     ("card_marked", 2, False, (), r"(?<![0-9A-Za-z./_])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{2,7}(?![0-9A-Za-z])"),
     ("phone_national", 3, False, (), r"(?<![0-9A-Za-z+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
+    ("secret_run", 4, False, (), r"(?<![0-9A-Za-z+/_=.-])[0-9A-Za-z+/_-]{20,}+={0,2}(?![0-9A-Za-z+/_=-])"),
 )
+#: What labels a candidate without a base rule, by the text before it: {generator: (positive, negative)}.
+ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)[\x22']?\s*[:=]?\s*[\x22']?$"
+WEB = r"(?i)(?:https?:|www\.)\S*$"
+COUNTRY = r"\+[0-9]{1,3}[\x20.-]?$"
 #: Words near a span that tell of personal data.
 CONTEXT = r"(?i)(?:mail|write to|contact|phone|tel|call|mobile|fax|card|visa|pay|account|ip|address|host|server|user|login)"
 
-CANDIDATE = "struct<start:int,kind:int,stop:int,base:boolean,known:boolean,digits:int,marks:int,luhn:int,octets:int,left:int,right:int,word:int,even:int>"
+#: label: 1 or 0 by the evidence, -1 without any. sure: whether label is a base pattern's.
+CANDIDATE = "struct<start:int,kind:int,stop:int,base:boolean,label:int,digits:int,marks:int,mix:int,size:int,left:int,right:int,word:int,even:int>"
+#: Items of one block of a running sum or maximum over an array.
+BLOCK = 64
 
 
 def _quoted(s: str) -> str:
@@ -59,58 +76,87 @@ def octets(match: str) -> str:
     return f"(size(split({match}, '[.]', -1)) = 4 AND forall(split({match}, '[.]', -1), p -> p rlike '^[0-9]+$' AND length({part}) <= 3 AND coalesce(try_cast(concat('0', {part}) AS INT), 999) <= 255))"
 
 
-def _candidate(kind: int, base: bool) -> str:
-    """SQL: the candidate of a match m that starts at `start`, between the gaps `before` and `after`."""
+def _label(name: str, kind: int, base: bool, ok: str) -> str:
+    """SQL: the label of a candidate."""
+    if base:
+        return f"CASE WHEN {ok} THEN 1 ELSE 0 END"
+    return {
+        "email_bracketed": "-1",
+        "ip_six": "CASE WHEN size(split(x.m, ':', -1)) = 8 THEN 1 ELSE 0 END",
+        "card_marked": f"CASE WHEN {luhn('x.d')} THEN 1 ELSE 0 END",
+        "phone_national": f"CASE WHEN x.before rlike {_quoted(COUNTRY)} THEN 1 ELSE -1 END",
+        "secret_run": f"CASE WHEN x.before rlike {_quoted(WEB)} OR x.d = '' THEN 0 WHEN x.before rlike {_quoted(ASSIGNED)} THEN 1 ELSE -1 END",
+    }[name]
+
+
+def _candidate(name: str, kind: int, base: bool) -> str:
+    """SQL: the candidate of a match m that starts at `start`, between the texts `before` and `after`."""
     m, digits = "x.m", "x.d"
-    ok = {0: "true", 1: octets(m), 2: f"(length({digits}) BETWEEN 14 AND 19 AND {luhn(digits)})", 3: f"(length({digits}) BETWEEN 10 AND 15)"}[kind]
+    ok = {0: "true", 1: octets(m), 2: f"(length({digits}) BETWEEN 14 AND 19 AND {luhn(digits)})", 3: f"(length({digits}) BETWEEN 10 AND 15)"}.get(kind, "false")
     edge = lambda c: f"CASE WHEN {c} = '' THEN 0 WHEN {c} rlike '[A-Za-z0-9]' THEN 2 ELSE 1 END"
+    share = f"length({digits}) * 8 DIV length({m})"  # eighths of the match that are digits; a phone's and card's rule counts them
     features = [
-        f"CASE WHEN length({digits}) = 0 THEN 0 WHEN length({digits}) < 7 THEN 1 WHEN length({digits}) < 10 THEN 2 WHEN length({digits}) = 10 THEN 3 WHEN length({digits}) < 14 THEN 4 WHEN length({digits}) < 16 THEN 5 WHEN length({digits}) < 20 THEN 6 ELSE 7 END",
+        f"CASE WHEN {kind} IN (2, 3) THEN 0 ELSE CASE WHEN length({digits}) = 0 THEN 0 WHEN {share} < 2 THEN 1 WHEN {share} < 4 THEN 2 WHEN {share} < 7 THEN 3 ELSE 4 END END",
         f"least(4, length(regexp_replace({m}, '[A-Za-z0-9]', '')))",
-        f"CASE WHEN {kind} = 2 AND {luhn(digits)} THEN 1 ELSE 0 END",
-        f"CASE WHEN {kind} = 1 AND {octets(m)} THEN 1 ELSE 0 END",
+        f"CASE WHEN {m} rlike '^[^A-Za-z]*$' THEN 0 WHEN NOT {m} rlike '[g-zG-Z]' THEN 1 WHEN NOT {m} rlike '[A-Z]' THEN 2 WHEN NOT {m} rlike '[a-z]' THEN 3 ELSE 4 END",
+        f"CASE WHEN length({m}) < 10 THEN 0 WHEN length({m}) < 15 THEN 1 WHEN length({m}) < 20 THEN 2 WHEN length({m}) < 28 THEN 3 WHEN length({m}) < 44 THEN 4 WHEN length({m}) < 80 THEN 5 ELSE 6 END",
         edge("right(x.before, 1)"),
         edge("x.after"),
-        f"CASE WHEN x.before rlike {_quoted(CONTEXT)} THEN 1 ELSE 0 END",
+        "0" if kind == 4 else f"CASE WHEN x.before rlike {_quoted(CONTEXT)} THEN 1 ELSE 0 END",
         f"CASE WHEN {m} rlike '^[0-9]{{4}}(?:[^0-9][0-9]{{4}})+$' OR {digits} = {m} THEN 1 ELSE 0 END",
     ]
     is_base = ok if base else "false"
-    values = ["x.start", str(kind), f"x.start + length({m})", is_base, str(base).lower(), *features]
+    values = ["x.start", str(kind), f"x.start + length({m})", is_base, _label(name, kind, base, ok), *features]
     return f"CAST(struct({', '.join(values)}) AS {CANDIDATE})"
 
 
-def _spans(name: str, kind: int, base: bool) -> str:
-    """SQL: candidates of the columns m_<name> (matches) and g_<name> (the gaps around them), with code-point offsets."""
-    items = f"transform(m_{name}, (m, i) -> struct(m AS m, regexp_replace(m, '[^0-9]', '') AS d, g_{name}[i] AS before, g_{name}[i + 1] AS after))"
-    walked = f"""aggregate({items}, struct(0 AS pos, CAST(array() AS array<struct<start:int,m:string,d:string,before:string,after:string>>) AS found),
-        (acc, x) -> struct(acc.pos + length(x.before) + length(x.m) AS pos, concat(acc.found, array(struct(acc.pos + length(x.before) AS start, x.m AS m, x.d AS d, right(x.before, 40) AS before, left(x.after, 1) AS after))) AS found), acc -> acc.found)"""
-    return f"CASE WHEN size(m_{name}) = 0 THEN CAST(array() AS array<{CANDIDATE}>) ELSE transform({walked}, x -> {_candidate(kind, base)}) END"
+def _sums(lengths: str) -> str:
+    """SQL: the sums of all items before each block of an array of numbers."""
+    blocks = f"transform(sequence(0, (size({lengths}) - 1) DIV {BLOCK}), j -> aggregate(slice({lengths}, j * {BLOCK} + 1, {BLOCK}), 0, (a, y) -> a + y))"
+    return f"transform(sequence(0, (size({lengths}) - 1) DIV {BLOCK}), j -> aggregate(slice({blocks}, 1, j), 0, (a, y) -> a + y))"
 
 
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`row`, a struct of the columns `keep` of docs, and `candidates`, its spans with their features. Null text: none."""
+    """`row`, a struct of the columns `keep` of docs, `held_back`, whether its labels set thresholds, and `candidates`, its
+    spans with their features. Null text: none."""
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    matches = []
-    for name, _, _, needs, pattern in GENERATORS:
+    rows = rows.withColumn("held_back", F.expr("pmod(xxhash64(__text), 5) = 0"))
+    steps: list[list[Column]] = [[], [], [], [], []]
+    none = "CAST(array() AS array<{}>)"
+    for name, kind, base, needs, pattern in GENERATORS:
         found = f"regexp_extract_all(__text, {_quoted(pattern)}, 0)"
         if needs:
             held = " OR ".join(f"contains(__text, {_quoted(n)})" for n in needs)
-            found = f"CASE WHEN {held} THEN {found} ELSE CAST(array() AS array<string>) END"
-        matches.append(F.expr(found).alias(f"m_{name}"))
-    rows = rows.select("*", *matches)
-    gaps = [F.expr(f"CASE WHEN size(m_{name}) = 0 THEN CAST(array() AS array<string>) ELSE split(__text, {_quoted(pattern)}, -1) END").alias(f"g_{name}") for name, _, _, _, pattern in GENERATORS]
-    rows = rows.select("*", *gaps)
-    return rows.select("row", F.expr("concat(" + ", ".join(_spans(name, kind, base) for name, kind, base, _, _ in GENERATORS) + ")").alias("candidates"))
+            found = f"CASE WHEN {held} THEN {found} ELSE {none.format('string')} END"
+        some = lambda x, t, name=name: f"CASE WHEN size(m_{name}) = 0 THEN {none.format(t)} ELSE {x} END"
+        steps[0].append(F.expr(found).alias(f"m_{name}"))
+        steps[1].append(F.expr(some(f"split(__text, {_quoted(pattern)}, -1)", "string")).alias(f"g_{name}"))
+        # lengths of each gap with the match after it, and the characters before each block of them
+        steps[2].append(F.expr(some(f"transform(m_{name}, (m, i) -> length(m) + length(g_{name}[i]))", "int")).alias(f"l_{name}"))
+        steps[3].append(F.expr(some(_sums(f"l_{name}"), "int")).alias(f"b_{name}"))
+        start = f"b_{name}[i DIV {BLOCK}] + aggregate(slice(l_{name}, i DIV {BLOCK} * {BLOCK} + 1, i % {BLOCK}), 0, (a, y) -> a + y) + length(g_{name}[i])"
+        items = f"transform(m_{name}, (m, i) -> struct({start} AS start, m AS m, regexp_replace(m, '[^0-9]', '') AS d, right(g_{name}[i], 40) AS before, left(g_{name}[i + 1], 1) AS after))"
+        steps[4].append(F.expr(some(f"transform({items}, x -> {_candidate(name, kind, base)})", CANDIDATE)).alias(f"c_{name}"))
+    for step in steps:
+        rows = rows.select("*", *step)
+    return rows.select("row", "held_back", F.concat(*[F.col(f"c_{g[0]}") for g in GENERATORS]).alias("candidates"))
 
 
 def fit(found: DataFrame) -> tuple[boosting.Boosted, list[float]]:
-    """Trees and each kind's threshold, from the candidates of all rows."""
+    """Trees and each kind's threshold, from the labelled candidates of all rows; a kind without any in the texts held back takes
+    those of all texts."""
     names = list(FEATURES)
-    counted = found.select(F.explode("candidates").alias("c")).filter("c.known").groupBy(*[F.col(f"c.{f}").alias(f) for f in names])
-    rows = counted.agg(F.count_if(F.expr("c.base")).alias("__p"), F.count_if(F.expr("not c.base")).alias("__n")).collect()  # at most CELLS
-    cells = sorted((({f: r[f] for f in names}, r["__p"], r["__n"]) for r in rows), key=lambda c: tuple(c[0].values()))
-    model = boosting.fit(cells, names)
-    return model, [boosting.threshold(model, [c for c in cells if c[0]["kind"] == k], PRECISION) for k in range(len(KINDS))]
+    counted = found.select("held_back", F.explode("candidates").alias("c")).filter("c.label >= 0").groupBy(*[F.col(f"c.{f}").alias(f) for f in names])
+    numbers = [F.count_if(F.expr(f"c.label = {label} AND {'' if back else 'NOT '}held_back")) for back in (False, True) for label in (1, 0)]
+    rows = counted.agg(*[n.alias(f"__{i}") for i, n in enumerate(numbers)]).collect()  # at most CELLS
+    cells = sorted((({f: r[f] for f in names}, *(r[f"__{i}"] for i in range(4))) for r in rows), key=lambda c: tuple(c[0].values()))
+    model = boosting.fit([(x, p, n) for x, p, n, _, _ in cells if p + n], names)
+    limits = []
+    for k in range(len(KINDS)):
+        own = [c for c in cells if c[0]["kind"] == k]
+        back = [(x, p, n) for x, _, _, p, n in own if p + n]
+        limits.append(boosting.threshold(model, back or [(x, p, n) for x, p, n, _, _ in own], PRECISION))
+    return model, limits
 
 
 def selected(found: DataFrame, model: boosting.Boosted, limits: list[float]) -> DataFrame:
@@ -119,7 +165,7 @@ def selected(found: DataFrame, model: boosting.Boosted, limits: list[float]) ->
     plain = "transform({}, c -> struct(c.start AS start, c.kind AS kind, c.stop AS stop))"
     out = found.withColumn("base", F.expr("array_sort(array_distinct(" + plain.format("filter(candidates, c -> c.base)") + "))"))
     free = "NOT exists(base, b -> b.start < c.stop AND c.start < b.stop)"
-    out = out.withColumn("added", F.expr(plain.format(f"filter(candidates, c -> NOT c.base AND NOT c.known AND {free} AND {model.sql('c')} >= {limit})")))
+    out = out.withColumn("added", F.expr(plain.format(f"filter(candidates, c -> NOT c.base AND c.label <> 0 AND {free} AND {model.sql('c')} >= {limit})")))
     return out.withColumn("spans", F.expr("array_sort(array_distinct(concat(base, added)))")).drop("added", "candidates")
 
 
@@ -136,18 +182,28 @@ def detect(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
 
 
 def redacted(text: str = "text", spans: str = "spans") -> Column:
-    """The text with every span replaced by its kind; overlapping spans become one, named by the first."""
+    """The text with every span replaced by its kind; overlapping spans become one, named by the first. Characters are taken
+    from 32-bit code units, whose places need no search."""
     names = "CASE s.kind " + " ".join(f"WHEN {k} THEN '[{n.upper()}]'" for k, n in enumerate(KINDS)) + " END"
-    step = f"""CASE WHEN s.start >= acc.pos THEN struct(s.stop AS pos, concat(acc.parts, array(substring({text}, acc.pos + 1, s.start - acc.pos), {names})) AS parts)
-        ELSE struct(greatest(acc.pos, s.stop) AS pos, acc.parts AS parts) END"""
-    return F.expr(f"""CASE WHEN size({spans}) = 0 THEN {text} ELSE aggregate({spans}, struct(0 AS pos, CAST(array() AS array<string>) AS parts),
-        (acc, s) -> {step}, acc -> concat(array_join(acc.parts, ''), substring({text}, acc.pos + 1))) END""")
+    wide = f"encode({text}, 'UTF-32')"
+    cut = lambda a, n: f"decode(substring({wide}, 4 * ({a}) + 1, 4 * ({n})), 'UTF-32')"
+    # `upto` of a span: where the spans before it end, by blocks
+    stops = f"transform({spans}, s -> s.stop)"
+    most = "aggregate(slice({}, {}, {}), 0, (a, y) -> greatest(a, y))"
+    blocks = f"transform(sequence(0, (size({spans}) - 1) DIV {BLOCK}), j -> {most.format(stops, f'j * {BLOCK} + 1', BLOCK)})"
+    before = f"greatest({most.format(blocks, 1, f'i DIV {BLOCK}')}, {most.format(stops, f'i DIV {BLOCK} * {BLOCK} + 1', f'i % {BLOCK}')})"
+    placed = f"transform({spans}, (s, i) -> struct(s.start AS start, s.kind AS kind, {before} AS upto))"
+    pieces = f"transform(filter({placed}, s -> s.start >= s.upto), s -> concat({cut('s.upto', 's.start - s.upto')}, {names}))"
+    end = f"aggregate({stops}, 0, (a, y) -> greatest(a, y))"
+    return F.expr(f"CASE WHEN size({spans}) = 0 THEN {text} ELSE concat(array_join({pieces}, ''), {cut(end, f'length({text}) - {end}')}) END")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """detect() of all documents, with the numbers of base spans by kind, of all spans, and of those that the method adds."""
     found = detect(common.table(spark, sf_dir, "documents"), ["doc_id"])
-    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS BIGINT)").alias(f"n_{n}") for k, n in enumerate(KINDS)]
-    return found.select("row.doc_id", *counts, F.sha2(rendered("base").cast("binary"), 256).alias("base_sha256"), rendered("spans").alias("spans"))
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS BIGINT)").alias(f"n_{n}") for k, n in enumerate(KINDS[:4])]
+    more = [F.size("spans").cast("long").alias("n_spans"), F.expr("CAST(size(filter(spans, s -> s.kind = 4)) AS BIGINT)").alias("n_secret")]
+    return found.select("row.doc_id", *counts, *more, F.sha2(rendered("base").cast("binary"), 256).alias("base_sha256"), rendered("spans").alias("spans"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,34 @@ def test_added_spans(spark):
     assert spans[200] == [(6, 0, 30)] and spans[201] == [(5, 3, 17)] and spans[202] == []
 
 
+def test_secrets_and_colons(spark):
+    """Runs that follow a key word teach the format: others of it are found without one, and long words and web addresses are not."""
+    rng = random.Random(4)
+    key = lambda n=40: "".join(rng.choices("0123456789abcdef", k=n))
+    texts = [f'it says token = "{key()}" and Donaudampfschifffahrtsgesellschaft here http://ex.org/{key(30)} at 999.{i}.3.4 or 00:1b:44:11:3a:{i % 90 + 10}' for i in range(300)]
+    texts += [f"fe80:0db8:85a3:0000:0000:8a2e:0370:{i % 9000 + 1000}" for i in range(60)]
+    plain, six = key(), "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    texts += [f'lost "{plain}" here', f"host {six} up", "Donaudampfschifffahrtsgesellschaften", "00:1b:44:11:3a:b7 is a card's address"]
+    found = pii.detect(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), ["doc_id"])
+    spans = {r.row.doc_id: [(s.start, s.kind, s.stop) for s in r.spans] for r in found.collect()}
+    at = texts[0].index('"') + 1
+    assert all(spans[i] == [(at, 4, at + 40)] for i in range(300))
+    assert spans[360] == [(6, 4, 46)] and spans[361] == [(5, 1, 5 + len(six))] and spans[362] == spans[363] == []
+
+
+def test_many_matches_are_linear(spark):
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        d = docs(spark, [(1, "é a@b.co " * n, "en", "s", 1)])
+        began = time.perf_counter()
+        (row,) = pii.pii_stage(spark, d, "").select("text").collect()
+        took.append(time.perf_counter() - began)
+        assert row.text == "é [EMAIL] " * n
+    assert took[1] < 8 * took[0] + 10
+
+
 def test_stage(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(noisy(3, 50))] + [(99, None, None, None, None), (98, "clean text", "en", "s", 7)]
     d = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
