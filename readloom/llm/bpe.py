@@ -27,6 +27,10 @@ from . import common
 
 #: UTF-8 bytes of the texts in a chunk, or one longer text.
 CHUNK_BYTES = 16 << 20
+#: Bytes of the texts that one bucket of pieces stands for.
+BUCKET_BYTES = 16 << 20
+#: Most tasks of a shuffle; beyond it, several buckets or chunks share a task, which works on one at a time.
+TASKS = 100_000
 #: Pieces that a task remembers of one bucket; beyond it, a piece may be encoded again.
 REMEMBERED = 1_000_000
 #: White space as the pattern's \s has it (Unicode White_Space); Python's \s also takes four separators.
@@ -113,7 +117,8 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col:
     """
     path, most = path or default_ranks(), chunk_bytes or CHUNK_BYTES
     common.small_batches(docs.sparkSession)
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    buckets, places = int(size) // BUCKET_BYTES + 8, 2 * int(size) // most + 8
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"), F.spark_partition_id().cast("long").alias("part"))
     row_type = rows.schema["row"].dataType.simpleString()
 
@@ -162,7 +167,7 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col:
                     found.append(unpacked_bytes(data.as_py()))
 
     asked = rows.select("t", "part").mapInArrow(ask, "bucket int, chunk long, pieces binary")
-    answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, data binary")
+    answered = asked.repartition(min(TASKS, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, data binary")
     packed = rows.mapInArrow(pack, "chunk long, data binary")
     both = answered.select("chunk", F.lit(False).alias("is_text"), "data").unionByName(packed.select("chunk", F.lit(True).alias("is_text"), "data"))
     steps = [place, *(f for f, _ in then)]
@@ -173,7 +178,7 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col:
             batches = step(batches)
         return batches
 
-    return both.repartition("chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, f"row {row_type}, {schema}")
+    return both.repartition(min(TASKS, places), "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, f"row {row_type}, {schema}")
 
 
 def placed(found: list[tuple[np.ndarray, list[bytes]]], blob: bytes) -> Iterator[pa.RecordBatch]:
