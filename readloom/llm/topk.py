@@ -6,13 +6,16 @@ product of a query with any vector of a box is at most the sum over dimensions o
 times high. A query visits nodes in the order of that bound and ends where the bound is below its k-th score so far. That
 score is propagated: from shard to shard within a task, and into every task from a first look at one bounded shard.
 
-Queries come in blocks of QUERY_BLOCK, each broadcast to one pass over the shards: a stated query set against all rows.
+Queries come in blocks of QUERY_BLOCK: a stated query set against all rows. Trees and blocks are files of the shared folder; what
+is joined, by vector length, are their names, each block with each group of GROUP shards. A task reads the files that it needs,
+so neither queries nor vectors pass through the driver, and the plan is the same for any number of blocks.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,12 @@ from . import common
 SHARD, LEAF = 32768, 128
 #: Bytes of a shard's matrix, for long vectors.
 SHARD_BYTES = 64 << 20
-#: Queries of one pass: a broadcast of QUERY_BLOCK vectors.
-QUERY_BLOCK = 4096
+#: Queries that one task searches at a time, and bytes of their matrix, for long vectors.
+QUERY_BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Shards that one task searches for a block of queries.
+GROUP = 16
+#: Most tasks of the search.
+TASKS = 50_000
 #: Vectors of the first look that gives each block of queries its first bound.
 FIRST_LOOK = 1024
 SCALE = 256
@@ -113,28 +120,53 @@ class Tree:
                     heapq.heapreplace(own, item)
 
 
-def trees(vectors: DataFrame, id_col: str, vector_col: str, shard: int = SHARD) -> DataFrame:
-    """(dim, n, tree): pickled trees in the shared folder, one for each shard of vectors of one length."""
+def _put(folder: str, value) -> str:
+    """The name of a new file of the folder with the value. A task that is run again writes another; a table holds the names of one."""
+    store, top = common.storage(folder)
+    store.create_dir(top, recursive=True)
+    name = uuid.uuid4().hex
+    with store.open_output_stream(f"{top}/{name}", compression=None) as f:
+        f.write(pickle.dumps(value, 5))
+    return name
+
+
+def _get(folder: str, name: str):
+    store, top = common.storage(folder)
+    with store.open_input_stream(f"{top}/{name}", compression=None) as f:
+        return pickle.loads(f.read())
+
+
+def _stored(rows: DataFrame, id_col: str, vector_col: str, most, value, folder: str, name: str) -> DataFrame:
+    """(dim, n, file): value(ids, matrix) of every most(dim) vectors of one length of a partition, in files of the folder."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
 
-        def build(dim: int) -> pa.RecordBatch:
+        def full(dim: int) -> pa.RecordBatch:
             ids, m = (np.concatenate(x) for x in zip(*waiting.pop(dim)))
-            return pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([len(ids)]), pa.array([pickle.dumps(Tree(ids, m), 5)], pa.binary())], ["dim", "n", "tree"])
+            return pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([len(ids)]), pa.array([_put(folder, value(ids, m))])], ["dim", "n", "file"])
 
         for b in batches:
             for dim, ids, m in _matrices(b.column(0), b.column(1)):
-                most = max(1, min(shard, SHARD_BYTES // (8 * dim)))
-                for at in range(0, len(ids), most):
-                    waiting.setdefault(dim, []).append((ids[at : at + most], m[at : at + most]))
-                    if sum(len(x[0]) for x in waiting[dim]) >= most:
-                        yield build(dim)
+                size = most(dim)
+                while len(ids):
+                    held = waiting.setdefault(dim, [])
+                    room = size - sum(len(x[0]) for x in held)
+                    held.append((ids[:room], m[:room]))
+                    if len(ids) >= room:
+                        yield full(dim)
+                    ids, m = ids[room:], m[room:]
         for dim in list(waiting):
-            yield build(dim)
+            yield full(dim)
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null")
-    return common.written(rows.mapInArrow(scan, "dim long, n long, tree binary"), "topk-trees")
+    found = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
+    return common.written(found.mapInArrow(scan, "dim long, n long, file string"), name)
+
+
+def trees(vectors: DataFrame, id_col: str, vector_col: str, folder: str, shard: int | None = None) -> DataFrame:
+    """(dim, n, file): trees in files of the folder, one for each shard of vectors of one length."""
+    most = shard or SHARD
+    return _stored(vectors, id_col, vector_col, lambda dim: max(1, min(most, SHARD_BYTES // (8 * dim))), Tree, folder, "topk-trees")
 
 
 def _matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -157,58 +189,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     the query's or with a null id. Rows that repeat an id are candidates each; a query repeated with one id and one vector is
     one query. Scores beyond 64 bits become the nearest 64-bit number.
     """
-    spark = vectors.sparkSession
-    stored = trees(vectors, id_col, vector_col)
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null").distinct()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = common.written(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "topk-queries")
-    first = trees(vectors.limit(FIRST_LOOK), id_col, vector_col).collect()
-    found = None
-    for n in range(blocks):
-        part = _block(spark, stored, asked.filter(F.col("block") == n).select("id", "v").toArrow(), [pickle.loads(r["tree"]) for r in first], k)
-        found = part if found is None else found.unionByName(part)
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    folder, floor, block = common.scratch_path(vectors.sparkSession, "topk"), -(1 << 62), QUERY_BLOCK
+    stored = trees(vectors, id_col, vector_col, folder)
+    first = [(r["dim"], r["file"]) for r in trees(vectors.limit(FIRST_LOOK), id_col, vector_col, folder).collect()]  # at most FIRST_LOOK
 
-def _block(spark: SparkSession, stored: DataFrame, asked: pa.Table, first: list[Tree], k: int) -> DataFrame:
-    """Candidates of one block of queries: at most k for each query and task."""
-    by_dim: dict[int, list] = {}
-    for batch in asked.to_batches():
-        for dim, ids, m in _matrices(batch.column(0), batch.column(1)):
-            by_dim.setdefault(dim, []).append((ids, m))
-    packed = {}
-    for dim, parts in by_dim.items():
-        ids, m = (np.concatenate(x) for x in zip(*parts))
+    def asked(ids: np.ndarray, m: np.ndarray) -> tuple:
+        """A block's queries, each with its k-th score in the first look, which bounds the k-th of all from below; the rows that
+        gave it come again with their own shard."""
         best: list[list] = [[] for _ in ids]
-        for tree in first:
-            if tree.m.shape[1] == dim:
-                tree.search(ids, m, best, k)
-        # the k-th score of some vectors bounds the k-th of all from below; their rows come again with their own shard
-        packed[dim] = (ids, m, [b[0][0] if len(b) == k else None for b in best])
-    spread = spark.sparkContext.broadcast(packed)
-    floor = -(1 << 62)
+        for dim, file in first:
+            if dim == m.shape[1]:
+                _get(folder, file).search(ids, m, best, k)
+        return ids, m, [b[0][0] if len(b) == k else None for b in best]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
+    wanted = queries.select(F.col(id_col).alias(id_col), F.col(vector_col).alias(vector_col)).filter(F.col(vector_col).isNotNull()).distinct()
+    blocks = _stored(wanted, id_col, vector_col, lambda dim: max(1, min(block, BLOCK_BYTES // (8 * dim))), asked, folder, "topk-queries")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                if dim not in spread.value:
-                    continue
-                ids, m, bound = spread.value[dim]
-                if dim not in best:  # placeholders below any id hold the propagated score
-                    best[dim] = [[] if x is None else [(x, floor)] * k for x in bound]
-                pickle.loads(blob.as_py()).search(ids, m, best[dim], k)
-        for dim, found in best.items():
-            ids = spread.value[dim][0].tolist()
-            rows = [(q, -i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, own in zip(ids, found) for s, i in own if i != floor]
-            for at in range(0, len(rows), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 65536])], ["query_id", "vec_id", "score"])
-
-    return stored.select("dim", "tree").mapInArrow(scan, "query_id long, vec_id long, score long")
+            for file, shards in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids, m, bound = _get(folder, file)
+                best: list[list] = [[] if x is None else [(x, floor)] * k for x in bound]  # below any id: the propagated score
+                for shard in shards:
+                    _get(folder, shard).search(ids, m, best, k)
+                rows = [(q, -i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, own in zip(ids.tolist(), best) for s, i in own if i != floor]
+                for at in range(0, len(rows), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 65536])], ["query_id", "vec_id", "score"])
+
+    groups = F.pmod(F.xxhash64("file"), F.lit(max(1, stored.count() // GROUP)))
+    grouped = stored.groupBy("dim", groups.alias("group")).agg(F.collect_list("file").alias("shards"))  # about GROUP names
+    pairs = common.written(blocks.select("dim", "file").join(grouped, "dim").select("file", "shards"), "topk-pairs")
+    spread = pairs.repartition(max(1, min(TASKS, pairs.count())), "file", "shards")
+    found = spread.mapInArrow(search, "query_id long, vec_id long, score long")
+    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top_k() of all embeddings for the queries whose id is divisible by 50; see there for nulls, ties, repeats and the rest."""
     vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 

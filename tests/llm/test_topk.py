@@ -33,7 +33,8 @@ def test_brute(spark, monkeypatch):
     monkeypatch.setattr(topk, "LEAF", 8)
     monkeypatch.setattr(topk, "FIRST_LOOK", 50)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(topk, "trees", lambda *a, f=topk.trees: f(*a[:3], 60))
+    monkeypatch.setattr(topk, "SHARD", 60)
+    monkeypatch.setattr(topk, "GROUP", 2)
     rng = np.random.default_rng(0)
     rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 5])).round(1).tolist()) for i in range(600)]
     rows += [(i, [0.5] * 6) for i in range(600, 700)]  # ties
