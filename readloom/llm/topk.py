@@ -29,7 +29,7 @@ SHARD, LEAF = 32768, 128
 #: Bytes of a shard's matrix, for long vectors.
 SHARD_BYTES = 64 << 20
 #: Queries that one task searches at a time, and bytes of their matrix, for long vectors.
-QUERY_BLOCK, BLOCK_BYTES = 4096, 32 << 20
+QUERY_BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Shards that one task searches for a block of queries.
 GROUP = 16
 #: Most tasks of the search.
