@@ -79,9 +79,15 @@ def _batch(cigar: pd.Series, seq: pd.Series, flag: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"shift": [x[0] for x in found], "kind": [x[1] for x in found]})
 
 
+#: A first exon of 2 to MOST_EXON bases before an intron, by CIGAR: at the start of forward reads, at the end of reverse ones.
+_EXON = "0*(?:" + "|".join(str(n) for n in range(2, MOST_EXON + 1)) + ")M"
+_FORWARD, _REVERSE = rf"^(?:[0-9]+S)?{_EXON}[0-9]+N[0-9]", rf"[A-Z=][0-9]+N{_EXON}(?:[0-9]+S)?$"
+
+
 def with_leader(rows: DataFrame) -> DataFrame:
-    """rows (cigar, seq, flag) with leader.shift and leader.kind. Only spliced reads go to Python."""
-    can = F.col("cigar").contains("N")
+    """rows (cigar, seq, flag) with leader.shift and leader.kind. Only reads whose first exon can hold a leader's end go to Python;
+    those without a CIGAR or flag have no leader."""
+    can = F.when(F.col("flag").bitwiseAND(16) == 16, F.col("cigar").rlike(_REVERSE)).otherwise(F.col("cigar").rlike(_FORWARD) & F.col("flag").isNotNull())
     none = F.struct(F.lit(0).alias("shift"), F.lit(None).cast("string").alias("kind"))
     spliced = rows.filter(can).withColumn("leader", F.pandas_udf(_batch, "struct<shift:int,kind:string>")("cigar", "seq", "flag"))
     return spliced.unionByName(rows.filter(~F.coalesce(can, F.lit(False))).withColumn("leader", none))

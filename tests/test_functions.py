@@ -66,11 +66,28 @@ def test_leader():
     assert leader.leader_intron("4S12M5000N40M", leader_seq[-16:-12] + read, False)[1] == "long"
 
 
+def part_reversed(cigar_part):
+    return ["".join(map(str, x)) for x in reversed(discrepancies.cigar_ops(cigar_part))]
+
+
 def test_leader_column(spark):
     read = leader.LEADERS[1][-12:] + "ACGT" * 10
     rows = spark.createDataFrame([(1, "12M5000N40M", read, 0), (2, "52M", read, 0), (3, None, None, 0)], "i int, cigar string, seq string, flag int")
     got = {r.i: (r.leader.shift, r.leader.kind) for r in leader.with_leader(rows).collect()}
     assert got == {1: (5000, "long"), 2: (0, None), 3: (0, None)}
+    rng = random.Random(3)
+    data = []
+    for i in range(400):
+        ops = [f"{rng.randint(1, 24)}M", f"{rng.choice([5, 19, 20, 2999, 3000])}N", rng.choice(["40M", "3I37M", "20M9N20M", ""])]
+        forward = [rng.choice(["", "", "4S", "2H", "3="]), *ops, rng.choice(["", "", "3S"])]
+        whole = "".join(forward if i % 2 else [x for part in reversed(forward) for x in part_reversed(part)])
+        end = leader.LEADERS[i % 2][-rng.randint(8, 22) :] + "ACGT" * 12
+        data.append((i, whole, end if i % 2 else end[::-1].translate(str.maketrans("ACGT", "TGCA")), 0 if i % 2 else 16))
+    rows = spark.createDataFrame([*data, (400, "12M5000N40M", read, None)], "i int, cigar string, seq string, flag int")
+    got = {r.i: (r.leader.shift, r.leader.kind) for r in leader.with_leader(rows).collect()}
+    want = {i: leader.leader_intron(c, s, bool(f & 16)) for i, c, s, f in data}
+    assert got == want | {400: (0, None)} and {k for _, k in want.values()} == {"long", "short", None}
+    assert any(k for i, (_, k) in want.items() if i % 2 == 0)
     short = spark.createDataFrame([("3M50N40M",), ("5M50N40M",), ("3M50N",)], "cigar string")
     assert [r[0] for r in short.select(leader.short_exon_shift(cigar.ops())).collect()] == [50, 0, 0]
 
