@@ -10,11 +10,12 @@ assignment before a run (token = ...), while runs without a digit, and in web ad
 but are judged like all others. Labelled candidates of all documents are counted by feature values, of which there are
 at most CELLS; a fifth of the texts, by hash, is kept apart. The trees are fitted to the counts on the driver and go back into the plan as
 one CASE expression; the fifth sets each kind's threshold, from which on PRECISION of its candidates are positive. A span is selected if
-it is a base span, or if its score reaches its kind's threshold and it touches no base span.
+it is a base span, or if its score reaches its kind's threshold and it touches no base span; its label has no say in that.
 
 Null and empty texts have no spans; repeated rows and ties are judged alike, as scores hang on features alone; texts of any length are
-whole, and offsets are worked out by sums over blocks, not by walking; extra columns may have any name; an empty table gives
-no rows, and a table without labelled candidates adds no spans of their kind.
+whole, and the work grows in proportion to a text's length and matches: offsets are sums over blocks of matches, and arrays are bound once
+for a row; extra columns may have any name; an empty table gives no rows, and a table without labelled candidates adds no spans of
+their kind.
 """
 
 from __future__ import annotations
@@ -110,10 +111,42 @@ def _candidate(name: str, kind: int, base: bool) -> str:
     return f"CAST(struct({', '.join(values)}) AS {CANDIDATE})"
 
 
-def _sums(lengths: str) -> str:
-    """SQL: the sums of all items before each block of an array of numbers."""
-    blocks = f"transform(sequence(0, (size({lengths}) - 1) DIV {BLOCK}), j -> aggregate(slice({lengths}, j * {BLOCK} + 1, {BLOCK}), 0, (a, y) -> a + y))"
-    return f"transform(sequence(0, (size({lengths}) - 1) DIV {BLOCK}), j -> aggregate(slice({blocks}, 1, j), 0, (a, y) -> a + y))"
+def _bound(values: dict[str, str], body: str, v: str) -> str:
+    """SQL: body, which names the values as fields of v. They are worked out once for a row, wherever lambdas in body use them; as
+    plain columns the optimizer would move them into the lambdas, which work them out for each item."""
+    return f"transform(array(struct({', '.join(f'{x} AS {n}' for n, x in values.items())})), {v} -> {body})[0]"
+
+
+def _plus(a: str, b: str) -> str:
+    return f"({a} + {b})"
+
+
+def _most(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
+
+
+def _part(items: str, fold, first: str, n: str) -> str:
+    """SQL: the fold of n numbers of an array from a place (from 0) on."""
+    return f"aggregate(slice({items}, {first} + 1, {n}), 0, (x, y) -> {fold('x', 'y')})"
+
+
+def _blocks(items: str) -> str:
+    """SQL: the numbers from 0 of the blocks of an array that is not empty."""
+    return f"sequence(0, (size({items}) - 1) DIV {BLOCK})"
+
+
+def _running(items: str, fold, body: str) -> str:
+    """SQL: body, in which _before(i, fold) folds the numbers of the array before place i. Sums of blocks, and of blocks of blocks, keep
+    that at a few steps a number."""
+    whole = lambda a: f"transform({_blocks(a)}, j -> {_part(a, fold, f'j * {BLOCK}', str(BLOCK))})"
+    upto = fold(_part("l2.wide", fold, "0", f"j DIV {BLOCK}"), _part("l2.sums", fold, f"j DIV {BLOCK} * {BLOCK}", f"j % {BLOCK}"))
+    ready = _bound({"items": "l2.items", "before": f"transform(l2.sums, (unused, j) -> {upto})"}, body, "l3")
+    wide = _bound({"items": "l1.items", "sums": "l1.sums", "wide": whole("l1.sums")}, ready, "l2")
+    return _bound({"items": items}, _bound({"items": "l0.items", "sums": whole("l0.items")}, wide, "l1"), "l0")
+
+
+def _before(i: str, fold) -> str:
+    return fold(f"l3.before[{i} DIV {BLOCK}]", _part("l3.items", fold, f"{i} DIV {BLOCK} * {BLOCK}", f"{i} % {BLOCK}"))
 
 
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -121,22 +154,21 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
     spans with their features. Null text: none."""
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = rows.withColumn("held_back", F.expr("pmod(xxhash64(__text), 5) = 0"))
-    steps: list[list[Column]] = [[], [], [], [], []]
+    steps: list[list[Column]] = [[], []]
     none = "CAST(array() AS array<{}>)"
     for name, kind, base, needs, pattern in GENERATORS:
         found = f"regexp_extract_all(__text, {_quoted(pattern)}, 0)"
         if needs:
             held = " OR ".join(f"contains(__text, {_quoted(n)})" for n in needs)
             found = f"CASE WHEN {held} THEN {found} ELSE {none.format('string')} END"
-        some = lambda x, t, name=name: f"CASE WHEN size(m_{name}) = 0 THEN {none.format(t)} ELSE {x} END"
         steps[0].append(F.expr(found).alias(f"m_{name}"))
-        steps[1].append(F.expr(some(f"split(__text, {_quoted(pattern)}, -1)", "string")).alias(f"g_{name}"))
-        # lengths of each gap with the match after it, and the characters before each block of them
-        steps[2].append(F.expr(some(f"transform(m_{name}, (m, i) -> length(m) + length(g_{name}[i]))", "int")).alias(f"l_{name}"))
-        steps[3].append(F.expr(some(_sums(f"l_{name}"), "int")).alias(f"b_{name}"))
-        start = f"b_{name}[i DIV {BLOCK}] + aggregate(slice(l_{name}, i DIV {BLOCK} * {BLOCK} + 1, i % {BLOCK}), 0, (a, y) -> a + y) + length(g_{name}[i])"
-        items = f"transform(m_{name}, (m, i) -> struct({start} AS start, m AS m, regexp_replace(m, '[^0-9]', '') AS d, right(g_{name}[i], 40) AS before, left(g_{name}[i + 1], 1) AS after))"
-        steps[4].append(F.expr(some(f"transform({items}, x -> {_candidate(name, kind, base)})", CANDIDATE)).alias(f"c_{name}"))
+        # a match starts after all gaps and matches before it and its own gap
+        start = f"{_before('i', _plus)} + length(t.g[i])"
+        items = f"transform(t.m, (m, i) -> struct({start} AS start, m AS m, regexp_replace(m, '[^0-9]', '') AS d, right(t.g[i], 40) AS before, left(t.g[i + 1], 1) AS after))"
+        judged = f"transform({items}, x -> {_candidate(name, kind, base)})"
+        placed = _running("transform(t.m, (m, i) -> length(m) + length(t.g[i]))", _plus, judged)
+        whole = _bound({"m": f"m_{name}", "g": f"split(__text, {_quoted(pattern)}, -1)"}, placed, "t")
+        steps[1].append(F.expr(f"CASE WHEN size(m_{name}) = 0 THEN {none.format(CANDIDATE)} ELSE {whole} END").alias(f"c_{name}"))
     for step in steps:
         rows = rows.select("*", *step)
     return rows.select("row", "held_back", F.concat(*[F.col(f"c_{g[0]}") for g in GENERATORS]).alias("candidates"))
@@ -159,14 +191,23 @@ def fit(found: DataFrame) -> tuple[boosting.Boosted, list[float]]:
     return model, limits
 
 
+def _distinct(items: str) -> str:
+    """SQL: an array ordered and each item once. Structs are compared with their neighbours, as array_distinct compares all pairs."""
+    return _bound({"s": f"sort_array({items})"}, "filter(d.s, (x, i) -> i = 0 OR x <> d.s[i - 1])", "d")
+
+
 def selected(found: DataFrame, model: boosting.Boosted, limits: list[float]) -> DataFrame:
     """found with `base` and `spans`: distinct (start, kind, stop), ordered."""
     limit = "CASE c.kind " + " ".join(f"WHEN {k} THEN {v:.9f}D" for k, v in enumerate(limits)) + " END"
     plain = "transform({}, c -> struct(c.start AS start, c.kind AS kind, c.stop AS stop))"
-    out = found.withColumn("base", F.expr("array_sort(array_distinct(" + plain.format("filter(candidates, c -> c.base)") + "))"))
-    free = "NOT exists(base, b -> b.start < c.stop AND c.start < b.stop)"
-    out = out.withColumn("added", F.expr(plain.format(f"filter(candidates, c -> NOT c.base AND c.label <> 0 AND {free} AND {model.sql('c')} >= {limit})")))
-    return out.withColumn("spans", F.expr("array_sort(array_distinct(concat(base, added)))")).drop("added", "candidates")
+    out = found.withColumn("base", F.expr(_distinct(plain.format("filter(candidates, c -> c.base)"))))
+    # a candidate looks into those blocks of base spans alone that reach to it
+    edge = "transform({}, j -> {})".format(_blocks("base"), "struct(base[j * {0}].start AS low, aggregate(slice(base, j * {0} + 1, {0}), 0, (x, b) -> greatest(x, b.stop)) AS high, slice(base, j * {0} + 1, {0}) AS spans)".format(BLOCK))
+    touched = "exists(e.blocks, k -> k.low < c.stop AND c.start < k.high AND exists(k.spans, b -> b.start < c.stop AND c.start < b.stop))"
+    judged = f"filter(candidates, c -> NOT c.base AND {model.sql('c')} >= {limit})"
+    free = _bound({"blocks": f"CASE WHEN size(base) > 0 THEN {edge} END", "judged": judged}, f"filter(e.judged, c -> NOT coalesce({touched}, false))", "e")
+    out = out.withColumn("added", F.expr(plain.format(free)))
+    return out.withColumn("spans", F.expr(_distinct("concat(base, added)"))).drop("added", "candidates")
 
 
 def rendered(spans: str) -> Column:
@@ -185,17 +226,12 @@ def redacted(text: str = "text", spans: str = "spans") -> Column:
     """The text with every span replaced by its kind; overlapping spans become one, named by the first. Characters are taken
     from 32-bit code units, whose places need no search."""
     names = "CASE s.kind " + " ".join(f"WHEN {k} THEN '[{n.upper()}]'" for k, n in enumerate(KINDS)) + " END"
-    wide = f"encode({text}, 'UTF-32')"
-    cut = lambda a, n: f"decode(substring({wide}, 4 * ({a}) + 1, 4 * ({n})), 'UTF-32')"
-    # `upto` of a span: where the spans before it end, by blocks
-    stops = f"transform({spans}, s -> s.stop)"
-    most = "aggregate(slice({}, {}, {}), 0, (a, y) -> greatest(a, y))"
-    blocks = f"transform(sequence(0, (size({spans}) - 1) DIV {BLOCK}), j -> {most.format(stops, f'j * {BLOCK} + 1', BLOCK)})"
-    before = f"greatest({most.format(blocks, 1, f'i DIV {BLOCK}')}, {most.format(stops, f'i DIV {BLOCK} * {BLOCK} + 1', f'i % {BLOCK}')})"
-    placed = f"transform({spans}, (s, i) -> struct(s.start AS start, s.kind AS kind, {before} AS upto))"
+    cut = lambda a, n: f"decode(substring(t.wide, 4 * ({a}) + 1, 4 * ({n})), 'UTF-32')"
+    placed = f"transform(t.spans, (s, i) -> struct(s.start AS start, s.kind AS kind, {_before('i', _most)} AS upto))"
     pieces = f"transform(filter({placed}, s -> s.start >= s.upto), s -> concat({cut('s.upto', 's.start - s.upto')}, {names}))"
-    end = f"aggregate({stops}, 0, (a, y) -> greatest(a, y))"
-    return F.expr(f"CASE WHEN size({spans}) = 0 THEN {text} ELSE concat(array_join({pieces}, ''), {cut(end, f'length({text}) - {end}')}) END")
+    whole = f"concat(array_join({pieces}, ''), {cut('t.end', 't.size - t.end')})"
+    values = {"spans": spans, "wide": f"encode({text}, 'UTF-32')", "size": f"length({text})", "end": f"aggregate({spans}, 0, (x, y) -> greatest(x, y.stop))"}
+    return F.expr(f"CASE WHEN size({spans}) = 0 THEN {text} ELSE {_bound(values, _running('transform(t.spans, s -> s.stop)', _most, whole), 't')} END")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +243,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacts personal data; n_chars follows the text. Rows without any stay as they are."""
-    found = detect(docs, docs.columns)
-    text = redacted("row.text")
-    length = F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
-    new = {"text": text, "n_chars": length}
+    """Redacts personal data; n_chars follows the text. Rows without any stay as they are, those of null or empty text among them;
+    repeated rows stay repeated; an empty table gives an empty one; further columns are kept."""
+    found = detect(docs, docs.columns).withColumn("__new", redacted("row.text"))
+    length = F.when(F.size("spans") > 0, F.length("__new").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("__new"), "n_chars": length}
     return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
