@@ -13,6 +13,7 @@ from .simhash import op7_simhash
 from .telephony import op3_telephony
 from .topk import op6_topk
 from .warc import op1_warc
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_hpylm": op8_hpylm,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op6_topk": topk.ORACLE_SQL}
