@@ -43,10 +43,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage ends there and survives lost executors, so its shuffle files
-    are no longer needed."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (at path, if given), read again: its lineage ends there and survives lost executors, so its
+    shuffle files are no longer needed."""
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

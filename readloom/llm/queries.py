@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import topk, warc
+from . import topk, trie, warc
 from .bpe import op9_bpe
 from .chat import op10_chat
 from .hpylm import op8_hpylm
@@ -12,6 +12,7 @@ from .pii import op5_pii
 from .simhash import op7_simhash
 from .telephony import op3_telephony
 from .topk import op6_topk
+from .trie import op12_trie
 from .warc import op1_warc
 from .whitening import op13_whitening
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_hpylm": op8_hpylm,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op12_trie": op12_trie,
     "op13_whitening": op13_whitening,
 }
-ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op6_topk": topk.ORACLE_SQL}
+ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op6_topk": topk.ORACLE_SQL, "op12_trie": trie.ORACLE_SQL}
