@@ -10,6 +10,7 @@ from .langid import op4_langid
 from .packing import op2_packing
 from .pii import op5_pii
 from .simhash import op7_simhash
+from .suffixes import op11_suffixes
 from .telephony import op3_telephony
 from .topk import op6_topk
 from .trie import op12_trie
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_hpylm": op8_hpylm,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_suffixes": op11_suffixes,
     "op12_trie": op12_trie,
     "op13_whitening": op13_whitening,
 }
