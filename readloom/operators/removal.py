@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DEFAULTS, Options
-from ..scratch import written
+from .draws import sample_branch
 from .intervals import containing
 
 
@@ -40,93 +40,6 @@ def low_branch(held: DataFrame) -> DataFrame:
     return held.filter("is_dup and beg is null").select("ordinal")
 
 
-def linked(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component) of regions linked by pairs: least labels pass along links and jump to their labels' labels, each
-    round written to the shared folder. links: (a, b), both ways."""
-    links = written(links.distinct(), "region-links")
-    if links.isEmpty():
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    label = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    label = written(label, "region-labels")
-    for _ in range(most_rounds):
-        near = links.join(label, links.b == label.node).groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(near, label.node == near.a).select("node", F.least("component", "m").alias("component"))
-        jump = new.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = written(new.join(jump, new.component == jump.c, "left").select("node", F.least("component", F.coalesce("cc", "component")).alias("component")), "region-labels")
-        if new.join(label.withColumnRenamed("component", "old"), "node").filter("old <> component").isEmpty():
-            return new
-        label = new
-    raise RuntimeError("links of regions did not settle")
-
-
-def draw_key(seed: int):
-    """The order of the draw: a hash for each read, strand or mate included by its ordinal."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col("ordinal").cast("string")))
-
-
-def sample_branch(held: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Ordinals that the draws remove, without those of the branch all.
-
-    Regions linked by duplicate pairs are a component and are worked in order of (refid, beg). In a region of the branch
-    all, every duplicate and its mate goes. In one of the branch sample, those already gone count towards the quota; the
-    others are drawn in the order of a hash until the quota is full, each taking along its mate if that is in a high
-    region, which takes up one more place if it is in the same one. Regions without links are drawn by a running sum in
-    a window; linked ones by component.
-    """
-    name = lambda p="": F.concat_ws(":", F.lpad(F.col(f"{p}refid").cast("string"), 6, "0"), F.lpad(F.col(f"{p}beg").cast("string"), 12, "0"))
-    dups = held.filter("is_dup and beg is not null").withColumn("region", name()).withColumn("h", draw_key(options.seed)).select("ordinal", "mate", "region", "h", "quota", "ndup", "branch")
-    mates = dups.select(F.col("ordinal").alias("mate"), F.col("region").alias("mate_region"))
-    dups = written(dups.join(mates, "mate", "left"), "region-dups")
-    links = dups.filter("mate_region is not null and mate_region <> region").select(F.col("region").alias("a"), F.col("mate_region").alias("b"))
-    component = linked(links)
-    placed = dups.join(component, dups.region == component.node, "left").drop("node")
-    # alone: a pair within the region is one unit at the place of its first read
-    alone = placed.filter("component is null and branch = 'sample'")
-    unit = F.when(F.col("mate_region").isNotNull(), F.least("ordinal", "mate")).otherwise(F.col("ordinal"))
-    by_unit = Window.partitionBy("region", "unit")
-    units = alone.withColumn("unit", unit).withColumn("first", F.min("h").over(by_unit)).withColumn("size", F.count("*").over(by_unit))
-    # the running sum of sizes in the order of the hash, in two stages: over slices of the hash, then within each
-    firsts = units.filter("h = first").select("region", "quota", "unit", "size", "first", F.substring("first", 1, 3).alias("slice"))
-    up_to = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    sums = firsts.groupBy("region", "slice").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(up_to("region", "slice")), F.lit(0))).drop("n")
-    within = F.coalesce(F.sum("size").over(up_to("region", "slice", "first")), F.lit(0))
-    firsts = firsts.join(sums, ["region", "slice"]).withColumn("before", F.col("base") + within)
-    picked = units.join(firsts.filter("before < quota").select("region", "unit"), ["region", "unit"], "left_semi").select("ordinal")
-
-    def work(pdf):
-        import pandas as pd
-
-        gone: set[int] = set()
-        drawn: set[int] = set()
-        where = dict(zip(pdf["ordinal"], pdf["region"]))
-        for region, rows in pdf.sort_values(["region", "h", "ordinal"]).groupby("region", sort=True):
-            branch, quota = rows["branch"].iat[0], int(rows["quota"].iat[0])
-            mates_of = {o: (int(m) if m == m and m is not None else None) for o, m in zip(rows["ordinal"], rows["mate"])}
-            if branch == "all":
-                for o, m in mates_of.items():
-                    gone.add(o)
-                    if m is not None:
-                        gone.add(m)
-            elif branch == "sample":
-                used = sum(o in gone for o in mates_of)
-                for o, m in mates_of.items():
-                    if used >= quota:
-                        break
-                    if o in gone:
-                        continue
-                    gone.add(o)
-                    drawn.add(o)
-                    used += 1
-                    if m in where and m not in gone:
-                        gone.add(m)
-                        drawn.add(m)
-                        used += where[m] == region
-        return pd.DataFrame({"ordinal": sorted(drawn)}, dtype="int64")
-
-    together = placed.filter("component is not null").groupBy("component").applyInPandas(work, "ordinal bigint")
-    return picked.unionByName(together)
-
-
 def removals(held: DataFrame, reads: DataFrame, kind: str, options: Options = DEFAULTS) -> DataFrame:
     """Every removed alignment: pass, is_pair, is_dup, in_hcr, is_removed, refid, pos5p, flag, pos, read_name, ordinal."""
     gone = all_branch(held).unionByName(low_branch(held)).unionByName(sample_branch(held, options)).distinct()

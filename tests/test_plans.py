@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.model import DEFAULTS, Options
-from readloom.operators import intervals, reads, removal
+from readloom.operators import draws, intervals, reads, removal
 from readloom.plans import catalogue, passes
 from readloom.sources import derived
 
@@ -184,6 +185,69 @@ def test_draws(spark):
         assert len(got) in (6, 7) and all((o ^ 1) in got for o in got if o >= 20)
 
 
+def walked(rows, seed=1):
+    """Ordinals drawn, by a literal walk through the regions in order. rows: (ordinal, mate, refid, beg, quota, branch)."""
+    key = lambda o: hashlib.md5(f"{seed}|{o}".encode()).hexdigest()
+    of, gone, out, regions = {r[0]: r for r in rows}, set(), set(), {}
+    for r in rows:
+        regions.setdefault(r[2:4], []).append(r)
+    for place, own in sorted(regions.items()):
+        branch, used = own[0][5], sum(r[0] in gone for r in own)
+        if branch == "all":
+            for r in own:
+                gone |= {r[0]} | ({r[1]} if r[1] is not None else set())
+        for r in sorted(own, key=lambda r: key(r[0])) if branch == "sample" else ():
+            if used >= own[0][4]:
+                break
+            if r[0] in gone:
+                continue
+            used += 1
+            mate = of.get(r[1])
+            new = {r[0]} | ({r[1]} if mate and r[1] not in gone else set())
+            used += bool(mate and r[1] not in gone and mate[2:4] == place)
+            gone |= new
+            out |= new
+    return out
+
+
+def held_of(spark, rows):
+    cols = "ordinal long, mate long, is_dup boolean, refid int, beg int, quota long, branch string"
+    return spark.createDataFrame([(o, m, True, ref, beg, q, b) for o, m, ref, beg, q, b in rows], cols)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_draws_are_the_walk(spark, seed):
+    """Regions linked at random, of all branches, mates in the same, in earlier and later ones and outside of all."""
+    rng = random.Random(seed)
+    regions = [(rng.randrange(3), 100 * i, rng.choice(["all", "sample", "sample", "none"]), rng.randint(1, 6)) for i in range(25)]
+    rows, at = [], 0
+    for _ in range(150):
+        a, b = rng.choice(regions), rng.choice(regions)
+        b = a if rng.random() < 0.2 else b
+        rows += [(at, at + 1, a[0], a[1], a[3], a[2]), (at + 1, at, b[0], b[1], b[3], b[2])]
+        rows += [(at + 2, at + 3, a[0], a[1], a[3], a[2]), (at + 4, None, b[0], b[1], b[3], b[2])]  # the mate of the first is elsewhere
+        at += 5
+    got = [r.ordinal for r in removal.sample_branch(held_of(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == walked(rows)
+    there = {r[0] for r in rows}
+    every = set(got) | {o for r in rows if r[5] == "all" for o in r[:2] if o in there}
+    broken = draws.consistency(held_of(spark, rows), spark.createDataFrame([(o,) for o in every], "ordinal long"))
+    assert {r.invariant: r.broken for r in broken.collect()} == {"drawn are duplicates of high regions": 0, "mates go together": 0, "quotas are filled": 0}
+
+
+def test_draws_over_a_chain_and_a_hub(spark):
+    """A thousand regions in a chain, and half of all duplicates in one region that is linked to most of them."""
+    rows, at = [], 0
+    for i in range(999):
+        for _ in range(2):
+            rows += [(at, at + 1, 0, i, 2, "sample"), (at + 1, at, 0, i + 1, 2, "sample")]
+            at += 2
+        rows += [(at, at + 1, 0, i, 2, "sample"), (at + 1, at, 1, 0, 700, "sample")]
+        at += 2
+    rows += [(at + i, None, 1, 0, 700, "sample") for i in range(3000)]
+    assert {r.ordinal for r in removal.sample_branch(held_of(spark, rows)).collect()} == walked(rows)
+
+
 def test_ties_and_edges(spark):
     cols = "ordinal long, refid int, read_name string, pos int, pos5p int, mapq int, flag int, tlen int, sbasq long"
     pair = lambda n, o, q: [(o, 0, n, 100, 100, q, 67, 200, 5), (o + 1, 0, n, 250, 299, q, 147, -200, 5)]
