@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .discrepancies import cigar_ops
+from .arrays import bound
 
 # The leaders, and the bases that any of them may have at each place from its end.
 LEADERS = (
@@ -29,68 +28,65 @@ ANY_OF = ("G", "A", "AG", "CT", "ACT", "ACT", "AGT", "AT", "AGT", "ACGT", "ACG",
 LONG_INTRON, SHORT_INTRON, MOST_EXON = 3000, 20, 20
 MOST_WRONG, LEAST_LONG, LEAST_SHORT = 2, 10, 2
 OFFSETS = (0, *(x for i in range(1, 8) for x in (-i, i)))
-_COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
-
-
-def _agrees(seq: str, end: int, expected, most_wrong: int, least: int, same) -> bool:
-    """Whether the bases from `end` backwards agree with what is expected, but for most_wrong, in at least `least` places.
-    Bases beyond the read's end are wrong; the comparison stops at its first base."""
-    wrong = right = 0
-    for i, x in enumerate(expected):
-        at = end - i
-        if at < 0:
-            break
-        if at < len(seq) and same(seq[at], x):
-            right += 1
-        else:
-            wrong += 1
-            if wrong > most_wrong:
-                return False
-    return right >= least
-
-
-def leader_intron(cigar: str | None, seq: str | None, reverse: bool) -> tuple[int, str | None]:
-    """(length of the leader's intron, long or short), or (0, None)."""
-    ops, seq = cigar_ops(cigar), seq or ""
-    if reverse:
-        ops, seq = ops[::-1], seq.translate(_COMPLEMENT)[::-1]
-    clipped = 0
-    if ops and ops[0][1] == "S":
-        if len(ops) < 4:
-            return 0, None
-        clipped, ops = ops[0][0], ops[1:]
-    if len(ops) < 3 or ops[0][1] != "M" or not 2 <= ops[0][0] <= MOST_EXON or ops[1][1] != "N":
-        return 0, None
-    exon, intron = ops[0][0], ops[1][0]
-    end = exon + clipped - 1
-    equal = lambda a, b: a == b
-    if exon >= LEAST_LONG - MOST_WRONG and intron >= LONG_INTRON:
-        for offset in OFFSETS:
-            if _agrees(seq, end + offset, ANY_OF, MOST_WRONG, LEAST_LONG, lambda a, b: a.upper() in b) and any(_agrees(seq, end + offset, x[::-1], MOST_WRONG, LEAST_LONG, equal) for x in LEADERS):
-                return intron, "long"
-    elif intron >= SHORT_INTRON:
-        if any(_agrees(seq, end + offset, x[::-1], 0, LEAST_SHORT, equal) for offset in OFFSETS for x in LEADERS[:2]):
-            return intron, "short"
-    return 0, None
-
-
-def _batch(cigar: pd.Series, seq: pd.Series, flag: pd.Series) -> pd.DataFrame:
-    found = [leader_intron(c, s, bool(f & 16)) for c, s, f in zip(cigar, seq, flag)]
-    return pd.DataFrame({"shift": [x[0] for x in found], "kind": [x[1] for x in found]})
-
-
-#: A first exon of 2 to MOST_EXON bases before an intron, by CIGAR: at the start of forward reads, at the end of reverse ones.
-_EXON = "0*(?:" + "|".join(str(n) for n in range(2, MOST_EXON + 1)) + ")M"
-_FORWARD, _REVERSE = rf"^(?:[0-9]+S)?{_EXON}[0-9]+N[0-9]", rf"[A-Z=][0-9]+N{_EXON}(?:[0-9]+S)?$"
+#: Bases that a comparison may look at: a leader, moved by the offsets.
+WINDOW = max(map(len, LEADERS)) + 2 * max(OFFSETS)
+#: A first exon of 2 to MOST_EXON bases before an intron, by CIGAR: at the start of forward reads, at the end of reverse ones; before it (or
+#: behind it) one soft clip at most, behind the intron (or before it) a further op.
+_EXON = "0*(" + "|".join(str(n) for n in range(2, MOST_EXON + 1)) + ")M"
+_FORWARD, _REVERSE = rf"^(?:([0-9]+)S)?{_EXON}([0-9]+)N[0-9]", rf"[A-Z=]([0-9]+)N{_EXON}(?:([0-9]+)S)?$"
+
+
+def _bits(places: list[str]) -> dict[str, int]:
+    """For each base the set of places, from the end of a leader backwards, at which it is expected, as bits."""
+    return {base: sum(1 << i for i, any_of in enumerate(places) if base in any_of) for base in "ACGT"}
+
+
+def _found(text: str, base: str) -> str:
+    """SQL: the places of a base in a text as bits, its last character first."""
+    return f"CAST(conv(translate(regexp_replace({text}, '[^{base}]', '0'), '{base}', '1'), 2, 10) AS BIGINT)"
+
+
+def _right(bits: dict[str, int], sets: str, offset: str) -> str:
+    """SQL: the places that agree when the comparison begins `offset` bases behind the exon's end."""
+    return " + ".join(f"bit_count(shiftright(w.{sets}{base}, {max(OFFSETS)} - {offset}) & {n}L)" for base, n in bits.items())
+
+
+def _agrees(places: list[str], sets: str, offset: str, most_wrong: int, least: int) -> str:
+    """SQL: whether a stretch agrees with what is expected but for most_wrong places, in at least `least`. Bases beyond the read's end are
+    wrong; the comparison stops at its first base."""
+    right = _right(_bits(places), sets, offset)
+    seen = f"greatest(0, least({len(places)}, w.end + {offset} + 1))"
+    return f"({right} >= {least} AND {seen} - ({right}) <= {most_wrong})"
+
+
+def leader(cigar: str = "cigar", seq: str = "seq", flag: str = "flag") -> Column:
+    """struct (shift, kind): the length of the intron behind a leader's end at the read's start, and long or short; else 0 and null. Leaders and
+    the bases that any of them may have are sets of places, one bit each, and mismatches are counted by bit operations, for all offsets. Reads
+    without a CIGAR or flag have no leader."""
+    reverse = f"`{flag}` & 16 = 16"
+    group = lambda forward, backward: f"CASE WHEN {reverse} THEN regexp_extract(`{cigar}`, r'{_REVERSE}', {backward}) ELSE regexp_extract(`{cigar}`, r'{_FORWARD}', {forward}) END"
+    number = lambda x: f"coalesce(try_cast({x} AS INT), 0)"
+    size = f"w.end + 1 + {max(OFFSETS)}"
+    start = f"CASE WHEN {reverse} THEN reverse(translate(right(`{seq}`, {size}), 'ACGTacgt', 'TGCAtgca')) ELSE left(`{seq}`, {size}) END"
+    text = f"right(rpad(coalesce({start}, ''), {size}, '-'), {WINDOW})"
+    offsets = f"array({', '.join(map(str, OFFSETS))})"
+    any_leader = lambda which, wrong, least: " OR ".join(_agrees(list(x[::-1]), "own", "d", wrong, least) for x in which)
+    long = f"exists({offsets}, d -> {_agrees(list(ANY_OF), 'any', 'd', MOST_WRONG, LEAST_LONG)} AND ({any_leader(LEADERS, MOST_WRONG, LEAST_LONG)}))"
+    short = f"exists({offsets}, d -> {any_leader(LEADERS[:2], 0, LEAST_SHORT)})"
+    kind = f"CASE WHEN w.exon >= {LEAST_LONG - MOST_WRONG} AND w.intron >= {LONG_INTRON} THEN CASE WHEN {long} THEN 'long' END WHEN w.intron >= {SHORT_INTRON} THEN CASE WHEN {short} THEN 'short' END END"
+    sets = {f"{k}{base}": _found(x, base) for k, x in (("own", "w.text"), ("any", "upper(w.text)")) for base in "ACGT"}
+    kept = {n: f"w.{n}" for n in ("exon", "intron", "end")}
+    judged = bound(kept | sets, bound({"kind": kind, "intron": "w.intron"}, "struct(CASE WHEN k.kind IS NULL THEN 0 ELSE k.intron END AS shift, k.kind AS kind)", "k"), "w")
+    cut = bound(kept | {"text": text}, judged, "w")
+    placed = bound({"exon": "w.exon", "intron": "w.intron", "end": "w.exon + w.clip - 1"}, cut, "w")
+    read = bound({"exon": number(group(2, 2)), "clip": number(group(1, 3)), "intron": number(group(3, 1))}, placed, "w")
+    can = f"CASE WHEN {reverse} THEN `{cigar}` rlike r'{_REVERSE}' ELSE `{cigar}` rlike r'{_FORWARD}' AND `{flag}` IS NOT NULL END"
+    return F.expr(f"CASE WHEN {can} THEN {read} ELSE struct(0 AS shift, CAST(NULL AS STRING) AS kind) END")
 
 
 def with_leader(rows: DataFrame) -> DataFrame:
-    """rows (cigar, seq, flag) with leader.shift and leader.kind. Only reads whose first exon can hold a leader's end go to Python;
-    those without a CIGAR or flag have no leader."""
-    can = F.when(F.col("flag").bitwiseAND(16) == 16, F.col("cigar").rlike(_REVERSE)).otherwise(F.col("cigar").rlike(_FORWARD) & F.col("flag").isNotNull())
-    none = F.struct(F.lit(0).alias("shift"), F.lit(None).cast("string").alias("kind"))
-    spliced = rows.filter(can).withColumn("leader", F.pandas_udf(_batch, "struct<shift:int,kind:string>")("cigar", "seq", "flag"))
-    return spliced.unionByName(rows.filter(~F.coalesce(can, F.lit(False))).withColumn("leader", none))
+    """rows (cigar, seq, flag) with leader.shift and leader.kind."""
+    return rows.withColumn("leader", leader())
 
 
 def short_exon_shift(parsed: Column) -> Column:

@@ -39,54 +39,6 @@ def segments(coverage: DataFrame, column: str, options: Options = DEFAULTS, bin_
     return joined.groupBy("t", "rmin", "refid", "home").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("home")
 
 
-def scan(positions, starts, length: int, miss: int, hit: int, drop: int) -> list[tuple[int, int, int, int]]:
-    """(beg, end, starts, score) of score segments over one reference: a base with a start adds hit, another adds miss. A segment
-    ends where its score is spent or has fallen by -drop from its best, and reaches to the base of the best score.
-    positions: sorted, 1-based. Only bases with starts are visited; a gap is worked out at once."""
-    if miss >= 0 or hit <= 0 or drop > 0:
-        raise ValueError("miss is below 0, hit above, drop not above")
-    out, score, best, beg, end, n, pending = [], 0, 0, 0, 0, 0, 0
-    last = 0
-    for p, c in zip(positions, starts):
-        fall = (p - last - 1) * miss
-        if best and (score + fall <= 0 or score + fall <= best + drop):  # it ended within the gap
-            out.append((beg, end, n, best))
-            best = 0
-        if not best:
-            score, beg, end, n, pending = 0, p, p, 0, 0
-        else:
-            score += fall
-        score += hit
-        pending += c
-        if score >= best:
-            best, end, n = score, p, n + pending
-            pending = 0
-        if score <= 0 or score <= best + drop:
-            out.append((beg, end, n, best))
-            best = 0
-        last = p
-    if best:
-        out.append((beg, end, n, best))
-    return out
-
-
-def scanned_segments(coverage: DataFrame, column: str, references: DataFrame, levels: list[tuple[int, int, int, float]]) -> DataFrame:
-    """segments() for any scores: levels of (miss, hit, drop, rmin); t is the hit score. A segment of a single start is
-    left out. The scan goes through a whole reference in one task; where drop is -hit and miss is -1, segments() gives the
-    same and does not."""
-
-    def work(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("p")
-        length = int(pdf["length"].iat[0])
-        rows = [(hit, rmin, int(pdf["refid"].iat[0]), a, b, n) for miss, hit, drop, rmin in levels for a, b, n, best in scan(pdf["p"].tolist(), pdf["n"].tolist(), length, miss, hit, drop) if best > hit]
-        return pd.DataFrame(rows, columns=["t", "rmin", "refid", "beg", "end", "n"])
-
-    rows = coverage.filter(F.col(column) > 0).select("refid", F.col("p").cast("int").alias("p"), F.col(column).alias("n"))
-    return rows.join(F.broadcast(references.select("refid", "length")), "refid").groupBy("refid").applyInPandas(work, "t int, rmin double, refid int, beg int, end int, n long")
-
-
 def accepted_segments(found: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     length = F.col("end") - F.col("beg") + 1
     return found.filter((length >= options.least_segment) & (F.col("n").cast("double") / length >= F.col("rmin")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, discrepancies, leader
 from ..model import DEFAULTS
-from ..operators import intervals, reads, removal, report
+from ..operators import draws, intervals, reads, removal, report, scans
 from ..scratch import shared_folder
 from ..sources import bam, derived, sam
 from . import passes
@@ -23,11 +23,11 @@ def _pass(spark: SparkSession, sf_dir: str, kind: str = "pe") -> passes.Pass:
     return passes.Pass(derived.alignments(spark, sf_dir), derived.references(spark), kind)
 
 
-def query(sql: str | None = None, draws: bool = False):
+def query(sql: str | None = None, draws: bool = False, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {CTES}, {DRAWS} {sql}" if draws else f"WITH {CTES} {sql}"
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {CTES}, {DRAWS} {sql}" if draws else f"WITH {'RECURSIVE ' if recursive else ''}{CTES} {sql}"
         return f
 
     return add
@@ -142,6 +142,27 @@ def coverage_segments(spark, sf_dir):
     return _pass(spark, sf_dir).segments.select("t", "refid", "beg", "end", "n")
 
 
+#: Scores of a scan that gap sessions do not cover: a segment ends 7 below its best, long before its score is spent.
+_SCORES = (-1, 20, -7, 0.01)
+
+
+@query(f""", pos AS MATERIALIZED (SELECT refid, p, pe_n AS n, row_number() OVER (PARTITION BY refid ORDER BY p) AS i FROM cov_pe WHERE pe_n > 0),
+    walk AS (SELECT refid, i, p, 20 AS score, 20 AS best, p AS beg, p AS e, n AS seen, CAST(0 AS BIGINT) AS since FROM pos WHERE i = 1
+        UNION ALL SELECT refid, i, p, CASE WHEN o THEN s + 20 ELSE 20 END, CASE WHEN o THEN greatest(best, s + 20) ELSE 20 END, CASE WHEN o THEN beg ELSE p END, CASE WHEN o AND s + 20 < best THEN e ELSE p END,
+            CASE WHEN NOT o THEN n WHEN s + 20 < best THEN seen ELSE seen + since + n END, CASE WHEN o AND s + 20 < best THEN since + n ELSE 0 END
+        FROM (SELECT x.refid, x.i, x.p, x.n, w.best, w.beg, w.e, w.seen, w.since, w.score - (x.p - w.p - 1) AS s, w.score - (x.p - w.p - 1) > 0 AND w.score - (x.p - w.p - 1) > w.best - 7 AS o FROM walk w JOIN pos x ON x.refid = w.refid AND x.i = w.i + 1) y)
+    SELECT 20 AS t, CAST(0.01 AS DOUBLE) AS rmin, refid, beg, arg_max(e, i) AS {_END}, arg_max(seen, i) AS n FROM walk GROUP BY refid, beg HAVING arg_max(best, i) > 20""", recursive=True)
+def score_segments(spark, sf_dir):
+    """The scan for scores that gap sessions do not cover."""
+    return scans.score_segments(_pass(spark, sf_dir).coverage, "pe_n", [_SCORES])
+
+
+@query("SELECT 'drawn are duplicates of high regions' AS invariant, CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'mates go together', 0 UNION ALL SELECT 'quotas are filled', 0")
+def draw_consistency(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    return draws.consistency(p.members, p.removals.filter("in_hcr").select("ordinal"))
+
+
 @query("SELECT t, rmin, count(*) AS segments, CAST(sum(e - beg + 1) AS BIGINT) AS bases, CAST(sum(n) AS BIGINT) AS starts FROM acc_pe GROUP BY t, rmin")
 def segments_by_level(spark, sf_dir):
     return _pass(spark, sf_dir).accepted.groupBy("t", "rmin").agg(F.count("*").alias("segments"), F.sum(F.col("end") - F.col("beg") + 1).alias("bases"), F.sum("n").alias("starts"))
@@ -337,12 +358,68 @@ def sl_match(spark, sf_dir):
     return leader.with_leader(_with_bases(spark, sf_dir)).select("ordinal", "leader.shift", "leader.kind")
 
 
-@query("""SELECT ordinal, CASE cigar WHEN '25=1X24=' THEN 1 WHEN '20M2D28M3I' THEN 2 ELSE 4 END AS type, CASE cigar WHEN '25=1X24=' THEN 26 WHEN '10M3000N40M' THEN 10 ELSE 20 END AS pos,
-    CASE cigar WHEN '25=1X24=' THEN 1 WHEN '20M2D28M3I' THEN 2 WHEN '10M3000N40M' THEN 3000 ELSE 100 END AS len, pos + CASE cigar WHEN '25=1X24=' THEN 25 WHEN '10M3000N40M' THEN 10 ELSE 20 END AS pos_chr FROM acc WHERE cigar IN ('25=1X24=', '20M2D28M3I', '20M100N30M', '10M3000N40M')
-    UNION ALL SELECT ordinal, 3, 49, 3, pos + 50 FROM acc WHERE cigar = '20M2D28M3I' UNION ALL SELECT ordinal, 1, 21, 1, pos + 20 FROM acc WHERE cigar = '50M' AND (ordinal // 8) % 3 = 0""")
+#: MD tags that the derived reads get, by CIGAR and (ordinal // 8) % 4, and what they and the CIGARs tell: type, place in the read, length,
+#: distance from the read's first reference base, reference base.
+_MDS = {
+    ("50M", 0): "20A29", ("50M", 1): "0C48T0", ("50M", 2): "50", ("5S45M", 0): "10G0A33", ("5S45M", 1): "45", ("45M5S", 2): "3R41", ("20M100N30M", 0): "25N24", ("20M100N30M", 1): "50",
+    ("20M2D28M3I", 0): "20^AC0G27", ("20M2D28M3I", 1): "20^AC28", ("5H10S35M", 1): "34T0", ("25=1X24=", 0): "25T24", ("25=1X24=", 2): "25n24",
+}
+_TOLD = [
+    ("50M", 0, 1, 21, 1, 20, "A"), ("50M", 1, 1, 1, 1, 0, "C"), ("50M", 1, 1, 50, 1, 49, "T"), ("5S45M", 0, 1, 16, 1, 10, "G"), ("5S45M", 0, 1, 17, 1, 11, "A"), ("45M5S", 2, 1, 4, 1, 3, "R"), ("20M100N30M", 0, 1, 26, 1, 125, "N"),
+    ("20M2D28M3I", 0, 1, 21, 1, 22, "G"), ("5H10S35M", 1, 1, 45, 1, 34, "T"), ("25=1X24=", 0, 1, 26, 1, 25, "T"), ("25=1X24=", 2, 1, 26, 1, 25, "n"), ("25=1X24=", 1, 1, 26, 1, 25, None), ("25=1X24=", 3, 1, 26, 1, 25, None),
+    *[(c, v, *x, None) for v in range(4) for c, *x in (("20M100N30M", 4, 20, 100, 20), ("20M2D28M3I", 2, 20, 2, 20), ("20M2D28M3I", 3, 49, 3, 49), ("10M3000N40M", 4, 10, 3000, 10))],
+]
+_TEXT = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+_READ = "substring(repeat('ACGTN', 12), w.pos, 1)"
+
+
+@query(f"""SELECT ordinal, w.type, w.pos, w.len, a.pos + w.off AS pos_chr, ref_base, CASE WHEN w.type = 1 THEN {_READ} END AS read_base,
+    CASE ref_base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 WHEN 'N' THEN 16 ELSE 0 END + CASE WHEN w.type = 1 AND {_READ} = 'N' THEN 32 ELSE 0 END AS base
+    FROM acc a JOIN (VALUES {', '.join(f"('{c}', {v}, {t}, {p}, {n}, {o}, {_TEXT(r)})" for c, v, t, p, n, o, r in _TOLD)}) w(cigar, v, type, pos, len, off, ref_base) ON w.cigar = a.cigar AND w.v = (ordinal // 8) % 4""")
 def list_discrepancies(spark, sf_dir):
-    rows = _pass(spark, sf_dir).reads.withColumn("md", F.expr("CASE WHEN cigar = '50M' AND ordinal DIV 8 % 3 = 0 THEN '20A29' END"))
-    return rows.select("ordinal", F.explode(discrepancies.discrepancies()).alias("d")).select("ordinal", "d.*")
+    """Differences with their bases, of reads with MD tags of all forms."""
+    md = " ".join(f"WHEN cigar = '{c}' AND ordinal DIV 8 % 4 = {v} THEN '{m}'" for (c, v), m in _MDS.items())
+    rows = _pass(spark, sf_dir).reads.withColumn("md", F.expr(f"CASE {md} END")).withColumn("seq", F.expr("left(repeat('ACGTN', 12), l_seq)"))
+    return rows.select("ordinal", F.explode(discrepancies.discrepancies(seq="seq")).alias("d")).select("ordinal", "d.*")
+
+
+def _led_reads() -> list[tuple[str, str, int, int, str | None]]:
+    """(CIGAR, bases, flag, shift, kind) of reads on both strands with long and short introns, moved ends, mismatches and a soft clip."""
+    end, tail = leader.LEADERS[0], "C" * 38
+    other = leader.LEADERS[1]
+    wrong = lambda text, *at: "".join("C" if i in at else x for i, x in enumerate(text))
+    turned = lambda text: text.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    read = end[-12:] + tail
+    return [
+        ("12M5000N38M", read, 0, 5000, "long"),
+        ("38M5000N12M", turned(read), 16, 5000, "long"),
+        ("12M100N38M", other[-12:] + tail, 0, 100, "short"),
+        ("38M100N12M", turned(other[-12:] + tail), 16, 100, "short"),
+        ("12M5000N38M", wrong(read, 4), 0, 5000, "long"),
+        ("12M5000N38M", wrong(read, 4, 6), 0, 5000, "long"),
+        ("12M5000N38M", wrong(read, 4, 6, 9), 0, 0, None),
+        ("38M5000N12M", turned(wrong(read, 4, 6, 9)), 16, 0, None),
+        ("4S12M5000N34M", end[-16:] + tail[:34], 0, 5000, "long"),
+        ("34M5000N12M4S", turned(end[-16:] + tail[:34]), 16, 5000, "long"),
+        ("12M100N38M", wrong(other[-12:], 9) + tail, 0, 0, None),
+        ("2M100N48M", "AG" + "C" * 48, 0, 100, "short"),
+        ("12M19N38M", read, 0, 0, None),
+        ("12=5000N38M", read, 0, 0, None),
+        ("21M5000N29M", end[-21:] + "C" * 29, 0, 0, None),
+        ("9M3000N41M", end[-12:] + tail, 0, 3000, "long"),
+        ("12M5000N38M", "C" * 50, 0, 0, None),
+    ]
+
+
+_LEDS = _led_reads()
+
+
+@query(f"SELECT a.ordinal, w.shift, w.kind FROM al a JOIN (VALUES {', '.join(f'({i}, {s}, {_TEXT(k)})' for i, (*_, s, k) in enumerate(_LEDS))}) w(i, shift, kind) ON w.i = ({_K}) % {len(_LEDS)}")
+def sl_match_forms(spark, sf_dir):
+    """The leader test on reads of all forms, each derived read taking the form of its number."""
+    form = lambda j: "CASE ordinal DIV 8 % {} {} END".format(len(_LEDS), " ".join(f"WHEN {i} THEN {x[j]!r}" for i, x in enumerate(_LEDS)))
+    rows = derived.alignments(spark, sf_dir).select("ordinal", F.expr(form(0)).alias("cigar"), F.expr(form(1)).alias("seq"), F.expr(form(2)).alias("flag"))
+    return leader.with_leader(rows).select("ordinal", "leader.shift", "leader.kind")
 
 
 @query("SELECT CASE WHEN count(*) FILTER (regexp_matches(cigar, '[=X]')) > 0 THEN 1 WHEN count(*) FILTER (contains(cigar, 'M')) > 0 THEN 0 ELSE -1 END AS cigar_kind, 0 AS md_kind FROM (SELECT * FROM al WHERE flag & 4 = 0 ORDER BY ordinal LIMIT 10000) x")

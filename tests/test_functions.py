@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from readloom.functions import cigar, discrepancies, leader
 from readloom.operators.reads import mapping_class
 
+from . import literal
+
 GOLDEN = [
     ("53=1D48=", None, {(2, 53)}),
     ("14M1I35M", "49", {(3, 15)}),
@@ -19,19 +21,50 @@ GOLDEN = [
 ENDS = [("50M", 50, 1000, 1049), ("5S45M", 50, 995, 1044), ("45M5S", 50, 1000, 1049), ("20M100N30M", 50, 1000, 1149), ("20M2D28M3I", 51, 1000, 1049), ("5H10S35M", 45, 995, 1044)]
 
 
-@pytest.mark.parametrize("c, md, want", GOLDEN)
-def test_discrepancies(c, md, want):
-    assert {(t, p) for t, p, *_ in discrepancies.listed(c, md, 1000)} == want
+def listed(spark, rows):
+    """The differences of rows (cigar, md, pos, seq), in order."""
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, cigar string, md string, pos int, seq string").repartition(2)
+    got = {r.i: [tuple(x) for x in r.d] for r in d.select("i", discrepancies.discrepancies(seq="seq").alias("d")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_discrepancies(spark):
+    for (c, md, want), got in zip(GOLDEN, listed(spark, [(c, md, 1000, None) for c, md, _ in GOLDEN])):
+        assert {(t, p) for t, p, *_ in got} == want, c
 
 
-def test_discrepancy_order_and_errors():
-    got = discrepancies.listed("13=1D56=1X31=", None, 1)
-    assert [d[0] for d in got] == [2, 1]  # gaps first
-    assert discrepancies.listed("5M", "2A2", 10) == [(1, 3, 1, 12)]
-    assert discrepancies.listed("*", None, 1) == [] and discrepancies.listed(None, None, 1) == []
+def test_discrepancy_order_bases_and_errors(spark):
+    rows = [("13=1D56=1X31=", None, 1, None), ("5M", "2A2", 10, "ACNTG"), ("*", None, 1, "A"), (None, None, 1, None), ("5M", None, 1, None), ("2=1X2=", "2t2", 7, "ACnTG"), ("3M1I2M", "1N3", 100, "ACGTAC"), ("", "", 1, "")]
+    got = listed(spark, rows)
+    assert [d[0] for d in got[0]] == [2, 1]  # gaps first
+    assert got[1] == [(1, 3, 1, 12, "A", "N", 33)] and got[2:5] == [[], [], []] and got[7] == []
+    assert got[5] == [(1, 3, 1, 9, "t", "n", 32)]
+    assert got[6] == [(3, 4, 1, 102, None, None, 0), (1, 2, 1, 101, "N", "C", 16)]
     for bad in (("5P5M", None), ("5Q", None), ("5M", "x-1"), ("5M", "9A")):
-        with pytest.raises(ValueError):
-            discrepancies.listed(*bad, 1)
+        with pytest.raises(Exception, match="padding|malformed|longer"):
+            listed(spark, [(*bad, 1, None)])
+
+
+def test_discrepancies_of_random_reads(spark):
+    """CIGAR and MD made together from random edits, also with many ops."""
+    rng, rows = random.Random(7), []
+    for k in range(120):
+        ops, md, run, seq = [], "", 0, ""
+        for _ in range(rng.randint(0, 8) if k else 3000):
+            op, n = rng.choice("MMM=XDINSH"), rng.randint(1, 6)
+            ops.append(f"{n}{op}")
+            if op in "M=X":
+                for _ in range(n):
+                    if op == "X" or (op == "M" and rng.random() < 0.3):
+                        md, run = md + str(run) + rng.choice("ACGTNr"), 0
+                    else:
+                        run += 1
+            elif op == "D":
+                md, run = md + str(run) + "^" + "".join(rng.choices("ACGT", k=n)), 0
+            seq += "".join(rng.choices("ACGTN", k=n)) if op in "MIS=X" else ""
+        rows.append(("".join(ops), rng.choice([md + str(run), md + str(run), None]), rng.randint(1, 900), rng.choice([seq, seq, None])))
+    for row, got in zip(rows, listed(spark, rows)):
+        assert got == literal.listed(*row), row
 
 
 def test_columns(spark):
@@ -53,21 +86,26 @@ def test_columns(spark):
     assert [tuple(r) for r in spark.sql("SELECT '5M' AS cigar, '2A2' AS md, 10 AS pos").select(*discrepancies.counts(discrepancies.discrepancies())).collect()] == [(1, 0, 0)]
 
 
-def test_leader():
+def leaders(spark, rows):
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, cigar string, seq string, flag int")
+    got = {r.i: (r.leader.shift, r.leader.kind) for r in leader.with_leader(d).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_leader(spark):
     leader_seq = leader.LEADERS[0]
     exon = leader_seq[-12:]
     read = exon + "ACGT" * 10
-    assert leader.leader_intron("12M5000N40M", read, False) == (5000, "long")
-    assert leader.leader_intron("12M100N40M", read, False) == (100, "short")
     reverse = read.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-    assert leader.leader_intron("40M5000N12M", reverse, True) == (5000, "long")
-    for c, s in (("12M10N40M", read), ("52M", read), ("12=5000N40M", read), ("3H12M5000N40M", read), ("30M5000N22M", read), ("12M5000N40M", "C" * 52), (None, None), ("12M5000N40M", "")):
-        assert leader.leader_intron(c, s, False) == (0, None)
-    assert leader.leader_intron("4S12M5000N40M", leader_seq[-16:-12] + read, False)[1] == "long"
+    other = lambda *at: "".join("A" if i in at and x != "A" else "C" if i in at else x for i, x in enumerate(read))
+    good = [("12M5000N40M", read, 0), ("12M100N40M", read, 0), ("40M5000N12M", reverse, 16), ("4S12M5000N40M", leader_seq[-16:-12] + read, 0), ("12M5000N40M", other(3), 0), ("12M5000N40M", other(3, 7), 0)]
+    assert leaders(spark, good) == [(5000, "long"), (100, "short"), (5000, "long"), (5000, "long"), (5000, "long"), (5000, "long")]
+    bad = [("12M10N40M", read, 0), ("52M", read, 0), ("12=5000N40M", read, 0), ("3H12M5000N40M", read, 0), ("30M5000N22M", read, 0), ("12M5000N40M", "C" * 52, 0), (None, None, 0), ("12M5000N40M", "", 0), ("12M5000N40M", other(3, 7, 10), 0), ("12M5000N40M", read, None), ("12M5000N40M", None, 0)]
+    assert leaders(spark, bad) == [(0, None)] * len(bad)
 
 
 def part_reversed(cigar_part):
-    return ["".join(map(str, x)) for x in reversed(discrepancies.cigar_ops(cigar_part))]
+    return ["".join(map(str, x)) for x in reversed(literal.cigar_ops(cigar_part))]
 
 
 def test_leader_column(spark):
@@ -77,16 +115,19 @@ def test_leader_column(spark):
     assert got == {1: (5000, "long"), 2: (0, None), 3: (0, None)}
     rng = random.Random(3)
     data = []
-    for i in range(400):
+    for i in range(2000):
         ops = [f"{rng.randint(1, 24)}M", f"{rng.choice([5, 19, 20, 2999, 3000])}N", rng.choice(["40M", "3I37M", "20M9N20M", ""])]
         forward = [rng.choice(["", "", "4S", "2H", "3="]), *ops, rng.choice(["", "", "3S"])]
         whole = "".join(forward if i % 2 else [x for part in reversed(forward) for x in part_reversed(part)])
-        end = leader.LEADERS[i % 2][-rng.randint(8, 22) :] + "ACGT" * 12
+        end = leader.LEADERS[i % 14 if i % 3 else i % 2][-rng.randint(8, 22) :] + "ACGT" * 12
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            j = rng.randrange(20)
+            end = end[:j] + rng.choice("ACGTNacgt") + end[j + 1 :]
         data.append((i, whole, end if i % 2 else end[::-1].translate(str.maketrans("ACGT", "TGCA")), 0 if i % 2 else 16))
-    rows = spark.createDataFrame([*data, (400, "12M5000N40M", read, None)], "i int, cigar string, seq string, flag int")
+    rows = spark.createDataFrame([*data, (2000, "12M5000N40M", read, None)], "i int, cigar string, seq string, flag int")
     got = {r.i: (r.leader.shift, r.leader.kind) for r in leader.with_leader(rows).collect()}
-    want = {i: leader.leader_intron(c, s, bool(f & 16)) for i, c, s, f in data}
-    assert got == want | {400: (0, None)} and {k for _, k in want.values()} == {"long", "short", None}
+    want = {i: literal.leader_intron(c, s, bool(f & 16)) for i, c, s, f in data}
+    assert got == want | {2000: (0, None)} and {k for _, k in want.values()} == {"long", "short", None}
     assert any(k for i, (_, k) in want.items() if i % 2 == 0)
     short = spark.createDataFrame([("3M50N40M",), ("5M50N40M",), ("3M50N",)], "cigar string")
     assert [r[0] for r in short.select(leader.short_exon_shift(cigar.ops())).collect()] == [50, 0, 0]
@@ -97,4 +138,4 @@ def test_random_cigars(spark):
     data = ["".join(f"{rng.randint(1, 30)}{rng.choice('MIDNSH=X')}" for _ in range(rng.randint(0, 6))) or "*" for _ in range(100)]
     rows = spark.createDataFrame([(c,) for c in data], "cigar string")
     for r in rows.select("cigar", cigar.ops().alias("o")).collect():
-        assert [(x.len, x.op) for x in r.o] == discrepancies.cigar_ops(r.cigar)
+        assert [(x.len, x.op) for x in r.o] == literal.cigar_ops(r.cigar)

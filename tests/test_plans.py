@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.model import DEFAULTS, Options
-from readloom.operators import draws, intervals, reads, removal
+from readloom.operators import draws, intervals, reads, removal, scans
 from readloom.plans import catalogue, passes
 from readloom.sources import derived
 
@@ -66,20 +66,26 @@ def test_segments_are_the_scan(spark, bin_size):
     assert {(r.t, r.refid, r.beg, r.end) for r in found.collect()} == want
 
 
-def test_scan_with_other_scores(spark):
-    rng = random.Random(9)
-    refs = spark.createDataFrame([(i, str(i), 3000) for i in range(8)], "refid int, name string, length int")
-    for miss, hit, drop in ((-1, 20, -7), (-3, 20, -60), (-1, 5, -5), (-2, 9, 0)):
-        rows, want = [], set()
-        for ref in range(8):
-            starts = {rng.randrange(1, 3000): rng.choice([1, 1, 9]) for _ in range(rng.randint(0, 400))}
-            rows += [(ref, p, n, 0, 0, 0) for p, n in starts.items()]
-            want |= {(ref, a, b) for a, b in scan(starts, 3001, hit, 0.0, 1, miss, drop)}
-        cov = spark.createDataFrame(rows, "refid int, p int, pe_n long, pe_d long, se_n long, se_d long")
-        found = intervals.scanned_segments(cov, "pe_n", refs, [(miss, hit, drop, 0.0)])
-        assert {(r.refid, r.beg, r.end) for r in found.collect()} == want
-        for r in found.collect():
-            assert r.n == sum(n for ref, p, n, *_ in rows if ref == r.refid and r.beg <= p <= r.end)
+@pytest.mark.parametrize("bin_size", [1 << 16, 256, 37])
+def test_scan_with_other_scores(spark, bin_size):
+    """Bins chained, against the scan over single bases: segments over many bins, and in bins that end, pass on and restart them."""
+    rng = random.Random(bin_size)
+    levels = [(-1, 20, -7), (-3, 20, -60), (-1, 5, -5), (-2, 9, 0), (-1, 60, -25), (-1, 3, -400), (-5, 200, -90)]
+    rows, starts_of = [], {}
+    for ref in range(8):
+        many = rng.choice([5, 40, 200, 400])
+        starts_of[ref] = {rng.randrange(1, 3000): rng.choice([1, 1, 9]) for _ in range(rng.randint(0, many))}
+        rows += [(ref, p, n, 0, 0, 0) for p, n in starts_of[ref].items()]
+    cov = spark.createDataFrame(rows, "refid int, p int, pe_n long, pe_d long, se_n long, se_d long")
+    found = scans.score_segments(cov, "pe_n", [(*x, float(i)) for i, x in enumerate(levels)], bin_size).collect()
+    for i, (miss, hit, drop) in enumerate(levels):
+        want = {(ref, a, b) for ref, starts in starts_of.items() for a, b in scan(starts, 3001, hit, 0.0, 1, miss, drop)}
+        got = [(r.refid, r.beg, r.end) for r in found if r.rmin == i]
+        assert len(got) == len(set(got)) and set(got) == want, (miss, hit, drop)
+    for r in found:
+        assert r.n == sum(n for p, n in starts_of[r.refid].items() if r.beg <= p <= r.end)
+    none = spark.createDataFrame([(0, 5, 0, 0, 0, 0), (None, 5, 1, 0, 0, 0)], cov.schema)
+    assert scans.score_segments(none, "pe_n", [(-1, 5, -5, 0.0)]).count() == 0
 
 
 def test_gap_exactly_t(spark):
