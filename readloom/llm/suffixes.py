@@ -354,7 +354,7 @@ def finer(keys: DataFrame, folder: str, step: int) -> DataFrame:
     return common.written(keys.filter("n_heavy > 0").select("file", "segs", "heavy").mapInArrow(scan, "file string, segs string"), "suffix-finer")
 
 
-def hits(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
+def hits(keys: DataFrame, folder: str, buckets: int, chunks: int) -> DataFrame:
     """(file, found): of each chunk, packed arrays of anchors' places and the least and most bytes that windows which repeat reach back."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,7 +404,7 @@ def hits(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
             if out:
                 yield _batch(list(zip(*out)), [pa.string(), pa.binary()], ["file", "found"])
 
-    spread = keys.select("file", "segs", "keys").mapInArrow(run, "bucket long, file string, piece binary")
+    spread = keys.select("file", "segs", "keys").repartition(max(1, min(TASKS, chunks)), "file").mapInArrow(run, "bucket long, file string, piece binary")
     return spread.repartition(min(TASKS, buckets), "bucket").sortWithinPartitions("bucket", "file").mapInArrow(merge, "file string, found binary")
 
 
@@ -434,7 +434,7 @@ def deduplicated(docs: DataFrame, keep: list[str], text_col: str = "text", diges
     for step in (*STEPS, None):
         level = level.repartition(max(1, min(TASKS, chunks)), "file")
         keys = sifted(level, folder, buckets, step is None)
-        parts.append(hits(keys, folder, buckets))
+        parts.append(hits(keys, folder, buckets, chunks))
         if step is None or keys.filter("n_heavy > 0").isEmpty():
             break
         level = finer(keys, folder, step)
