@@ -1,30 +1,34 @@
 """BAM files as a Spark data source, split by byte ranges.
 
 A task reads the records that begin in the blocks of its range. It finds its first block by the block header, and its first
-record by looking for a place from which several records in a row make sense.
+record by looking for a place from which several records in a row make sense. Records are decoded and encoded as columns, see records.py.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from . import records
 from .storage import storage
 
 SCHEMA = "ordinal bigint, refid int, pos int, bin int, mapq int, flag int, cigar string, l_seq int, next_refid int, next_pos int, tlen int, read_name string, seq string, qual binary, tags map<string,string>"
 SPLIT_BYTES = 32 << 20
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")  # fixed by the format
-OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"  # fixed by the format
+#: Inflated bytes of a block that is written, and of a batch of records that is decoded at once.
+BLOCK, BATCH = 0xFF00, 4 << 20
 _MAGIC = re.compile(rb"\x1f\x8b\x08\x04")
-_SIZES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
 def block_size(head: bytes) -> int | None:
@@ -162,171 +166,180 @@ def first_record(b: Blocks, refs: int, end: int) -> bool:
     return False
 
 
-def tags_of(data: bytes) -> dict[str, str]:
-    at, out = 0, {}
-    while at + 3 <= len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind == "A":
-            out[name], at = chr(data[at]), at + 1
-        elif kind in _SIZES:
-            code = "<" + _SIZES[kind]
-            out[name], at = str(struct.unpack_from(code, data, at)[0]), at + struct.calcsize(code)
-        elif kind in "ZH":
-            end = data.index(b"\0", at)
-            out[name], at = data[at:end].decode(), end + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            code = f"<{n}{_SIZES[sub]}"
-            out[name], at = ",".join(map(str, struct.unpack_from(code, data, at + 5))), at + 5 + struct.calcsize(code)
-        else:
-            raise ValueError(f"unknown tag type {kind!r}")
-    return out
+def block(data: bytes) -> bytes:
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def record(data: bytes) -> tuple:
-    """Fields of SCHEMA after ordinal; positions count from 1."""
-    refid, pos, l_name, mapq, bin_, n_ops, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, 0)
-    at = 32 + l_name
-    name = data[32 : at - 1].decode()
-    ops = struct.unpack_from(f"<{n_ops}I", data, at)
-    cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*"
-    at += 4 * n_ops
-    packed = data[at : at + (l_seq + 1) // 2]
-    seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in packed)[:l_seq]
-    at += len(packed)
-    return refid, pos + 1, bin_, mapq, flag, cigar, l_seq, next_ref, next_pos + 1, tlen, name, seq, data[at : at + l_seq], tags_of(data[at + l_seq :])
-
-
-def bin_of(begin: int, end: int) -> int:
-    """The smallest bin of the format's binning index that holds the 0-based positions from begin to before end."""
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if begin >> shift == (end - 1) >> shift:
-            return first + (begin >> shift)
-    return 0
-
-
-def encoded_tags(tags) -> bytes:
-    """Tags of strings: whole numbers of 32 bits as such, all others as text."""
-    out = b""
-    for name, value in tags or ():
-        whole = re.fullmatch("0|-?[1-9][0-9]{0,9}", value) and -(1 << 31) <= int(value) < 1 << 31
-        out += name.encode() + (b"i" + struct.pack("<i", int(value)) if whole else b"Z" + value.encode() + b"\0")
-    return out
+def header_bytes(text: str, references_: list[tuple[str, int]]) -> bytes:
+    raw = text.encode()
+    return b"BAM\x01" + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(references_)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", x) for n, x in references_)
 
 
-def encoded(row: tuple) -> bytes:
-    """A record of (refid, pos, mapq, flag, cigar, next_refid, next_pos, tlen, read_name, seq, qual, tags). Null qualities are
-    written as missing ones; tags are pairs of strings."""
-    refid, pos, mapq, flag, cigar, next_ref, next_pos, tlen, name, seq, qual, tags = row
-    ops = re.findall(r"([0-9]+)([MIDNSHP=X])", cigar or "")
-    words = b"".join(struct.pack("<I", int(n) << 4 | OPS.index(o)) for n, o in ops)
-    half = [BASES.index(c) for c in seq or ""]
-    half += [0] * (len(half) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(half[::2], half[1::2]))
-    if qual is not None and len(qual) != len(seq or ""):
-        raise ValueError(f"{name}: {len(qual)} qualities for {len(seq or '')} bases")
-    span = sum(int(n) for n, o in ops if o in "MDN=X") or 1
-    at = bin_of(pos - 1, pos - 1 + span) if pos > 0 else 4680  # the format's bin of no place
-    fixed = struct.pack("<iiBBHHHiiii", refid, pos - 1, len(name) + 1, mapq, at, len(ops), flag, len(seq or ""), next_ref, next_pos - 1, tlen)
-    body = fixed + name.encode() + b"\0" + words + packed + (b"\xff" * len(seq or "") if qual is None else bytes(qual)) + encoded_tags(tags)
-    return struct.pack("<i", len(body)) + body
+#: The columns that are written, and what stands for those that are missing.
+WRITTEN = {"refid": "int", "pos": "int", "mapq": "int", "flag": "int", "cigar": "string", "next_refid": "int", "next_pos": "int", "tlen": "int", "read_name": "string", "seq": "string", "qual": "binary", "tags": "map<string,string>"}
 
 
-def block(data: bytes) -> bytes:
-    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = deflate.compress(data) + deflate.flush()
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+def to_write(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in WRITTEN.items()])
 
 
-def write_bam(rows: DataFrame, references_: list[tuple[str, int]], folder: str, text: str = "") -> DataFrame:
-    """One BAM file for each partition of rows (the columns of encoded(), qual and tags if there); a table of (file, records).
-    text: the header's."""
-    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("qual", "binary"), ("tags", "map<string,string>")) if c not in rows.columns})
+@dataclass
+class Part(WriterCommitMessage):
+    number: int
+    name: str
+    records: int
 
-    def scan(batches):
-        import uuid
 
-        import pyarrow as pa
+class BamWriter(DataSourceArrowWriter):
+    """Tasks write parts to a folder beside the target; nothing is seen at the target before the commit. Parts become whole files, named in
+    the order of partitions; with single, one file: the header, the parts' compressed blocks in order as they are, and the end mark."""
 
-        store, top = storage(folder)
-        store.create_dir(top, recursive=True)
-        head = b"BAM\x01" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(references_)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", x) for n, x in references_)
-        name, count, waiting = f"{uuid.uuid4().hex}.bam", 0, bytearray(head)
+    def __init__(self, uri: str, text: str, references_: list[tuple[str, int]], single: bool, overwrite: bool):
+        self.uri, self.single, self.overwrite = uri.rstrip("/"), single, overwrite
+        self.head, self.folder = header_bytes(text, references_), f"{self.uri}.parts-{uuid.uuid4().hex}"
+        store, top = storage(self.folder)
+        store.create_dir(top, recursive=True)  # here alone: tasks that outlive an abort find no folder to write to
+
+    def write(self, batches: Iterator) -> Part:
+        from pyspark import TaskContext
+
+        store, top = storage(self.folder)
+        name, count, waiting = uuid.uuid4().hex, 0, bytearray(b"" if self.single else self.head)
         with store.open_output_stream(f"{top}/{name}", compression=None) as out:
             for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns)):
-                    waiting += encoded(row)
-                    count += 1
-                    while len(waiting) >= 0xFF00:
-                        out.write(block(bytes(waiting[:0xFF00])))
-                        del waiting[:0xFF00]
-            out.write(block(bytes(waiting)) + EOF_BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["file", "records"])
+                waiting += records.encoded(b)
+                count += b.num_rows
+                whole = len(waiting) // BLOCK * BLOCK
+                for at in range(0, whole, BLOCK):
+                    out.write(block(bytes(waiting[at : at + BLOCK])))
+                del waiting[:whole]
+            if waiting:
+                out.write(block(bytes(waiting)))
+            if not self.single:
+                out.write(EOF_BLOCK)
+        return Part(TaskContext.get().partitionId(), name, count)
+
+    def commit(self, messages: list) -> None:
+        from pyarrow import fs
 
-    columns = ("refid", "pos", "mapq", "flag", "cigar", "next_refid", "next_pos", "tlen", "read_name", "seq", "qual", "tags")
-    from ..scratch import written
+        store, top = storage(self.folder)
+        _, target = storage(self.uri)
+        there = store.get_file_info(target).type
+        if there != fs.FileType.NotFound:
+            if not self.overwrite:
+                self.abort(messages)
+                raise FileExistsError(self.uri)
+            store.delete_dir(target) if there == fs.FileType.Directory else store.delete_file(target)
+        parts = sorted((m for m in messages if m), key=lambda m: m.number)
+        if self.single:
+            made = f"{top}/whole"
+            with store.open_output_stream(made, compression=None) as out:
+                out.write(block(self.head))
+                for p in parts:  # compressed bytes, a few at a time: one file has one writer
+                    with store.open_input_stream(f"{top}/{p.name}", compression=None) as f:
+                        while data := f.read(8 << 20):
+                            out.write(data)
+                out.write(EOF_BLOCK)
+            store.move(made, target)
+            store.delete_dir(top)
+            return
+        for i, p in enumerate(parts):
+            store.move(f"{top}/{p.name}", f"{top}/part-{i:06d}.bam")
+        if not parts:
+            with store.open_output_stream(f"{top}/part-000000.bam", compression=None) as out:
+                out.write(block(self.head) + EOF_BLOCK)
+        store.move(top, target)
+
+    def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
+        store, top = storage(self.folder)
+        if store.get_file_info(top).type == fs.FileType.Directory:
+            store.delete_dir(top)
 
-    return written(rows.select(*columns).mapInArrow(scan, "file string, records long"), "bam-files")
+
+def write_bam(rows: DataFrame, references_: list[tuple[str, int]], path: str, text: str = "", single: bool = False, order: list[str] | None = None, mode: str = "append") -> None:
+    """rows (the columns of WRITTEN; those that are missing are null) as BAM: a folder of whole files in the order of partitions, or with single
+    one file. order: columns to sort by, over all partitions. text: the header's. mode: append (the path must not be there) or
+    overwrite. The target appears whole, at the commit."""
+    if order:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    spark = rows.sparkSession
+    spark.dataSource.register(BamSource)
+    options = {"header": text, "references": json.dumps(references_), "single": str(single).lower()}
+    to_write(rows).write.format("bam").options(**options).mode(mode).save(path)
 
 
 @dataclass
 class Range(InputPartition):
     uri: str
-    refs: int
     begin: int
     end: int
-    first: tuple | None
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, uri: str, split: int):
-        self.uri, self.split = uri, split
+    def __init__(self, uri: str, split: int, names: list[str]):
+        self.uri, self.split, self.names = uri, split, names
 
-    def files(self) -> list[str]:
+    def partitions(self) -> list[Range]:
         from pyarrow import fs
 
         store, path = storage(self.uri)
-        if store.get_file_info(path).type != fs.FileType.Directory:
-            return [self.uri]
-        found = store.get_file_info(fs.FileSelector(path))
-        return sorted(f"{self.uri.rstrip('/')}/{f.base_name}" for f in found if f.base_name.endswith(".bam"))
+        found = [store.get_file_info(path)]
+        if found[0].type == fs.FileType.Directory:
+            found = [f for f in store.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".bam")]
+            found = [(f"{self.uri.rstrip('/')}/{f.base_name}", f.size) for f in sorted(found, key=lambda f: f.base_name)]
+        elif found[0].type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.uri)
+        else:
+            found = [(self.uri, found[0].size)]
+        return [Range(uri, at, min(size, at + self.split)) for uri, size in found for at in range(0, max(1, size), self.split)]
 
-    def partitions(self) -> list[Range]:
-        out = []
-        for uri in self.files():
-            _, refs, first = read_header(uri)
-            store, path = storage(uri)
-            size = store.get_file_info(path).size
-            starts = range(first[0], max(size, first[0] + 1), self.split)
-            out += [Range(uri, len(refs), a, min(size, a + self.split), first if not i else None) for i, a in enumerate(starts)]
-        return out
-
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator:
         store, path = storage(part.uri)
+        _, refs, first = read_header(part.uri)
+        if part.end <= first[0]:
+            return
         with store.open_input_file(path) as f:
-            if part.first:
-                b = Blocks(f, part.first[0])
-                if not b.want(part.first[1] + 1):
+            if part.begin <= first[0]:
+                b = Blocks(f, first[0])
+                if not b.want(first[1] + 1):
                     return
-                b.drop(part.first[1])
+                b.drop(first[1])
             else:
                 at = self._first_block(f, part)
                 if at is None:
                     return
                 b = Blocks(f, at)
-                if not first_record(b, part.refs, part.end):
+                if not first_record(b, len(refs), part.end):
                     return
-            while b.want(4):
-                place, within = b.place()
-                if place >= part.end:
+            yield from self._batches(b, part.end)
+
+    def _batches(self, b: Blocks, end: int) -> Iterator:
+        """Batches of the records that begin in blocks before `end`."""
+        ended = False
+        while True:
+            want = max(BATCH, 2 * len(b.data) if ended else 0)
+            ended = not b.want(want)
+            limit = next((at - b.base for at, place in b.starts if place >= end), len(b.data))
+            data = bytes(b.data)
+            at = records.offsets(data, limit)
+            if len(at) > 1:
+                starts = np.array(at[:-1], np.int64)
+                bounds, files = (np.array(x, np.int64) for x in zip(*b.starts))
+                block_of = np.searchsorted(bounds, starts + b.base, side="right") - 1
+                yield records.decoded(data, starts, files[block_of] << 16 | (starts + b.base - bounds[block_of]), self.names)
+                b.drop(at[-1])
+                ended = ended and not len(b.data)
+            if at[-1] >= limit and (limit < len(data) or ended):
+                return
+            if len(at) == 1:  # no whole record
+                if not len(data):
                     return
-                size = struct.unpack_from("<i", b.data, 0)[0]
-                if not b.want(4 + size):
+                if not b.want(len(data) + BATCH) and len(b.data) == len(data):
                     raise ValueError("the file ends within a record")
-                data = bytes(b.data[4 : 4 + size])
-                b.drop(4 + size)
-                yield (place << 16 | within, *record(data))
 
     @staticmethod
     def _first_block(f, part: Range) -> int | None:
@@ -342,8 +355,9 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam").load(path): a file, or a folder of .bam files. Option split: bytes of a partition. ordinal is
-    the place of a record in its file, and sorts as the file does."""
+    """spark.read.format("bam").load(path): a file, or a folder of .bam files; df.write.format("bam").save(path): see write_bam(). Options:
+    split, bytes of a partition. ordinal is the place of a record in its file, and sorts as the file does. A schema of fewer
+    columns decodes these alone."""
 
     @classmethod
     def name(cls) -> str:
@@ -353,14 +367,25 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"], int(self.options.get("split", SPLIT_BYTES)))
+        return BamReader(self.options["path"], int(self.options.get("split", SPLIT_BYTES)), list(schema.names))
+
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        if list(schema.names) != list(WRITTEN):
+            raise ValueError(f"the columns to write are {', '.join(WRITTEN)}")
+        refs = [tuple(x) for x in json.loads(self.options.get("references", "[]"))]
+        return BamWriter(self.options["path"], self.options.get("header", ""), refs, self.options.get("single", "false") == "true", overwrite)
 
 
-def read_bam(spark: SparkSession, uri: str, split: int = SPLIT_BYTES) -> DataFrame:
+def read_bam(spark: SparkSession, uri: str, split: int = SPLIT_BYTES, columns: list[str] | None = None) -> DataFrame:
+    """The records of a file or folder; columns: those to decode, all if not given."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("split", split).load(uri)
+    kinds = dict(x.split(" ", 1) for x in SCHEMA.split(", "))
+    reader = spark.read.format("bam").option("split", split)
+    return (reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns)) if columns else reader).load(uri)
 
 
 def references(spark: SparkSession, uri: str) -> DataFrame:
-    refs = read_header(uri)[1]
+    """(refid, name, length) of a file, or of the first file of a folder."""
+    part = BamReader(uri, SPLIT_BYTES, []).partitions()[0]
+    refs = read_header(part.uri)[1]
     return spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(refs)], "refid int, name string, length int")

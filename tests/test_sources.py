@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 from readloom.operators import removal
-from readloom.sources import bam, sam
+from readloom.sources import bam, records, sam
 from readloom.streaming import sam_filter
 
 
@@ -16,8 +16,8 @@ def block(data):
 
 
 def encode(refid, pos, mapq, flag, cigar, next_ref, next_pos, tlen, name, seq, qual, tags=b""):
-    ops = b"".join(struct.pack("<I", n << 4 | bam.OPS.index(o)) for n, o in cigar)
-    nibbles = [bam.BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
+    ops = b"".join(struct.pack("<I", n << 4 | records.OPS.index(o)) for n, o in cigar)
+    nibbles = [records.BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
     packed = bytes(a << 4 | b for a, b in zip(nibbles[::2], nibbles[1::2]))
     body = struct.pack("<iiBBHHHiiii", refid, pos - 1, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), next_ref, next_pos - 1, tlen) + name.encode() + b"\0" + ops + packed + qual + tags
     return struct.pack("<i", len(body)) + body
@@ -157,4 +157,47 @@ def test_long_reads_over_splits(spark, tmp_path, bases, split):
 
 
 def test_bins():
-    assert [bam.bin_of(*x) for x in ((0, 1), (0, 1 << 14), (0, (1 << 14) + 1), (1 << 14, (1 << 14) + 5), (0, 1 << 29))] == [4681, 4681, 585, 4682, 0]
+    import numpy as np
+
+    begin, end = np.array([0, 0, 0, 1 << 14, 0]), np.array([1, 1 << 14, (1 << 14) + 1, (1 << 14) + 5, 1 << 29])
+    assert records.bins(begin, end).tolist() == [4681, 4681, 585, 4682, 0]
+
+
+def test_bam_columns_alone(spark, tmp_path):
+    """A read of few columns decodes these, from a folder, whatever the split."""
+    (tmp_path / "in").mkdir()
+    rows = write_bam(f"{tmp_path}/in/a.bam", 700, 3000) + write_bam(f"{tmp_path}/in/b.bam", 40, 3000, 1)
+    found = bam.read_bam(spark, f"file://{tmp_path}/in", 2000, ["read_name", "pos"])
+    assert found.columns == ["read_name", "pos"] and sorted(map(tuple, found.collect())) == sorted((r[8], r[1]) for r in rows)
+    assert bam.references(spark, f"file://{tmp_path}/in").count() == 2
+
+
+def test_one_sorted_bam(spark, tmp_path):
+    """One file: header, all rows in order, end mark; nothing at the target if the write fails, and no target is overwritten by chance."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 2), rng.randint(1, 5000), 9, 0, rng.choice(["5M", "2S3M", "*"]), -1, 0, 0, f"r{i:04d}", "ACGTN", None if i % 3 else bytes([i % 40] * 5), {"NH": str(i % 5), "XS": f"v{i}", "XL": "99999999999", "XN": "-2147483648"} if i % 2 else None) for i in range(3000)]
+    names = "refid int, pos int, mapq int, flag int, cigar string, next_refid int, next_pos int, tlen int, read_name string, seq string, qual binary, tags map<string,string>"
+    df, refs, path = spark.createDataFrame(rows, names).repartition(5), [("c0", 9000), ("c1", 9000), ("c2", 9000)], f"file://{tmp_path}/out/x.bam"
+    (tmp_path / "out").mkdir()
+    with pytest.raises(Exception, match="no base"):
+        bam.write_bam(df.withColumn("seq", F.when(F.col("read_name") == "r0007", "AC!TN").otherwise(F.col("seq"))), refs, path, single=True)
+    assert not [n for n in os.listdir(tmp_path / "out") if n.endswith(".bam")]
+    order = ["refid", "pos", "read_name"]
+    bam.write_bam(df, refs, path, "@HD\tVN:1.6\tSO:coordinate\n", True, order)
+    assert os.listdir(tmp_path / "out") == ["x.bam"] and bam.has_eof_block(path)
+    assert bam.read_header(path)[:2] == ("@HD\tVN:1.6\tSO:coordinate\n", refs)
+    found = bam.read_bam(spark, path, 5000).orderBy("ordinal").collect()
+    want = sorted(rows, key=lambda r: (r[0], r[1], r[8]))
+    assert [(r.refid, r.pos, r.cigar, r.read_name, r.seq, bytes(r.qual), r.tags) for r in found] == [(r[0], r[1], r[4], r[8], r[9], r[10] or b"\xff" * 5, r[11] or {}) for r in want]
+    with pytest.raises(Exception):
+        bam.write_bam(df, refs, path, single=True)
+    bam.write_bam(df.limit(10), refs, path, single=True, mode="overwrite")
+    assert bam.read_bam(spark, path).count() == 10
+    bam.write_bam(df, refs, f"file://{tmp_path}/many", order=order)
+    assert sorted(os.listdir(tmp_path / "many"))[0] == "part-000000.bam"
+    parts = [[(r.refid, r.pos) for r in bam.read_bam(spark, f"file://{tmp_path}/many/{n}").orderBy("ordinal").collect()] for n in sorted(os.listdir(tmp_path / "many"))]
+    assert [x for p in parts for x in p] == [(r[0], r[1]) for r in want]
