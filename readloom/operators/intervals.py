@@ -104,6 +104,13 @@ def dup_histogram(sample: DataFrame, coverage: DataFrame, kind: str = "pe", most
     return counted.unionByName(rest.agg(F.lit(0).cast("bigint").alias("dups"), F.sum("n").alias("bases")))
 
 
+def with_fractions(histogram: DataFrame) -> DataFrame:
+    """A histogram (dups, bases) with `fraction`, the share of bases among those with duplicates; the bin without any has none."""
+    some = F.when(F.col("dups") > 0, F.col("bases"))
+    total = F.sum(some).over(Window.orderBy("dups").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # at most 8,192 rows
+    return histogram.withColumn("fraction", F.when(total > 0, some.cast("double") / total))
+
+
 def length_histogram(regions: DataFrame, width: int = 50, most: int = 999) -> DataFrame:
     """(bin, n, above, fraction): lengths by width, the last bin open, with the regions of all longer bins and their share."""
     at = F.least(F.floor((F.col("end") - F.col("beg") + 1) / width), F.lit(most)).cast("bigint")

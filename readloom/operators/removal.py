@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..model import DEFAULTS, Options
@@ -58,11 +58,11 @@ def removal_lines(removed: DataFrame, regions: DataFrame, references: DataFrame)
     return rows.select("pass", line.alias("line"))
 
 
-def write_removal_list(lines: DataFrame, folder: str, started: str, bam: str) -> str:
-    """Writes HEADER and ALIGN lines as text parts below folder; the header is a part of its own, read in any order."""
-    path = f"{folder}/removals-{uuid.uuid4().hex}"
-    n = lines.count()
-    head = lines.sparkSession.createDataFrame([(f"HEADER: {n} | {started} | {bam}",)], "line string")
-    head.coalesce(1).write.text(f"{path}/part=0")
-    lines.select("line").write.text(f"{path}/part=1")
-    return path
+def write_removal_list(lines: DataFrame, folder: str, started: str, bam: str) -> tuple[str, int]:
+    """Writes HEADER and ALIGN lines as text parts below folder, the header in a part whose name sorts first; the number of lines is that of
+    the lines as they were written. Returns the path and that number."""
+    path, seen = f"{folder}/removals-{uuid.uuid4().hex}", Observation(f"lines-{uuid.uuid4().hex}")
+    lines.select("line").observe(seen, F.count("*").alias("n")).write.text(f"{path}/part=1")
+    n = seen.get["n"]
+    lines.sparkSession.createDataFrame([(f"HEADER: {n} | {started} | {bam}",)], "line string").coalesce(1).write.text(f"{path}/part=0")
+    return path, n

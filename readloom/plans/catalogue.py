@@ -475,7 +475,7 @@ _LINE = "concat_ws(chr(9), read_name, CAST(flag AS VARCHAR), concat('chr', refid
 def filter_sam_text(spark, sf_dir):
     """The whole way of the filter: the removal list is written and read, and SAM text with a header and a short line is filtered."""
     p = _pass(spark, sf_dir)
-    path = removal.write_removal_list(removal.removal_lines(p.removals, p.regions, p.references), f"{shared_folder(spark)}/readloom", "now", "orders")
+    path = removal.write_removal_list(removal.removal_lines(p.removals, p.regions, p.references), f"{shared_folder(spark)}/readloom", "now", "orders")[0]
     text = p.alignments.select(F.expr(_LINE.replace("VARCHAR", "STRING")).alias("value"))
     text = text.unionByName(spark.createDataFrame([("@HD\tVN:1.6",), ("short\tline",)], "value string"))
     return sam.filter_sam(text, sam.read_removal_list(spark, path))

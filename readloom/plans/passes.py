@@ -5,10 +5,22 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import DEFAULTS, Options
 from ..operators import intervals, reads, removal, report
-from ..scratch import written
+from ..scratch import counted, written
+
+
+class Inconsistent(RuntimeError):
+    """Tables of a run that must agree do not."""
+
+
+def agree(pairs: dict[str, tuple[int, int]]) -> None:
+    """Raises if two counts that must be equal differ. pairs: (found, expected) by name."""
+    wrong = {k: v for k, v in pairs.items() if v[0] != v[1]}
+    if wrong:
+        raise Inconsistent("; ".join(f"{k}: {a} instead of {b}" for k, (a, b) in wrong.items()))
 
 
 class Pass:
@@ -16,6 +28,12 @@ class Pass:
 
     def __init__(self, alignments: DataFrame, references: DataFrame, kind: str = "pe", options: Options = DEFAULTS):
         self.alignments, self.references, self.kind, self.options = alignments, references, kind, options
+        #: What was counted on tables as they were written, by table.
+        self.seen: dict[str, dict[str, int]] = {}
+
+    def _counted(self, df: DataFrame, name: str, **counts) -> DataFrame:
+        out, self.seen[name] = counted(df, name, counts)
+        return out
 
     @cached_property
     def reads(self) -> DataFrame:
@@ -36,7 +54,8 @@ class Pass:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return written(reads.start_coverage(self.pairs, self.others), "coverage")
+        sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("pe_n", "pe_d", "se_n", "se_d")}
+        return self._counted(reads.start_coverage(self.pairs, self.others), "coverage", **sums)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -48,11 +67,12 @@ class Pass:
 
     @cached_property
     def high(self) -> DataFrame:
-        return written(intervals.high_regions(self.accepted, self.kind, self.options), "high")
+        return self._counted(intervals.high_regions(self.accepted, self.kind, self.options), "high", n=F.count("*"))
 
     @cached_property
     def regions(self) -> DataFrame:
-        return written(intervals.with_totals(self.high, self.coverage), "regions")
+        sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("nstart", "ndup")}
+        return self._counted(intervals.with_totals(self.high, self.coverage), "regions", n=F.count("*"), **sums)
 
     @cached_property
     def low(self) -> DataFrame:
@@ -74,11 +94,14 @@ class Pass:
     def members(self) -> DataFrame:
         """Every alignment with its region and the region's quota; the branches all start here."""
         ends = reads.paired_ends(self.pairs) if self.pairs is not None else self.others.limit(0).selectExpr("read_name", "ordinal", "ordinal AS mate", "refid", "pos5p", "is_dup")
-        return written(removal.members(ends, self.others, self.quotas), "members")
+        high = F.col("beg").isNotNull()
+        counts = {"n": F.count("*"), "pairs": F.count_if("is_pair"), "dups": F.count_if("is_dup"), "high": F.count_if(high), "high_dups": F.count_if(high & F.col("is_dup"))}
+        return self._counted(removal.members(ends, self.others, self.quotas), "members", **counts)
 
     @cached_property
     def removals(self) -> DataFrame:
-        return written(removal.removals(self.members, self.reads, self.kind, self.options), "removals")
+        counts = {"n": F.count("*"), "high": F.count_if("in_hcr"), "dups": F.count_if("is_dup")}
+        return self._counted(removal.removals(self.members, self.reads, self.kind, self.options), "removals", **counts)
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -87,3 +110,24 @@ class Pass:
     @cached_property
     def counts(self) -> DataFrame:
         return report.pass_counts(self.totals, self.removals, report.start_counts(self.coverage), self.rate, self.kind)
+
+    def check(self, accepted: int | None = None) -> None:
+        """Raises Inconsistent if what was counted on the tables as they were written does not agree. accepted: the accepted alignments of this
+        pass, counted where they came in."""
+        self.removals, self.coverage, self.regions, self.members  # noqa: B018
+        seen = self.seen
+        members, coverage, regions, gone = (seen[t] for t in ("members", "coverage", "regions", "removals"))
+        placed = coverage["pe_n"] + coverage["se_n"]
+        agree(
+            {
+                **({"alignments of the pass": (members["n"], accepted)} if accepted is not None else {}),
+                "ends of pairs in the coverage": (coverage["pe_n"], members["pairs"]),
+                "starts in the coverage": (placed, members["n"]),
+                "duplicate starts in the coverage": (coverage["pe_d"] + coverage["se_d"], members["dups"]),
+                "high regions with starts": (regions["n"], seen["high"]["n"]),
+                "starts of high regions": (regions["nstart"], members["high"]),
+                "duplicates of high regions": (regions["ndup"], members["high_dups"]),
+                "removed alignments that are duplicates": (gone["dups"], gone["n"]),
+                "removed duplicates outside high regions": (gone["n"] - gone["high"], members["dups"] - members["high_dups"]),
+            }
+        )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +23,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/readloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, counts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """written(), with aggregates that are observed on the rows as they are written, without a scan of their own."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = written(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name)
+    return out, {n: int(v or 0) for n, v in seen.get.items()}

@@ -9,6 +9,10 @@ from ..functions import cigar
 from ..functions.leader import with_leader
 
 
+#: The columns of BAM rows that alignments() takes.
+COLUMNS = ("ordinal", "refid", "read_name", "pos", "mapq", "flag", "tlen", "cigar", "seq", "qual", "l_seq", "tags")
+
+
 def alignments(bam_rows: DataFrame, references: DataFrame, check_leader: bool = False) -> DataFrame:
     """ordinal, refid, read_name, pos, pos5p, mapq, flag, tlen, sbasq, nh and leader (long, short or null). check_leader moves
     the start of reads that begin with a leader behind its intron. Unmapped rows have no ends."""

@@ -121,6 +121,12 @@ def has_eof_block(uri: str) -> bool:
         return size >= len(EOF_BLOCK) and f.read_at(len(EOF_BLOCK), size - len(EOF_BLOCK)) == EOF_BLOCK
 
 
+def warnings(uri: str) -> list[str]:
+    """What is odd about a file, or about the files of a folder: a missing end mark, which tells of a file that was cut off."""
+    files = dict.fromkeys(p.uri for p in BamReader(uri, 1 << 62, []).partitions())
+    return [f"{f}: the end mark is missing" for f in files if not has_eof_block(f)]
+
+
 def plausible(data, at: int, refs: int) -> int | None:
     """Size of the record at a place with its size field, if it makes sense; -1 if the data end within its fixed part."""
     if len(data) < at + 36:
