@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .reads import filter_class
+from .removal import removal_lines
 
 
 def ratio(a: str, b: str) -> Column:
@@ -94,7 +95,8 @@ def consistency(p) -> DataFrame:
     sums = held.filter("beg is not null").groupBy("refid", "beg").agg(F.count("*").alias("a"), F.count_if("is_dup").alias("d"))
     met = regions.join(sums, ["refid", "beg"], "left")
     entries = side_by_side([entry_counts(p.alignments), p.reads.agg(F.count("*").alias("seen")), p.reads.filter(F.col("flag").bitwiseAND(1) == 1).agg(F.count("*").alias("paired")), held.agg(F.count("*").alias("members"))])
-    listed = side_by_side([p.counts.select(F.col(f"{p.kind}_duplicates_marked_for_removal").alias("said")), gone.agg(F.count("*").alias("found"))])
+    lines = removal_lines(gone, regions, p.references).filter(F.col("line").startswith("ALIGN: "))
+    listed = side_by_side([p.counts.select(F.col(f"{p.kind}_duplicates_marked_for_removal").alias("said")), lines.agg(F.count("*").alias("found"))])
     difference = lambda t, a, b: t.select(F.abs(F.col(a) - F.col(b)).alias("broken"))
     found = {
         "entries accepted": difference(entries, "accepted", "seen"),

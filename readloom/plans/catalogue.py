@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cigar, discrepancies, leader
+from ..functions import cigar, discrepancies, leader, text
 from ..model import DEFAULTS
-from ..operators import draws, intervals, reads, removal, report, scans
+from ..operators import draws, intervals, order, reads, removal, report, scans
 from ..scratch import shared_folder
 from ..sources import bam, derived, sam
 from . import passes
@@ -514,3 +514,71 @@ def band_rates(spark, sf_dir):
         row = report.side_by_side([size, intervals.sample_rate(inner, p.coverage)]).select(F.lit(rate).cast("double").alias("rmin"), "bases", "starts", "dups", "rate")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("""SELECT 'by place' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS broken FROM acc UNION ALL
+    SELECT 'by ordinal', count(*), CAST(count(*) FILTER (refid < r OR (refid = r AND pos5p < p)) AS BIGINT) FROM (SELECT refid, pos5p, lag(refid) OVER (ORDER BY ordinal) AS r, lag(pos5p) OVER (ORDER BY ordinal) AS p FROM acc) x""")
+def sortedness(spark, sf_dir):
+    """Rows out of the order of places: of alignments sorted by place, and of the same in the order of their ordinals."""
+    rows = _pass(spark, sf_dir).reads.select("ordinal", "refid", "pos5p")
+    by_place = rows.repartitionByRange("refid", "pos5p", "ordinal").sortWithinPartitions("refid", "pos5p", "ordinal").withColumn("place", F.monotonically_increasing_id())
+    by_ordinal = rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("place", F.col("ordinal"))
+    found = [order.out_of_order(r, "place", ["refid", "pos5p"]).select(F.lit(n).alias("name"), "rows", "broken") for n, r in (("by place", by_place), ("by ordinal", by_ordinal))]
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT ordinal, cigar AS encoded FROM al")
+def cigar_round_trip(spark, sf_dir):
+    return derived.alignments(spark, sf_dir).select("ordinal", cigar.encode(cigar.ops()).alias("encoded"))
+
+
+#: CIGARs in the order of the read, and the intron behind a first exon of under five bases.
+_SHORT = (("3M50N47M", 50), ("4M7N46M", 7), ("5M50N45M", 0), ("2S3M90N45M", 90), ("3M50N", 0), ("3M2D47M", 0), ("50M", 0), ("1M1N49M", 1))
+
+
+@query(f"SELECT ordinal, w.shift FROM al JOIN (VALUES {', '.join(f'({i}, {n})' for i, (_, n) in enumerate(_SHORT))}) w(i, shift) ON w.i = ({_K}) % {len(_SHORT)}")
+def short_exons(spark, sf_dir):
+    """Introns behind short first exons, each derived row taking the CIGAR of its number."""
+    form = " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(_SHORT))
+    rows = derived.alignments(spark, sf_dir).select("ordinal", F.expr(f"CASE ordinal DIV 8 % {len(_SHORT)} {form} END").alias("cigar"))
+    return rows.select("ordinal", leader.short_exon_shift(cigar.ops()).alias("shift"))
+
+
+@query(f"""SELECT ordinal, string_agg(concat(w.type, ':', w.pos), ' ' ORDER BY w.type = 1, w.pos, w.type) AS listed
+    FROM acc a JOIN (VALUES {', '.join(f"('{c}', {v}, {t}, {p})" for c, v, t, p, *_ in _TOLD)}) w(cigar, v, type, pos) ON w.cigar = a.cigar AND w.v = (ordinal // 8) % 4 GROUP BY ordinal""")
+def discrepancy_order(spark, sf_dir):
+    """The differences of each read in their order: gaps first, where there are any, then by place."""
+    md = " ".join(f"WHEN cigar = '{c}' AND ordinal DIV 8 % 4 = {v} THEN '{m}'" for (c, v), m in _MDS.items())
+    rows = _pass(spark, sf_dir).reads.withColumn("md", F.expr(f"CASE {md} END")).select("ordinal", discrepancies.discrepancies().alias("d")).filter(F.size("d") > 0)
+    return rows.select("ordinal", F.expr("array_join(transform(d, x -> concat(x.type, ':', x.pos)), ' ')").alias("listed"))
+
+
+@query("SELECT count(*) AS n, count(*) AS ascending FROM orders")
+def natural_order(spark, sf_dir):
+    """Names with numbers of any width in natural order: how many come before the name with the next number."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string"), F.lit("/1")).alias("a"), F.concat(F.lit("r"), (F.col("o_orderkey") + 1).cast("string"), F.lit("/1")).alias("b"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(text.natural_key("a") < text.natural_key("b")).alias("ascending"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%a %b %d %H:%M:%S %Y') AS long, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y%m%d:%H%M%S') AS sorting FROM orders")
+def formatted_times(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.select("o_orderkey", *[text.formatted("o_orderdate", k).alias(n) for k, n in enumerate(("long", "day", "sorting"))])
+
+
+@query("SELECT (SELECT r_name FROM region ORDER BY r_regionkey DESC LIMIT 1) AS name, (SELECT concat('run ', count(*)) FROM region) AS command, CAST(NULL AS VARCHAR) AS description, '2' AS version")
+def header_programs(spark, sf_dir):
+    """The programs of a BAM header, one for each region; the last one that has a field gives it."""
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()  # a handful
+    header = "@HD\tVN:1.6\n" + "".join(f"@PG\tID:{r.r_regionkey}\tPN:{r.r_name}\tVN:2\tCL:run {len(rows)}\n" for r in rows)
+    folder = f"{shared_folder(spark)}/readloom/bam-{uuid.uuid4().hex}"
+    bam.write_bam(_with_bases(spark, sf_dir), [(n, derived.LENGTH) for n in derived.NAMES], folder, header, order=["refid", "pos"])
+    found = bam.programs(bam.read_header(f"{folder}/part-000000.bam")[0])
+    return spark.createDataFrame([tuple(found[k] for k in ("name", "command", "description", "version"))], "name string, command string, description string, version string")
+
+
+@query("""SELECT dups, bases, CASE WHEN dups > 0 THEN CAST(bases AS DOUBLE) / sum(CASE WHEN dups > 0 THEN bases END) OVER () END AS fraction FROM (
+    SELECT least(pe_d, 8191) AS dups, count(*) AS bases FROM scov_pe WHERE pe_d > 0 GROUP BY 1 UNION ALL SELECT CAST(0 AS BIGINT), CAST((SELECT coalesce(sum(e - beg + 1), 0) FROM smp_pe) - (SELECT count(*) FROM scov_pe WHERE pe_d > 0) AS BIGINT)) x""")
+def histogram_fractions(spark, sf_dir):
+    p = _pass(spark, sf_dir)
+    return intervals.with_fractions(intervals.dup_histogram(p.sample, p.coverage))

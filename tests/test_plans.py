@@ -300,3 +300,20 @@ def test_unique_only_needs_nh(spark):
     assert reads.accepted(rows, unique_only=True).count() == 1
     with pytest.raises(Exception, match="NH"):
         reads.accepted(spark.createDataFrame([(0, None)], "flag int, nh int"), unique_only=True).collect()
+
+
+def test_out_of_order(spark):
+    from readloom.operators import order
+
+    def broken(rows, parts):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "at long, a long, b long")
+        return tuple(order.out_of_order(df, "at", ["a", "b"]).first())
+
+    good = [(i, None if i < 3 else i // 10, i % 10) for i in range(100)]
+    for parts in (1, 4, 7):
+        assert broken(good, parts) == (100, 0)
+        swapped = [*good]
+        swapped[50], swapped[80] = (50, *good[80][1:]), (80, *good[50][1:])
+        assert broken(swapped, parts) == (100, 2)
+        assert broken([(i, 5, -i) for i in range(20)], parts) == (20, 19)
+    assert broken([], 2) == (0, 0)
