@@ -76,6 +76,14 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch_path(), once nothing that is still to be computed starts from it."""
+    if not path.startswith(f"{scratch_root(spark)}/readloom/"):
+        raise ValueError(f"no scratch folder: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of an id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -46,7 +46,8 @@ START = 0  # as context: the beginning of a word
 CLASS = np.array([i - 96 if 97 <= i <= 122 else 27 if 48 <= i <= 57 else 28 if i < 128 else 29 + i % 11 for i in range(256)] + [START], np.int64)
 DISCOUNT, STRENGTH = 0.75, 10.0  # of the spelling
 STRENGTHS = 2.0 ** np.arange(-4, 24)
-SWEEPS, KEPT = 2, 2
+#: Sweeps, and those of them whose predictive probabilities are averaged: the last ones. The others are the burn-in.
+SWEEPS, KEPT = 3, 2
 #: Bytes of text of a chunk, and of the texts that one bucket of pairs or words stands for.
 CHUNK = 16 << 20
 PAIR_BUCKET, WORD_BUCKET = 18 << 20, 48 << 20
@@ -196,6 +197,14 @@ class Files:
         with store.open_input_stream(f"{top}/{name}", compression=None) as f:
             return unpacked(f.read())
 
+    def drop(self, name: str) -> None:
+        """Deletes a value that no later step reads, if it is there: a task may be run again."""
+        store, top = common.storage(self.folder)
+        try:
+            store.delete_file(f"{top}/{name}")
+        except FileNotFoundError:
+            pass
+
 
 MESSAGE = "chunk long, bucket long, kind int, blob binary, cell long, n double"
 
@@ -332,8 +341,8 @@ def discount(once: float, twice: float) -> float:
 class Trainer:
     """One run over a table of texts: what chunks and buckets do in each exchange."""
 
-    def __init__(self, spark: SparkSession, folder: str, text_bytes: int):
-        self.spark, self.files = spark, Files(folder)
+    def __init__(self, spark: SparkSession, folder: str, text_bytes: int, first_kept: int):
+        self.spark, self.files, self.first_kept = spark, Files(folder), first_kept
         self.chunks = text_bytes // CHUNK + 1
         self.pair_buckets, self.word_buckets = text_bytes // PAIR_BUCKET + 1, text_bytes // WORD_BUCKET + 1
 
@@ -427,10 +436,12 @@ class Trainer:
         """Adds up what chunks send of words, seats them in the restaurant that contexts share, and sends back for each: what is
         left of its customers, its spelling's probability, and its tables as a context; to a chunk those of the words that it
         needs. With the last sweep, that of all kept ones for all words, and the fixed numbers. To the driver: totals, the likelihood of strengths, and the spelling's customers."""
-        files, spread = self.files, self.spark.sparkContext.broadcast((state, keep))
+        files, spread, burnt = self.files, self.spark.sparkContext.broadcast((state, keep)), sweep - 2 < self.first_kept
 
         def work(bucket: int, sent: list) -> Iterator[pa.RecordBatch]:
             state = spread.value[0]
+            if burnt:
+                files.drop(f"seated-{bucket}-{sweep - 2}")
             got = [unpacked(blob) for _, _, blob in sent]
             fixed = {}
             if sweep == 0:
@@ -479,9 +490,11 @@ class Trainer:
 
     def chunk_sweep(self, sweep: int, state: State) -> Callable:
         """Seats this chunk's own pairs of two customers or more, and sends what all of its own pairs add to its words."""
-        files, buckets, spread = self.files, self.word_buckets, self.spark.sparkContext.broadcast(state)
+        files, buckets, spread, burnt = self.files, self.word_buckets, self.spark.sparkContext.broadcast(state), sweep - 2 < self.first_kept
 
         def work(chunk: int, sent: list) -> Iterator[pa.RecordBatch]:
+            if burnt:
+                files.drop(f"tables-{chunk}-{sweep - 2}")
             state, c = spread.value, files.get(f"own-{chunk}")
             got = [unpacked(blob) for _, _, blob in sent]
             rest, spelled, tables = (np.concatenate([g[k] for g in got]).astype(float) for k in ("rest", "spelled", "tables"))
@@ -580,7 +593,8 @@ def score(docs: DataFrame, keep: list[str], trained: Column, text_col: str = "te
     spark = docs.sparkSession
     common.small_batches(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    run = Trainer(spark, common.scratch_path(spark, "hpylm"), int(size))
+    folder = common.scratch_path(spark, "hpylm")
+    run = Trainer(spark, folder, int(size), sweeps - kept + 1)
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"), F.coalesce(trained, F.lit(False)).alias("trained"))
     numbers = common.written(exchanged(run.read(rows), "bucket", run.pair_buckets, run.pair_bucket()), "hpylm-pairs")
     seen = sums(numbers)
@@ -612,7 +626,10 @@ def score(docs: DataFrame, keep: list[str], trained: Column, text_col: str = "te
     tables_of = common.written(exchanged(asked, "bucket", run.pair_buckets, run.all_tables(len(states))), "hpylm-tables")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, unknown_bytes long"
     both = replies.select("chunk", "bucket", "kind", "blob", "cell", "n").unionByName(tables_of)
-    found = exchanged(both, "chunk", run.chunks, run.chunk_scores(states, total, kinds), schema)
+    found = common.written(exchanged(both, "chunk", run.chunks, run.chunk_scores(states, total, kinds), schema), "hpylm-scores")
+    for table in (replies, tables_of):
+        common.dropped(table)
+    common.deleted(spark, folder)
     return found.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 
