@@ -473,7 +473,9 @@ def deduplicated(docs: DataFrame, keep: list[str], text_col: str = "text", diges
     more = {"n_spans": "long", "kept_sha256": "string"} if digest else {"spans": "array<struct<start:long,stop:long>>", "kept": "binary"}
     names = ["row", "n_bytes", "n_removed", *more]
     schema = f"row {kind}, n_bytes long, n_removed long, " + ", ".join(f"{n} {t}" for n, t in more.items())
-    return found.repartition(max(1, min(TASKS, chunks)), "file").sortWithinPartitions("file").mapInArrow(told, schema)
+    out = common.written(found.repartition(max(1, min(TASKS, chunks)), "file").sortWithinPartitions("file").mapInArrow(told, schema), "suffix-results")
+    common.deleted(spark, folder)
+    return out
 
 
 def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
