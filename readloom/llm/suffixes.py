@@ -330,7 +330,7 @@ def sifted(level: DataFrame, folder: str, buckets: int, finest: bool) -> DataFra
                 yield _batch(list(zip(*out)), [pa.string(), pa.string(), pa.binary(), pa.binary()], ["file", "segs", "keys", "heavy"])
 
     asked = level.mapInArrow(count, "bucket long, file string, segs string, keys binary")
-    found = asked.repartition(min(TASKS, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "file string, segs string, keys binary, heavy binary")
+    found = asked.repartitionById(min(TASKS, buckets), F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(judge, "file string, segs string, keys binary, heavy binary")
     joined = [F.array_join(F.collect_list(F.hex(c)), "").alias(c) for c in ("keys", "heavy")]  # a chunk's own keys
     found = found.groupBy("file", "segs").agg(*joined).select("file", "segs", F.unhex("keys").alias("keys"), F.unhex("heavy").alias("heavy"))
     return common.written(found.withColumn("n_heavy", F.octet_length("heavy") / 8), "suffix-keys")
@@ -405,7 +405,7 @@ def hits(keys: DataFrame, folder: str, buckets: int, chunks: int) -> DataFrame:
                 yield _batch(list(zip(*out)), [pa.string(), pa.binary()], ["file", "found"])
 
     spread = keys.select("file", "segs", "keys").repartition(max(1, min(TASKS, chunks)), "file").mapInArrow(run, "bucket long, file string, piece binary")
-    return spread.repartition(min(TASKS, buckets), "bucket").sortWithinPartitions("bucket", "file").mapInArrow(merge, "file string, found binary")
+    return spread.repartitionById(min(TASKS, buckets), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "file").mapInArrow(merge, "file string, found binary")
 
 
 def removed(size: int, found: list[tuple[np.ndarray, ...]]) -> np.ndarray:
