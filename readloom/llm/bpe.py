@@ -237,6 +237,9 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of all documents. Null and empty texts have no ids; texts of any length are whole; repeated
+    rows and ids, and null ids, stay as they are, and equal texts have equal ids; an empty table gives no rows; further columns are not
+    read."""
     docs = common.table(spark, sf_dir, "documents")
     steps = (decoder(spark.sparkContext.broadcast(token_bytes())), (digests, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
     return encode(docs, ["doc_id"], then=steps).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

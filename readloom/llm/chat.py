@@ -23,6 +23,8 @@ from . import common
 
 ROLES = ("system", "user", "assistant")
 START = 3
+#: Bytes of text of a part.
+PART_BYTES = 32 << 20
 #: States from which each role may follow.
 LEGAL = {0: {START}, 1: {START, 0, 2}, 2: {1}}
 MERGE, INSERT, RELABEL, UNKNOWN = 2, 3, 5, 1
@@ -159,13 +161,16 @@ def repair(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role, nulls first; ties of both by a hash of the text, then the text. So the order hangs on the
     rows alone, and equal rows are interchangeable. A role that is null or unknown takes any role at the cost UNKNOWN; null
     and empty text is empty. A row without conv_id is a conversation of its own, at position 0. Other columns are not looked
-    at; without rows there are none in the result. Texts of any length are held one at a time.
+    at; without rows there are none in the result. A task holds the texts of one part of a conversation, of PART_BYTES on average, or one
+    longer text: there are as many parts as the table has bytes, whatever the session's number of shuffle partitions.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id")), F.concat(F.lit("n"), F.monotonically_increasing_id()))
     rows = rows.withColumn("key", key).withColumn("tie", F.xxhash64("text"))
     order = ["key", "turn", "role", "tie", "text"]
-    dealt = rows.repartitionByRange("key", "turn", "role", "tie").sortWithinPartitions(*order).drop("tie")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = int(size) // PART_BYTES + turns.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.repartitionByRange(parts, "key", "turn", "role", "tie").sortWithinPartitions(*order).drop("tie")
     dealt = dealt.select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "turn", "role", "text", "conv_id")
     dealt = common.written(dealt, "chat-dealt")
     parts = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))

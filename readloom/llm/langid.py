@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney models of characters, one for each language.
 
 Texts become lower-case letters with one space for whatever lies between them. A model of ORDER = 4 characters is fitted
-for each language on a bounded sample (SAMPLE_ROWS labelled rows a language at most, taken by a hash of the id; a fifth
+for each language on a bounded sample (SAMPLE_ROWS labelled rows a language on average, taken by a hash of the id; a fifth
 of them calibrate the rejection). The models share sorted arrays: for each order the hashed n-grams that any language
 has seen, with a column of log probabilities for each language, and the hashed contexts with their back-off weights.
 A text gets the language of the lowest cross-entropy per character, and is rejected if that is above what the language's
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 4
-#: Bound of the sample: labelled rows of each language.
+#: Bound of the sample: labelled rows of each language, on average over the hashes of ids.
 SAMPLE_ROWS = 1500
 #: More distinct labels than this are taken for a mistake.
 MOST_LANGUAGES = 1024
@@ -261,6 +261,9 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all documents by a model of the labelled ones that are not held out. Null texts and texts without a letter, empty ones
+    among them, are `und`; ties go to the first label in order; repeated rows are judged alike, null ids count as empty text; texts of any
+    length are whole; an empty table gives no rows, and one without labels `und` alone; further columns are not read."""
     docs = common.table(spark, sf_dir, "documents")
     model = fit(training(docs))
     found = identify(docs, model, ["doc_id"])
@@ -268,6 +271,8 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the rejection of the language models takes."""
+    """Drops the documents that the rejection of the language models takes: null ones, those without a letter, and those whose cross-entropy
+    is above what the language's own texts show. Other rows stay as they are, repeated ones too; an empty table gives an empty one; further
+    columns are kept."""
     model = fit(training(docs))
     return identify(docs, model, docs.columns).filter("not rejected").select("row.*")

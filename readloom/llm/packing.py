@@ -285,8 +285,12 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad: int = 0) -> DataFram
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents, without the ids. Null and empty texts are one separator; repeated rows and ids, and null ids, are packed as
+    rows of their own, in the order of the table's files, so there are no ties; a text longer than a sequence goes over several; an empty
+    table gives no pieces; further columns are not read."""
     return pack(common.table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """pack() of what the stages before have kept, without the ids; see op2_packing() for nulls, repeats, long texts and empty tables."""
     return pack(docs, with_ids=False)

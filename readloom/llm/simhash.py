@@ -241,5 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents. Null texts and texts without a word have fingerprint zero and are linked like any others; shorter
+    ones than a shingle are one; texts of any length are whole; repeated rows stay repeated; an empty table gives no rows; further
+    columns are not read."""
     found = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -285,7 +285,8 @@ def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component, of its smallest id. Rows are numbered in a written table and decided on by number, so
-    that repeated ids are told apart. Rows without an id all stay."""
+    that repeated ids are told apart. Rows without an id all stay. Null and empty texts, and those of fewer than five words, are alike only
+    where their words are; texts of any length are whole; an empty table gives an empty one; further columns are kept."""
     docs_in = common.written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "near-numbered")
     texts = docs_in.filter("doc.doc_id is not null").select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").alias("text"))
     dropped = common.written(grouped(texts).filter("not stays").select("row"), "near-dropped")

@@ -242,7 +242,9 @@ def codec_of(payload: bytes) -> str:
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) in the shared folder: each whole text as the payload of a WAVE file."""
+    """(doc_id, n_bytes, media) in the shared folder: each whole text as the payload of a WAVE file. Null text is empty, and an empty one is
+    UNIT spaces; texts of any length are one file; repeated rows and null ids stay as they are; equal texts give equal files; an
+    empty table gives none; other columns of docs are not read."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,7 +275,8 @@ def pcm(media: DataFrame, keep: list[str], column: str = "media") -> DataFrame:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """Reads (doc_id, n_bytes, media) back: sizes and digests of payload and file, and features of the resampled PCM."""
+    """Reads (doc_id, n_bytes, media) back: sizes and digests of payload and file, and features of the resampled PCM, one row for each
+    row. A file of over PIECE bytes is decoded in pieces. media is never null: see stored()."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
@@ -291,4 +294,5 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores all documents and describes what is read back; see stored() for nulls, empty and long texts, repeats and empty tables."""
     return described(stored(common.table(spark, sf_dir, "documents")))

@@ -65,6 +65,20 @@ def test_run(spark, tmp_path):
 
 
 def test_odd_rows(spark, tmp_path):
-    for rows in (ROWS, []):
-        spark.createDataFrame(rows, COLUMNS).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
-        assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    """Of odd rows, one of each text that has letters and is of a known language is packed, redacted; of none, nothing is."""
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame(ROWS, COLUMNS).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {p.doc_id for p in got}
+    assert not ids & {2, 3, 4, 6} and ids <= {1, 5, 7, 8, 9, 10, None}  # without letters, or copies of 1
+    assert {1, 7, 9} <= ids
+    tokens = {i: sum(p.length for p in got if p.doc_id == i) for i in ids}
+    texts = {r[0]: r[1] for r in ROWS if r[0] is not None}
+    for i in ids - {9, None}:
+        assert tokens[i] == len(brute_ids(texts[i]))
+    clean = texts[9]
+    spans = [(s.start, s.kind, s.stop) for s in next(r for r in pii.detect(spark.createDataFrame(ROWS, COLUMNS), ["doc_id"]).collect() if r.row.doc_id == 9).spans]
+    for start, kind, stop in reversed(spans):
+        clean = clean[:start] + f"[{pii.KINDS[kind].upper()}]" + clean[stop:]
+    assert len(spans) == 4 and tokens[9] == len(brute_ids(clean))

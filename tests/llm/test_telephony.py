@@ -98,6 +98,32 @@ def test_query(spark, tmp_path, monkeypatch):
         assert by_text.setdefault(r.payload_sha256, r[5:]) == r[5:]
 
 
+def brute_feature(payload, codec):
+    """Features of a payload by plain loops: decoded, resampled, measured."""
+    if codec == "adpcm":
+        pcm = sum((adpcm(bytes(4) + payload[i : i + 192]) for i in range(0, len(payload), 192)), [])
+    else:
+        pcm = [{"mulaw": mulaw, "alaw": alaw}[codec](x) for x in payload]
+    x = brute_resample(pcm)
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    crc = zlib.crc32(b"".join(v.to_bytes(2, "little", signed=True) for v in x))
+    return f"n={len(x)};peak={max(map(abs, x))};power={sum(v * v for v in x) // len(x)};crossings={crossings};crc={crc:08x}"
+
+
+def test_whole_result(spark):
+    """Every column of the query's rows against plain loops."""
+    texts = [None, "", "a", "é" * 100, "x" * 192, "y" * 193, "the cat sat on the mat " * 40, "🙂 " * 300, *(f"text {i} " * (i + 1) for i in range(30))]
+    rows = {r.doc_id: r for r in tel.described(tel.stored(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]))).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        codec = list(tel.CODECS)[zlib.crc32(payload) % 3]
+        media = tel.store(payload, codec)
+        want = (i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), brute_feature(payload, codec))
+        assert tuple(rows[i]) == want
+
+
 def test_pcm_column(spark):
     media = tel.stored(docs(spark)).withColumn("pcm", tel.F.lit("clash"))
     rows = tel.pcm(media, ["doc_id", "pcm"]).collect()
