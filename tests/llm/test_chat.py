@@ -117,3 +117,51 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert chat.repair(frame(spark, [])).count() == 0
+
+
+def shortest(roles):
+    """The cheapest repair as a shortest path over (turns done, role of the last turn), a step a turn or an inserted empty one."""
+    import heapq
+
+    codes, follows = [chat.role_code(r) for r in roles], {None: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
+    heap, done = [(0, 0, -1)], set()
+    while heap:
+        cost, i, last = heapq.heappop(heap)
+        if (i, last) in done:
+            continue
+        done.add((i, last))
+        if i == len(codes) and last == 2:
+            return cost
+        now = None if last < 0 else last
+        for role in follows[now]:
+            heapq.heappush(heap, (cost + chat.INSERT, i, role))
+        if i < len(codes):
+            for role in range(3):
+                change = 0 if codes[i] == role else chat.UNKNOWN if codes[i] == 3 else chat.RELABEL
+                if role in follows[now]:
+                    heapq.heappush(heap, (cost + change, i + 1, role))
+                if role == now:
+                    heapq.heappush(heap, (cost + change + chat.MERGE, i + 1, role))
+    return None
+
+
+def test_costs_and_rendering_of_long_conversations(spark):
+    """Cost against the shortest path, and the joined fragments against a rendering of the actions, for conversations of up to 14 turns."""
+    data = [(c, t, r, x) for c, t, r, x in rows(11, 60, 14) if t is not None]
+    got = chat.repair(frame(spark, data).repartition(3)).collect()
+    texts = {}
+    for c, t, _, x in data:
+        texts.setdefault(c, {})[t] = x or ""
+    for c in texts:
+        group = sorted((r for r in got if r.conv_id == c), key=lambda r: r.position)
+        said = []
+        for r in group:
+            said += [[x, ""] for x in r.inserted_before.split(",") if x]
+            if r.action.endswith("merge"):
+                said[-1][1] += "\n" + texts[c][r.turn]
+            else:
+                said.append([r.new_role, texts[c][r.turn]])
+            said += [[x, ""] for x in r.inserted_after.split(",") if x]
+        assert legal([x[0] for x in said])
+        assert "".join(r.fragment for r in group) == "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in said)
+        assert sum(r.cost for r in group) == shortest([r.role for r in group])

@@ -107,3 +107,30 @@ def test_junk_is_rejected_where_a_language_has_no_calibration_row(spark):
     assert np.isfinite(model.most).all()
     lang, _, _, rejected = model.predict([junk, samples()[0][1]])
     assert lang[0] == "ru" and rejected.tolist() == [True, False]
+
+
+def test_whole_result_by_the_textbook(spark, tmp_path):
+    """lang_pred and score of the query, each text against plain Kneser-Ney models of the rows that are learned from."""
+    import zlib
+
+    rows = [(i, " ".join(t.split()[:12]), lang, "s", 1) for i, t, lang, *_ in samples()[:45]] + [(900, "the und les", None, "s", 1), (901, None, "en", "s", 1), (902, "12 3", "de", "s", 1), (903, "", None, None, 1)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in langid.op4_langid(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    apart = {r.doc_id for r in ids.filter("pmod(xxhash64(doc_id, 'calibrate'), 5) = 0").collect()}
+    clean = {r[0]: "".join(map(chr, np.concatenate([p[langid.ORDER - 1 :] for p in langid.pieces(r[1])]).tolist())) if r[1] and any(c.isalpha() for c in r[1]) else "" for r in rows}
+    held = {r[0]: zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows}
+    learned = {lang: [clean[r[0]] for r in rows if r[2] == lang and r[1] and not held[r[0]] and r[0] not in apart] for lang in ("de", "en", "fr")}
+    counts = {lang: grams([t for t in texts if t]) for lang, texts in learned.items()}
+    alphabet = len({c for c in "".join(t for texts in learned.values() for t in texts)})
+    for r in rows:
+        out, text = got[r[0]], clean[r[0]]
+        assert out.held_out == held[r[0]]
+        if not text:
+            assert (out.lang_pred, out.score) == ("und", 0.0)
+            continue
+        bits = {lang: -np.mean(brute_log2(c, text, langid.ORDER, alphabet)) for lang, c in counts.items()}
+        best = min(bits, key=bits.get)
+        score = 1 / sum(2.0 ** max(-200, -(b - bits[best]) * min(64, len(text))) for b in bits.values())
+        assert out.lang_pred == best and abs(out.score - score) < 1e-2 and abs(out.bits - bits[best]) < 1e-3
