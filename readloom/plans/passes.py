@@ -50,7 +50,7 @@ class Pass:
     @cached_property
     def others(self) -> DataFrame:
         rows = reads.unpaired(self.reads, self.pairs) if self.kind == "pe" else reads.single(self.reads)
-        return reads.mark_duplicate_reads(rows)
+        return written(reads.mark_duplicate_reads(rows), "others")  # coverage and members start here
 
     @cached_property
     def coverage(self) -> DataFrame:
