@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import bound, sums_before
@@ -46,7 +46,7 @@ def discrepancies(cigar: str = "cigar", md: str = "md", pos: str = "pos", seq: s
     subs = "filter(s.both, (x, i) -> i = size(s.both) - 1 OR s.both[i + 1].at <> x.at)"
     bits = "CASE x.letter " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in REFERENCE_BITS.items()) + " ELSE 0 END"
     base = f"nullif(nullif(substring({read}, x.pos, 1), ''), '*')"
-    sub = f"transform({subs}, x -> struct(1 AS late, x.pos AS pos, {SUBSTITUTION} AS type, x.off AS off, 1 AS len, x.letter AS ref_base, {base} AS read_base, {bits} + CASE WHEN upper({base}) = 'N' THEN {READ_N} ELSE 0 END AS base))"
+    sub = f"transform({subs}, x -> struct(1 AS late, x.pos AS pos, {SUBSTITUTION} AS type, x.off AS off, 1 AS len, x.letter AS ref_base, {base} AS read_base, {bits} + CASE WHEN {base} IN ('N', 'n') THEN {READ_N} ELSE 0 END AS base))"
     gap = f"transform(filter(s.placed, x -> x.op IN ('D', 'I', 'N')), x -> struct(0 AS late, x.in_read + CASE x.op WHEN 'I' THEN 1 ELSE 0 END AS pos, CASE x.op WHEN 'D' THEN {DELETION} WHEN 'I' THEN {INSERTION} ELSE {INTRON} END AS type, x.in_ref - CASE x.op WHEN 'I' THEN 1 ELSE 0 END AS off, x.n AS len, CAST(NULL AS STRING) AS ref_base, CAST(NULL AS STRING) AS read_base, 0 AS base))"
     out = f"transform(sort_array(concat({gap}, {sub})), d -> struct(d.type AS type, d.pos AS pos, d.len AS len, `{pos}` + d.off AS pos_chr, d.ref_base AS ref_base, d.read_base AS read_base, d.base AS base))"
     too_long = _error("exists(a.letters, y -> y.at >= a.whole)", f"concat('MD is longer than the alignment: ', `{md}`)")
@@ -69,6 +69,11 @@ def discrepancies(cigar: str = "cigar", md: str = "md", pos: str = "pos", seq: s
     return F.expr(f"CASE WHEN `{cigar}` IS NULL OR `{cigar}` = '*' THEN {none} {errors} WHEN {plain} THEN {none} ELSE CAST({whole} AS {TYPE}) END")
 
 
+def with_discrepancies(rows: DataFrame, name: str = "d", **columns) -> DataFrame:
+    """rows with their differences, worked out once: an explode of one row keeps the optimizer from moving the expression into each filter on it."""
+    return rows.select("*", F.explode(F.array(discrepancies(**columns))).alias(name))
+
+
 def counts(found: Column) -> tuple[Column, Column, Column]:
     """Substitutions, deletions and insertions."""
     of = lambda t: F.size(F.filter(found, lambda d: d["type"] == t))

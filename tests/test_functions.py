@@ -139,3 +139,39 @@ def test_random_cigars(spark):
     rows = spark.createDataFrame([(c,) for c in data], "cigar string")
     for r in rows.select("cigar", cigar.ops().alias("o")).collect():
         assert [(x.len, x.op) for x in r.o] == literal.cigar_ops(r.cigar)
+
+
+def evaluations(df, text):
+    """How often an expression's text stands in the optimized plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(text)
+
+
+def test_differences_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("5M", "2A2", 10)], "cigar string, md string, pos int").repartition(1)
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 28))
+    once = evaluations(rows.select(discrepancies.discrepancies().alias("d")), "padding is not supported")
+    found = discrepancies.with_discrepancies(rows)
+    for df in (found.filter(F.size("d") > 0).select("d"), found.select(F.explode("d").alias("d")), found.select(*discrepancies.counts(F.col("d")))):
+        assert evaluations(df, "padding is not supported") == once and df.count() == 1
+
+
+def test_leader_without_digits_throws_nothing(spark):
+    """A read without a soft clip has no digits to cast; a cast that fails is a thrown and caught error for each row."""
+    plan = spark.createDataFrame([("12M5000N40M", "ACGT", 0)], "cigar string, seq string, flag int").select(leader.leader())._jdf.queryExecution().analyzed().toString()
+    assert "try_cast" in plan and plan.count("try_cast") == plan.count("try_cast(nullif(")
+
+
+def test_leader_at_the_starts_of_reads(spark):
+    """Short reads, lower case and other letters, at every offset, against the literal form."""
+    data = []
+    for n, lead in enumerate(leader.LEADERS):
+        for cut in range(2, 23):
+            for moved in (-7, -3, 0, 2, 7):
+                exon = max(2, min(20, cut + moved))
+                seq = lead[-cut:] + "GATTACANN"[: n % 9]
+                seq = seq[:3] + seq[3:6].lower() + seq[6:] if n % 4 == 3 else seq
+                data.append((len(data), f"{exon}M{(100, 3000)[n % 2]}N{max(1, 50 - exon)}M", seq, 0))
+    rows = spark.createDataFrame(data, "i int, cigar string, seq string, flag int")
+    got = {r.i: (r.leader.shift, r.leader.kind) for r in leader.with_leader(rows).collect()}
+    assert got == {i: literal.leader_intron(c, s, False) for i, c, s, _ in data}
+    assert {k for _, k in got.values()} == {"long", "short", None}
