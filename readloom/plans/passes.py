@@ -49,7 +49,8 @@ class Pass:
 
     @cached_property
     def others(self) -> DataFrame:
-        rows = reads.unpaired(self.reads, self.pairs) if self.kind == "pe" else reads.single(self.reads)
+        kept = self.reads.select("ordinal", "read_name", "refid", "pos5p", "mapq", "sbasq", "flag")
+        rows = (reads.unpaired(kept, self.pairs) if self.kind == "pe" else reads.single(kept)).drop("flag")
         return written(reads.mark_duplicate_reads(rows), "others")  # coverage and members start here
 
     @cached_property

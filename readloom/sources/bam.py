@@ -266,12 +266,12 @@ class BamWriter(DataSourceArrowWriter):
             store.delete_dir(top)
 
 
-def write_bam(rows: DataFrame, references_: list[tuple[str, int]], path: str, text: str = "", single: bool = False, order: list[str] | None = None, mode: str = "append") -> None:
+def write_bam(rows: DataFrame, references_: list[tuple[str, int]], path: str, text: str = "", single: bool = False, order: list[str] | None = None, mode: str = "append", parts: int | None = None) -> None:
     """rows (the columns of WRITTEN; those that are missing are null) as BAM: a folder of whole files in the order of partitions, or with single
-    one file. order: columns to sort by, over all partitions. text: the header's. mode: append (the path must not be there) or
+    one file. order: columns to sort by, over all partitions; parts: into how many, where Spark would size them by compressed bytes. text: the header's. mode: append (the path must not be there) or
     overwrite. The target appears whole, at the commit."""
     if order:
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
     spark = rows.sparkSession
     spark.dataSource.register(BamSource)
     options = {"header": text, "references": json.dumps(references_), "single": str(single).lower()}

@@ -1,4 +1,4 @@
-"""Alignments derived from the orders table by portable SQL, the same text for Spark and for the checking database.
+"""Alignments derived from the orders table by portable expressions, the same for Spark and for the checking database.
 
 One fragment for each order. Orders whose key leaves small remainders by 97 are bent: an unmapped mate, an improper pair,
 supplementary and secondary rows, single-end reads, mates on one strand, a third alignment of a name.
@@ -7,6 +7,7 @@ supplementary and secondary rows, single-end reads, mates on one strand, a third
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LENGTH = 1_000_000
 NAMES = ("chr0", "chr1", "chr2")
@@ -34,11 +35,14 @@ CIGARS = ("50M", "5S45M", "45M5S", "20M100N30M", "20M2D28M3I", "5H10S35M", "10M3
 LENGTHS = (50, 50, 50, 50, 51, 45, 50, 50)
 
 
+def _of_k(values: tuple) -> str:
+    return "CASE k % 8 " + " ".join(f"WHEN {i} THEN {x!r}" for i, x in enumerate(values)) + " END"
+
+
 def alignments_sql(orders: str, plain: bool = False) -> str:
     """CTEs that end with `al`, without the leading WITH. plain: pairs alone."""
     bend = "CAST(-1 AS BIGINT)" if plain else "k % 97"
-    cigar = "CASE k % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CIGARS)) + " END"
-    l_seq = "CASE k % 8 " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(LENGTHS)) + " END"
+    cigar, l_seq = _of_k(CIGARS), _of_k(LENGTHS)
     rows = " UNION ALL ".join(
         f"SELECT k * 8 + {j} AS ordinal, refid, concat({name}, k) AS read_name, CAST({pos} AS INT) AS pos, CAST({p5} AS INT) AS pos5p, CAST({mapq} AS INT) AS mapq, CAST({flag} AS INT) AS flag, CAST({tlen} AS INT) AS tlen, CAST({basq} AS BIGINT) AS sbasq, {cigar} AS cigar, {l_seq} AS l_seq FROM ends WHERE {when}"
         for when, name, j, pos, p5, mapq, flag, tlen, basq in _ROWS
@@ -46,9 +50,31 @@ def alignments_sql(orders: str, plain: bool = False) -> str:
     return f"{FRAGMENTS.format(orders=orders, bend=bend)}, al AS ({rows})"
 
 
+#: Parquet bytes of orders that make one part; about 150,000 alignments.
+PART_BYTES = 1 << 20
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """In how many parts alignments are worked on: as many as the orders have bytes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/orders.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(1, -(-size // PART_BYTES))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders in parts: splits of files grow with the table, up to 128 MB, and hold whole row groups, and what is derived from a split is many
+    times as large."""
+    orders, n = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"), parts(spark, sf_dir)
+    return orders.repartition(n, "o_orderkey") if n > 1 else orders
+
+
 def alignments(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
-    return spark.sql(f"WITH {alignments_sql('{orders}', plain)} SELECT * FROM al", orders=orders)
+    """`al` of alignments_sql(). Its rows are made of one scan, where the branches of the SQL's union would scan the orders for each."""
+    ends = spark.sql(f"WITH {FRAGMENTS.format(orders='{orders}', bend='CAST(-1 AS BIGINT)' if plain else 'k % 97')} SELECT * FROM ends", orders=_orders(spark, sf_dir))
+    one = "CASE WHEN {when} THEN struct(CAST({j} AS BIGINT) AS j, {name} AS name, CAST({pos} AS INT) AS pos, CAST({p5} AS INT) AS pos5p, CAST({mapq} AS INT) AS mapq, CAST({flag} AS INT) AS flag, CAST({tlen} AS INT) AS tlen, CAST({basq} AS BIGINT) AS sbasq) END"
+    rows = ", ".join(one.format(when=when, j=j, name=name, pos=pos, p5=p5, mapq=mapq, flag=flag, tlen=tlen, basq=basq) for when, name, j, pos, p5, mapq, flag, tlen, basq in _ROWS)
+    own = ends.select("k", "refid", F.explode(F.expr(f"array({rows})")).alias("a")).filter("a IS NOT NULL")
+    return own.selectExpr("k * 8 + a.j AS ordinal", "refid", "concat(a.name, k) AS read_name", "a.pos", "a.pos5p", "a.mapq", "a.flag", "a.tlen", "a.sbasq", f"{_of_k(CIGARS)} AS cigar", f"{_of_k(LENGTHS)} AS l_seq")
 
 
 def references(spark: SparkSession) -> DataFrame:

@@ -330,3 +330,18 @@ def test_region_totals_without_low_starts(spark):
     full, none = of(regions), of(regions.limit(0))
     assert (full.high_dup_rate, full.low_starts, full.low_starts_per_base, full.low_dups, full.low_dup_rate) == (0.2, 0, 0.0, 0, None)
     assert (none.high_regions, none.high_bases, none.high_starts, none.low_regions, none.low_bases, none.low_starts, none.low_dup_rate) == (0, None, None, 1, 100, None, None)
+
+
+def test_alignments_come_in_parts(spark, tmp_path):
+    """One file of one row group: what is derived from it is dealt over parts by bytes, and one scan of the orders gives the rows of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    duckdb.connect().execute(f"COPY (SELECT i AS o_orderkey, hash(i) % 999983 AS o_custkey, CAST(hash(i + 7) % 99999999 AS DOUBLE) / 100 AS o_totalprice FROM range(150000) r(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet, ROW_GROUP_SIZE 1000000)")
+    size = os.path.getsize(tmp_path / "orders.parquet")
+    assert size > 2 * derived.PART_BYTES
+    rows = derived.alignments(spark, str(tmp_path))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == derived.parts(spark, str(tmp_path)) == -(-size // derived.PART_BYTES) and max(sizes) < 2 * min(sizes)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    sums = ["count(*)", *[f"CAST(sum(CAST({c} AS BIGINT)) AS BIGINT)" for c in ("ordinal", "refid", "length(read_name)", "pos", "pos5p", "mapq", "flag", "tlen", "sbasq", "length(cigar)", "l_seq")]]
+    al = derived.alignments_sql(f"'{tmp_path}/orders.parquet'")
+    assert tuple(rows.selectExpr(*sums).first()) == duckdb.connect().execute(f"WITH {al} SELECT {', '.join(sums)} FROM al").fetchone()
