@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PAIRED, PROPER, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED
+from ..scratch import written
 
 
 def has(flag: int, column: str = "flag") -> Column:
@@ -30,21 +31,29 @@ def filter_counts(alignments: DataFrame) -> DataFrame:
 
 def mates(reads: DataFrame) -> DataFrame:
     """One row for each name of proper pairs: n_aln, and the forward and reverse alignment, of several the rightmost."""
-    kept = F.struct("refid", "pos5p", "mapq", "sbasq", "ordinal")
+    kept = F.struct("refid", "pos5p", "mapq", "sbasq", "ordinal", "flag", "pos")
     order = F.struct("pos", "ordinal")
     side = lambda when: F.max_by(F.when(when, kept), F.when(when, order))
     lengths = F.max_by(F.when(F.col("tlen") > 0, F.col("tlen")), F.when(F.col("tlen") > 0, order))
     return reads.filter(has(PAIRED | PROPER)).groupBy("read_name").agg(F.count("*").alias("n_aln"), side(~has(REVERSE)).alias("f"), side(has(REVERSE)).alias("r"), lengths.alias("tlen"))
 
 
-def pair_mates(reads: DataFrame) -> DataFrame:
-    """Complete pairs, one on each strand."""
-    both = mates(reads).filter("f is not null and r is not null")
-    ends = [F.col(f"{s}.{a}").alias(f"{b}{i}") for i, s in enumerate("fr") for a, b in (("refid", "ref"), ("pos5p", "p"), ("ordinal", "o"))]
+_COMPLETE = "f is not null and r is not null"
+
+
+def complete_pairs(names: DataFrame, *more: str) -> DataFrame:
+    """Complete pairs among mates(), one on each strand. more: further columns of the alignments, which get the numbers 0 and 1 as the others do."""
+    both = names.filter(_COMPLETE)
+    ends = [F.col(f"{s}.{a}").alias(f"{b}{i}") for i, s in enumerate("fr") for a, b in (("refid", "ref"), ("pos5p", "p"), ("ordinal", "o"), *((m, m) for m in more))]
     sums = [(F.col(f"f.{a}") + F.col(f"r.{a}")).cast("bigint").alias(b) for a, b in (("mapq", "mapq_sum"), ("sbasq", "basq_sum"))]
     return both.select("read_name", *ends, *sums, "tlen")
 
 
+def pair_mates(reads: DataFrame) -> DataFrame:
+    """Complete pairs, one on each strand."""
+    return complete_pairs(mates(reads))
+
+
 def mateless(reads: DataFrame) -> DataFrame:
     return mates(reads).filter("n_aln < 2").select("read_name", "n_aln")
 
@@ -69,8 +78,9 @@ def mark_duplicate_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def paired_ends(pairs: DataFrame) -> DataFrame:
-    """Both alignments of each complete pair: read_name, ordinal, mate, refid, pos5p, is_dup."""
-    one = lambda i, j: F.struct(F.col(f"o{i}").alias("ordinal"), F.col(f"o{j}").alias("mate"), F.col(f"ref{i}").alias("refid"), F.col(f"p{i}").alias("pos5p"))
+    """Both alignments of each complete pair: read_name, ordinal, mate, refid, pos5p, flag and pos if pairs have them, is_dup."""
+    more = [c for c in ("flag", "pos") if f"{c}0" in pairs.columns]
+    one = lambda i, j: F.struct(F.col(f"o{i}").alias("ordinal"), F.col(f"o{j}").alias("mate"), F.col(f"ref{i}").alias("refid"), F.col(f"p{i}").alias("pos5p"), *[F.col(f"{c}{i}").alias(c) for c in more])
     return pairs.select("read_name", "is_dup", F.explode(F.array(one(0, 1), one(1, 0))).alias("e")).select("read_name", "e.*", "is_dup")
 
 
@@ -80,6 +90,16 @@ def unpaired(reads: DataFrame, pairs: DataFrame) -> DataFrame:
     return reads.filter(has(PAIRED)).join(ends, "ordinal", "left_anti")
 
 
+def unpaired_by_name(reads: DataFrame, names: DataFrame) -> DataFrame:
+    """unpaired(), by the table of mates(). A name of two reads that are a pair leaves none over; the other names are few as a rule, and are written,
+    so that their size tells whether the reads have to be shuffled to meet them."""
+    rest = names.filter(f"n_aln <> 2 or not ({_COMPLETE})")
+    rest = written(rest.select(F.col("read_name").alias("__name"), *[F.expr(f"CASE WHEN {_COMPLETE} THEN {s}.ordinal END").alias(f"__{s}") for s in "fr"], F.lit(True).alias("__met")), "rest")
+    taken = F.coalesce((F.col("ordinal") == F.col("__f")) | (F.col("ordinal") == F.col("__r")), F.lit(False))
+    met = reads.filter(has(PAIRED)).join(rest, F.col("read_name").eqNullSafe(F.col("__name")) & has(PROPER), "left")
+    return met.filter(~has(PROPER) | (F.col("__met") & ~taken)).select(*reads.columns)
+
+
 def mark_duplicate_reads(reads: DataFrame) -> DataFrame:
     """Strand is no part of the key."""
     return _marked(reads, ["refid", "pos5p"], ["mapq", "sbasq"], ["read_name", "ordinal"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..model import DEFAULTS, Options
+from ..scratch import written
 from .draws import sample_branch
 from .intervals import containing
 
@@ -22,11 +23,12 @@ def region_quota(regions: DataFrame, rate: DataFrame) -> DataFrame:
 
 
 def members(ends: DataFrame, others: DataFrame, regions: DataFrame) -> DataFrame:
-    """All alignments of a pass with their region, if any: ordinal, mate, read_name, refid, pos5p, is_pair, is_dup, beg, end."""
-    rows = ends.select("ordinal", "mate", "read_name", "refid", "pos5p", F.lit(True).alias("is_pair"), "is_dup")
-    rows = rows.unionByName(others.select("ordinal", F.lit(None).cast("bigint").alias("mate"), "read_name", "refid", "pos5p", F.lit(False).alias("is_pair"), "is_dup"))
-    keep = [c for c in regions.columns if c not in ("refid",)]
-    return containing(rows, regions, "pos5p", "left").select(*rows.columns, *keep)
+    """All alignments of a pass with their region, if any: ordinal, mate, read_name, refid, pos5p, flag, pos, is_pair, is_dup, beg, end, ndup, quota, branch."""
+    own = ("read_name", "refid", "pos5p", "flag", "pos")
+    rows = ends.select("ordinal", "mate", *own, F.lit(True).alias("is_pair"), "is_dup")
+    rows = rows.unionByName(others.select("ordinal", F.lit(None).cast("bigint").alias("mate"), *own, F.lit(False).alias("is_pair"), "is_dup"))
+    keep = ("beg", "end", "ndup", "quota", "branch")
+    return containing(rows, regions.select("refid", *keep), "pos5p", "left").select(*rows.columns, *keep)
 
 
 def all_branch(held: DataFrame) -> DataFrame:
@@ -40,10 +42,13 @@ def low_branch(held: DataFrame) -> DataFrame:
     return held.filter("is_dup and beg is null").select("ordinal")
 
 
-def removals(held: DataFrame, reads: DataFrame, kind: str, options: Options = DEFAULTS) -> DataFrame:
-    """Every removed alignment: pass, is_pair, is_dup, in_hcr, is_removed, refid, pos5p, flag, pos, read_name, ordinal."""
-    gone = all_branch(held).unionByName(low_branch(held)).unionByName(sample_branch(held, options)).distinct()
-    rows = held.join(gone, "ordinal", "left_semi").join(reads.select("ordinal", "flag", "pos"), "ordinal")
+def removals(held: DataFrame, kind: str, options: Options = DEFAULTS) -> DataFrame:
+    """Every removed alignment: pass, is_pair, is_dup, in_hcr, is_removed, refid, pos5p, flag, pos, read_name, ordinal. What is low or in the branch
+    all is told by its own row; mates and draws are looked up among the other rows."""
+    own = F.coalesce(F.col("is_dup") & (F.col("beg").isNull() | (F.col("branch") == "all")), F.lit(False))
+    mates = held.filter("is_dup and branch = 'all' and mate is not null").select(F.col("mate").alias("ordinal"))
+    named = written(mates.unionByName(sample_branch(held, options)), "named")
+    rows = held.filter(own).unionByName(held.filter(~own).join(named, "ordinal", "left_semi").select(*held.columns))
     return rows.select(F.lit(kind).alias("pass"), "is_pair", "is_dup", F.col("beg").isNotNull().alias("in_hcr"), F.lit(True).alias("is_removed"), "refid", "beg", "pos5p", "flag", "pos", "read_name", "ordinal")
 
 

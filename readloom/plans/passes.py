@@ -24,10 +24,11 @@ def agree(pairs: dict[str, tuple[int, int]]) -> None:
 
 
 class Pass:
-    """All tables of one pass over accepted alignments; kind: pe or se. Tables are built when asked for."""
+    """All tables of one pass over accepted alignments; kind: pe or se. Tables are built when asked for. parts: in how many parts the names of reads
+    are dealt, if not in as many as Spark is set to."""
 
-    def __init__(self, alignments: DataFrame, references: DataFrame, kind: str = "pe", options: Options = DEFAULTS):
-        self.alignments, self.references, self.kind, self.options = alignments, references, kind, options
+    def __init__(self, alignments: DataFrame, references: DataFrame, kind: str = "pe", options: Options = DEFAULTS, parts: int | None = None):
+        self.alignments, self.references, self.kind, self.options, self.parts = alignments, references, kind, options, parts
         #: What was counted on tables as they were written, by table.
         self.seen: dict[str, dict[str, int]] = {}
 
@@ -43,14 +44,19 @@ class Pass:
     def plain_pairs(self) -> DataFrame:
         return reads.pair_mates(self.reads)
 
+    @cached_property
+    def mates(self) -> DataFrame:
+        """The names of proper pairs: pairs and unpaired reads start here. One sort by name, in parts that do not grow with the table."""
+        return written(reads.mates(self.reads.repartition(self.parts, "read_name") if self.parts else self.reads), "mates")
+
     @cached_property
     def pairs(self) -> DataFrame | None:
-        return written(reads.mark_duplicate_pairs(self.plain_pairs), "pairs") if self.kind == "pe" else None
+        return written(reads.mark_duplicate_pairs(reads.complete_pairs(self.mates, "flag", "pos")), "pairs") if self.kind == "pe" else None
 
     @cached_property
     def others(self) -> DataFrame:
-        kept = self.reads.select("ordinal", "read_name", "refid", "pos5p", "mapq", "sbasq", "flag")
-        rows = (reads.unpaired(kept, self.pairs) if self.kind == "pe" else reads.single(kept)).drop("flag")
+        kept = self.reads.select("ordinal", "read_name", "refid", "pos5p", "mapq", "sbasq", "flag", "pos")
+        rows = written(reads.unpaired_by_name(kept, self.mates) if self.kind == "pe" else reads.single(kept), "unmarked")
         return written(reads.mark_duplicate_reads(rows), "others")  # coverage and members start here
 
     @cached_property
@@ -94,7 +100,7 @@ class Pass:
     @cached_property
     def members(self) -> DataFrame:
         """Every alignment with its region and the region's quota; the branches all start here."""
-        ends = reads.paired_ends(self.pairs) if self.pairs is not None else self.others.limit(0).selectExpr("read_name", "ordinal", "ordinal AS mate", "refid", "pos5p", "is_dup")
+        ends = reads.paired_ends(self.pairs) if self.pairs is not None else self.others.limit(0).selectExpr("read_name", "ordinal", "ordinal AS mate", "refid", "pos5p", "flag", "pos", "is_dup")
         high = F.col("beg").isNotNull()
         counts = {"n": F.count("*"), "pairs": F.count_if("is_pair"), "dups": F.count_if("is_dup"), "high": F.count_if(high), "high_dups": F.count_if(high & F.col("is_dup"))}
         return self._counted(removal.members(ends, self.others, self.quotas), "members", **counts)
@@ -102,7 +108,7 @@ class Pass:
     @cached_property
     def removals(self) -> DataFrame:
         counts = {"n": F.count("*"), "high": F.count_if("in_hcr"), "dups": F.count_if("is_dup")}
-        return self._counted(removal.removals(self.members, self.reads, self.kind, self.options), "removals", **counts)
+        return self._counted(removal.removals(self.members, self.kind, self.options), "removals", **counts)
 
     @cached_property
     def totals(self) -> DataFrame:

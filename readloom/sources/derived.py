@@ -71,10 +71,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignments(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
     """`al` of alignments_sql(). Its rows are made of one scan, where the branches of the SQL's union would scan the orders for each."""
     ends = spark.sql(f"WITH {FRAGMENTS.format(orders='{orders}', bend='CAST(-1 AS BIGINT)' if plain else 'k % 97')} SELECT * FROM ends", orders=_orders(spark, sf_dir))
-    one = "CASE WHEN {when} THEN struct(CAST({j} AS BIGINT) AS j, {name} AS name, CAST({pos} AS INT) AS pos, CAST({p5} AS INT) AS pos5p, CAST({mapq} AS INT) AS mapq, CAST({flag} AS INT) AS flag, CAST({tlen} AS INT) AS tlen, CAST({basq} AS BIGINT) AS sbasq) END"
-    rows = ", ".join(one.format(when=when, j=j, name=name, pos=pos, p5=p5, mapq=mapq, flag=flag, tlen=tlen, basq=basq) for when, name, j, pos, p5, mapq, flag, tlen, basq in _ROWS)
-    own = ends.select("k", "refid", F.explode(F.expr(f"array({rows})")).alias("a")).filter("a IS NOT NULL")
-    return own.selectExpr("k * 8 + a.j AS ordinal", "refid", "concat(a.name, k) AS read_name", "a.pos", "a.pos5p", "a.mapq", "a.flag", "a.tlen", "a.sbasq", f"{_of_k(CIGARS)} AS cigar", f"{_of_k(LENGTHS)} AS l_seq")
+    there = ", ".join(f"CASE WHEN {when} THEN {j} ELSE -1 END" for when, _, j, *_ in _ROWS)
+    own = ends.select("*", F.explode(F.expr(f"array_remove(array({there}), -1)")).alias("j"))  # numbers alone, so that columns nobody asks for are not made
+    of_j = lambda i, kind: f"CAST(CASE j {' '.join(f'WHEN {row[2]} THEN {row[i]}' for row in _ROWS)} END AS {kind})"
+    named = {"pos": (3, "INT"), "pos5p": (4, "INT"), "mapq": (5, "INT"), "flag": (6, "INT"), "tlen": (7, "INT"), "sbasq": (8, "BIGINT")}
+    columns = [f"{of_j(i, kind)} AS {name}" for name, (i, kind) in named.items()]
+    return own.selectExpr("k * 8 + j AS ordinal", "refid", f"concat({of_j(1, 'STRING')}, k) AS read_name", *columns, f"{_of_k(CIGARS)} AS cigar", f"{_of_k(LENGTHS)} AS l_seq")
 
 
 def references(spark: SparkSession) -> DataFrame:
