@@ -26,17 +26,23 @@ def draw_key(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col("ordinal").cast("string")))
 
 
-def region_name(prefix: str = "") -> Column:
-    """A text that sorts as regions do."""
-    digits = lambda c, n: F.lpad(F.col(f"{prefix}{c}").cast("string"), n, "0")
-    return F.concat_ws(":", digits("refid", 10), digits("beg", 20))
+def region_key() -> Column:
+    """A number that sorts as regions do: the reference above 32 bits of the place."""
+    return F.shiftleft(F.col("refid").cast("bigint"), 32) + F.col("beg")
+
+
+def high_duplicates(held: DataFrame) -> DataFrame:
+    """Duplicates in high regions: ordinal, mate, region, quota, branch."""
+    return held.filter("is_dup and beg is not null").select("ordinal", "mate", region_key().alias("region"), "quota", "branch")
 
 
 def duplicates(held: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Duplicates in high regions: ordinal, mate, region, h, quota, branch, and mate_region, mate_branch of a mate in a high region."""
-    dups = held.filter("is_dup and beg is not null").withColumn("region", region_name()).withColumn("h", draw_key(options.seed)).select("ordinal", "mate", "region", "h", "quota", "branch")
-    mates = dups.select(F.col("ordinal").alias("mate"), F.col("region").alias("mate_region"), F.col("branch").alias("mate_branch"))
-    return written(dups.join(mates, "mate", "left").withColumn("unit", F.when(F.col("mate_region") == F.col("region"), F.least("ordinal", "mate")).otherwise(F.col("ordinal"))), "region-dups")
+    """Duplicates in high regions of the branch sample: ordinal, mate, region, h, quota, unit, and mate_region, mate_branch of a mate in any high
+    region. They are written before their mates are looked up, so that few of them do not have all others shuffled."""
+    every = high_duplicates(held)
+    own = written(every.filter("branch = 'sample'").withColumn("h", draw_key(options.seed)).drop("branch"), "sampled-dups")
+    mates = every.join(own.select(F.col("mate").alias("ordinal")), "ordinal", "left_semi").select(F.col("ordinal").alias("mate"), F.col("region").alias("mate_region"), F.col("branch").alias("mate_branch"))
+    return written(own.join(mates, "mate", "left").withColumn("unit", F.when(F.col("mate_region") == F.col("region"), F.least("ordinal", "mate")).otherwise(F.col("ordinal"))), "region-dups")
 
 
 def units(dups: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def units(dups: DataFrame) -> DataFrame:
     later, sampled = F.col("mate_region") > F.col("region"), F.col("mate_branch") == "sample"
     heir = F.max(F.when(later & sampled, F.col("mate"))).alias("heir")
     gone = F.max(F.coalesce((F.col("mate_region") < F.col("region")) & (F.col("mate_branch") == "all"), F.lit(False))).alias("gone")
-    found = dups.filter("branch = 'sample'").groupBy("region", "quota", "unit").agg(F.min("h").alias("first"), F.count("*").alias("size"), gone, heir)
+    found = dups.groupBy("region", "quota", "unit").agg(F.min("h").alias("first"), F.count("*").alias("size"), gone, heir)
     return written(found.withColumn("slice", F.substring("first", 1, SLICE)), "region-units")
 
 
@@ -97,12 +103,15 @@ def sample_branch(held: DataFrame, options: Options = DEFAULTS) -> DataFrame:
 def consistency(held: DataFrame, gone: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """(invariant, broken) of the set drawn: each member is a duplicate of a high region, no mate in a high region is left behind, and a region
     has as many gone as its quota asks for, or all. gone: (ordinal), all that is removed in high regions."""
-    dups = duplicates(held, options)
-    gone = gone.select("ordinal").distinct().withColumn("out", F.lit(True))
-    rows = dups.join(gone, "ordinal", "left").join(gone.select(F.col("ordinal").alias("mate"), F.col("out").alias("mate_out")), "mate", "left")
-    strangers = gone.join(dups.select("ordinal"), "ordinal", "left_anti").agg(F.count("*").alias("broken"))
-    left = rows.filter("out and mate_region is not null and mate_out is null").agg(F.count("*").alias("broken"))
-    short = rows.filter("branch = 'sample'").groupBy("region", "quota").agg(F.count_if("out").alias("out"), F.count("*").alias("all")).filter(F.col("out") < F.least("quota", "all")).agg(F.count("*").alias("broken"))
+    dups = high_duplicates(held)
+    gone = written(gone.select("ordinal").distinct(), "gone")
+    out = written(dups.join(gone, "ordinal", "left_semi"), "gone-dups")
+    strangers = gone.join(out.select("ordinal"), "ordinal", "left_anti").agg(F.count("*").alias("broken"))
+    behind = out.filter("mate is not null").select(F.col("mate").alias("ordinal")).join(gone, "ordinal", "left_anti")
+    left = dups.select("ordinal").join(behind, "ordinal", "left_semi").agg(F.count("*").alias("broken"))
+    of_region = lambda rows, n: rows.filter("branch = 'sample'").groupBy("region", "quota").agg(F.count("*").alias(n))
+    both = of_region(dups, "all").join(of_region(out, "out"), ["region", "quota"], "left")
+    short = both.filter(F.coalesce("out", F.lit(0)) < F.least("quota", "all")).agg(F.count("*").alias("broken"))
     named = {"drawn are duplicates of high regions": strangers, "mates go together": left, "quotas are filled": short}
     out = None
     for name, t in named.items():
