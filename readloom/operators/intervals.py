@@ -123,11 +123,11 @@ def length_histogram(regions: DataFrame, width: int = 50, most: int = 999) -> Da
 def with_levels(coverage: DataFrame, accepted: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """coverage with `levels`, the bits of all levels whose accepted segments hold the position, the least dense first (256, 512,
     1024, 2048). Segments of one level are disjoint."""
-    rows = coverage.withColumn("levels", F.lit(0))
+    bit = F.lit(0)
     for i, rate in enumerate(sorted(r for _, r in options.levels)):
-        held = containing(rows, accepted.filter(F.col("rmin") == rate).select("refid", "beg", "end"), "p", "left")
-        rows = held.withColumn("levels", F.col("levels") + F.when(F.col("beg").isNotNull(), 256 << i).otherwise(0)).drop("beg", "end")
-    return rows
+        bit = F.when(F.col("rmin") == rate, 256 << i).otherwise(bit)
+    held = containing(coverage, accepted.select("refid", "beg", "end", bit.alias("bit")), "p", "left")  # a row for each level
+    return held.groupBy(*coverage.columns).agg(F.coalesce(F.sum("bit"), F.lit(0)).cast("int").alias("levels"))
 
 
 def subtract(outer: DataFrame, inner: DataFrame) -> DataFrame:
