@@ -89,7 +89,7 @@ def leader(cigar: str = "cigar", seq: str = "seq", flag: str = "flag") -> Column
     cut = bound(kept | {"text": text}, coded, "w")
     placed = bound({"exon": "w.exon", "intron": "w.intron", "end": "w.exon + w.clip - 1"}, cut, "w")
     read = bound({"exon": number(group(2, 2)), "clip": number(group(1, 3)), "intron": number(group(3, 1))}, placed, "w")
-    can = f"CASE WHEN {reverse} THEN `{cigar}` rlike r'{_REVERSE}' ELSE `{cigar}` rlike r'{_FORWARD}' AND `{flag}` IS NOT NULL END"
+    can = f"contains(`{cigar}`, 'N') AND CASE WHEN {reverse} THEN `{cigar}` rlike r'{_REVERSE}' ELSE `{cigar}` rlike r'{_FORWARD}' AND `{flag}` IS NOT NULL END"
     return F.expr(f"CASE WHEN {can} THEN {read} ELSE struct(0 AS shift, CAST(NULL AS STRING) AS kind) END")
 
 
