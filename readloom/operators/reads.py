@@ -29,9 +29,9 @@ def filter_counts(alignments: DataFrame) -> DataFrame:
     return alignments.groupBy(filter_class().alias("filter_class")).agg(F.count("*").alias("n"))
 
 
-def mates(reads: DataFrame) -> DataFrame:
-    """One row for each name of proper pairs: n_aln, and the forward and reverse alignment, of several the rightmost."""
-    kept = F.struct("refid", "pos5p", "mapq", "sbasq", "ordinal", "flag", "pos")
+def mates(reads: DataFrame, columns: tuple[str, ...] = ("refid", "pos5p", "mapq", "sbasq", "ordinal", "flag", "pos")) -> DataFrame:
+    """One row for each name of proper pairs: n_aln, and the forward and reverse alignment, of several the rightmost, with these columns."""
+    kept = F.struct(*columns)
     order = F.struct("pos", "ordinal")
     side = lambda when: F.max_by(F.when(when, kept), F.when(when, order))
     lengths = F.max_by(F.when(F.col("tlen") > 0, F.col("tlen")), F.when(F.col("tlen") > 0, order))
@@ -119,6 +119,13 @@ def start_coverage(pairs: DataFrame | None, others: DataFrame) -> DataFrame:
     return rows.groupBy("refid", "p").agg(*[F.sum(c).alias(c) for c in ("pe_n", "pe_d", "se_n", "se_d")])
 
 
+def pair_starts(names: DataFrame) -> DataFrame:
+    """The positions of start_coverage() where complete pairs start, with pe_n alone, which hangs on no mark and on no other read. names: mates() of
+    refid and pos5p."""
+    ends = names.filter(_COMPLETE).select(F.explode(F.array("f", "r")).alias("e"))
+    return ends.groupBy("e.refid", F.col("e.pos5p").alias("p")).agg(F.count("*").alias("pe_n"))
+
+
 def mapping_class(flag: str = "flag") -> Column:
     """1: unmapped; 2: only the mate is; 0: neither."""
     return F.when(has(UNMAPPED, flag), 1).when(has(0x8, flag), 2).otherwise(0)

@@ -44,10 +44,20 @@ class Pass:
     def plain_pairs(self) -> DataFrame:
         return reads.pair_mates(self.reads)
 
+    @cached_property
+    def by_name(self) -> DataFrame:
+        """The accepted reads, dealt by name in parts that do not grow with the table."""
+        return self.reads.repartition(self.parts, "read_name") if self.parts else self.reads
+
     @cached_property
     def mates(self) -> DataFrame:
-        """The names of proper pairs: pairs and unpaired reads start here. One sort by name, in parts that do not grow with the table."""
-        return written(reads.mates(self.reads.repartition(self.parts, "read_name") if self.parts else self.reads), "mates")
+        """The names of proper pairs: pairs and unpaired reads start here."""
+        return written(reads.mates(self.by_name), "mates")
+
+    @cached_property
+    def pair_starts(self) -> DataFrame:
+        """What the coverage tells of pairs but for duplicates. Only this is written: no pair is marked for it."""
+        return written(reads.pair_starts(reads.mates(self.by_name, ("refid", "pos5p"))), "starts")
 
     @cached_property
     def pairs(self) -> DataFrame | None:

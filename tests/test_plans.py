@@ -30,6 +30,19 @@ def test_known_values(plain):
     assert (rate.starts, rate.dups) == (994, 124) and abs(rate.rate - 0.124748490946) < 1e-11
 
 
+@needs_data
+def test_pair_starts_are_those_of_the_coverage(spark, monkeypatch):
+    """Bent pairs, unpaired and single reads among them; and the scan over them marks and writes nothing else."""
+    names, write = [], passes.written
+    monkeypatch.setattr(passes, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    catalogue.QUERIES["score_segments"](spark, SF)
+    assert names == ["starts"]
+    for parts in (None, 3):
+        p = passes.Pass(derived.alignments(spark, SF), derived.references(spark), parts=parts)
+        want = sorted(map(tuple, p.coverage.filter("pe_n > 0").select("refid", "p", "pe_n").collect()))
+        assert want and sorted(map(tuple, p.pair_starts.collect())) == want
+
+
 def scan(starts, length, gap, rate, least=10, miss=-1, drop=None):
     """The literal scan over bases 0 to length - 1: a score falls at each base and rises by the gap at a start."""
     drop = -gap if drop is None else drop
