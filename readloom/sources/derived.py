@@ -61,16 +61,22 @@ def parts(spark: SparkSession, sf_dir: str) -> int:
     return max(1, -(-size // PART_BYTES))
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders in parts: splits of files grow with the table, up to 128 MB, and hold whole row groups, and what is derived from a split is many
-    times as large."""
+#: Into so many parts Spark's tasks write straight to files (spark.shuffle.sort.bypassMergeThreshold); for more they hold what they read in memory.
+STRAIGHT = 200
+
+
+def _ends(spark: SparkSession, sf_dir: str, bend: str) -> DataFrame:
+    """`ends` of alignments_sql() in parts: splits of files grow with the table, up to 128 MB, and hold whole row groups, and what is derived from a
+    split is many times as large. More parts than go straight to files are dealt in two steps, so that no task holds a split."""
     orders, n = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"), parts(spark, sf_dir)
-    return orders.repartition(n, "o_orderkey") if n > 1 else orders
+    orders = orders.repartition(min(n, STRAIGHT), "o_orderkey") if n > 1 else orders
+    ends = spark.sql(f"WITH {FRAGMENTS.format(orders='{orders}', bend=bend)} SELECT * FROM ends", orders=orders)
+    return ends.repartition(n, "k") if n > STRAIGHT else ends
 
 
 def alignments(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
     """`al` of alignments_sql(). Its rows are made of one scan, where the branches of the SQL's union would scan the orders for each."""
-    ends = spark.sql(f"WITH {FRAGMENTS.format(orders='{orders}', bend='CAST(-1 AS BIGINT)' if plain else 'k % 97')} SELECT * FROM ends", orders=_orders(spark, sf_dir))
+    ends = _ends(spark, sf_dir, "CAST(-1 AS BIGINT)" if plain else "k % 97")
     one = "CASE WHEN {when} THEN struct(CAST({j} AS BIGINT) AS j, {name} AS name, CAST({pos} AS INT) AS pos, CAST({p5} AS INT) AS pos5p, CAST({mapq} AS INT) AS mapq, CAST({flag} AS INT) AS flag, CAST({tlen} AS INT) AS tlen, CAST({basq} AS BIGINT) AS sbasq) END"
     rows = ", ".join(one.format(when=when, j=j, name=name, pos=pos, p5=p5, mapq=mapq, flag=flag, tlen=tlen, basq=basq) for when, name, j, pos, p5, mapq, flag, tlen, basq in _ROWS)
     own = ends.select("k", "refid", F.explode(F.expr(f"array({rows})")).alias("a")).filter("a IS NOT NULL")
